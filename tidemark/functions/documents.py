@@ -36,7 +36,7 @@ def fence(column: Column) -> Column:
     A filter on a parsed field would otherwise be rewritten in terms of the raw text, and every row
     would be parsed again for it.
     """
-    return F.when(F.rand(0) >= 0, column)
+    return F.when(F.spark_partition_id() >= 0, column)
 
 
 def kind(document: Column, path: str) -> Column:

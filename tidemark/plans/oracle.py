@@ -500,7 +500,8 @@ _SQL |= {
         "SELECT id AS event_id, platform, 'dark' AS theme, coalesce(device_type, 'unknown') AS device_type FROM f"
     ),
     "nested_property_audit": _facts("SELECT id AS event_id, true AS nested FROM f"),
-    "storefront_conform": """WITH lines AS (SELECT l_orderkey, count(*) AS n, arg_min(l_partkey, l_linenumber) AS first_part FROM lineitem GROUP BY 1)
+    "storefront_conform": """WITH lines AS (SELECT l_orderkey, count(*) AS n, arg_min(l_partkey, l_linenumber || '{"quantity":' || cast(l_quantity AS bigint) || ',"variant":{"sku":"sku-' || l_partkey || '"')
+        AS first_part FROM lineitem GROUP BY 1)
         SELECT CASE o_orderkey % 4 WHEN 0 THEN 'order_completed' WHEN 1 THEN 'checkout_started' ELSE 'add_to_cart' END AS event_name,
         'c-' || o_custkey AS cookie, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE o_custkey || '@example.com' END AS email,
         '555-' || o_custkey AS phone, 'cu-' || o_custkey AS customer, cast(o_orderkey AS varchar) AS order_id,
