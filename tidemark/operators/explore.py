@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from tidemark.functions import props, times
 from tidemark.model import FACET_FIELDS, Scope
@@ -276,13 +276,18 @@ def facets(
     require_time_range(tree)
     rows = search(ev, scope, tree, now).where(prefix_filter(field, prefix))
     counts = rows.groupBy(facet_text(field_column(field)).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    listed = counts.where("value is not null").orderBy(F.col("count").desc(), "value").limit(size)
-    # Sums over the grouped rows; a subquery each, so the values never meet in one task.
-    total = counts.agg(F.sum("count").alias("n")).scalar()
-    valued = counts.where("value is not null").agg(F.sum("count").alias("n")).scalar()
-    shown = listed.agg(F.sum("count").alias("n")).scalar()
-    return listed.select("value", "count", total.alias("total"), (valued - shown).alias("other")).orderBy(
-        F.col("count").desc(), "value"
+    # Absent values sort last, so they only ever fill places no value needs. Filtering them after the
+    # limit keeps the grouping identical to that of the totals, which then reads the same shuffle.
+    listed = counts.orderBy(F.col("value").isNull(), F.col("count").desc(), "value").limit(size).where("value is not null")
+    sums = counts.agg(
+        F.struct(F.sum("count").alias("total"), F.sum(F.when(F.col("value").isNotNull(), F.col("count"))).alias("valued"))
+    ).scalar()
+    # At most `size` rows are left for this window.
+    shown = F.sum("count").over(Window.partitionBy())
+    return (
+        listed.withColumns({"_sums": sums, "_shown": shown})
+        .select("value", "count", F.col("_sums.total").alias("total"), (F.col("_sums.valued") - F.col("_shown")).alias("other"))
+        .orderBy(F.col("count").desc(), "value")
     )
 
 

@@ -29,24 +29,33 @@ def adjacent_pairs(df: DataFrame, key: str, ts: str, value: str | None = None, s
         rows.groupBy("key", "ts", "value")
         .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("slice", slice_of(F.col("ts"), slice_s))
-        .withColumn("at", F.struct("ts", "value"))
     )
+    at = F.struct("ts", "value")
     in_slice = Window.partitionBy("key", "slice").orderBy("ts", "value")
-    following = counted.withColumn("next", F.lead("at").over(in_slice))
+    placed = counted.withColumns({"next": F.lead(at).over(in_slice), "n": F.row_number().over(in_slice)})
     pair = lambda after, pairs: F.struct(after.alias("next"), pairs.alias("pairs"))
     candidates = F.array(
         F.when(F.col("next").isNotNull(), pair(F.col("next"), F.lit(1).cast("long"))),
-        F.when(F.col("copies") > 1, pair(F.col("at"), F.col("copies") - 1)),
+        F.when(F.col("copies") > 1, pair(at, F.col("copies") - 1)),
     )
-    inner = following.withColumn("p", F.explode(F.filter(candidates, lambda p: p.isNotNull()))).select(
-        "key", "at", "p.next", "p.pairs"
+    inner = placed.withColumn("p", F.explode(F.filter(candidates, lambda p: p.isNotNull()))).select(
+        "key", at.alias("at"), "p.next", "p.pairs"
+    )
+    # Both branches read one shuffle: the boundary rows are the ends of the same windows.
+    edges = (
+        placed.where("n = 1 or next is null")
+        .groupBy("key", "slice")
+        .agg(
+            F.min(at).alias("first"),
+            F.max(at).alias("last"),
+            F.max(F.least(F.col("copies"), F.lit(1))).alias("pairs"),
+        )
     )
-    edges = counted.groupBy("key", "slice").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     by_slice = Window.partitionBy("key").orderBy("slice")
     across = (
         edges.withColumn("next", F.lead("first").over(by_slice))
         .where("next is not null")
-        .select("key", F.col("last").alias("at"), "next", F.lit(1).cast("long").alias("pairs"))
+        .select("key", F.col("last").alias("at"), "next", "pairs")
     )
     return inner.unionByName(across).select(
         F.col("key").alias(key),

@@ -63,10 +63,9 @@ _GROUP = ("org", "workspace", "dt", "hour")
 def write_archive(classified: DataFrame, root: str, batch_id: int, codec: str = "gzip", max_rows: int = ARCHIVE_BLOCK) -> None:
     """Payloads verbatim, in (topic, partition, offset) order, below org/workspace/dt/hour."""
     routed = classified.where("reason is null")
-    # AQE packs quiet hours together and splits a busy one.
-    laid_out = routed.hint("rebalance", *[F.col(c) for c in _GROUP]).sortWithinPartitions(
-        *_GROUP, "topic", "partition", "offset"
-    )
+    # An hour goes to one task per block of offsets, so a busy hour is split.
+    block = F.floor(F.col("offset") / max_rows)
+    laid_out = routed.repartition(*_GROUP, block).sortWithinPartitions(*_GROUP, "topic", "partition", "offset")
     writer = laid_out.select(*_GROUP, "value").write.mode("overwrite").partitionBy(*_GROUP)
     writer.option("compression", codec).option("maxRecordsPerFile", max_rows).text(batch_folder(root, batch_id))
 
