@@ -168,7 +168,7 @@ def property_depth(df: DataFrame, properties: str = "properties") -> int:
 
 
 def _depth(shape: str | None) -> int:
-    if not shape or not shape.startswith("OBJECT<"):
+    if not shape or not shape.startswith("OBJECT<") or shape == "OBJECT<>":
         return 0
     return 1 + max((_depth(kind) for _, kind in _fields(shape[7:-1])), default=0)
 
