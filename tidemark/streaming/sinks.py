@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions import times
 from tidemark.operators.catalog import new_catalog_rows, schema_catalog
+from tidemark.operators.ingest import dedup
 from tidemark.sources.events import folder_exists
 
 ARCHIVE_BLOCK = 10_000
@@ -26,14 +27,16 @@ def write_facts(facts: DataFrame, root: str, batch_id: int) -> None:
     rows.write.mode("overwrite").partitionBy("workspace_id", "month").parquet(batch_folder(root, batch_id))
 
 
-def compact_facts(spark: SparkSession, rows: DataFrame, target: str) -> None:
-    """Rewrites fact rows clustered for range reads: workspace, month, then name, time and id.
+def compact_facts(rows: DataFrame, target: str) -> None:
+    """Rewrites fact rows once each, clustered for range reads: workspace, month, then name, time and id.
 
-    Range partitioning cuts by row count, so neither a large workspace nor a hot event is one task.
+    Queries read the result with ``raw=True``: no shuffle for versions, and files skipped by name and
+    time. Range partitioning cuts by row count, so neither a large workspace nor a hot event is one task.
     """
     order = ["workspace_id", "month", "event_name", "event_timestamp", "event_id"]
     clustered = (
-        rows.withColumn("month", F.date_format("event_timestamp", "yyyyMM"))
+        dedup(rows)
+        .withColumn("month", F.date_format("event_timestamp", "yyyyMM"))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
     )
