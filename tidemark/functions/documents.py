@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -17,16 +17,12 @@ def whole_json(text: Column) -> Column:
     """
     proof = F.xxhash64(text)
     framed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), proof, F.lit("]")))
-    return F.get(
-        F.transform(
-            F.array(framed),
-            lambda items: F.when(
-                (F.try_variant_get(items, "$[1]", "long") == proof)
-                & F.try_variant_get(items, "$[2]", "variant").isNull(),
-                F.try_variant_get(items, "$[0]", "variant"),
-            ),
+    return let(
+        framed,
+        lambda items: F.when(
+            (F.try_variant_get(items, "$[1]", "long") == proof) & F.try_variant_get(items, "$[2]", "variant").isNull(),
+            F.try_variant_get(items, "$[0]", "variant"),
         ),
-        F.lit(0),
     )
 
 
@@ -39,15 +35,36 @@ def fence(column: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, column)
 
 
-def kind(document: Column, path: str) -> Column:
-    """Stored type at a path: null when absent, `VOID` for JSON null."""
-    return F.schema_of_variant(F.try_variant_get(document, props.json_path(path), "variant"))
+def let(column: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, inside one expression."""
+    return F.get(F.transform(F.array(column), use), F.lit(0))
 
 
 def text(document: Column, path: str) -> Column:
     return F.try_variant_get(document, props.json_path(path), "string")
 
 
+# A document of many fields is opened once, as a map; looking a field up there costs far less than a
+# path into the whole document. The map is null for anything but an object.
+
+
+def fields_of(document: Column) -> Column:
+    return props.children(document)
+
+
+def field(fields: Column, name: str) -> Column:
+    return F.try_element_at(fields, F.lit(name))
+
+
+def kind(fields: Column, name: str) -> Column:
+    """Stored type of a field: null when absent, `VOID` for JSON null."""
+    return F.schema_of_variant(field(fields, name))
+
+
+def field_text(fields: Column, name: str) -> Column:
+    return F.try_variant_get(field(fields, name), "$", "string")
+
+
 def canonical_uuid(value: Column) -> Column:
     """Lower-case hyphenated form of the accepted spellings of a UUID; else null."""
     lower = F.lower(value)
@@ -57,46 +74,49 @@ def canonical_uuid(value: Column) -> Column:
     return F.when(lower.rlike(shape.replace("{h}", "[0-9a-f]")), hyphenated)
 
 
-def _required_text(document: Column, path: str) -> Column:
-    return kind(document, path) == "STRING"
+def _required(fields: Column, name: str) -> Column:
+    return kind(fields, name) == "STRING"
 
 
-def _optional(document: Column, path: str, stored: str) -> Column:
-    return F.coalesce(kind(document, path), F.lit("VOID")).rlike(rf"\A(VOID|{stored})")
+def is_kind(value: Column, stored: str) -> Column:
+    """Absent, null or stored as the given kind."""
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID")).rlike(rf"\A(VOID|{stored})")
 
 
-def canonical_problem(document: Column, version: str) -> Column:
+def _time(fields: Column, name: str) -> Column:
+    return times.rfc3339(field_text(fields, name)).isNotNull()
+
+
+def canonical_problem(fields: Column, version: str) -> Column:
     """Name of the first field that keeps a document from being a canonical event; null when sound."""
-    checks = [
-        ("envelop_version", _required_text(document, "envelop_version") & (text(document, "envelop_version") == version)),
-        ("id", _required_text(document, "id") & canonical_uuid(text(document, "id")).isNotNull()),
-        ("name", _required_text(document, "name")),
-        ("occured_at", _required_text(document, "occured_at") & times.rfc3339(text(document, "occured_at")).isNotNull()),
-        (
-            "arrived_at",
-            (F.coalesce(kind(document, "arrived_at"), F.lit("VOID")) == "VOID")
-            | times.rfc3339(text(document, "arrived_at")).isNotNull(),
-        ),
-    ]
-    checks += [(field, _required_text(document, field)) for field in ("org_id", "workspace_id", "anon_id")]
-    checks += [
-        (field, _optional(document, field, "STRING"))
-        for field in ("session_id", "actor_id", "source", "correlation_id", "trace_id")
-    ]
-    checks += [
-        ("authenticated", _optional(document, "authenticated", "BOOLEAN")),
-        ("system_properties", _optional(document, "system_properties", "OBJECT")),
-        ("system_properties.geo", _optional(document, "system_properties.geo", "OBJECT")),
-        ("system_properties.geo.country", _optional(document, "system_properties.geo.country", "STRING")),
-        ("system_properties.timezone", _optional(document, "system_properties.timezone", "STRING")),
-        ("system_properties.ip_address", _optional(document, "system_properties.ip_address", "STRING")),
-    ]
-    found = reduce(
-        lambda rest, check: F.when(~F.coalesce(check[1], F.lit(False)), F.lit(check[0])).otherwise(rest),
-        reversed(checks),
-        F.lit(None).cast("string"),
+    checks = {
+        "envelop_version": _required(fields, "envelop_version") & (field_text(fields, "envelop_version") == version),
+        "id": _required(fields, "id") & canonical_uuid(field_text(fields, "id")).isNotNull(),
+        "name": _required(fields, "name"),
+        "occured_at": _required(fields, "occured_at") & _time(fields, "occured_at"),
+        "arrived_at": is_kind(field(fields, "arrived_at"), "VOID") | _time(fields, "arrived_at"),
+    }
+    checks |= {name: _required(fields, name) for name in ("org_id", "workspace_id", "anon_id")}
+    for name in ("session_id", "actor_id", "source", "correlation_id", "trace_id"):
+        checks[name] = is_kind(field(fields, name), "STRING")
+    checks["authenticated"] = is_kind(field(fields, "authenticated"), "BOOLEAN")
+    found = F.when(fields.isNull(), F.lit("object"))
+    for name, sound in checks.items():
+        found = found.when(~F.coalesce(sound, F.lit(False)), F.lit(name))
+    system = field(fields, "system_properties")
+    found = found.when(~is_kind(system, "OBJECT"), F.lit("system_properties"))
+    return found.otherwise(F.when(system.isNotNull(), let(fields_of(system), _system_problem)))
+
+
+def _system_problem(system: Column) -> Column:
+    geo = field(system, "geo")
+    country = F.try_variant_get(geo, "$.country", "variant")
+    return (
+        F.when(~is_kind(geo, "OBJECT"), F.lit("system_properties.geo"))
+        .when(~is_kind(country, "STRING"), F.lit("system_properties.geo.country"))
+        .when(~is_kind(field(system, "timezone"), "STRING"), F.lit("system_properties.timezone"))
+        .when(~is_kind(field(system, "ip_address"), "STRING"), F.lit("system_properties.ip_address"))
     )
-    return F.when(props.children(document).isNotNull(), found).otherwise(F.lit("object"))
 
 
 def one_line(value: Column) -> Column:

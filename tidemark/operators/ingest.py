@@ -18,7 +18,8 @@ from tidemark.session import fits_broadcast
 def decode(raw: DataFrame, value: str = "value") -> DataFrame:
     """Adds `document` (VARIANT), `error_class` and `error_reason`; sound rows have no error."""
     parsed = raw.withColumn("document", documents.fence(documents.whole_json(F.col(value))))
-    problem = documents.canonical_problem(F.col("document"), ENVELOP_VERSION)
+    parsed = parsed.withColumn("_fields", documents.fence(documents.fields_of(F.col("document"))))
+    problem = documents.canonical_problem(F.col("_fields"), ENVELOP_VERSION)
     reason = F.when(F.coalesce(F.length(value), F.lit(0)) == 0, F.lit("empty payload")).otherwise(
         F.concat(F.lit("not a canonical event: "), problem)
     )
@@ -37,20 +38,23 @@ def norm_country(country: Column) -> Column:
 
 def conform(decoded: DataFrame, now: Column | None = None, document: str = "document") -> DataFrame:
     """Canonical documents as fact rows: renamed, system properties lifted, absent text as `''`."""
-    doc, now = F.col(document), F.current_timestamp() if now is None else now
-    sent = lambda field: F.coalesce(documents.text(doc, field), F.lit(""))
-    system = lambda path: props.stored_as(doc, f"system_properties.{path}")
-    at = lambda field: times.millis(times.rfc3339(documents.text(doc, field)))
+    now = F.current_timestamp() if now is None else now
+    opened = decoded.withColumn("_fields", documents.fence(documents.fields_of(F.col(document))))
+    fields = F.col("_fields")
+    system_properties = documents.field(fields, "system_properties")
+    sent = lambda name: F.coalesce(documents.field_text(fields, name), F.lit(""))
+    system = lambda path: props.stored_as(system_properties, path)
+    at = lambda name: times.millis(times.rfc3339(documents.field_text(fields, name)))
     facts = {
         "workspace_id": sent("workspace_id"),
         "org_id": sent("org_id"),
-        "event_id": documents.canonical_uuid(documents.text(doc, "id")),
+        "event_id": documents.canonical_uuid(documents.field_text(fields, "id")),
         "event_name": sent("name"),
         "event_timestamp": at("occured_at"),
         "arrived_at": at("arrived_at"),
         **{c: sent(c) for c in ("session_id", "anon_id", "actor_id", "source", "correlation_id", "trace_id")},
-        "authenticated": F.try_variant_get(doc, "$.authenticated", "boolean"),
-        "properties": F.try_variant_get(doc, "$.properties", "variant"),
+        "authenticated": F.try_variant_get(documents.field(fields, "authenticated"), "$", "boolean"),
+        "properties": documents.field(fields, "properties"),
         "country": norm_country(system("geo.country")),
         "timezone": system("timezone"),
         "ip_address": system("ip_address"),
@@ -58,7 +62,7 @@ def conform(decoded: DataFrame, now: Column | None = None, document: str = "docu
         "updated_at": now,
         "is_deleted": F.lit(0).cast("byte"),
     }
-    return decoded.select(*[facts[c].alias(c) for c in FACT_COLUMNS])
+    return opened.select(*[facts[c].alias(c) for c in FACT_COLUMNS])
 
 
 def own_workspace(df: DataFrame, workspace_id: str) -> DataFrame:
@@ -197,20 +201,20 @@ QUARANTINE_REASONS = ("InvalidJson", "MissingOrgId", "MissingTimestamp")
 
 def classify_archive(raw: DataFrame, value: str = "value") -> DataFrame:
     """Adds org, workspace, dt, hour — or the reason the payload goes to quarantine."""
-    doc = F.col("_doc")
-    parsed = raw.withColumn("_doc", documents.fence(documents.whole_json(F.col(value))))
-    fields = ("org_id", "workspace_id", "arrived_at", "occured_at")
+    opened = documents.fields_of(documents.whole_json(F.col(value)))
+    parsed = raw.withColumn("_fields", documents.fence(opened))
+    fields = F.col("_fields")
+    at = lambda name: times.rfc3339(documents.field_text(fields, name))
     # A routing field of another type makes the payload unreadable, like broken JSON.
-    typed = [F.coalesce(documents.kind(doc, f), F.lit("VOID")).isin("STRING", "VOID") for f in fields]
-    readable = props.children(doc).isNotNull() & typed[0] & typed[1] & typed[2] & typed[3]
+    used = ("org_id", "workspace_id", "arrived_at", "occured_at")
+    typed = [documents.is_kind(documents.field(fields, name), "STRING") for name in used]
+    readable = fields.isNotNull() & typed[0] & typed[1] & typed[2] & typed[3]
     rows = parsed.withColumns(
         {
             "_readable": F.coalesce(readable, F.lit(False)),
-            "_org": F.nullif(documents.text(doc, "org_id"), F.lit("")),
-            "_workspace": F.coalesce(F.nullif(documents.text(doc, "workspace_id"), F.lit("")), F.lit("default")),
-            "_at": F.coalesce(
-                times.rfc3339(documents.text(doc, "arrived_at")), times.rfc3339(documents.text(doc, "occured_at"))
-            ),
+            "_org": F.nullif(documents.field_text(fields, "org_id"), F.lit("")),
+            "_workspace": F.coalesce(F.nullif(documents.field_text(fields, "workspace_id"), F.lit("")), F.lit("default")),
+            "_at": F.coalesce(at("arrived_at"), at("occured_at")),
         }
     )
     invalid, no_org, no_time = (F.lit(reason) for reason in QUARANTINE_REASONS)

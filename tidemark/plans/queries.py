@@ -57,8 +57,9 @@ def query(run: Query, name: str | None = None) -> Query:
     return run
 
 
-def on_facts(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
-    query(lambda spark, sf_dir: build(sample_facts(spark, sf_dir)), name)
+def on_facts(name: str, build: Callable[[DataFrame], DataFrame], dealt: bool = False) -> None:
+    """``dealt`` deals a one-split table out to the cores, for work that is heavy per row."""
+    query(lambda spark, sf_dir: build(sample_facts(spark, sf_dir, dealt)), name)
 
 
 def all_queries() -> dict[str, Query]:
@@ -884,6 +885,7 @@ on_facts(
     lambda ev: shape.doc_summary(ev, DEPTH).select(
         "event_id", F.concat_ws("|", F.transform("summary", lambda e: F.concat_ws("=", e["path"], e["text"]))).alias("summary")
     ),
+    dealt=True,
 )
 on_facts(
     "redact",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions import documents, props, times
 from tidemark.model import ENVELOP_VERSION, FACT_COLUMNS, FACT_SCHEMA, RAW_SCHEMA, Scope
@@ -41,6 +41,12 @@ def topic_options(servers: str, topics: list[str], refresh_s: int = 30, max_offs
     return options
 
 
+def _is_sound(document: Column) -> Column:
+    return documents.let(
+        documents.fields_of(document), lambda fields: documents.canonical_problem(fields, ENVELOP_VERSION).isNull()
+    )
+
+
 def explode_batches(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Events of `{"events":[…],"system_properties":…}` bodies, with their position.
 
@@ -54,7 +60,7 @@ def explode_batches(bodies: DataFrame, body: str = "body") -> DataFrame:
             "_system": F.try_variant_get("_doc", "$.system_properties", "variant"),
         }
     )
-    sound = F.forall("_events", lambda e: documents.canonical_problem(e, ENVELOP_VERSION).isNull())
+    sound = F.forall("_events", _is_sound)
     events = parsed.where(sound).select(*rest, "_system", F.posexplode("_events").alias("pos", "_event"))
     own = F.map_filter(props.children(F.col("_event")), lambda key, _: key != "system_properties")
     system = F.when(
@@ -68,10 +74,7 @@ def split_concatenated(bodies: DataFrame, body: str = "body") -> DataFrame:
     rest = [c for c in bodies.columns if c != body]
     lines = F.filter(F.split(F.col(body), "\n"), lambda line: F.trim(line) != "")
     parsed = bodies.withColumn("_docs", documents.fence(F.transform(lines, documents.whole_json)))
-    sound = F.forall(
-        "_docs", lambda d: F.coalesce(documents.canonical_problem(d, ENVELOP_VERSION).isNull(), F.lit(False))
-    )
-    return parsed.where(sound).select(*rest, F.posexplode("_docs").alias("pos", "document"))
+    return parsed.where(F.forall("_docs", _is_sound)).select(*rest, F.posexplode("_docs").alias("pos", "document"))
 
 
 _STORED = T.StructType(

@@ -48,15 +48,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sample_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """A table smaller than one input split would be read and parsed by a single core: deal it out.
+
+    Anything larger is already split by its files and stays as it is.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 128 * 1024 * 1024:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def sample_events(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """The events table with event time as an instant, cut to milliseconds."""
     events = table(spark, sf_dir, "events")
+    events = spread(events) if dealt else events
     return events.withColumn("ts", F.date_trunc("millisecond", F.col("ts").cast("timestamp")))
 
 
-def sample_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sample_facts(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """The events table in the shape of the fact table."""
-    return sample_events(spark, sf_dir).select(
+    return sample_events(spark, sf_dir, dealt).select(
         F.expr(COLUMNS["workspace_id"]).alias("workspace_id"),
         F.lit(ORG).alias("org_id"),
         F.col("event_id").cast("string").alias("event_id"),
@@ -106,7 +118,7 @@ _PAYLOAD = f"""concat('{{"envelop_version":"1.0"', case when defect = 'line_brea
 
 def sample_payloads(spark: SparkSession, sf_dir: str, resend: bool = True) -> DataFrame:
     """The events table as a message log, with defects and (optionally) one event in twenty sent again."""
-    events = sample_events(spark, sf_dir)
+    events = sample_events(spark, sf_dir, dealt=True)
     columns = {name: F.expr(text) for name, text in COLUMNS.items() if name not in ("k", "query")}
     rich = events.withColumns(columns).withColumns(
         {

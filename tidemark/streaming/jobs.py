@@ -57,12 +57,13 @@ def prepare(
     max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """Decoded records with `event_id` and `destination`, or the class and reason of their rejection."""
-    doc = F.col("document")
-    decoded = decode(raw).withColumns(
+    fields = F.col("_fields")
+    opened = decode(raw).withColumn("_fields", documents.fence(documents.fields_of(F.col("document"))))
+    decoded = opened.withColumns(
         {
-            "event_id": documents.canonical_uuid(documents.text(doc, "id")),
-            "org_id": documents.text(doc, "org_id"),
-            "workspace_id": documents.text(doc, "workspace_id"),
+            "event_id": documents.canonical_uuid(documents.field_text(fields, "id")),
+            "org_id": documents.field_text(fields, "org_id"),
+            "workspace_id": documents.field_text(fields, "workspace_id"),
             "_class": F.col("error_class"),
             "_reason": F.col("error_reason"),
         }
@@ -82,7 +83,7 @@ def prepare(
             "error_class": documents.fence(F.when(F.col("_class").isNotNull(), F.col("_class")).otherwise(late)),
             "error_reason": F.when(F.col("_class").isNotNull(), F.col("_reason")).otherwise(why),
         }
-    ).drop("_class", "_reason", "too_large", "template")
+    ).drop("_class", "_reason", "_fields", "too_large", "template")
 
 
 def start_ingest(
