@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import os
 import string
-
+import tempfile
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.session import scratch_dir
@@ -43,3 +52,37 @@ def in_bucket(column: str, modulus: int, remainder: int) -> Column:
 
 def other_columns(docs: DataFrame, *named: str) -> list[str]:
     return [c for c in docs.columns if c not in named]
+
+
+def id_type(docs: DataFrame) -> str:
+    """The doc_id column of a result's schema."""
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once per application; Spark hands the file to every executor."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(file.relative_to(root.parent)))
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-code-"), f"{root.name}.zip")
+    Path(path).write_bytes(held.getvalue())
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+def slices(batch: pa.RecordBatch, size: int = 8 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``size`` bytes of text, so memory follows the text and not the row count; no row is cut."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+    groups = np.cumsum(lengths) // size
+    edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(edges[:-1], edges[1:], strict=True):
+        if end > start:
+            yield batch.slice(start, end - start)

@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, sharding
-from tidemark.llm.common import table
+from tidemark.llm import decontaminate, exact_dedup, pieces, sharding, token_counts, token_files
+from tidemark.llm.common import id_type, table
+from tidemark.session import scratch_dir
 
 SHARDS = 40
+TOKEN_LIMIT = 4096
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +32,29 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", grown)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encoded(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    digits = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    sizes = F.size("ids").cast("long").alias("n_tokens")
+    return found.select("doc_id", sizes, F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), scratch_dir(spark, "token-files")
+    token_files.write_token_files(docs, path, vocabulary("byte_bpe_50k.json"))
+    return token_files.checksums(token_files.read_token_files(spark, path, f"{id_type(docs)}, before long, ids array<int>"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.counted(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_exact_dedup, op2_sharding, op10_decontamination)
+    named = (op1_exact_dedup, op2_sharding, op3_sentencepiece, op8_token_files, op9_token_counts, op10_decontamination)
     return {f.__name__: f for f in named}
