@@ -5,9 +5,9 @@ its new neighbours join the agenda, until nothing is left to merge. Symbols with
 
 No piece has a meta space after another character, so no merge crosses from a word into the next; neither does one cross a character
 that occurs in no longer piece (such as a line break). The text is cut at these places, and what an agenda made of a segment is
-remembered, so each distinct segment is encoded once per worker while its memory (at most ``REMEMBERED`` segments) lasts. Every segment
-that enters the memory is checked in its Arrow batch against the sentencepiece library, ids and decoded text; a difference
-means the vocabulary is not of the merge type, and raises.
+remembered, so each distinct segment is encoded once per worker while its memory (about ``REMEMBERED`` segments) lasts. Every whole text
+is checked in its Arrow batch against the sentencepiece library, ids and decoded text; a difference means that the vocabulary is not
+of the merge type, and raises.
 
 Defined results: a null text counts as empty and has no tokens; a text of any length is encoded whole; repeated rows are encoded
 alike, row by row; an empty table gives no rows; columns other than doc_id and text are ignored, whatever their names.
@@ -31,15 +31,14 @@ REMEMBERED = 600_000
 
 
 class Memory(dict):
-    """Segment -> (ids as little-endian 32-bit integers); segments that came in since the last check are in ``fresh``."""
+    """Segment -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.fresh = make, []
+        self.make = make
 
     def __missing__(self, key: str) -> bytes:
         value = self[key] = np.array(self.make(key), "<i4").tobytes()
-        self.fresh.append(key)
         return value
 
 
@@ -64,7 +63,8 @@ class Pieces:
         self.quick = "\n" in self.alone and not self.crossed
         self.memory = Memory(lambda key: self.merged(key if key[0] == "\n" else SPACE + key))
         self.segments = Memory(self.merged)
-        self.shown: dict[bytes, str] = {}
+        # What each id stands for in a decoded text.
+        self.shown = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.hidden else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
 
     def merged(self, segment: str) -> list[int]:
         """Ids of one segment by the agenda."""
@@ -117,44 +117,21 @@ class Pieces:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: pieces joined, runs of bytes read as UTF-8, without the space put before the first word."""
-        parts: list[bytes] = []
-        for i in ids:
-            if i in self.byte_of:
-                parts.append(bytes([self.byte_of[i]]))
-            elif i not in self.hidden:
-                parts.append(self.names[i].encode())
-        text = b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
-    def check(self) -> None:
-        """Compares all segments met since the last check with the library."""
+    def forget(self) -> None:
         for memory in (self.memory, self.segments):
-            fresh, memory.fresh = memory.fresh, []
-            if memory is self.memory:
-                fresh = [key if key[0] == "\n" else SPACE + key for key in fresh]
-            spaced = [s for s in fresh if s[0] == SPACE]
-            rest = [s for s in fresh if s[0] != SPACE]
-            # The library puts a space before each text; a segment without one is put behind a character that stands alone.
-            lead = self.alone[0] if rest and self.alone else ""
-            asked = [s[1:].replace(SPACE, " ") for s in spaced] + [lead + s for s in rest]
-            skip = len(self.library.encode(lead)) if lead else 0
-            answers = self.library.encode(asked, num_threads=1) if asked else []
-            for segment, answer in zip(spaced + rest, answers, strict=True):
-                own = self._held(memory, segment)
-                if segment[0] != SPACE and not lead:
-                    continue
-                if own != (answer if segment[0] == SPACE else answer[skip:]):
-                    raise ValueError(f"the agenda and the sentencepiece library differ on {segment!r}; is the vocabulary of the merge type?")
-            if spaced:
-                for segment, shown in zip(spaced, self.library.decode([self._held(memory, s) for s in spaced], num_threads=1), strict=True):
-                    if shown != self.decode(self._held(memory, segment)):
-                        raise ValueError(f"own decoding and the sentencepiece library differ on {segment!r}")
             if len(memory) > REMEMBERED:
                 memory.clear()
 
-    def _held(self, memory: Memory, segment: str) -> list[int]:
-        key = segment[1:] if memory is self.memory and segment[0] == SPACE else segment
-        return np.frombuffer(memory[key], "<i4").tolist()
+    def check(self, texts: list[str], ids: list[bytes], decoded: list[str]) -> None:
+        """Compares whole texts of a batch with the library's ids and decoded texts."""
+        for text, own, own_text, theirs in zip(texts, ids, decoded, self.library.encode(texts, num_threads=1), strict=True):
+            if own != np.array(theirs, "<i4").tobytes():
+                raise ValueError(f"the agenda and the sentencepiece library differ; is the vocabulary of the merge type? Text: {text[:200]!r}")
+            if own_text != self.library.decode(theirs):
+                raise ValueError(f"own decoding and the sentencepiece library's differ. Text: {text[:200]!r}")
 
 
 @lru_cache(maxsize=2)
@@ -163,16 +140,6 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _decoded(pieces: Pieces, flat: np.ndarray, offsets: np.ndarray) -> list[str]:
-    """Texts of many id runs at once; pieces are looked up in one table."""
-    table = pieces.__dict__.setdefault("table", [bytes([pieces.byte_of[i]]) if i in pieces.byte_of else b"" if i in pieces.hidden else n.replace(SPACE, " ").encode() for i, n in enumerate(pieces.names)])
-    texts = []
-    for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        text = b"".join(map(table.__getitem__, flat[start:end].tolist())).decode("utf-8", "replace")
-        texts.append(text[1:] if text[:1] == " " else text)
-    return texts
-
-
 def encode_batches(path: str):
     """For ``mapInArrow``: doc_id and text to doc_id, ids and decoded."""
 
@@ -180,13 +147,14 @@ def encode_batches(path: str):
         pieces = load(path)
         for whole in batches:
             for batch in slices(whole):
-                encoded = [pieces.encode(text) for text in batch.column(1).to_pylist()]
-                pieces.check()
-                offsets = np.cumsum([0, *(len(b) // 4 for b in encoded)]).astype(np.int32)
-                flat = np.frombuffer(b"".join(encoded), "<i4")
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                decoded = pa.array(_decoded(pieces, flat, offsets), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], ["doc_id", "ids", "decoded"])
+                texts = batch.column(1).to_pylist()
+                made = [pieces.encode(text) for text in texts]
+                decoded = [pieces.decode(np.frombuffer(ids, "<i4").tolist()) for ids in made]
+                pieces.check(texts, made, decoded)
+                pieces.forget()
+                offsets = np.cumsum([0, *(len(ids) // 4 for ids in made)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     return run
 

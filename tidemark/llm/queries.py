@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, pieces, sharding, token_counts, token_files
-from tidemark.llm.common import id_type, table
+from tidemark.llm import decontaminate, exact_dedup, language, pieces, sharding, token_counts, token_files, toxicity, url_filter
+from tidemark.llm.common import id_type, in_bucket, table
 from tidemark.session import scratch_dir
 
 SHARDS = 40
 TOKEN_LIMIT = 4096
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
 def vocabulary(name: str) -> str:
@@ -39,6 +40,24 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", sizes, F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_bucket("doc_id", 5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic"))
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_bucket("doc_id", 4, 2)
+    model = language.fit(docs, ~held_out)
+    return language.labelled(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), scratch_dir(spark, "token-files")
     token_files.write_token_files(docs, path, vocabulary("byte_bpe_50k.json"))
@@ -56,5 +75,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_exact_dedup, op2_sharding, op3_sentencepiece, op8_token_files, op9_token_counts, op10_decontamination)
+    named = (op1_exact_dedup, op2_sharding, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_language_id, op8_token_files, op9_token_counts, op10_decontamination)
     return {f.__name__: f for f in named}
