@@ -38,6 +38,30 @@ SELECT doc_id, size::BIGINT AS size,
 FROM (SELECT *, hex(encode(body)) AS h FROM q), bits
 """
 
+OP7 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + least(len(words), 5) - 1], ' ')) AS shingle
+  FROM (SELECT *, unnest(range(1, len(words) - least(len(words), 5) + 2)) AS i FROM t WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * m >= 85 * (p.n + q.n - m)
+), edges AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM t UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a
+), least_id AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept FROM least_id LEFT JOIN n USING (doc_id)
+"""
+
 OP10 = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -67,4 +91,4 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op2_sharding": OP2, "op10_decontamination": OP10}
+    return {"op1_exact_dedup": OP1, "op2_sharding": OP2, "op7_near_dup": OP7, "op10_decontamination": OP10}

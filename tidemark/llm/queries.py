@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, language, pieces, sharding, token_counts, token_files, toxicity, url_filter
+from tidemark.llm import decontaminate, exact_dedup, language, near_dup, pieces, sharding, token_counts, token_files, toxicity, url_filter
 from tidemark.llm.common import id_type, in_bucket, table
 from tidemark.session import scratch_dir
 
@@ -58,6 +58,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.labelled(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), scratch_dir(spark, "token-files")
     token_files.write_token_files(docs, path, vocabulary("byte_bpe_50k.json"))
@@ -75,5 +80,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_exact_dedup, op2_sharding, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_language_id, op8_token_files, op9_token_counts, op10_decontamination)
+    named = (op1_exact_dedup, op2_sharding, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_language_id, op7_near_dup, op8_token_files, op9_token_counts, op10_decontamination)
     return {f.__name__: f for f in named}
