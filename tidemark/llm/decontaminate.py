@@ -30,9 +30,9 @@ def words_of(text: Column) -> Column:
 
 
 def _joined(left: Column, right: Column, shift: int) -> Column:
-    """Hashes of runs that are the run at i and the run at i + shift; shorter where either is missing."""
-    moved = F.slice(right, F.lit(shift + 1), F.greatest(F.size(right) - shift, F.lit(0)))
-    return F.filter(F.zip_with(left, moved, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b))), lambda h: h.isNotNull())
+    """Hashes of the runs at i and at i + shift taken together, as long as there are both."""
+    length = F.greatest(F.least(F.size(left), F.size(right) - shift), F.lit(0))
+    return F.zip_with(F.slice(left, F.lit(1), length), F.slice(right, F.lit(shift + 1), length), lambda a, b: F.xxhash64(a, b))
 
 
 def run_hashes(frame: DataFrame, lengths: list[int]) -> DataFrame:
@@ -81,9 +81,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[D
     scanned = run_hashes(texts, lengths or [window])
     arrays = F.array(*(F.struct(F.lit(n).alias("length"), F.col(f"h{n}").alias("hs")) for n in lengths or [window]))
     if len(lengths) <= 1:
-        seen = scanned.select("name", "sha", F.lit((lengths or [window])[0]).alias("length"), F.posexplode(f"h{(lengths or [window])[0]}").alias("at", "h"))
+        seen = scanned.select("name", "sha", F.lit((lengths or [window])[0]).alias("length"), F.posexplode_outer(f"h{(lengths or [window])[0]}").alias("at", "h"))
     else:
-        seen = scanned.select("name", "sha", F.explode(arrays).alias("of")).select("name", "sha", F.col("of.length").alias("length"), F.posexplode("of.hs").alias("at", "h"))
+        seen = scanned.select("name", "sha", F.explode_outer(arrays).alias("of")).select("name", "sha", F.col("of.length").alias("length"), F.posexplode_outer("of.hs").alias("at", "h"))
+    # Outer explodes, as the others would pull a filter on the array below the projections and compute the hashes once per use.
     met = seen.join(small_side(keys), ["length", "h"])
     candidates = met.groupBy("name", "sha").agg(F.collect_set(F.struct("at", "length", "run")).alias("met"))
     same = lambda m: F.array_join(F.slice(F.col("words"), m["at"] + 1, m["length"]), " ") == m["run"]
