@@ -285,7 +285,7 @@ def labelled(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(label_batches(shared, 1), f"{id_type(docs)}, lang_pred string, score double, spans {SPANS}")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The documents with a language that holds at least ``least`` of the letters, every column as it was."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -16,12 +16,11 @@ are ordered by the stem; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +30,10 @@ from tidemark.llm.common import id_type, ship, slices, stored
 
 SAMPLE = 10_000
 STEM = (4, 5, 6)
-LEAST_DOCS = 5
+LEAST_DOCS = 4
 LEAST_ODDS = 3.0
-MOST_STEMS = 4_000
+#: Different words a learned stem must follow; a chance word in copies of one text always follows the same.
+LEAST_CONTEXTS = 10
 REMEMBERED = 500_000
 
 OTHER, TARGET, DENIAL, REPORT, INSULT, THREAT = "other target denial report insult threat".split()
@@ -108,6 +108,10 @@ class Model:
     key: str
 
 
+def bare(token: str) -> str:
+    return token.strip("\"'`.,;:!?()[]{}<>*&%$#|-_…«»„“”").lower()
+
+
 class Tokens(dict):
     """Token -> (symbol, weight, whether a clause ends behind it); ``None`` stands for a plain word inside a clause."""
 
@@ -116,7 +120,7 @@ class Tokens(dict):
         self.model, self.machine = model, grammar()
 
     def __missing__(self, token: str):
-        word = token.strip("\"'`.,;:!?()[]{}<>*&%$#|-_…«»„“”").lower()
+        word = bare(token)
         ends = token[-1] in ENDS
         symbol, weight = OTHER, 0.0
         if word in TARGETS:
@@ -169,13 +173,31 @@ def stem_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = {w.strip("\"'`.,;:!?()[]{}<>*&%$#|-_…«»„“”").lower() for w in text.split()}
+            words = set(map(bare, text.split()))
             held[toxic].update({w for w in words if w} | {w[:n] + "*" for w in words for n in STEM if len(w) >= n})
             if len(held[0]) + len(held[1]) > REMEMBERED:
                 yield from flush()
     yield from flush()
 
 
+def context_batches(shared):
+    """For ``mapInArrow``: texts to the distinct (stem, word before it) of the candidate stems."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems, seen = shared.value, set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                before = ""
+                for word in map(bare, text.split()):
+                    if word:
+                        seen.update((stem, crc32(before.encode())) for stem in (word, *(word[:n] + "*" for n in STEM)) if stem in stems)
+                        before = word
+        rows = sorted(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["stem", "context"])
+
+    return run
+
+
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve, by Newton steps with a small ridge; classes weigh alike."""
     slope, offset = 1.0, -1.0
@@ -210,9 +232,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     summed = counted.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (documents[1] + 1)) - F.log((F.col("other") + 0.5) / (documents[0] + 1))
     best = summed.withColumn("odds", odds).filter((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
-    stems: dict[str, float] = {}
-    for row in best.orderBy(F.desc("odds"), "stem").limit(MOST_STEMS).collect():
-        stems[row["stem"]] = round(min(row["odds"], 8.0), 6)
+    candidates = {r["stem"]: round(min(r["odds"], 8.0), 6) for r in best.select("stem", "odds").collect()}  # bounded by the sample
+    known_stems = spark.sparkContext.broadcast(frozenset(candidates))
+    contexts = texts.filter("toxic = 1").select("text").mapInArrow(context_batches(known_stems), "stem string, context long")
+    varied = contexts.distinct().groupBy("stem").count().filter(F.col("count") >= LEAST_CONTEXTS)
+    stems = {r["stem"]: candidates[r["stem"]] for r in varied.select("stem").collect()}
     shorter = lambda s: any(s[:n] + "*" in stems and s != s[:n] + "*" for n in STEM if n < len(s.rstrip("*")) or not s.endswith("*"))
     stems = {s: w for s, w in stems.items() if not shorter(s)}
     model = Model(stems, 1.0, -1.5, uuid.uuid4().hex)
