@@ -201,7 +201,9 @@ def block_pairs(near: float):
         x = np.array(first["bits"].tolist(), np.int64).view(np.uint64)
         y = np.array(second["bits"].tolist(), np.int64).view(np.uint64)
         most = HASHES * (1 - (near * (1 - 2.0**-BITS) + 2.0**-BITS))
-        names, others, labels, marks = (s.to_numpy() for s in (first["node"], second["node"], first["label"], second["label"]))
+        names, others = first["node"].to_numpy(), second["node"].to_numpy()
+        codes = pd.factorize(pd.concat([first["label"], second["label"]]))[0]  # numpy compares bytes without their trailing zeros
+        labels, marks = codes[: len(x)], codes[len(x) :]
         found_a, found_b = [], []
         for i in range(len(x)):
             d = x[i] ^ y
