@@ -165,7 +165,7 @@ def test_shape_changes_are_never_rejected(spark):
 
 def test_catalog_type(spark):
     ev = facts_of(spark, [{"properties": '{"amount":12.5}'}, {"properties": '{"amount":1250.75,"none":null,"empty":{}}'}])
-    assert [tuple(r) for r in catalog.schema_catalog(ev).collect()] == [("workspace-a", "click", "amount", "Float64")]
+    assert [tuple(r) for r in catalog.schema_catalog(ev).collect()] == [("org-one", "workspace-a", "click", "amount", "Float64")]
 
 
 def test_rank_zero_is_infinite(spark):

@@ -39,6 +39,33 @@ def test_other_tables_are_refused(spark, text):
         saved.metric_sql(spark, A, text, load)
 
 
+@pytest.mark.parametrize("text", [
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.dir')", "SELECT reflect('java.lang.System', 'getenv', 'PATH') FROM events_v2",
+    "SELECT max(try_reflect('java.lang.System', 'getenv', 'PATH')) OVER () FROM events_v2", "SELECT current_database(), current_user()",
+    "SELECT s.v FROM secret_t s CROSS JOIN (WITH secret_t AS (SELECT 1 AS z) SELECT z FROM secret_t) q",
+    "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a", "SELECT * FROM events_v2 WHERE event_name IN (SELECT v FROM secret_t)",
+    "SELECT * FROM events_v2 WHERE EXISTS (SELECT 1 FROM secret_t)", "SELECT * FROM read_files('/etc')", "SELECT input_file_name() FROM events_v2",
+    "SELECT * FROM events_v2, LATERAL (SELECT * FROM secret_t)", "SELECT transform(array(1), x -> reflect('java.lang.System', 'getenv', 'PATH'))",
+    "SELECT * FROM default.events_v2", "SELECT * FROM events_v2 ORDER BY (SELECT max(v) FROM secret_t)", "SELECT system.builtin.reflect('a', 'b')",
+    "SELECT * FROM events_v2 LATERAL VIEW java_method('a', 'b') t", "SELECT count(*) FILTER (WHERE reflect('a', 'b') = 'x') FROM events_v2",
+])
+def test_ways_out_are_refused(spark, text):
+    spark.sql("SELECT 1 AS v").createOrReplaceGlobalTempView("secret_t")
+    with pytest.raises(MetricError):
+        saved.metric_sql(spark, A, text, load)
+
+
+@pytest.mark.parametrize("text, rows", [
+    ("WITH a AS (SELECT event_name AS n FROM events_v2), b AS (SELECT n, count(*) AS c FROM a GROUP BY n) SELECT c FROM b WHERE n = 'a'", [(2,)]),
+    ("SELECT x FROM events_v2 LATERAL VIEW explode(array(1, 2)) t AS x WHERE event_name = 'b'", [(1,), (2,)]),
+    ("SELECT upper(event_name) FROM (SELECT *, row_number() OVER (PARTITION BY event_name ORDER BY event_id) AS n FROM events_v2) WHERE n = 2", [("A",)]),
+    ("SELECT CASE WHEN max(event_name) LIKE 'b%' THEN 1 ELSE 0 END + size(collect_set(event_name)) FROM events_v2", [(3,)]),
+    ("SELECT id FROM range(2)", [(0,), (1,)]),
+])
+def test_plain_queries_still_run(spark, text, rows):
+    assert run(spark, text) == rows
+
+
 @pytest.mark.parametrize("text", ["DROP TABLE events_v2", "SELECT nothing FROM events_v2", "SELEC 1"])
 def test_only_queries_run(spark, text):
     with pytest.raises(AnalysisException) as caught:

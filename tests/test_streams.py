@@ -42,7 +42,7 @@ def test_every_record_has_one_outcome(spark, folder, log):
     facts = sources.facts(spark, f"{folder}/facts")
     letters = spark.read.parquet(f"{folder}/dead_letters")
     prepared = jobs.prepare(spark.read.parquet(log))
-    sent = prepared.select("topic", "partition", "offset", F.when(F.col("error_class").isNull(), F.col("event_id")).alias("event_id"))
+    sent = prepared.select("topic", "partition", "offset", "org_id", "workspace_id", F.when(F.col("error_class").isNull(), F.col("event_id")).alias("event_id"))
     audit = sinks.dedup_audit(sent, facts, letters).first().asDict()
     bad = prepared.where("error_class is not null").count()
     assert (audit["missing_ids"], audit["duplicated_ids"], audit["unexpected_ids"]) == (0, 0, 0)
@@ -84,12 +84,47 @@ def test_a_failed_batch_is_run_again(spark, folder, log):
 
 def test_stream_dedup_loses_nothing(spark, folder, log):
     stream = sources.read_event_stream(spark, log, files_per_trigger=1)
-    events = ingest.conform(ingest.decode(stream).where("error_class is null")).select("event_id", "event_timestamp", "arrived_at")
-    query = jobs.start_deduped(events, f"{folder}/out", f"{folder}/cp", "1 hour")
+    events = ingest.conform(ingest.decode(stream).where("error_class is null")).select(*ingest.ID_KEY, "event_timestamp", "arrived_at")
+    query = jobs.start_deduped(events, f"{folder}/out", f"{folder}/cp")
     query.awaitTermination()
-    dropped = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
     rows = spark.read.parquet(f"{folder}/out")
-    assert dropped == 0 and rows.count() == rows.select("event_id").distinct().count() == 1_900
+    assert len(query.recentProgress) >= 8 and rows.count() == rows.select("event_id").distinct().count() == 1_900
+
+
+def test_stream_dedup_keeps_first_arrivals_of_any_age(spark, folder):
+    """Batches whose arrival goes back in time, a copy long after any delay, and two orgs that share ids."""
+    for part, (day, org) in enumerate([(20, "org-one"), (25, "org-one"), (1, "org-one"), (20, "org-two"), (30, "org-one")]):
+        numbers = range(10) if part in (0, 3, 4) else range(10 * part, 10 * part + 10)
+        values = [payload(n, org_id=org, arrived_at=f"2026-09-{day:02d}T00:00:00Z") for n in numbers]
+        log_of(spark, values, partition=part).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    stream = sources.read_event_stream(spark, f"{folder}/log", files_per_trigger=1)
+    events = ingest.conform(ingest.decode(stream).where("error_class is null"))
+    jobs.start_deduped(events.select(*ingest.ID_KEY, "event_timestamp", "arrived_at"), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    assert {r["org_id"]: r["count"] for r in rows.groupBy("org_id").count().collect()} == {"org-one": 30, "org-two": 10}
+
+
+def test_orgs_that_share_ids_keep_their_rows(spark, folder):
+    rows = ingest.conform(ingest.decode(log_of(spark, [payload(n, org_id=org) for org in ("org-one", "org-two") for n in range(50)])))
+    sinks.write_facts(rows, f"{folder}/facts", 0)
+    assert sources.facts(spark, f"{folder}/facts").count() == 100
+    assert sources.facts(spark, f"{folder}/facts", Scope("org-two", "workspace-a")).count() == 50
+    assert ingest.upsert_by_id(rows).count() == 100
+    sinks.compact_facts(rows, f"{folder}/compact/batch_id=0")
+    assert sources.facts(spark, f"{folder}/compact", raw=True).count() == 100
+
+
+def test_payloads_with_line_breaks_come_back_whole(spark, folder):
+    values = [payload(n).replace(", ", ",\n") for n in range(30)]
+    sinks.write_archive(ingest.classify_archive(log_of(spark, values)), folder, 0)
+    assert sorted(r["value"] for r in sources.read_archive(spark, folder).collect()) == sorted(values)
+
+
+def test_quarantine_holds_a_payload_once(spark, folder):
+    classified = ingest.classify_archive(log_of(spark, ["{broken", "{broken", "{other"]))
+    for batch_id in (0, 1, 1):
+        sinks.write_quarantine(classified, folder, batch_id)
+    assert sorted(r["value"] for r in spark.read.parquet(f"{folder}/_quarantine").collect()) == ["{broken", "{other"]
 
 
 def test_live_histogram_and_order_on_read(spark, folder, log):

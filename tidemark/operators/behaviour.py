@@ -109,7 +109,7 @@ def similarity_label(distance: Column) -> Column:
 def consecutive_similarity(ev: DataFrame, name: str, prop: str, drop_anonymous: bool = False) -> DataFrame:
     """(similarity_bucket, pair_count): edit distance from a text property to the actor's next one.
 
-    Distances count characters. An event without the property breaks the pair.
+    Distances count bytes of UTF-8. An event without the property breaks the pair.
     """
     rows = ev.where(F.col("event_name") == name)
     rows = rows.where("actor_id != ''") if drop_anonymous else rows
@@ -119,7 +119,8 @@ def consecutive_similarity(ev: DataFrame, name: str, prop: str, drop_anonymous:
     )
     # Equal pairs of texts share one distance.
     distinct = pairs.groupBy("value", "next_value").agg(F.sum("pairs").alias("pairs"))
-    label = similarity_label(F.levenshtein("value", "next_value"))
+    as_bytes = lambda text: F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")  # noqa: E731  one character per byte
+    label = similarity_label(F.levenshtein(as_bytes("value"), as_bytes("next_value")))
     return (
         distinct.groupBy(label.alias("similarity_bucket"))
         .agg(F.sum("pairs").alias("pair_count"))

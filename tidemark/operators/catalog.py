@@ -12,20 +12,20 @@ _UNSTORED = ("VOID", "OBJECT<>")
 
 
 def schema_catalog(ev: DataFrame) -> DataFrame:
-    """Distinct (workspace_id, event_name, property, type); a path with two types has two rows.
+    """Distinct (org_id, workspace_id, event_name, property, type); a path with two types has two rows.
 
     Distinct shapes first: the rows are never multiplied by their number of properties.
     """
-    shapes = ev.select("workspace_id", "event_name", props.shape_of(F.col("properties")).alias("shape")).distinct()
+    shapes = ev.select("org_id", "workspace_id", "event_name", props.shape_of(F.col("properties")).alias("shape")).distinct()
     leaves = props.leaf_rows(shapes).where(~F.col("stored").isin(*_UNSTORED)).distinct()
     return leaves.select(
-        "workspace_id", "event_name", F.col("path").alias("property"), props.catalog_type(F.col("stored")).alias("type")
+        "org_id", "workspace_id", "event_name", F.col("path").alias("property"), props.catalog_type(F.col("stored")).alias("type")
     ).distinct()
 
 
 def new_catalog_rows(seen: DataFrame, existing: DataFrame) -> DataFrame:
     """Catalog rows that are not yet there."""
-    key = ["workspace_id", "event_name", "property", "type"]
+    key = ["org_id", "workspace_id", "event_name", "property", "type"]
     return seen.join(existing.select(*key), key, "left_anti")
 
 

@@ -91,6 +91,12 @@ def event_rows(
     return public_event(rows).orderBy(by_time, "event_id").limit(size + 1)
 
 
+def page_items(ev: DataFrame, scope: Scope | None = None, tree: Tree | None = None, **options) -> DataFrame:
+    """The rows of one page, without the one that only tells whether another page follows."""
+    rows = event_rows(ev, scope, tree, **options)
+    return rows.limit(page_size(options.get("size")))
+
+
 def events_page(ev: DataFrame, scope: Scope | None = None, tree: Tree | None = None, **options) -> Page:
     rows = event_rows(ev, scope, tree, **options)
     rows = rows.withColumn("_ms", F.unix_millis("event_timestamp"))
@@ -270,7 +276,8 @@ def facets(
 ) -> DataFrame:
     """The most frequent values of a field: (value, count, total, other).
 
-    `total` is every matching event, `other` the events whose value is not listed.
+    `total` is every matching event, `other` the events whose value is not listed. Without any listed value
+    one row tells the total, its value and count null.
     """
     size = facet_size(field, size)
     require_time_range(tree)
@@ -284,9 +291,16 @@ def facets(
     ).scalar()
     # At most `size` rows are left for this window.
     shown = F.sum("count").over(Window.partitionBy())
+    # One row is always there: with no listed value it has none, and only the totals.
+    one = counts.sparkSession.range(1).select(F.lit(True).alias("_one"))
+    shown_rows = listed.withColumn("_shown", shown).withColumn("_one", F.lit(True))
     return (
-        listed.withColumns({"_sums": sums, "_shown": shown})
-        .select("value", "count", F.col("_sums.total").alias("total"), (F.col("_sums.valued") - F.col("_shown")).alias("other"))
+        one.join(F.broadcast(shown_rows), "_one", "left")
+        .withColumn("_sums", sums)
+        .select(
+            "value", "count", F.coalesce("_sums.total", F.lit(0)).alias("total"),
+            (F.coalesce("_sums.valued", F.lit(0)) - F.coalesce("_shown", F.lit(0))).alias("other"),
+        )
         .orderBy(F.col("count").desc(), "value")
     )
 

@@ -34,50 +34,53 @@ class FilterError(ValueError):
 # -- checks on the tree ----------------------------------------------------
 
 
+def _places(tree: Any) -> list[tuple[tuple[str, ...], Any]]:
+    """Every node of a tree with its position: the keys above it, ``#n`` for a place in a list."""
+    found, at = [((), tree)], 0
+    while at < len(found):
+        path, node = found[at]
+        at += 1
+        if isinstance(node, Mapping):
+            found += [((*path, str(key)), child) for key, child in node.items()]
+        elif isinstance(node, (list, tuple)):
+            found += [((*path, f"#{n}"), child) for n, child in enumerate(node)]
+    return found
+
+
+#: Below ``org_id``: the value itself, one of a list, or the value of a long form.
+_ORG_VALUE = re.compile(r"(#\d+|value|query)?")
+
+
 def check_filter(tree: Any, scope: Scope) -> None:
     """Refuses a filter that names another source or, at any depth, another org."""
     if not isinstance(tree, Mapping):
         raise FilterError("the query must be an object")
-    pending: list[Any] = [tree]
-    while pending:
-        node = pending.pop()
-        if isinstance(node, Mapping):
-            for key, child in node.items():
-                if key in FORBIDDEN_KEYS:
-                    raise FilterError(f"`{key}` is not allowed in a query")
-                if key != "org_id":
-                    pending.append(child)
-                elif not _is_exactly(child, scope.org_id):
-                    raise FilterError("the query names another org")
-        elif isinstance(node, (list, tuple)):
-            pending.extend(node)
+    places = _places(tree)
+    named = {path[-1] for path, _ in places if path} & set(FORBIDDEN_KEYS)
+    if named:
+        raise FilterError(f"`{min(named)}` is not allowed in a query")
+    wanted: dict[tuple[str, ...], list[bool]] = {}
+    for path, node in places:
+        if "org_id" in path:
+            end = path.index("org_id") + 1
+            agrees = wanted.setdefault(path[:end], [])
+            if not isinstance(node, (Mapping, list, tuple)) and _ORG_VALUE.fullmatch("/".join(path[end:])):
+                agrees.append(node == scope.org_id)
+    if not all(agrees and all(agrees) for agrees in wanted.values()):
+        raise FilterError("the query names another org")
 
 
-def _is_exactly(clause: Any, org_id: str) -> bool:
-    if isinstance(clause, Mapping):
-        return any(clause.get(key) == org_id for key in ("value", "query"))
-    if isinstance(clause, (list, tuple)):
-        return len(clause) > 0 and all(item == org_id for item in clause)
-    return clause == org_id
+#: Positions whose clause every match must meet.
+_REQUIRED = re.compile(r"(bool/(must|filter)/(#\d+/)?)*range/(" + "|".join(TIME_FIELDS) + ")/(gte?|lte?)")
 
 
 def has_time_range(tree: Any) -> bool:
     """Whether a two-sided event-time range restricts every match."""
-    if not isinstance(tree, Mapping):
-        return False
-    bounds = tree.get("range")
-    if isinstance(bounds, Mapping):
-        for field in TIME_FIELDS:
-            one = bounds.get(field)
-            if isinstance(one, Mapping) and all(
-                any(one.get(key) is not None for key in side) for side in (("gte", "gt"), ("lte", "lt"))
-            ):
-                return True
-    clauses = tree.get("bool")
-    if not isinstance(clauses, Mapping):
-        return False
-    nested = [item for occur in ("must", "filter") for item in _as_list(clauses.get(occur))]
-    return any(has_time_range(item) for item in nested)
+    sides: dict[tuple[str, ...], set[str]] = {}
+    for path, node in _places(tree):
+        if node is not None and _REQUIRED.fullmatch("/".join(path)):
+            sides.setdefault(path[:-1], set()).add(path[-1][0])
+    return {"g", "l"} in sides.values()
 
 
 def require_time_range(tree: Tree | None) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -72,7 +72,9 @@ def own_workspace(df: DataFrame, workspace_id: str) -> DataFrame:
 
 # -- versions --------------------------------------------------------------
 
-VERSION_KEY = ("workspace_id", "event_name", "event_timestamp", "event_id")
+VERSION_KEY = ("org_id", "workspace_id", "event_name", "event_timestamp", "event_id")
+#: An id is unique inside one workspace of one org.
+ID_KEY = ("org_id", "workspace_id", "event_id")
 
 
 def dedup(ev: DataFrame, key: tuple[str, ...] = VERSION_KEY) -> DataFrame:
@@ -94,11 +96,11 @@ def drop_deleted(ev: DataFrame, key: tuple[str, ...] = VERSION_KEY) -> DataFrame
     return dedup(ev, key).where("is_deleted = 0")
 
 
-def upsert_by_id(new: DataFrame, existing: DataFrame | None = None, key: str = "event_id") -> DataFrame:
+def upsert_by_id(new: DataFrame, existing: DataFrame | None = None, key: Sequence[str] = ID_KEY) -> DataFrame:
     """Create-once: the first row per id, and none for an id that is already there."""
-    first = Window.partitionBy(key).orderBy("arrived_at", "event_timestamp")
+    first = Window.partitionBy(*key).orderBy("arrived_at", "event_timestamp")
     created = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return created if existing is None else created.join(existing.select(key), key, "left_anti")
+    return created if existing is None else created.join(existing.select(*key), list(key), "left_anti")
 
 
 # -- requests --------------------------------------------------------------

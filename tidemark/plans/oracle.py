@@ -340,7 +340,7 @@ _SQL |= {
         cast(0 AS bigint) AS is_deleted FROM f"""
     ),
     "top_values_sample": _facts(
-        """, page AS (SELECT device_type FROM f ORDER BY ts DESC, id LIMIT 101)
+        """, page AS (SELECT device_type FROM f ORDER BY ts DESC, id LIMIT 100)
         SELECT 'string' AS kind, device_type AS label, count(*) AS count, (SELECT count(device_type) FROM page) AS with_field,
         (SELECT count(*) FROM page) AS sampled FROM page WHERE device_type IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 5"""
     ),
@@ -348,13 +348,13 @@ _SQL |= {
 
 # -- catalog ---------------------------------------------------------------
 
-_CATALOG = """leaves AS (SELECT workspace_id, event_name, k, device_type, unnest([
+_CATALOG = """leaves AS (SELECT org_id, workspace_id, event_name, k, device_type, unnest([
         ['k', 'Int64'], ['platform', 'String'], ['browser', 'String'], ['city', 'String'], ['rank', 'Int64'], ['query', 'String'],
         ['cart.coupon', 'String'], ['cart.items', 'Array(Nullable(Int64))'],
         CASE WHEN device_type IS NULL THEN NULL ELSE ['device_type', 'String'] END,
         CASE k % 3 WHEN 0 THEN ['amount', 'Float64'] WHEN 1 THEN ['amount', 'String'] ELSE ['amount.currency', 'String'] END,
         CASE k % 3 WHEN 2 THEN ['amount.cents', 'Int64'] END]) AS leaf FROM f),
-    catalog AS (SELECT DISTINCT workspace_id, event_name, leaf[1] AS property, leaf[2] AS type FROM leaves WHERE leaf IS NOT NULL),
+    catalog AS (SELECT DISTINCT org_id, workspace_id, event_name, leaf[1] AS property, leaf[2] AS type FROM leaves WHERE leaf IS NOT NULL),
     listed AS (SELECT event_name, property, min(type) AS type FROM catalog GROUP BY 1, 2),
     names AS (SELECT DISTINCT event_name FROM f),
     event_docs AS (SELECT event_name, CASE WHEN event_name = 'view' THEN '' ELSE 'about ' || event_name END AS description
@@ -363,7 +363,7 @@ _CATALOG = """leaves AS (SELECT workspace_id, event_name, k, device_type, unnest
         FROM (SELECT event_name, unnest(['rank', 'cart.coupon', 'city']) AS property FROM event_docs))"""
 
 _SQL |= {
-    "schema_catalog": _facts(f", {_CATALOG} SELECT workspace_id, event_name, property, type FROM catalog"),
+    "schema_catalog": _facts(f", {_CATALOG} SELECT org_id, workspace_id, event_name, property, type FROM catalog"),
     "schema_catalog_list": _facts(f", {_CATALOG} SELECT event_name, property, type FROM listed"),
     "event_property_keys": _facts(f", {_CATALOG} SELECT DISTINCT property FROM catalog WHERE event_name = 'click'"),
     "unnest": _facts(f", {_CATALOG} SELECT DISTINCT property AS path, type FROM catalog"),
@@ -539,16 +539,15 @@ _SQL |= {
         f"SELECT uuid AS event_id, event_name, {_at('ts')} AS event_timestamp, workspace_id, actor_id, country FROM once WHERE {_GOOD}"
     ),
     "sink_catalog": _log(
-        ", kept AS (SELECT * FROM once WHERE " + _GOOD + "), "
+        ", kept AS (SELECT * REPLACE (CASE defect WHEN 'bad_org' THEN 'Bad Org' WHEN 'no_org' THEN '' ELSE org_id END AS org_id) FROM once WHERE " + _GOOD + "), "
         + _CATALOG.replace("FROM f)", "FROM kept)")
-        + " SELECT workspace_id, event_name, property, type FROM catalog"
+        + " SELECT org_id, workspace_id, event_name, property, type FROM catalog"
     ),
     "sink_archive": _log(
-        """SELECT CASE WHEN defect = 'bad_org' THEN 'Bad Org' ELSE org END AS org, workspace, dt, hour, md5(v) AS digest FROM (
-        SELECT *, unnest(string_split(value, chr(10))) AS v FROM routed)"""
+        "SELECT CASE WHEN defect = 'bad_org' THEN 'Bad Org' ELSE org END AS org, workspace, dt, hour, md5(value) AS digest FROM routed"
     ),
     "src_archive": _log(
-        """SELECT workspace, dt, count(DISTINCT event_id) FILTER (defect = '') + 2 * count(*) FILTER (defect = 'line_break') AS payloads
+        """SELECT workspace, dt, count(DISTINCT event_id) AS payloads
         FROM routed WHERE defect <> 'bad_org' AND dt BETWEEN '2024-01-03' AND '2024-01-20' GROUP BY 1, 2"""
     ),
     "sink_archive_manifest": _log(
@@ -602,7 +601,7 @@ _SQL |= {
         ", kept AS (SELECT * FROM once WHERE " + _ERROR + " IS NULL), " + _CATALOG.replace("FROM f)", "FROM kept)")
         + f""" SELECT 'facts' AS sink, count(*) AS rows FROM kept
         UNION ALL SELECT 'dead_letters', count(*) FROM log WHERE {_ERROR} IS NOT NULL
-        UNION ALL SELECT 'archive', cast(sum(len(string_split(value, chr(10)))) AS bigint) FROM routed
+        UNION ALL SELECT 'archive', count(*) FROM routed
         UNION ALL SELECT 'quarantine', count(DISTINCT value) FROM log WHERE defect IN ('not_json', 'no_org', 'no_time')
         UNION ALL SELECT 'catalog', count(*) FROM catalog"""
     ),

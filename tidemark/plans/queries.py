@@ -28,8 +28,6 @@ NOW = datetime(2024, 1, 20, 10, 0, tzinfo=timezone.utc)
 STEPS = ("view", "click", "purchase")
 SIX_HOURS = 21_600
 KOLKATA = "Asia/Kolkata"
-#: Nesting of the sample properties: `cart.coupon`.
-DEPTH = 2
 
 _QUERIES: dict[str, Query] = {}
 
@@ -57,9 +55,8 @@ def query(run: Query, name: str | None = None) -> Query:
     return run
 
 
-def on_facts(name: str, build: Callable[[DataFrame], DataFrame], dealt: bool = False) -> None:
-    """``dealt`` deals a one-split table out to the cores, for work that is heavy per row."""
-    query(lambda spark, sf_dir: build(sample_facts(spark, sf_dir, dealt)), name)
+def on_facts(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    query(lambda spark, sf_dir: build(sample_facts(spark, sf_dir)), name)
 
 
 def all_queries() -> dict[str, Query]:
@@ -128,7 +125,7 @@ on_facts("window_funnel", lambda ev: behaviour.funnel_levels(ev, _steps(), SIX_H
 on_facts("funnel_cumulative", lambda ev: behaviour.funnel(ev, STEPS, SIX_HOURS))
 on_facts("consecutive_gap", lambda ev: behaviour.consecutive_gap(ev, "view"))
 on_facts("consecutive_similarity", lambda ev: behaviour.consecutive_similarity(ev, "view", "query"))
-on_facts("session_timeline", lambda ev: behaviour.session_timeline(ev, depth=DEPTH))
+on_facts("session_timeline", lambda ev: behaviour.session_timeline(ev))
 on_facts(
     "session_strip_position",
     lambda ev: behaviour.strip_position(ev).withColumn("position", F.round("position", 6)),
@@ -281,7 +278,7 @@ def get_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 on_facts("event_public", lambda ev: explore.public_event(ev).drop("properties"))
 on_facts(
     "top_values_sample",
-    lambda ev: explore.top_values_sample(explore.event_rows(ev, size=100), "properties.device_type"),
+    lambda ev: explore.top_values_sample(explore.page_items(ev, size=100), "properties.device_type"),
 )
 
 
@@ -763,8 +760,9 @@ def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole replay check on the payload log: what was sent against what a create-once sink holds."""
     prepared = _prepared(spark, sf_dir)
-    sent = prepared.select("topic", "partition", "offset", F.when(F.col("error_class").isNull(), F.col("event_id")).alias("event_id"))
-    written = sent.where("event_id is not null").select("event_id").distinct()
+    sound = F.when(F.col("error_class").isNull(), F.col("event_id")).alias("event_id")
+    sent = prepared.select("topic", "partition", "offset", "org_id", "workspace_id", sound)
+    written = sent.where("event_id is not null").select(*ingest.ID_KEY).distinct()
     letters = sinks.dead_letters(prepared, "2024-03-01")
     return sinks.dedup_audit(sent, written, letters)
 
@@ -798,11 +796,11 @@ def _event_stream(spark: SparkSession, sf_dir: str, label: str) -> tuple[str, Da
 
 @query
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resends dropped by id while streaming; nothing is lost to the watermark."""
+    """The log streamed, resends dropped by (org, workspace, id) however late they come."""
     root, stream = _event_stream(spark, sf_dir, "stream-dedup")
-    arrived = ingest.enrich_arrived_at(stream, "2024-02-01T00:00:00Z").select("event_id", "event_name", "arrived_at")
-    jobs.start_deduped(arrived, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema("event_id string, event_name string").parquet(f"{root}/out")
+    kept = stream.select("org_id", "workspace_id", "event_id", "event_name", "event_timestamp", "arrived_at")
+    jobs.start_deduped(kept, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema("event_id string, event_name string").parquet(f"{root}/out").select("event_id", "event_name")
 
 
 @query
@@ -859,7 +857,7 @@ on_facts(
     "pivot_matrix",
     lambda ev: shape.pivot_matrix(
         ev.select("event_name", "source", props.text_at(F.col("properties"), "rank").alias("rank")),
-        "event_name", "source", "rank", ["web", "ios", "android"],
+        "event_name", "source", "rank",
     ),
 )
 
@@ -882,10 +880,9 @@ on_facts(
 on_facts("reverse_order", lambda ev: shape.reverse(metrics.event_distribution(ev, RANGE), [("count", True), ("event_name", False)]))
 on_facts(
     "doc_summary",
-    lambda ev: shape.doc_summary(ev, DEPTH).select(
+    lambda ev: shape.doc_summary(ev).select(
         "event_id", F.concat_ws("|", F.transform("summary", lambda e: F.concat_ws("=", e["path"], e["text"]))).alias("summary")
     ),
-    dealt=True,
 )
 on_facts(
     "redact",

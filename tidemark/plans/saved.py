@@ -28,8 +28,8 @@ def metric_sql(
 ) -> DataFrame:
     """Runs one SELECT over a workspace's tables and nothing else.
 
-    The tables are views of the scope's rows in a session of their own; any other table, file or
-    database the text names is refused, and so is anything but a query.
+    The tables are views of the scope's rows in a session of their own. Any other table, file or database the text
+    names is refused, and so are functions that are not in ``FUNCTIONS`` and anything but a query.
     """
     text = sql.strip().rstrip(";").strip()
     if not text:
@@ -45,13 +45,77 @@ def metric_sql(
     return session.sql(query, dict(args or {}))
 
 
+#: Functions a workspace may call. Anything else is refused, so nothing reaches the host, files or the catalog.
+FUNCTIONS = frozenset(
+    """
+    count count_if sum avg mean min max min_by max_by first last any_value every some bool_and bool_or stddev stddev_pop stddev_samp variance
+    var_pop var_samp median mode percentile percentile_approx approx_percentile approx_count_distinct corr covar_pop covar_samp skewness kurtosis
+    collect_list collect_set array_agg listagg string_agg grouping grouping_id histogram_numeric
+    row_number rank dense_rank percent_rank ntile cume_dist lag lead first_value last_value nth_value
+    coalesce nvl nvl2 ifnull nullif if nullifzero zeroifnull isnull isnotnull isnan nanvl greatest least
+    abs ceil ceiling floor round bround sign signum sqrt cbrt exp ln log log2 log10 power pow mod pmod sin cos tan pi width_bucket
+    concat concat_ws lower upper lcase ucase trim ltrim rtrim btrim length char_length character_length len substring substr left right
+    position locate instr replace translate split split_part regexp_extract regexp_extract_all regexp_like regexp_replace regexp_count rlike like
+    startswith endswith contains lpad rpad repeat reverse initcap format_number format_string levenshtein md5 sha1 sha2 xxhash64 crc32 hex
+    current_date current_timestamp now date to_date to_timestamp timestamp date_add date_sub dateadd datediff date_diff date_format date_trunc trunc
+    timestampadd timestampdiff timestamp_seconds timestamp_millis unix_timestamp unix_millis unix_seconds from_unixtime
+    from_utc_timestamp to_utc_timestamp convert_timezone year quarter month week weekofyear weekday day dayofmonth dayofweek dayofyear dayname
+    hour minute second extract date_part make_date make_timestamp make_interval last_day next_day add_months months_between
+    cast string int bigint double float boolean decimal try_cast try_divide try_add try_subtract try_multiply try_to_number to_char to_number
+    array map struct named_struct size cardinality explode explode_outer posexplode inline element_at try_element_at array_contains array_distinct
+    array_join array_max array_min array_position array_remove array_size array_sort sort_array slice flatten sequence transform filter exists
+    forall aggregate zip_with map_keys map_values map_entries map_from_arrays get
+    get_json_object from_json to_json json_array_length parse_json try_parse_json variant_get try_variant_get is_variant_null schema_of_variant range
+    """.split()
+)
+
+
 def _refuse_other_tables(session: SparkSession, query: str) -> None:
-    parsed = session._jsparkSession.sessionState().sqlParser().parsePlan(query).toString()
-    named = set(re.findall(r"'UnresolvedRelation \[([^\]]*)\]", parsed))
-    local = {name.strip() for names in re.findall(r"CTE \[([^\]]*)\]", parsed) for name in names.split(",")}
-    foreign = {name for name in named if name.lower() not in TABLES and name not in local}
-    if foreign:
-        raise MetricError(f"not available in this workspace: {', '.join(sorted(foreign))}")
+    """Walks the parsed query: tables are the workspace's own or names of a WITH in whose scope they stand, functions are listed ones."""
+    seq = lambda scala: [scala.apply(n) for n in range(scala.size())]
+    kind = lambda node: node.getClass().getSimpleName()
+
+    def function(parts: list[str]) -> None:
+        if len(parts) != 1 or parts[0].lower() not in FUNCTIONS:
+            raise MetricError(f"not available in this workspace: {'.'.join(parts)}()")
+
+    def expression(node, known: frozenset[str]) -> None:
+        name = kind(node)
+        if name == "UnresolvedFunction":
+            function(seq(node.nameParts()))
+        elif name == "UnresolvedGenerator":
+            function([node.name().funcName()])
+        if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            plan(node.plan(), known)
+        elif name == "InSubquery":
+            plan(node.query().plan(), known)
+        elif name in ("FunctionTableSubqueryArgumentExpression", "UnresolvedTableArgPlanId"):
+            raise MetricError("not available in this workspace: table arguments")
+        for child in seq(node.children()):
+            expression(child, known)
+
+    def plan(node, known: frozenset[str]) -> None:
+        name = kind(node)
+        if name == "UnresolvedWith":
+            for pair in seq(node.cteRelations()):
+                plan(pair._2(), known)
+                known = known | {pair._1().lower()}
+            plan(node.child(), known)
+            return
+        if name == "UnresolvedRelation":
+            parts = seq(node.multipartIdentifier())
+            if len(parts) != 1 or parts[0].lower() not in known.union(TABLES):
+                raise MetricError(f"not available in this workspace: {'.'.join(parts)}")
+        elif name == "UnresolvedTableValuedFunction":
+            function(seq(node.name()))
+        elif "Command" in name or name.startswith(("UnresolvedIdentifier", "PlanWithUnresolvedIdentifier", "RelationTimeTravel", "ScriptTransformation")):
+            raise MetricError("only plain queries are available in this workspace")
+        for child in seq(node.expressions()):
+            expression(child, known)
+        for child in seq(node.children()):
+            plan(child, known)
+
+    plan(session._jsparkSession.sessionState().sqlParser().parsePlan(query), frozenset())
 
 
 # -- templates -------------------------------------------------------------

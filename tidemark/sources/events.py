@@ -101,13 +101,17 @@ def facts(spark: SparkSession, root: str, scope: Scope | None = None, rng=None,
     return rows if raw else drop_deleted(rows)
 
 
+#: Ends an archived record: a control character that no JSON text holds unescaped, and a line end.
+RECORD_END = "\x1e\n"
+
+
 def read_archive(spark: SparkSession, root: str, scope: Scope | None = None, days=None, once: bool = True) -> DataFrame:
     """Archived payloads (`org`, `workspace`, `dt`, `hour`, `value`), pruned by folder.
 
     The archive may hold an event twice; ``once`` keeps one payload per event id.
     """
     schema = "value string, batch_id long, org string, workspace string, dt string, hour int"
-    rows = spark.read.schema(schema).text(root)
+    rows = spark.read.schema(schema).text(root, lineSep=RECORD_END)
     if scope is not None:
         rows = rows.where((F.col("org") == scope.org_id) & (F.col("workspace") == scope.workspace_id))
     if days is not None:

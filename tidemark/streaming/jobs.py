@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.functions import documents, times
 from tidemark.operators.ingest import (
+    ID_KEY,
     check_destination,
     classify_archive,
     conform,
@@ -17,8 +18,10 @@ from tidemark.operators.ingest import (
     own_workspace,
     reject_large,
     resolve_setting,
+    upsert_by_id,
 )
 from tidemark.session import keep
+from tidemark.sources.events import folder_exists
 from tidemark.streaming import sinks
 
 CYCLE_S, CYCLE_ROWS = 60, 10_000
@@ -163,17 +166,28 @@ def start_archive(
     return foreach_batch_once(stream, write, checkpoint, seconds)
 
 
-def dedup_stream(events: DataFrame, delay: str = "10 minutes", key: str = "event_id") -> DataFrame:
-    """Drops resends by id. The watermark is on arrival, never on event time, so late events stay.
+def start_deduped(events: DataFrame, root: str, checkpoint: str, every_s: float | None = None) -> StreamingQuery:
+    """Each event once, by (org, workspace, id), however late it or a copy of it comes: no watermark.
 
-    It only bounds the state: a copy that arrives later than ``delay`` meets the batch-side rule.
+    A batch keeps the ids that no other batch has written. Ids are stored by the event's month, and only the months a
+    batch touches are looked at; a copy carries the event time of its first sending, so it meets it there.
     """
-    return events.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark([key])
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = keep(batch.withColumn("month", F.date_format("event_timestamp", "yyyyMM")))
+        try:
+            earlier = None
+            if folder_exists(spark, root):
+                months = [r["month"] for r in rows.select("month").distinct().collect()]  # a handful per batch
+                stored = spark.read.schema(f"{', '.join(f'{c} string' for c in ID_KEY)}, batch_id long, month string").parquet(root)
+                earlier = stored.where((F.col("batch_id") != batch_id) & F.col("month").isin(months))
+            fresh = upsert_by_id(rows, earlier)
+            fresh.write.mode("overwrite").partitionBy("month").parquet(sinks.batch_folder(root, batch_id))
+        finally:
+            rows.unpersist()
 
-def start_deduped(events: DataFrame, root: str, checkpoint: str, delay: str = "10 minutes", every_s=None) -> StreamingQuery:
-    writer = dedup_stream(events, delay).writeStream.format("parquet").option("path", root).outputMode("append")
-    return _start(writer, checkpoint, every_s)
+    return foreach_batch_once(events, write, checkpoint, every_s)
 
 
 # -- live views ------------------------------------------------------------

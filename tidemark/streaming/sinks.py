@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions import times
 from tidemark.operators.catalog import new_catalog_rows, schema_catalog
-from tidemark.operators.ingest import dedup
-from tidemark.sources.events import folder_exists
+from tidemark.operators.ingest import ID_KEY, dedup
+from tidemark.sources.events import RECORD_END, folder_exists
 
 ARCHIVE_BLOCK = 10_000
-CATALOG_SCHEMA = "workspace_id string, event_name string, property string, type string"
+CATALOG_SCHEMA = "org_id string, workspace_id string, event_name string, property string, type string"
 
 
 def batch_folder(root: str, batch_id: int) -> str:
@@ -21,26 +21,26 @@ def batch_folder(root: str, batch_id: int) -> str:
 
 
 def write_facts(facts: DataFrame, root: str, batch_id: int) -> None:
-    """Fact rows by workspace and month. AQE evens the files out, splitting a large workspace."""
+    """Fact rows by org, workspace and month. AQE evens the files out, splitting a large workspace."""
     rows = facts.withColumn("month", F.date_format("event_timestamp", "yyyyMM"))
-    rows = rows.hint("rebalance", F.col("workspace_id"), F.col("month"))
-    rows.write.mode("overwrite").partitionBy("workspace_id", "month").parquet(batch_folder(root, batch_id))
+    rows = rows.hint("rebalance", F.col("org_id"), F.col("workspace_id"), F.col("month"))
+    rows.write.mode("overwrite").partitionBy("org_id", "workspace_id", "month").parquet(batch_folder(root, batch_id))
 
 
 def compact_facts(rows: DataFrame, target: str) -> None:
-    """Rewrites fact rows once each, clustered for range reads: workspace, month, then name, time and id.
+    """Rewrites fact rows once each, clustered for range reads: org, workspace, month, then name, time and id.
 
     Queries read the result with ``raw=True``: no shuffle for versions, and files skipped by name and
     time. Range partitioning cuts by row count, so neither a large workspace nor a hot event is one task.
     """
-    order = ["workspace_id", "month", "event_name", "event_timestamp", "event_id"]
+    order = ["org_id", "workspace_id", "month", "event_name", "event_timestamp", "event_id"]
     clustered = (
         dedup(rows)
         .withColumn("month", F.date_format("event_timestamp", "yyyyMM"))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
     )
-    clustered.write.mode("overwrite").partitionBy("workspace_id", "month").parquet(target)
+    clustered.write.mode("overwrite").partitionBy("org_id", "workspace_id", "month").parquet(target)
 
 
 def write_catalog(facts: DataFrame, root: str, batch_id: int) -> None:
@@ -64,13 +64,16 @@ _GROUP = ("org", "workspace", "dt", "hour")
 
 
 def write_archive(classified: DataFrame, root: str, batch_id: int, codec: str = "gzip", max_rows: int = ARCHIVE_BLOCK) -> None:
-    """Payloads verbatim, in (topic, partition, offset) order, below org/workspace/dt/hour."""
+    """Payloads verbatim, in (topic, partition, offset) order, below org/workspace/dt/hour.
+
+    Records end with ``RECORD_END``, so a payload with line breaks reads back as one record.
+    """
     routed = classified.where("reason is null")
     # An hour goes to one task per block of offsets, so a busy hour is split.
     block = F.floor(F.col("offset") / max_rows)
     laid_out = routed.repartition(*_GROUP, block).sortWithinPartitions(*_GROUP, "topic", "partition", "offset")
     writer = laid_out.select(*_GROUP, "value").write.mode("overwrite").partitionBy(*_GROUP)
-    writer.option("compression", codec).option("maxRecordsPerFile", max_rows).text(batch_folder(root, batch_id))
+    writer.option("compression", codec).option("maxRecordsPerFile", max_rows).option("lineSep", RECORD_END).text(batch_folder(root, batch_id))
 
 
 def archive_objects(classified: DataFrame, block: int = ARCHIVE_BLOCK) -> DataFrame:
@@ -133,16 +136,19 @@ def archive_manifest(classified: DataFrame, source: str | None = None, created_a
 
 def quarantine(classified: DataFrame) -> DataFrame:
     """Unroutable payloads verbatim, one per distinct content: (content_hash, reason, value)."""
-    hashed = F.substring(F.sha2(F.concat("value", F.lit("\n")), 256), 1, 16)
-    return (
-        classified.where("reason is not null")
-        .select(hashed.alias("content_hash"), "reason", "value")
-        .dropDuplicates(["content_hash"])
-    )
+    digest = F.sha2(F.concat("value", F.lit("\n")), 256)
+    unique = classified.where("reason is not null").select(digest.alias("digest"), "reason", "value").dropDuplicates(["digest"])
+    return unique.select(F.substring("digest", 1, 16).alias("content_hash"), "reason", "value")
 
 
 def write_quarantine(classified: DataFrame, root: str, batch_id: int) -> None:
-    quarantine(classified).write.mode("overwrite").parquet(f"{root}/_quarantine/batch_id={batch_id}")
+    """Quarantined payloads of this batch that no earlier batch holds: a payload is kept once for good."""
+    spark, folder, fresh = classified.sparkSession, f"{root}/_quarantine", quarantine(classified)
+    if folder_exists(spark, folder):
+        earlier = spark.read.schema("content_hash string, reason string, value string, batch_id long").parquet(folder)
+        earlier = earlier.where(F.col("batch_id") != batch_id).select("content_hash", "value")
+        fresh = fresh.join(earlier, ["content_hash", "value"], "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
 
 # -- dead letters ----------------------------------------------------------
@@ -224,12 +230,12 @@ def ingest_counters(prepared: DataFrame, existing_ids: DataFrame | None = None)
         .groupBy(F.col("error_class").alias("label"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    per_id = prepared.where("error_class is null").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    per_id = prepared.where("error_class is null").groupBy(*ID_KEY).agg(F.count(F.lit(1)).alias("n"))
     if existing_ids is None:
         per_id = per_id.withColumn("known", F.lit(False))
     else:
-        known = existing_ids.select("event_id").distinct().withColumn("known", F.lit(True))
-        per_id = per_id.join(known, "event_id", "left").fillna(False, ["known"])
+        known = existing_ids.select(*ID_KEY).distinct().withColumn("known", F.lit(True))
+        per_id = per_id.join(known, list(ID_KEY), "left").fillna(False, ["known"])
     created = F.when(F.col("known"), 0).otherwise(1)
     written = per_id.agg(F.sum(created).alias("created"), F.sum(F.col("n") - created).alias("already_written")).unpivot(
         [], ["created", "already_written"], "label", "count"
@@ -242,11 +248,11 @@ def ingest_counters(prepared: DataFrame, existing_ids: DataFrame | None = None)
 def dedup_audit(sent: DataFrame, written: DataFrame, letters: DataFrame) -> DataFrame:
     """Replay check, one row: each sound id written exactly once, each bad record in the dead letters.
 
-    ``sent`` has `event_id` (null for unsound records) and the source coordinates.
+    ``sent`` has org, workspace and `event_id` (null for unsound records) and the source coordinates.
     """
-    sides = sent.where("event_id is not null").select("event_id", F.lit(1).alias("sent"), F.lit(0).alias("written"))
-    sides = sides.unionByName(written.select("event_id", F.lit(0).alias("sent"), F.lit(1).alias("written")))
-    per_id = sides.groupBy("event_id").agg(F.sum("sent").alias("sent"), F.sum("written").alias("written"))
+    sides = sent.where("event_id is not null").select(*ID_KEY, F.lit(1).alias("sent"), F.lit(0).alias("written"))
+    sides = sides.unionByName(written.select(*ID_KEY, F.lit(0).alias("sent"), F.lit(1).alias("written")))
+    per_id = sides.groupBy(*ID_KEY).agg(F.sum("sent").alias("sent"), F.sum("written").alias("written"))
     ids = per_id.agg(
         F.count_if(F.expr("sent > 0")).alias("valid_ids"),
         F.sum("written").alias("written_rows"),
