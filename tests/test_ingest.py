@@ -6,6 +6,7 @@ import pytest
 from data import facts_of, log_of, payload
 from pyspark.sql import functions as F
 
+from tidemark.functions import addresses
 from tidemark.operators import catalog, ingest, metrics
 from tidemark.sources import events as sources
 from tidemark.streaming import jobs, sinks
@@ -107,12 +108,26 @@ def test_enrichment_rules(spark):
     assert countries("127.0.0.1") == ["None", "XX"] and countries("nonsense", override_existing=True) == ["None", "XX"]
 
 
+def test_address_keys(spark):
+    import ipaddress
+
+    texts = ["1.2.3.4", "255.255.255.255", "::", "::1", "2A00:1::7:9", "1:2:3:4:5:6:7:8", "::ffff:1.2.3.4", "fe80::1:0:0:1", "a::", "64:ff9b::8.8.8.8"]
+    df = spark.createDataFrame([(t,) for t in texts], "ip string")
+    found = {r["ip"]: r["k"] for r in df.select("ip", addresses.address_key(F.col("ip")).alias("k")).collect()}
+    number = lambda t: int(ipaddress.ip_address(t)) + (0xFFFF << 32 if "." in t and ":" not in t else 0)
+    assert found == {t: f"{number(t):032x}" for t in texts}
+    odd = spark.createDataFrame([(t,) for t in ("", "x", "1.2.3", "1::2::3", ":", "12345::", None)], "ip string")
+    assert {r[0] for r in odd.select(addresses.address_key(F.col("ip"))).collect()} == {None}
+
+
 def test_country_join_without_broadcast_is_the_same(spark, monkeypatch):
-    rows = [{"source": f"{n % 5}.1.2.{n}"} for n in range(60)] + [{"source": "3.1.2.3"}] * 30
+    rows = [{"source": f"{n % 5}.1.2.{n}"} for n in range(60)] + [{"source": "3.1.2.3"}] * 30 + [{"source": f"2a00:{n % 5}::{n}", "country": "XX" if n % 3 else None} for n in range(40)]
     ev = facts_of(spark, rows)
-    ranges = spark.createDataFrame([(n * 2**24, (n + 1) * 2**24 - 1, f"C{n}") for n in range(4)], "lo long, hi long, range_country string")
+    blocks = [(f"{n}.0.0.0", f"{n}.255.255.255", f"C{n}") for n in range(4)] + [(f"2a00:{n}::", f"2a00:{n}:ffff:ffff:ffff:ffff:ffff:ffff", f"D{n}") for n in range(4)]
+    ranges = spark.createDataFrame(blocks, "lo string, hi string, range_country string")
     run = lambda: sorted((r["source"], r["country"] or "") for r in ingest.enrich_country(ev, ranges, "source").collect())
     small = run()
+    assert ("2a00:3::3", "D3") in small and ("2a00:1::1", "XX") in small and ("3.1.2.3", "C3") in small and ("2a00:4::9", "") in small
     monkeypatch.setattr(ingest, "fits_broadcast", lambda *a, **k: False)
     assert run() == small
 

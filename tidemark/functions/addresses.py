@@ -56,6 +56,38 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(rf"\A{_DOTTED}\z"), ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4))
 
 
+#: What stands before the 32 bits of an IPv4 address in its 128-bit form.
+_MAPPED = "0" * 20 + "f" * 4
+
+
+def number_key(number: Column) -> Column:
+    """The 128-bit form, as 32 hex digits, of an IPv4 address given as a number."""
+    return F.concat(F.lit(_MAPPED), F.lower(F.lpad(F.hex(number.cast("long")), 8, "0")))
+
+
+def address_key(ip: Column) -> Column:
+    """An address of either family as 32 hex digits, which sort as the address does; null for other text."""
+    text = F.lower(ip)
+    dotted = F.regexp_extract(text, rf":({_DOTTED})\z", 1)
+    low = F.lower(F.lpad(F.hex(ipv4_number(dotted)), 8, "0"))
+    plain = F.when(dotted == "", text).otherwise(
+        F.concat(F.regexp_replace(text, rf"{_DOTTED}\z", ""), F.substring(low, 1, 4), F.lit(":"), F.substring(low, 5, 4))
+    )
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    sides = F.split(plain, "::")
+    head, tail = groups(sides[0]), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(head) - F.size(tail), F.lit(0)))
+    wide = F.array_join(F.transform(F.concat(head, zeros, tail), lambda g: F.lpad(g, 4, "0")), "")
+    v6 = F.when(plain.rlike(rf"\A(?:{_COLONS})\z"), wide)
+    return F.when(ip.contains(":"), v6).otherwise(number_key(ipv4_number(ip)))
+
+
+def key_bucket(key: Column) -> Column:
+    """A number for the leading bits of a key: 16 of an IPv4 address, 24 of an IPv6 one; neighbours have neighbouring numbers."""
+    first = lambda start, digits: F.conv(F.substring(key, start, digits), 16, 10).cast("long")
+    return F.when(key.startswith(_MAPPED), first(25, 4)).otherwise(F.lit(1 << 32) + first(1, 6))
+
+
 def is_public_ip(ip: Column) -> Column:
     """Whether an address may be looked up for a country."""
     special = lambda n: reduce(or_, [n.between(*block_bounds(c)) for c in _IPV4_SPECIAL])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions import documents, names, props, times
-from tidemark.functions.addresses import ipv4_number, is_public_ip
+from tidemark.functions.addresses import address_key, is_public_ip, key_bucket, number_key
 from tidemark.model import ENVELOP_VERSION, FACT_COLUMNS
 from tidemark.session import fits_broadcast
 
@@ -162,37 +162,35 @@ def enrich_ip(df: DataFrame, request_ip: str, override_existing: bool = False) -
     return df.withColumn("ip_address", F.coalesce(sent, own) if override_existing else F.coalesce(own, sent))
 
 
-#: Addresses are joined to ranges by their first 16 bits.
-_PREFIX = 65_536
 _SALTS = 16
 
 
 def enrich_country(df: DataFrame, ranges: DataFrame, ip: str, override_existing: bool = False) -> DataFrame:
-    """Country of a public address from non-overlapping ranges (lo, hi, range_country).
+    """Country of a public address of either family from non-overlapping ranges (lo, hi, range_country).
 
-    The range condition becomes an equality on the 16-bit prefix plus a residual. A range table of
-    checked size is broadcast; a larger one is shuffled, with both sides salted because one prefix
-    may hold a large share of the events.
+    ``lo`` and ``hi`` are addresses as text, or numbers for IPv4. The range condition becomes an equality on the leading bits
+    plus a residual. A range table of checked size is broadcast; a larger one is shuffled, both sides salted because one
+    bucket may hold a large share of the events. Rows that need no lookup are not part of that shuffle.
     """
-    spread = ranges.withColumn(
-        "_prefix", F.explode(F.sequence(F.floor(F.col("lo") / _PREFIX), F.floor(F.col("hi") / _PREFIX)))
-    ).select("_prefix", "lo", "hi", "range_country")
+    numeric = isinstance(ranges.schema["lo"].dataType, T.NumericType)
+    key = number_key if numeric else address_key
+    table = ranges.select(key(F.col("lo")).alias("_lo"), key(F.col("hi")).alias("_hi"), "range_country")
+    table = table.withColumn("_bucket", F.explode(F.sequence(key_bucket(F.col("_lo")), key_bucket(F.col("_hi")))))
     wanted = is_public_ip(F.col(ip)) if override_existing else F.col("country").isNull() & is_public_ip(F.col(ip))
-    number = F.when(wanted, ipv4_number(F.col(ip)))
-    keyed = df.withColumn("_ip", number).withColumn("_prefix", F.floor(F.col("_ip") / _PREFIX))
-    on = ["_prefix"]
-    if fits_broadcast(spread):
-        spread = F.broadcast(spread)
-    else:
-        on.append("_salt")
-        # Rows without a prefix cannot match; the salt spreads them as well.
-        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(_SALTS)))
-        spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")))
-    rows, table = keyed.alias("e"), spread.alias("r")
-    match = [F.col(f"e.{c}") == F.col(f"r.{c}") for c in on] + [F.col("e._ip").between(F.col("r.lo"), F.col("r.hi"))]
-    joined = rows.join(table, match, "left")
-    country = F.coalesce(F.col("r.range_country"), F.col("e.country"))
-    return joined.select(*[country.alias(c) if c == "country" else F.col(f"e.{c}") for c in df.columns])
+    keyed = df.withColumn("_key", F.when(wanted, address_key(F.col(ip)))).withColumn("_bucket", key_bucket(F.col("_key")))
+
+    def found(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+        left, right = rows.alias("e"), table.alias("r")
+        match = [F.col(f"e.{c}") == F.col(f"r.{c}") for c in on] + [F.col("e._key").between(F.col("r._lo"), F.col("r._hi"))]
+        country = F.coalesce(F.col("r.range_country"), F.col("e.country"))
+        joined = left.join(right, match, "left")
+        return joined.select(*[country.alias(c) if c == "country" else F.col(f"e.{c}") for c in df.columns])
+
+    if fits_broadcast(table):
+        return found(keyed, F.broadcast(table), ["_bucket"])
+    asked = keyed.where("_key is not null").withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(_SALTS)))
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")))
+    return found(asked, salted, ["_bucket", "_salt"]).unionByName(keyed.where("_key is null").select(*df.columns))
 
 
 # -- archive routing -------------------------------------------------------

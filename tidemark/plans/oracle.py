@@ -446,7 +446,7 @@ _SQL |= {
         ELSE CASE WHEN event_id % 3 = 0 THEN '7.7.7.7' ELSE '5.5.5.5' END END AS client_ip FROM enriched"""
     ),
     "enrich_country": _facts(
-        f""", {_ENRICHED} SELECT id AS event_id, coalesce(country, CASE WHEN {_PUBLIC} THEN 'N' || (n.n_nationkey % 10) END) AS country
+        f""", {_ENRICHED} SELECT id AS event_id, coalesce(country, CASE WHEN event_id % 2 = 1 OR {_PUBLIC} THEN 'N' || (n.n_nationkey % 10) END) AS country
         FROM enriched LEFT JOIN nation n ON n.n_nationkey = a"""
     ),
     "dedup_events": _facts(

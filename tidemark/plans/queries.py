@@ -398,17 +398,23 @@ def client_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One /8 block per nation."""
-    block = F.col("n_nationkey").cast("long") * 16_777_216
-    return table(spark, sf_dir, "nation").select(
-        block.alias("lo"), (block + 16_777_215).alias("hi"), F.concat(F.lit("N"), F.col("n_nationkey") % 10).alias("range_country")
-    )
+    """One IPv4 /8 and one IPv6 /32 block per nation."""
+    nation = table(spark, sf_dir, "nation")
+    block, name = F.hex(F.col("n_nationkey").cast("long")), F.concat(F.lit("N"), F.col("n_nationkey") % 10).alias("range_country")
+    v4 = nation.select(F.concat("n_nationkey", F.lit(".0.0.0")).alias("lo"), F.concat("n_nationkey", F.lit(".255.255.255")).alias("hi"), name)
+    rest = ":".join(["ffff"] * 6)
+    v6 = nation.select(F.concat(F.lit("2a00:"), block, F.lit("::")).alias("lo"), F.concat(F.lit("2a00:"), block, F.lit(f":{rest}")).alias("hi"), name)
+    return v4.unionByName(v6)
 
 
 @query
 def enrich_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other event asks by an IPv6 address of the same block."""
     ev = _enriched(sample_facts(spark, sf_dir))
-    return ingest.enrich_country(ev, ip_ranges(spark, sf_dir), "request_ip").select("event_id", "country")
+    block = F.hex(F.split_part("request_ip", F.lit("."), F.lit(1)).cast("long"))
+    wide = F.concat(F.lit("2A00:"), block, F.lit("::7:"), F.split_part("request_ip", F.lit("."), F.lit(4)))
+    asked = ev.withColumn("request_ip", F.when(F.col("event_id").cast("long") % 2 == 1, wide).otherwise(F.col("request_ip")))
+    return ingest.enrich_country(asked, ip_ranges(spark, sf_dir), "request_ip").select("event_id", "country")
 
 
 def _versions(ev: DataFrame) -> DataFrame:
