@@ -77,8 +77,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[D
     of_length = F.coalesce(*(F.when(F.col("length") == n, F.col(f"h{n}")[0]) for n in lengths or [window]))
     keys = stored(hashed.select("length", of_length.alias("h"), "run"), "bench-keys")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    texts = docs.filter("text is not null").select(name.alias("name"), F.sha2("text", 256).alias("sha"), words_of(F.col("text")).alias("words"))
-    scanned = run_hashes(texts, lengths or [window])
+    texts = docs.filter("text is not null").select(name.alias("name"), F.sha2("text", 256).alias("sha"), "text")
+    scanned = run_hashes(texts.withColumn("words", words_of(F.col("text"))), lengths or [window])
     arrays = F.array(*(F.struct(F.lit(n).alias("length"), F.col(f"h{n}").alias("hs")) for n in lengths or [window]))
     if len(lengths) <= 1:
         seen = scanned.select("name", "sha", F.lit((lengths or [window])[0]).alias("length"), F.posexplode_outer(f"h{(lengths or [window])[0]}").alias("at", "h"))
@@ -89,7 +89,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[D
     candidates = met.groupBy("name", "sha").agg(F.collect_set(F.struct("at", "length", "run")).alias("met"))
     same = lambda m: F.array_join(F.slice(F.col("words"), m["at"] + 1, m["length"]), " ") == m["run"]
     found = stored(candidates, "bench-met")
-    again = texts.join(found, ["name", "sha"]).withColumn("met", F.array_sort(F.filter("met", same)))
+    again = texts.join(found, ["name", "sha"]).withColumn("words", words_of(F.col("text"))).withColumn("met", F.array_sort(F.filter("met", same)))
     kept = again.filter(F.size("met") > 0).select("name", "sha", "met")
     return stored(kept.dropDuplicates(["name", "sha"]), "bench-hits"), items
 
