@@ -487,23 +487,42 @@ def test_estimate_is_near(spark):
         assert row["e"] == pytest.approx(row["s"], abs=near_dup.MARGIN)
 
 
-@pytest.mark.parametrize("small", [2, 32])
-def test_pairs_across_classes(spark, small, monkeypatch):
-    """Small buckets (join) and large ones (blocks) give the same pairs."""
+@pytest.mark.parametrize("small", [2, 100])
+def test_links_across_classes(spark, small, monkeypatch):
+    """Small buckets (join) and large ones (blocks) join the same classes as all pairs do."""
     monkeypatch.setattr(near_dup, "SMALL", small)
-    monkeypatch.setattr(near_dup, "BLOCK", 4)
-    rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))]
-    sets += [np.unique(np.concatenate([sets[0][: 100 - 2 * n], rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)])) for n in range(1, 12)]
-    bits = near_dup.packed(near_dup.minima(sets))
-    rows = [(1, bytes([i]), bytes([i % 5]), b.tolist()) for i, b in enumerate(bits)]
-    members = spark.createDataFrame([(b, bytearray(n), bytearray(lab), x) for b, n, lab, x in rows], "bucket long, node binary, label binary, bits array<long>")
-    found = {(bytes(r["a"]), bytes(r["b"])) for r in near_dup._across(members, 0.6).collect()}
-    fields = [[(int(w) & 0xFFFFFFFFFFFFFFFF) >> s & 15 for w in b for s in range(0, 64, 4)] for b in bits]
-
-    def estimated(i, j):
-        return (sum(x == y for x, y in zip(fields[i], fields[j], strict=True)) / 128 - 1 / 16) / (1 - 1 / 16)
-    assert found == {(bytes([i]), bytes([j])) for j in range(12) for i in range(j) if i % 5 != j % 5 and estimated(i, j) >= 0.6}
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    rng = random.Random(3)
+    sets = []
+    for _ in range(4):
+        base = rng.sample(range(1 << 60), 60)
+        for _ in range(15):
+            sets.append(sorted(set(rng.sample(base, 60 - rng.randint(0, 9))) | {rng.randrange(1 << 60) for _ in range(rng.randint(0, 9))}))
+    labels = [bytes([n % 25, 0]) for n in range(len(sets))]
+    bits = near_dup.packed(near_dup.minima([np.array(x, np.uint64) for x in sets]))
+    rows = [(n % 2 + m, bytearray([n, 0]), bytearray(labels[n]), bits[n].tolist()) for n in range(len(sets)) for m in (0, 1)]
+    members = spark.createDataFrame(rows, "bucket long, node binary, label binary, bits array<long>")
+    held = spark.createDataFrame([(bytearray([n, 0]), x) for n, x in enumerate(sets)], "node binary, shingles array<long>")
+    found = [(bytes(r["a"])[0], bytes(r["b"])[0]) for r in near_dup._across(members, held, 85).collect()]
+
+    def near(a, b):
+        both = len(set(sets[a]) & set(sets[b]))
+        return 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both)
+
+    def joined(pairs):
+        parent = {lab: lab for lab in labels}
+
+        def root(n):
+            while parent[n] != n:
+                n = parent[n]
+            return n
+
+        for a, b in pairs:
+            parent[root(labels[a])] = root(labels[b])
+        return {frozenset(lab for lab in labels if root(lab) == r) for r in map(root, labels)}
+
+    assert all(near(a, b) for a, b in found)
+    assert joined(found) == joined([(a, b) for b in range(len(sets)) for a in range(b) if near(a, b)])
 
 
 def test_classes_of_a_long_chain(spark):

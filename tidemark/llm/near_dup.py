@@ -7,9 +7,9 @@
 3. Candidates: in each bucket one pivot meets every other member, so a bucket of n nodes gives n - 1 pairs. The similarity of a pair is
    estimated by counting equal fields of the packed minima, corrected for chance agreement; pairs far below the threshold go.
 4. The rest are confirmed on full sets, and links give classes. Buckets that still hold several classes get another turn with another
-   pivot; pairs inside one class are never asked again. In the last turn every pair that shares a bucket across two classes and
-   whose estimate allows a link is asked, so no link that the bands can see is lost: small buckets are paired by a join, large ones in
-   blocks of ``BLOCK`` members, one pair of blocks at a time, and only pairs that pass the estimate leave a task.
+   pivot; pairs inside one class are never asked again. In the last turn every pair that shares a bucket across two classes is asked, so
+   no link that the bands can see is lost: small buckets are paired by a join (and filtered by the estimate), large ones are compared on
+   full sets in blocks of ``BLOCK`` members, one pair of blocks at a time, and a task returns only as many links as join its classes.
 5. Classes come from min-label rounds on the links (large star, small star), with files between the rounds.
 
 Misses: a pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS, that is all but 1e-6 at 0.85. The estimate
@@ -39,7 +39,7 @@ BITS = 4
 MARGIN = 0.17
 REMEMBERED = 1_000_000
 SMALL, BLOCK = 32, 1_000
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 _FIELDS = 0x1111_1111_1111_1111
 
 _rng = np.random.default_rng(19)
@@ -173,7 +173,7 @@ def classes(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.distinct(), "near-large")
+        large = large.distinct()  # both uses below read the one exchange
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = stored(large.join(down, "u").select(F.explode(ends).alias("e")).select("e.*").filter("u <> v").distinct(), "near-small")
@@ -192,46 +192,98 @@ def confirmed(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
     return sized.filter(F.col("both") * 100 >= (F.col("all") - F.col("both")) * near).select("a", "b")
 
 
-def block_pairs(near: float):
-    """For ``applyInPandas``: members of two blocks of a bucket to the pairs across classes whose estimate reaches ``near``."""
+def _common(first: list[np.ndarray], second: list[np.ndarray], alone: bool) -> np.ndarray:
+    """Numbers of common elements of every pair of sets; ``alone``: both lists are the same one."""
+    flat_a, flat_b = np.concatenate(first), np.concatenate(second)
+    if alone:  # an element of one set only counts on the diagonal, which nobody asks for
+        values, counts = np.unique(flat_a, return_counts=True)
+        shared = values[counts > 1]
+    else:
+        shared = np.intersect1d(flat_a, flat_b)
+    found = np.zeros((len(first), len(second)), np.float32)
+
+    def placed(flat: np.ndarray, sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+        here = part[at] == flat
+        marks = np.zeros((len(sets), len(part)), np.float32)
+        marks[rows[here], at[here]] = 1
+        return marks
+
+    for start in range(0, len(shared), 4096):
+        part = shared[start : start + 4096]
+        found += placed(flat_a, first, part) @ placed(flat_b, second, part).T
+    return found
+
+
+def block_links(near: int):
+    """For ``applyInPandas``: members of two blocks of a cluster to confirmed links between their classes, as few as join them.
+
+    Sets come as what they add to and lack of the cluster's pivot, so that |x & y| = |pivot| - |lacks x or y| + |added by both|.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first = group[group["side"] == 0]
-        second = group[group["side"] == 1] if (group["side"] == 1).any() else first
-        x = np.array(first["bits"].tolist(), np.int64).view(np.uint64)
-        y = np.array(second["bits"].tolist(), np.int64).view(np.uint64)
-        most = HASHES * (1 - (near * (1 - 2.0**-BITS) + 2.0**-BITS))
-        names, others = first["node"].to_numpy(), second["node"].to_numpy()
+        alone = not (group["side"] == 1).any()
+        second = first if alone else group[group["side"] == 1]
         codes = pd.factorize(pd.concat([first["label"], second["label"]]))[0]  # numpy compares bytes without their trailing zeros
-        labels, marks = codes[: len(x)], codes[len(x) :]
-        found_a, found_b = [], []
-        for i in range(len(x)):
-            d = x[i] ^ y
-            d |= d >> np.uint64(1)
-            d |= d >> np.uint64(2)
-            apart = np.bitwise_count(d & np.uint64(_FIELDS)).sum(axis=1)
-            hit = np.flatnonzero((apart <= most) & (marks != labels[i]))
-            found_a += [names[i]] * len(hit)
-            found_b += others[hit].tolist()
-        return pd.DataFrame({"a": found_a, "b": found_b})
+        mine, theirs = codes[: len(first)], codes[len(first) :]
+        added, lacking = ([[np.asarray(v, np.int64) for v in side[c]] for side in (first, second)] for c in ("added", "lacking"))
+        lacks = [np.array([len(v) for v in side]) for side in lacking]
+        base = int(first["base"].iloc[0])
+        sizes = [base - lacks[n] + np.array([len(v) for v in added[n]]) for n in (0, 1)]
+        both = base - lacks[0][:, None] - lacks[1][None, :] + np.rint(_common(*lacking, alone) + _common(*added, alone)).astype(np.int64)
+        either = sizes[0][:, None] + sizes[1][None, :] - both
+        hits = (both * 100 >= either * near) & (mine[:, None] != theirs[None, :])
+        names, others = first["node"].to_numpy(), second["node"].to_numpy()
+        parent = list(range(int(codes.max()) + 1))
+
+        def root(n: int) -> int:
+            while parent[n] != n:
+                parent[n] = n = parent[parent[n]]
+            return n
+
+        found = []
+        for row in np.flatnonzero(hits.any(axis=1)):
+            columns = np.flatnonzero(hits[row])
+            for code, at in zip(*np.unique(theirs[columns], return_index=True), strict=True):
+                if root(mine[row]) != root(code):
+                    parent[root(mine[row])] = root(code)
+                    found.append((names[row], others[columns[at]]))
+        return pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
 
-def _across(members: DataFrame, least: float) -> DataFrame:
-    """Every pair of a bucket across classes whose estimate reaches ``least``."""
+def _across(members: DataFrame, sets: DataFrame, near: int) -> DataFrame:
+    """Confirmed links (a, b) between classes that share a bucket, enough of them to join all classes that have a link.
+
+    Small buckets give their pairs. Large ones are gathered into clusters (nodes that share large buckets, directly or over others);
+    a cluster is compared in pairs of blocks, and a pair of blocks returns fewer links than it has classes.
+    """
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     sized = members.join(sizes, "bucket")
-    few, many = sized.filter(F.col("n") <= SMALL).drop("n"), sized.filter(F.col("n") > SMALL)
+    few, many = sized.filter(F.col("n") <= SMALL), stored(sized.filter(F.col("n") > SMALL).select("bucket", "node", "label"), "near-large")
     other = few.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("node", "label", "bits")))
     joined = few.join(other, "bucket").filter("node < node_2 and label <> label_2")
-    small = joined.filter(estimate(F.col("bits"), F.col("bits_2")) >= least).select(F.col("node").alias("a"), F.col("node_2").alias("b"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = many.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-    dealt = placed.select("bucket", "node", "label", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    paired = dealt.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("side"), "node", "label", "bits")
-    large = paired.groupBy("bucket", "i", "j").applyInPandas(block_pairs(least), "a binary, b binary")
-    return small.unionByName(large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    close = joined.filter(estimate(F.col("bits"), F.col("bits_2")) >= near / 100 - MARGIN)
+    links = confirmed(stored(close.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct(), "near-pairs"), sets, near)
+    if many.isEmpty():
+        return links
+    least = many.groupBy("bucket").agg(F.min("node").alias("a"))
+    clusters = stored(classes(many.join(least, "bucket").select("a", F.col("node").alias("b"))), "near-clusters")
+    nodes = many.select("node", "label").distinct().join(clusters.withColumnRenamed("label", "cluster"), "node").join(sets, "node")
+    nodes = stored(nodes, "near-blocks")
+    pivots = nodes.groupBy("cluster").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    pivots = pivots.join(sets, "node").select("cluster", "n", F.col("shingles").alias("pivot"))
+    apart = nodes.join(pivots, "cluster").select(
+        "cluster", "node", "label", F.array_except("shingles", "pivot").alias("added"), F.array_except("pivot", "shingles").alias("lacking"),
+        F.size("pivot").alias("base"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
+    )
+    placed = apart.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with"), "side": (F.col("block") > F.col("with")).cast("int")})
+    return links.unionByName(paired.drop("blocks", "block", "with").groupBy("cluster", "i", "j").applyInPandas(block_links(near), "a binary, b binary"))
 
 
 def near_classes(docs: DataFrame, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
@@ -267,9 +319,9 @@ def near_classes(docs: DataFrame, near: int = NEAR) -> tuple[DataFrame, DataFram
             pivots = pivots.select("bucket", *(F.col(f"p.{c}").alias(f"{c}_2") for c in ("node", "label", "bits")))
             met = waiting.join(pivots, "bucket").filter("label <> label_2").filter(estimate(F.col("bits"), F.col("bits_2")) >= least)
             pairs = met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+            found = stored(confirmed(stored(pairs, "near-pairs"), sets, near), "near-links")
         else:
-            pairs = _across(waiting, least)
-        found = stored(confirmed(stored(pairs, "near-pairs"), sets, near), "near-links")
+            found = stored(_across(waiting, sets, near), "near-links")
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
