@@ -185,11 +185,11 @@ def test_token_files(spark, odd, folder):
     from tokenizers import Tokenizer
 
     rows, docs = odd
-    path, schema = f"{folder}/ids", "doc_id long, before long, ids array<int>"
+    path = f"{folder}/ids"
     token_files.write_token_files(docs, path, JSON)
     tokenizer = Tokenizer.from_file(JSON)
     encode = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
-    read = token_files.read_token_files(spark, path, schema).collect()
+    read = token_files.read_token_files(spark, path).collect()
     assert sorted((repr((r["doc_id"], r["ids"])) for r in read)) == sorted(repr((i, encode(t))) for i, t in rows)
     place = 0
     for r in sorted(read, key=lambda r: r["start"]):
@@ -197,15 +197,15 @@ def test_token_files(spark, odd, folder):
         place += len(r["ids"])
     order = [r["doc_id"] for r in sorted(read, key=lambda r: r["start"])]
     assert order == sorted(order, key=lambda i: (i is not None, i or 0))
-    sums = token_files.checksums(token_files.read_token_files(spark, path, schema)).collect()
+    sums = token_files.checksums(token_files.read_token_files(spark, path)).collect()
     assert {r["start"]: r["ids_crc32"] for r in sums} == {r["start"]: zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in read}
-    assert [tuple(r) for r in token_files.look_up(spark, path, schema, [6]).collect()] == [(6, encode(ODD[6]))]
+    assert [tuple(r) for r in token_files.look_up(spark, path, [6]).collect()] == [(6, encode(ODD[6]))]
 
 
 def test_token_files_of_nothing(spark, empty, folder):
     path = f"{folder}/none"
     token_files.write_token_files(empty, path, JSON)
-    assert token_files.read_token_files(spark, path, "doc_id long, before long, ids array<int>").count() == 0
+    assert token_files.read_token_files(spark, path).count() == 0
 
 
 def test_segments_on_random_texts():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import decontaminate, exact_dedup, language, near_dup, pieces, sharding, token_counts, token_files, toxicity, url_filter
-from tidemark.llm.common import id_type, in_bucket, table
+from tidemark.llm.common import in_bucket, table
 from tidemark.session import scratch_dir
 
 SHARDS = 40
@@ -66,7 +66,7 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), scratch_dir(spark, "token-files")
     token_files.write_token_files(docs, path, vocabulary("byte_bpe_50k.json"))
-    return token_files.checksums(token_files.read_token_files(spark, path, f"{id_type(docs)}, before long, ids array<int>"))
+    return token_files.checksums(token_files.read_token_files(spark, path, docs.schema["doc_id"].dataType.simpleString()))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

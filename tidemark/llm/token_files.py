@@ -3,7 +3,7 @@
 Rows are dealt to tasks by ranges of doc_id (then of the text's hash, so repeated ids don't meet in one task) and written in that order:
 file after file, each holding its range. Ids are integers in ORC's run-length encoding; stripes can be read in parallel;
 a row index every ``STRIDE`` rows and a Bloom filter on doc_id let a reader skip stripes and row groups by metadata alone. Each row also
-holds the number of ids before it in its file, so the place of a document in the whole stream is that number and one sum per file.
+holds its number of ids and that of the ids before it in its file, so the place of a document in the whole stream is that number and one sum per file.
 
 Segments (a run of white space and what follows up to the next one) are remembered per worker, at most ``REMEMBERED``; new
 ones go through the tokenizers library. The split is exact: the pre-tokenizer always ends a token before a blank that follows a visible
@@ -16,6 +16,7 @@ together, null ids first; an empty table gives no rows; columns other than doc_i
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +36,20 @@ class _Whole(Exception):
     """This text can't be split at blanks."""
 
 
+def _high_bytes(split) -> dict[str, str]:
+    """For the bytes of UTF-8 from 128 on, read as Latin-1, the characters that stand for them."""
+    found: dict[str, str] = {}
+    for point in [*range(0x80, 0x800), *range(0x800, 0x10000, 61), *range(0x10000, 0x110000, 997)]:
+        if 0xD800 <= point < 0xE000:
+            continue
+        letter = chr(point)
+        signs = "".join(part for part, _ in split(letter))
+        raw = letter.encode().decode("latin-1")
+        if len(signs) == len(raw):
+            found.update(zip(raw, signs, strict=True))
+    return found
+
+
 class Encoder(dict):
     """Segment -> its ids as little-endian 32-bit integers."""
 
@@ -46,19 +61,31 @@ class Encoder(dict):
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        split = self.library.pre_tokenizer.pre_tokenize_str
+        # The character that stands for each byte, as the library itself shows it.
+        self.alphabet = {byte: split(chr(byte))[0][0] for byte in range(128)} | {ord(c): sign for c, sign in _high_bytes(split).items()}
+        self.marks = {mark: self._ids(mark) for mark in ".,;:!?"}
 
     def __missing__(self, segment: str) -> bytes:
         body = segment[1:] if segment[:1] == "\n" else segment
         if not body or body[0].isspace() or body[-1].isspace():
             raise _Whole
-        value = self[segment] = self._ids(segment if segment[0] == "\n" else " " + segment)
+        if segment is body and body[-1] in ".,;:!?" and body[:-1].isalpha():
+            value = self[body[:-1]] + self.marks[body[-1]]  # the pre-tokenizer parts letters from marks
+        else:
+            value = self._ids(segment if segment[0] == "\n" else " " + segment)
+        self[segment] = value
         return value
 
     def _ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
-        model, split = self.library.model, self.library.pre_tokenizer.pre_tokenize_str
-        return np.array([token.id for piece, _ in split(text) for token in model.tokenize(piece)], "<u4").tobytes()
+        if text[0] == " " and text[1:].isalpha():  # letters behind a blank are one pre-token: its bytes in the vocabulary's alphabet
+            parts = [text.encode().decode("latin-1").translate(self.alphabet)]
+        else:
+            parts = [part for part, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        tokenize = self.library.model.tokenize
+        return array("I", [token.id for part in parts for token in tokenize(part)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -86,7 +113,7 @@ def load(path: str) -> Encoder:
 
 
 def encode_batches(path: str, end_id: int):
-    """For ``mapInArrow`` over one range: doc_id and text to doc_id, before (ids of this range so far) and ids."""
+    """For ``mapInArrow`` over one range: doc_id and text to doc_id, before (ids of this range so far), size and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before, end = load(path), 0, np.array([end_id], "<u4").tobytes()
@@ -97,26 +124,30 @@ def encode_batches(path: str, end_id: int):
                     encoder.clear()
                 offsets = np.cumsum([0, *(len(r) // 4 for r in runs)])
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(runs), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before + offsets[:-1], pa.int64()), ids], ["doc_id", "before", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before + offsets[:-1], pa.int64()), pa.array(np.diff(offsets), pa.int32()), ids], ["doc_id", "before", "size", "ids"])
                 before += int(offsets[-1])
 
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, codec: str = "zstd") -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, codec: str = "none") -> None:
     """Writes the ids of all documents below ``path``; a repeated call needs another folder."""
     ship(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    encoded = ordered.mapInArrow(encode_batches(vocabulary, end_id), f"{id_type(docs)}, before long, ids array<int>")
+    encoded = ordered.mapInArrow(encode_batches(vocabulary, end_id), f"{id_type(docs)}, before long, size int, ids array<int>")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE)}
     encoded.write.options(**options).option("compression", codec).orc(path)
 
 
-def read_token_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def stored_schema(id_kind: str = "bigint") -> str:
+    return f"doc_id {id_kind}, before long, size int, ids array<int>"
+
+
+def read_token_files(spark: SparkSession, path: str, id_kind: str = "bigint") -> DataFrame:
     """doc_id, ids and start (ids of all documents before it) of every row."""
-    rows = spark.read.schema(schema).orc(path).select("doc_id", "before", "ids", F.col("_metadata.file_name").alias("file"))
-    ends = rows.groupBy("file").agg(F.max(F.col("before") + F.size("ids")).alias("held")).collect()  # one number per file
+    rows = spark.read.schema(stored_schema(id_kind)).orc(path).withColumn("file", F.col("_metadata.file_name"))
+    ends = rows.groupBy("file").agg(F.max(F.col("before") + F.col("size")).alias("held")).collect()  # one number per file
     bases, seen = [], 0
     for row in sorted(ends, key=lambda r: r["file"]):
         bases.append((row["file"], seen))
@@ -125,9 +156,9 @@ def read_token_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return based.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "ids")
 
 
-def look_up(spark: SparkSession, path: str, schema: str, doc_ids: list[int]) -> DataFrame:
+def look_up(spark: SparkSession, path: str, doc_ids: list[int], id_kind: str = "bigint") -> DataFrame:
     """The rows of some documents; stripes without them are skipped by range and Bloom filter."""
-    return spark.read.schema(schema).orc(path).filter(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
+    return spark.read.schema(stored_schema(id_kind)).orc(path).filter(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
 
 
 def checksum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
