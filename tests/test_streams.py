@@ -60,8 +60,28 @@ def test_a_repeated_batch_replaces_itself(spark, folder, log):
         sinks.write_facts(batch, f"{folder}/facts", 3)
         sinks.write_catalog(batch, f"{folder}/catalog", 3)
     assert sources.facts(spark, f"{folder}/facts", raw=True).count() == batch.count()
-    sinks.compact_facts(sources.facts(spark, f"{folder}/facts", raw=True), f"{folder}/compact/batch_id=0")
-    assert sources.facts(spark, f"{folder}/compact", raw=True).count() == 1_900
+    assert sinks.merge_facts(spark, f"{folder}/facts") == 1 and sinks.merge_facts(spark, f"{folder}/facts") == 0
+    assert sources.facts(spark, f"{folder}/facts", raw=True).count() == 1_900
+
+
+def test_merged_and_fresh_rows_read_as_one(spark, folder):
+    root = f"{folder}/facts"
+    rows = lambda numbers, **more: ingest.conform(ingest.decode(log_of(spark, [payload(n, occured_at=f"2026-{1 + n % 3:02d}-01T00:00:00Z") for n in numbers]))).withColumns({k: F.lit(v) for k, v in more.items()})
+    later, dead = datetime(2030, 1, 1), F.lit(1).cast("byte")
+    sinks.write_facts(rows(range(30)), root, 0)
+    sinks.write_facts(rows(range(10)), root, 1)
+    assert sinks.merge_facts(spark, root) == 2
+    plan = sources.facts(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan  # resolved once, when it was merged
+    sinks.write_facts(rows([0, 3, 6]).withColumn("is_deleted", dead).withColumn("updated_at", F.lit(later)), root, 2)
+    sinks.write_facts(rows([90]), root, 3)
+    seen = lambda: sources.facts(spark, root).select("event_id").distinct().count()
+    assert sources.facts(spark, root).count() == seen() == 28
+    assert sources.facts(spark, root, Scope("org-one", "workspace-a"), ("2026-02-01", "2026-02-28")).count() == 10
+    assert sinks.merge_facts(spark, root) == 2 and sources.facts(spark, root).count() == 28
+    sinks.write_facts(rows([3]), root, 4)  # an old version comes late
+    assert sources.facts(spark, root).count() == 28
+    assert sources.batch_ids(spark, root) == [4]
 
 
 def test_a_failed_batch_is_run_again(spark, folder, log):
@@ -110,8 +130,8 @@ def test_orgs_that_share_ids_keep_their_rows(spark, folder):
     assert sources.facts(spark, f"{folder}/facts").count() == 100
     assert sources.facts(spark, f"{folder}/facts", Scope("org-two", "workspace-a")).count() == 50
     assert ingest.upsert_by_id(rows).count() == 100
-    sinks.compact_facts(rows, f"{folder}/compact/batch_id=0")
-    assert sources.facts(spark, f"{folder}/compact", raw=True).count() == 100
+    sinks.merge_facts(spark, f"{folder}/facts")
+    assert sources.facts(spark, f"{folder}/facts", raw=True).count() == 100
 
 
 def test_payloads_with_line_breaks_come_back_whole(spark, folder):

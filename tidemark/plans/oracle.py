@@ -535,6 +535,7 @@ _SQL |= {
         "SELECT workspace_id, event_name, count(*) AS event_count FROM f "
         "WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-25' GROUP BY 1, 2"
     ),
+    "merge_facts": _facts("SELECT id AS event_id, event_name FROM f WHERE event_id % 3 <> 0"),
     "sink_facts": _log(
         f"SELECT uuid AS event_id, event_name, {_at('ts')} AS event_timestamp, workspace_id, actor_id, country FROM once WHERE {_GOOD}"
     ),

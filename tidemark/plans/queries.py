@@ -620,6 +620,18 @@ def src_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("workspace_id", "event_name").agg(F.count(F.lit(1)).alias("event_count"))
 
 
+@query
+def merge_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts, then other versions and deletions of them in a later batch; merged, and read with one more fresh batch."""
+    root, ev = scratch_dir(spark, "merge-facts"), sample_facts(spark, sf_dir)
+    sinks.write_facts(ev, root, 0)
+    sinks.merge_facts(spark, root)
+    sinks.write_facts(_versions(ev), root, 1)
+    sinks.merge_facts(spark, root)
+    sinks.write_facts(ev, root, 2)
+    return sources.facts(spark, root).select("event_id", "event_name")
+
+
 @query
 def sink_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payload log streamed into the fact table, resends and all, read back without copies."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tidemark.functions import documents, props, times
 from tidemark.model import ENVELOP_VERSION, FACT_COLUMNS, FACT_SCHEMA, RAW_SCHEMA, Scope
 from tidemark.operators.ingest import drop_deleted
+from tidemark.session import small_side
 
 
 def read_event_stream(spark: SparkSession, source: str | Mapping[str, str], files_per_trigger: int | None = None) -> DataFrame:
@@ -77,28 +78,68 @@ def split_concatenated(bodies: DataFrame, body: str = "body") -> DataFrame:
     return parsed.where(F.forall("_docs", _is_sound)).select(*rest, F.posexplode("_docs").alias("pos", "document"))
 
 
-_STORED = T.StructType(
-    [T.StructField("batch_id", T.LongType()), T.StructField("month", T.StringType())] + list(FACT_SCHEMA.fields)
-)
+_STORED = T.StructType([T.StructField("month", T.StringType())] + list(FACT_SCHEMA.fields))
+#: What places a fact row in the table.
+PART = ("org_id", "workspace_id", "month")
+
+
+def merged_folder(root: str) -> str:
+    """Where `sinks.merge_facts` keeps resolved rows; the leading underscore hides it from readers of the batches."""
+    return f"{root}/_merged"
+
+
+def batch_ids(spark: SparkSession, root: str) -> list[int]:
+    """Ids of the batches that no merge has consumed yet."""
+    if not folder_exists(spark, root):
+        return []
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    found = jvm_path(root).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path(f"{root}/batch_id=*")) or []
+    return sorted(int(status.getPath().getName().removeprefix("batch_id=")) for status in found)
+
+
+def fresh_rows(spark: SparkSession, root: str, ids: list[int]) -> DataFrame:
+    """All versions in the given batches."""
+    schema = T.StructType([T.StructField("batch_id", T.LongType()), *_STORED.fields])
+    rows = spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/batch_id={n}" for n in ids])
+    return rows.select(*FACT_COLUMNS, "month")
+
+
+def merged_rows(spark: SparkSession, root: str) -> DataFrame:
+    """One version per key, deletions among them."""
+    if not folder_exists(spark, merged_folder(root)):
+        return spark.createDataFrame([], _STORED).select(*FACT_COLUMNS, "month")
+    return spark.read.schema(_STORED).parquet(merged_folder(root)).select(*FACT_COLUMNS, "month")
 
 
 def facts(spark: SparkSession, root: str, scope: Scope | None = None, rng=None, raw: bool = False) -> DataFrame:
-    """The fact table of one scope: partitions pruned by workspace and month, latest versions only.
+    """The fact table of one scope: partitions pruned by org, workspace and month, latest versions only.
 
-    A folder that does not exist yet is an empty table. ``raw`` skips version resolution.
+    Merged rows hold one version per key, so they are read as they are, without a shuffle. Versions are resolved only
+    in partitions that a batch after the last merge has touched. A folder that does not exist yet is an empty table.
+    ``raw`` gives every stored version.
     """
-    if not folder_exists(spark, root):
-        return spark.createDataFrame([], FACT_SCHEMA)
-    rows = spark.read.schema(_STORED).parquet(root)
-    if scope is not None:
-        rows = rows.where((F.col("workspace_id") == scope.workspace_id) & (F.col("org_id") == scope.org_id))
-    if rng is not None:
-        start, end = times.instant(rng[0]), times.instant(rng[1])
-        rows = rows.where(F.col("month").between(f"{start:%Y%m}", f"{end:%Y%m}")).where(
-            times.closed(F.col("event_timestamp"), start, end)
-        )
-    rows = rows.select(*FACT_COLUMNS)
-    return rows if raw else drop_deleted(rows)
+    ids = batch_ids(spark, root)
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        if scope is not None:
+            rows = rows.where((F.col("workspace_id") == scope.workspace_id) & (F.col("org_id") == scope.org_id))
+        if rng is not None:
+            start, end = times.instant(rng[0]), times.instant(rng[1])
+            rows = rows.where(F.col("month").between(f"{start:%Y%m}", f"{end:%Y%m}")).where(
+                times.closed(F.col("event_timestamp"), start, end)
+            )
+        return rows
+
+    merged = wanted(merged_rows(spark, root))
+    if not ids:
+        return (merged if raw else merged.where("is_deleted = 0")).select(*FACT_COLUMNS)
+    fresh = wanted(fresh_rows(spark, root, ids))
+    if raw:
+        return merged.unionByName(fresh).select(*FACT_COLUMNS)
+    touched = small_side(fresh.select(*PART).distinct())
+    open_rows = merged.join(touched, list(PART), "left_semi").unionByName(fresh)
+    settled = merged.where("is_deleted = 0").join(touched, list(PART), "left_anti")
+    return settled.select(*FACT_COLUMNS).unionByName(drop_deleted(open_rows.select(*FACT_COLUMNS)))
 
 
 #: Ends an archived record: a control character that no JSON text holds unescaped, and a line end.

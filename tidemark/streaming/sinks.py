@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.functions import times
 from tidemark.operators.catalog import new_catalog_rows, schema_catalog
 from tidemark.operators.ingest import ID_KEY, dedup
-from tidemark.sources.events import RECORD_END, folder_exists
+from tidemark.session import scratch_dir, small_side
+from tidemark.sources.events import PART, RECORD_END, batch_ids, folder_exists, fresh_rows, merged_folder, merged_rows
 
 ARCHIVE_BLOCK = 10_000
 CATALOG_SCHEMA = "org_id string, workspace_id string, event_name string, property string, type string"
@@ -27,20 +28,30 @@ def write_facts(facts: DataFrame, root: str, batch_id: int) -> None:
     rows.write.mode("overwrite").partitionBy("org_id", "workspace_id", "month").parquet(batch_folder(root, batch_id))
 
 
-def compact_facts(rows: DataFrame, target: str) -> None:
-    """Rewrites fact rows once each, clustered for range reads: org, workspace, month, then name, time and id.
+def merge_facts(spark: SparkSession, root: str) -> int:
+    """Resolves the batches written since the last merge into the merged rows and drops them; returns how many there were.
 
-    Queries read the result with ``raw=True``: no shuffle for versions, and files skipped by name and
-    time. Range partitioning cuts by row count, so neither a large workspace nor a hot event is one task.
+    Only partitions (org, workspace, month) that a batch touches are rewritten, clustered by name, time and id for range reads. Deletions
+    stay, so an older version that comes late cannot undo them. A run that ends between its steps leaves a table that
+    reads the same, as resolving is idempotent: the next run finishes the work. Not to be run twice at a time.
     """
-    order = ["org_id", "workspace_id", "month", "event_name", "event_timestamp", "event_id"]
-    clustered = (
-        dedup(rows)
-        .withColumn("month", F.date_format("event_timestamp", "yyyyMM"))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-    )
-    clustered.write.mode("overwrite").partitionBy("org_id", "workspace_id", "month").parquet(target)
+    ids = batch_ids(spark, root)
+    if not ids:
+        return 0
+    fresh = fresh_rows(spark, root, ids)
+    touched = small_side(fresh.select(*PART).distinct())
+    rows = dedup(merged_rows(spark, root).join(touched, list(PART), "left_semi").unionByName(fresh))
+    order = [*PART, "event_name", "event_timestamp", "event_id"]
+    resolved = scratch_dir(spark, "merge")  # apart from the folder it replaces
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(resolved)
+    ready = spark.read.schema(rows.schema).parquet(resolved)
+    # The range order holds in the stored files; writing them on needs no further shuffle.
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PART).parquet(merged_folder(root))
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for batch_id in ids:
+        fs.delete(jvm_path(batch_folder(root, batch_id)), True)
+    return len(ids)
 
 
 def write_catalog(facts: DataFrame, root: str, batch_id: int) -> None:
