@@ -22,7 +22,6 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.common import id_type, ship, slices
 
 PER_LANGUAGE = 4_000
-CELLS = 1 << 16
+CELL_BITS = 16
+CELLS = 1 << CELL_BITS
 LONGEST_GRAM = 4
 SCRIPT_SHARE = 0.01
 MOST_LOST = 5.0
@@ -65,10 +65,23 @@ def letters_of(token: str) -> str:
     return token.lower() if token.isalpha() else "".join(filter(str.isalpha, token)).lower()
 
 
-def cells_of(word: str) -> list[int]:
-    """Cells of a word's n-grams."""
-    ended = f"^{word}$"
-    return [crc32(ended[i : i + n].encode()) % CELLS for n in range(1, LONGEST_GRAM + 1) for i in range(len(ended) - n + 1)]
+def cells_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the n-grams of many words, over bytes of UTF-8, and the number of each n-gram's word."""
+    raw = [f"^{word}$".encode() for word in words]
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    letters = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
+    owner = np.repeat(np.arange(len(raw)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(letters))  # letters from here to the word's end
+    cells, owners = [], []
+    code = np.zeros(len(letters), np.uint32)
+    for size in range(1, LONGEST_GRAM + 1):
+        here = left >= size
+        code = code[: len(letters) - size + 1] * np.uint32(257) + letters[size - 1 :]
+        at = here[: len(code)]
+        mixed = (code[at] ^ (code[at] >> np.uint32(15)) ^ np.uint32(size * 0x9E37)) * np.uint32(0x85EBCA6B)
+        cells.append((mixed >> np.uint32(32 - CELL_BITS)).astype(np.int64))
+        owners.append(owner[: len(code)][at])
+    return np.concatenate(cells), np.concatenate(owners)
 
 
 @dataclass
@@ -91,14 +104,13 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def fold(lang: str) -> None:
         held = cells.setdefault(lang, np.zeros(CELLS, np.int64))
         seen = scripts.setdefault(lang, Counter())
-        grams: Counter = Counter()
-        for token, n in words.pop(lang).items():
-            word = letters_of(token)
-            if word:
-                seen[script_of(word[0])] += n * len(word)
-                for cell in cells_of(word):
-                    grams[cell] += n
-        held += np.bincount(np.fromiter(grams.keys(), np.int64, len(grams)), np.fromiter(grams.values(), np.int64, len(grams)), CELLS).astype(np.int64)
+        counted = [(word, n) for token, n in words.pop(lang).items() if (word := letters_of(token))]
+        for word, n in counted:
+            seen[script_of(word[0])] += n * len(word)
+        if counted:
+            grams, owners = cells_of([word for word, _ in counted])
+            weights = np.fromiter((n for _, n in counted), np.int64, len(counted))
+            held += np.bincount(grams, weights[owners], CELLS).astype(np.int64)
 
     for batch in batches:
         for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -153,27 +165,32 @@ class Words(dict):
 
     def start(self) -> None:
         self.clear()
-        self.used, self.loss, self.weight = 1, np.zeros((1 << 16, self.size), np.float32), np.zeros(1 << 16, np.int32)
-        self.lettered = np.zeros(1 << 16, bool)
-
-    def __missing__(self, token: str) -> int:
-        word = letters_of(token)
-        if not word:
-            self[token] = 0
-            return 0
-        if self.used == len(self.loss):
-            self.loss = np.concatenate([self.loss, np.zeros_like(self.loss)])
-            self.weight = np.concatenate([self.weight, np.zeros_like(self.weight)])
-            self.lettered = np.concatenate([self.lettered, np.zeros_like(self.lettered)])
-        row = self[token] = self.used
-        self.used += 1
-        self.lettered[row] = True
-        mask = self.model.scripts.get(script_of(word[0]))
-        if mask is not None and mask.any():
-            score = self.model.gram[cells_of(word)].sum(axis=0)
-            self.loss[row] = np.where(mask, np.minimum(score[mask].max() - score, MOST_LOST), MOST_LOST)
-            self.weight[row] = len(word)
-        return row
+        self.used = 1
+        self.loss, self.weight, self.lettered = np.zeros((1, self.size), np.float32), np.zeros(1, np.int32), np.zeros(1, bool)
+
+    def learn(self, tokens: set[str]) -> None:
+        """Adds the tokens that are not known yet, all at once."""
+        fresh = sorted(tokens.difference(self))
+        words = {token: word for token in fresh if (word := letters_of(token))}
+        self.update(dict.fromkeys(fresh, 0))
+        if not words:
+            return
+        plain = list(words.values())
+        self.update(zip(words, range(self.used, self.used + len(plain)), strict=True))
+        scripts = [script_of(word[0]) for word in plain]
+        masks = {s: m for s in set(scripts) if (m := self.model.scripts.get(s)) is not None and m.any()}
+        known = np.array([s in masks for s in scripts])
+        loss, weight = np.zeros((len(plain), self.size), np.float32), np.zeros(len(plain), np.int32)
+        if known.any():
+            cells, owners = cells_of(plain)
+            score = np.stack([np.bincount(owners, self.model.gram[cells, n], len(plain)) for n in range(self.size)], axis=1)
+            mask = np.array([masks.get(s, np.ones(self.size, bool)) for s in scripts])
+            best = np.where(mask, score, -np.inf).max(axis=1)
+            loss[:] = np.where(mask, np.minimum(best[:, None] - score, MOST_LOST), MOST_LOST) * known[:, None]
+            weight[:] = np.fromiter(map(len, plain), np.int64, len(plain)) * known
+        self.used += len(plain)
+        self.loss, self.weight = np.concatenate([self.loss, loss]), np.concatenate([self.weight, weight])
+        self.lettered = np.concatenate([self.lettered, np.ones(len(plain), bool)])
 
 
 def viterbi(loss: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -212,6 +229,7 @@ def label_texts(words: Words, texts: list[str | None]) -> list[tuple[str, float,
     if words.used > REMEMBERED:
         words.start()
     tokens = [text.split() if text else [] for text in texts]
+    words.learn(set().union(*tokens))
     found: list[tuple[str, float, list[tuple[int, int, str]]]] = []
     prior = max(range(words.size), key=lambda i: model.documents[i]) if words.size else 0
     rows = [np.fromiter(map(words.__getitem__, t), np.int64, len(t)) for t in tokens]
