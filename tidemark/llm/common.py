@@ -7,8 +7,9 @@ import os
 import string
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,20 @@ def id_type(docs: DataFrame) -> str:
     return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
 
 
+_memory: dict = {}
+
+
+def only(key: tuple, make: Callable[[], Any]) -> Any:
+    """What an operator remembers between the tasks of one Python worker.
+
+    A worker serves one operator after the other; the last one's memory goes when the next asks, so they never add up.
+    """
+    if key not in _memory:
+        _memory.clear()
+        _memory[key] = make()
+    return _memory[key]
+
+
 _shipped: set[str] = set()
 
 

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import id_type, ship, slices
+from tidemark.llm.common import id_type, only, ship, slices
 
 PER_LANGUAGE = 4_000
 CELL_BITS = 16
@@ -36,7 +36,9 @@ LONGEST_GRAM = 4
 SCRIPT_SHARE = 0.01
 MOST_LOST = 5.0
 SWITCH = 15.0
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+#: Distinct words that a task of the fit counts before it folds them into cells, over all languages.
+COUNTED = 200_000
 #: Words that advance together in one pass.
 PASS_WORDS = 1_000_000
 UNKNOWN = "und"
@@ -114,10 +116,10 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counted = words.setdefault(lang, Counter())
-            counted.update(text.split())
-            if len(counted) > REMEMBERED:
-                fold(lang)
+            words.setdefault(lang, Counter()).update(text.split())
+            if sum(map(len, words.values())) > COUNTED:
+                for full in list(words):
+                    fold(full)
     for lang in list(words):
         fold(lang)
     names = ["lang", "cell", "script", "n"]
@@ -266,22 +268,11 @@ def label_texts(words: Words, texts: list[str | None]) -> list[tuple[str, float,
     return found
 
 
-_words: dict[str, Words] = {}
-
-
-def words_for(model: Model) -> Words:
-    """One memory per worker process; a new model replaces the last."""
-    if model.key not in _words:
-        _words.clear()
-        _words[model.key] = Words(model)
-    return _words[model.key]
-
-
 def label_batches(shared, passed: int):
     """For ``mapInArrow``: ``passed`` columns and a text to those columns, lang_pred, score and spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_for(shared.value)
+        words = only(("language", shared.value.key), lambda: Words(shared.value))
         spans_type = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
         for whole in batches:
             for batch in slices(whole, column=passed):

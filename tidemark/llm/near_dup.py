@@ -30,14 +30,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import id_type, ship, slices, stored, text_of
+from tidemark.llm.common import id_type, only, ship, slices, stored, text_of
 
 WORDS = 5
 NEAR = 85  # per cent
 HASHES, ROWS, BANDS = 128, 5, 24
 BITS = 4
 MARGIN = 0.17
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 SMALL, BLOCK = 32, 1_000
 PIVOT_ROUNDS = 2
 _FIELDS = 0x1111_1111_1111_1111
@@ -58,9 +58,6 @@ class Fingerprints(dict):
         return value
 
 
-_fingerprints = Fingerprints()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
@@ -71,7 +68,10 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = text.encode().lower().split() if text else []  # bytes fold and split on ASCII alone
     if not words:
         return np.zeros(0, np.uint64)
-    prints = np.fromiter(map(_fingerprints.__getitem__, words), np.uint64, len(words))
+    known = only(("near duplicates",), Fingerprints)
+    if len(known) > REMEMBERED:
+        known.clear()
+    prints = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     size = min(WORDS, len(words))
     run = np.full(len(words) - size + 1, size, np.uint64)
     for n in range(size):
@@ -118,8 +118,6 @@ def sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, column=2):
             sets = [shingle_set(text) for text in batch.column(2).to_pylist()]
-            if len(_fingerprints) > REMEMBERED:
-                _fingerprints.clear()
             full = np.flatnonzero([len(s) > 0 for s in sets])
             empty = np.flatnonzero([len(s) == 0 for s in sets])
             named = lambda at: [batch.column(n).take(pa.array(at)) for n in (0, 1)]  # noqa: B023, E731
@@ -140,8 +138,6 @@ def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, column=0):
             sets = [s for s in map(shingle_set, batch.column(0).to_pylist()) if len(s)]
-            if len(_fingerprints) > REMEMBERED:
-                _fingerprints.clear()
             edges = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             nodes = pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())

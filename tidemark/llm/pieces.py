@@ -18,16 +18,15 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import id_type, ship, slices, text_of
+from tidemark.llm.common import id_type, only, ship, slices, text_of
 
 SPACE = "▁"
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 class Memory(dict):
@@ -134,10 +133,9 @@ class Pieces:
                 raise ValueError(f"own decoding and the sentencepiece library's differ. Text: {text[:200]!r}")
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
     """One vocabulary per worker process, with its memory."""
-    return Pieces(path)
+    return only(("pieces", path), lambda: Pieces(path))
 
 
 def encode_batches(path: str):

@@ -18,17 +18,16 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import id_type, ship, slices, text_of
+from tidemark.llm.common import id_type, only, ship, slices, text_of
 
 STRIDE = 1_000
 STRIPE = 64 << 20
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 END_ID = 0
 
 
@@ -106,10 +105,9 @@ class Encoder(dict):
         return self._ids(word)
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Encoder:
     """One vocabulary per worker process, with its memory."""
-    return Encoder(path)
+    return only(("token files", path), lambda: Encoder(path))
 
 
 def encode_batches(path: str, end_id: int):

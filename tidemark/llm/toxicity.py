@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import id_type, ship, slices, stored
+from tidemark.llm.common import id_type, only, ship, slices, stored
 
 SAMPLE = 10_000
 STEM = (4, 5, 6)
@@ -34,7 +34,7 @@ LEAST_DOCS = 4
 LEAST_ODDS = 3.0
 #: Different words a learned stem must follow; a chance word in copies of one text always follows the same.
 LEAST_CONTEXTS = 10
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 OTHER, TARGET, DENIAL, REPORT, INSULT, THREAT = "other target denial report insult threat".split()
 AIMED, QUOTED, DENIED = "aimed", "quoted", "denied"
@@ -250,18 +250,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 CLAUSES = "array<struct<first: int, words: int, score: double>>"
-_tokens: dict[str, Tokens] = {}
 
 
 def evidence_batches(shared):
     """For ``mapInArrow``: doc_id and text to doc_id, evidence and matched clauses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        if model.key not in _tokens:
-            _tokens.clear()
-            _tokens[model.key] = Tokens(model)
-        tokens = _tokens[model.key]
+        tokens = only(("toxicity", shared.value.key), lambda: Tokens(shared.value))
         kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("score", pa.float64())]))
         for whole in batches:
             for batch in slices(whole):
