@@ -37,7 +37,9 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - began
 
-    run("daily_event_volume")  # starts the JVM's and the table's first-use work
+    small = str(Path(sf_dir).parent / "sf0.001")
+    for name in HEADLINE:  # compiles each plan's code and starts what only the first use pays for
+        queries[name](spark, small if Path(small).is_dir() else sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {name: round(run(name), 3) for name in HEADLINE}
     total = round(sum(seconds.values()), 3)
     sf = Path(sf_dir).name.removeprefix("sf")

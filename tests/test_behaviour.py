@@ -168,3 +168,22 @@ def test_cycles_equal_one_at_a_time(spark, seed):
     df = spark.createDataFrame([(s, t, v) for (s, t), v in edges.items()], "source string, target string, value long")
     got = {(r["source"], r["target"]) for r in shape.break_cycles(df).where("removed").collect()}
     assert got == brute_break(edges)
+
+
+def test_full_slices_are_cut(spark, monkeypatch):
+    """One session that holds all rows of an hour: many slices, the same neighbours."""
+    rows = skewed(41, 400, spread_s=3_000)
+    ev = facts_of(spark, [{**r, "session_id": "kiosk"} for r in rows])
+    pairs = lambda: sorted(map(tuple, slices.adjacent_pairs(ev, "session_id", "event_timestamp", "event_name").groupBy("value", "next_value").agg(F.sum("pairs")).collect()))
+    near = lambda: sorted(map(str, slices.with_neighbours(ev, "session_id", "event_timestamp", "event_id").select("event_id", "first_ts", "previous_ts").collect()))
+    whole = pairs(), near()
+    cut = slices.sliced(ev, "session_id", "event_timestamp", "slice", most=25).groupBy("slice").count()
+    assert cut.count() >= 10 and slices.sliced(ev, "session_id", "event_timestamp", "slice").select("slice").distinct().count() <= 2
+    monkeypatch.setattr(slices.sliced, "__defaults__", (slices.SLICE_S, 25))
+    assert (pairs(), near()) == whole
+
+
+def test_edit_distance_counts_bytes(spark):
+    rows = [{"event_name": "b", "actor_id": "x", "event_timestamp": f"2026-09-01T10:00:0{n}Z", "properties": f'{{"q":"{t}"}}'} for n, t in enumerate(["aaé", "aae", "éé", "é"])]
+    got = {r[0]: r[1] for r in behaviour.consecutive_similarity(facts_of(spark, rows), "b", "q").collect()}
+    assert got == {"minor_change": 2, "moderate_change": 1}  # 2, 4 and 2 bytes apart

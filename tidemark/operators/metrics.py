@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions import props, times
+from tidemark.functions import documents, props, times
 
 Range = tuple[str | datetime, str | datetime] | None
 
@@ -25,6 +25,11 @@ def _count_by(ev: DataFrame, group: Column, name: str, count: str = "event_count
     return ev.groupBy(group.alias(name)).agg(F.count(F.lit(1)).alias(count))
 
 
+def _values(ev: DataFrame, prop: str, name: str) -> DataFrame:
+    """One property as text, looked up once a row: a filter on it stays above the look-up."""
+    return ev.select(documents.fence(props.text_at(F.col("properties"), prop)).alias(name))
+
+
 def _local(tz: str | None) -> Column:
     return times.local(F.col("event_timestamp"), tz)
 
@@ -39,9 +44,8 @@ def event_distribution(ev: DataFrame, rng: Range = None, n: int = 20) -> DataFra
 
 def events_by_property(ev: DataFrame, rng: Range = None, prop: str = "platform", n: int | None = None) -> DataFrame:
     """Counts by a property's text; absent and empty values are left out."""
-    value = props.text_at(F.col("properties"), prop)
-    counts = _count_by(between(ev, rng), value, prop).where(F.col(prop) != "")
-    return top_n(counts, "event_count", n, prop)
+    values = _values(between(ev, rng), prop, prop).where(F.col(prop) != "")
+    return top_n(_count_by(values, F.col(prop), prop), "event_count", n, prop)
 
 
 def events_by_country(ev: DataFrame, rng: Range = None, n: int = 20) -> DataFrame:
@@ -98,9 +102,9 @@ def events_today(ev: DataFrame, now: str | datetime, tz: str = "Asia/Kolkata") -
 
 
 def property_distribution(ev: DataFrame, name: str, prop: str, rng: Range = None, n: int = 30) -> DataFrame:
-    value = props.text_at(F.col("properties"), prop)
     rows = between(ev, rng).where(F.col("event_name") == name)
-    counts = _count_by(rows, value, "property_value", "count").where("property_value is not null")
+    values = _values(rows, prop, "property_value").where("property_value is not null")
+    counts = _count_by(values, F.col("property_value"), "property_value", "count")
     return top_n(counts, "count", n, "property_value")
 
 

@@ -8,13 +8,28 @@ grouped by (key, slice), and one boundary row per slice links neighbouring slice
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tidemark.session import small_side
 
 SLICE_S = 3_600
+#: Rows of one key that a slice may hold; a fuller one is cut into shorter ones.
+SLICE_ROWS = 100_000
+
 
+def sliced(rows: DataFrame, key: str, ts: str, name: str, slice_s: int = SLICE_S, most: int = SLICE_ROWS) -> DataFrame:
+    """Adds the start (in milliseconds) of each row's slice.
 
-def slice_of(ts: Column, seconds: int = SLICE_S) -> Column:
-    return F.floor(F.unix_seconds(ts) / seconds)
+    Slices of a key are ``slice_s`` long where they hold at most ``most`` rows. A fuller one is cut into as many equal
+    parts as its rows call for, down to a millisecond, so no key is one long task in its busy hours.
+    """
+    whole = rows.withColumn("_long", F.floor(F.unix_seconds(ts) / slice_s))
+    full = whole.groupBy(key, "_long").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    parts = small_side(full.select(key, "_long", F.ceil(F.col("_n") / most).alias("_parts")))
+    start, span = F.col("_long") * (slice_s * 1000), slice_s * 1000
+    width = F.greatest(F.ceil(span / F.coalesce("_parts", F.lit(1))), F.lit(1))
+    at = start + F.floor((F.unix_millis(ts) - start) / width) * width
+    return whole.join(parts, [key, "_long"], "left").withColumn(name, at).drop("_long", "_parts")
 
 
 def adjacent_pairs(df: DataFrame, key: str, ts: str, value: str | None = None, slice_s: int = SLICE_S) -> DataFrame:
@@ -25,11 +40,7 @@ def adjacent_pairs(df: DataFrame, key: str, ts: str, value: str | None = None, s
     """
     value_col = F.lit(None).cast("string") if value is None else F.col(value)
     rows = df.select(F.col(key).alias("key"), F.col(ts).alias("ts"), value_col.alias("value"))
-    counted = (
-        rows.groupBy("key", "ts", "value")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("slice", slice_of(F.col("ts"), slice_s))
-    )
+    counted = sliced(rows.groupBy("key", "ts", "value").agg(F.count(F.lit(1)).alias("copies")), "key", "ts", "slice", slice_s)
     at = F.struct("ts", "value")
     in_slice = Window.partitionBy("key", "slice").orderBy("ts", "value")
     placed = counted.withColumns({"next": F.lead(at).over(in_slice), "n": F.row_number().over(in_slice)})
@@ -69,7 +80,7 @@ def adjacent_pairs(df: DataFrame, key: str, ts: str, value: str | None = None, s
 
 def with_neighbours(df: DataFrame, key: str, ts: str, tie: str, slice_s: int = SLICE_S) -> DataFrame:
     """Every row with its key's `first_ts`, `last_ts` and its own `previous_ts`, in (ts, tie) order."""
-    rows = df.withColumn("_slice", slice_of(F.col(ts), slice_s))
+    rows = sliced(df, key, ts, "_slice", slice_s)
     edges = rows.groupBy(key, "_slice").agg(F.min(ts).alias("_low"), F.max(ts).alias("_high"))
     by_slice = Window.partitionBy(key).orderBy("_slice")
     whole = Window.partitionBy(key)
