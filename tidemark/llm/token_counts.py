@@ -98,9 +98,9 @@ def cut_batches(chunk: int):
                 step = max(chunk, overlap)
                 for at in range(0, len(text), step):
                     last = at + step >= len(text)
-                    window = text[at : at + step + overlap]
-                    row = [[sha], [at], [overlap], [last], [window]]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()), strict=True)], names)
+                    row = (sha, at, overlap, last, text[at : at + step + overlap])
+                    types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
     return run
 
@@ -129,9 +129,10 @@ def window_batches(path: str, chunk: int):
                 right = len(text) if last else splice(vocabulary, text, step + 1, step + overlap, held)
                 counted = int(((edges >= left) & (edges < right)).sum()) if left >= 0 and right >= 0 else -1
                 rows.append((sha, at, at + left if left >= 0 else -1, at + right if right >= 0 else -1, counted, last))
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             names = ["sha", "at", "left_edge", "right_edge", "n_tokens", "last"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names) if rows else pa.RecordBatch.from_pylist([])
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(columns, types, strict=True)], names)
 
     return run
 
