@@ -22,64 +22,68 @@ class Metric:
     name: str
     description: str
     use_case: str
-    tags: tuple[str, ...]
     run: Callable[..., DataFrame]
     params: tuple[str, ...] = ("start_date", "end_date")
     fixed: Mapping[str, Any] = field(default_factory=dict)
 
+    @property
+    def tags(self) -> list[str]:
+        """Words to find a metric by: those of its operator, its fixed property and its parameters."""
+        words = {*self.run.__name__.split("_"), str(self.fixed.get("prop", "")), *(p for p in self.params if not p.endswith("_date"))}
+        return sorted(words - {"", "by", "of"})
+
 
 _NAMED = ("event_name", "property_name")
 
+# Ids and names.
 LIBRARY: tuple[Metric, ...] = (
     Metric("gq-001", "Daily Event Volume", "Events per day.", "Trends over days.",
-           ("events", "daily", "volume", "time-series", "trend"), metrics.daily_event_volume),
+           metrics.daily_event_volume),
     Metric("gq-002", "Event Distribution by Name", "The most frequent events.", "What is happening at all.",
-           ("events", "distribution", "top-events", "breakdown"), metrics.event_distribution),
+           metrics.event_distribution),
     Metric("gq-003", "Events by Platform", "Events per platform.", "How use splits over platforms.",
-           ("platform", "distribution", "breakdown"), metrics.events_by_property, fixed={"prop": "platform"}),
+           metrics.events_by_property, fixed={"prop": "platform"}),
     Metric("gq-004", "Events by Device Type", "Events per device type.", "Mobile against desktop.",
-           ("device", "device-type", "distribution", "breakdown"), metrics.events_by_property,
+           metrics.events_by_property,
            fixed={"prop": "device_type"}),
     Metric("gq-005", "Events by Browser", "The ten most used browsers.", "Which browsers matter.",
-           ("browser", "distribution", "breakdown"), metrics.events_by_property, fixed={"prop": "browser", "n": 10}),
+           metrics.events_by_property, fixed={"prop": "browser", "n": 10}),
     Metric("gq-006", "Events by Country", "The twenty most active countries.", "Where visitors are.",
-           ("country", "geography", "location", "distribution"), metrics.events_by_country),
+           metrics.events_by_country),
     Metric("gq-007", "Hourly Event Distribution", "Events per hour of the day.", "When visitors are active.",
-           ("hourly", "time", "pattern", "distribution"), metrics.hourly_distribution),
+           metrics.hourly_distribution),
     Metric("gq-008", "Weekly Event Trend", "Events per week.", "Trends over weeks.",
-           ("weekly", "trend", "time-series"), metrics.weekly_trend),
+           metrics.weekly_trend),
     Metric("gq-009", "Monthly Event Trend", "Events per month.", "Trends over months.",
-           ("monthly", "trend", "time-series"), metrics.monthly_trend),
+           metrics.monthly_trend),
     Metric("gq-010", "Specific Event Count", "How often one event occurred.", "The number of one action.",
-           ("specific-event", "count", "event-name"), metrics.specific_event_count,
+           metrics.specific_event_count,
            ("event_name", "start_date", "end_date")),
     Metric("gq-011", "Unique Users Count", "Distinct known users.", "The size of the audience.",
-           ("users", "unique", "distinct", "count"), metrics.unique_users),
+           metrics.unique_users),
     Metric("gq-012", "Daily Active Users", "Distinct known users per day.", "Daily audience.",
-           ("dau", "users", "daily", "active"), metrics.daily_active_users),
+           metrics.daily_active_users),
     Metric("gq-013", "Event Funnel", "Users that reach each step in order in time.", "Where users drop out.",
-           ("funnel", "conversion", "sequential", "windowFunnel"), behaviour.funnel, ("step_names",)),
+           behaviour.funnel, ("step_names",)),
     Metric("gq-014", "Top Cities by Events", "The twenty most active cities.", "Where events come from.",
-           ("city", "location", "top", "distribution"), metrics.events_by_property, fixed={"prop": "city", "n": 20}),
+           metrics.events_by_property, fixed={"prop": "city", "n": 20}),
     Metric("gq-015", "Available Event Names", "Distinct event names.", "What can be asked about.",
-           ("events", "catalog", "list", "available"), metrics.available_events, ()),
+           metrics.available_events, ()),
     Metric("gq-016", "Event Property Distribution", "The values of one property of one event.", "How a property is used.",
-           ("events", "property", "distribution", "breakdown", "properties"), metrics.property_distribution,
+           metrics.property_distribution,
            (*_NAMED, "start_date", "end_date")),
     Metric("gq-017", "Mean Reciprocal Rank", "Mean of 1 / rank for one event.", "How good a ranking is.",
-           ("ranking", "reciprocal-rank"), metrics.mean_reciprocal_rank, (*_NAMED, "start_date", "end_date")),
+           metrics.mean_reciprocal_rank, (*_NAMED, "start_date", "end_date")),
     Metric("gq-018", "Consecutive Event Time Gap Distribution", "Time between a user's events of one name.",
            "How fast an action repeats.",
-           ("consecutive", "time-gap", "window", "lead", "session", "dwell-time", "distribution"),
            behaviour.consecutive_gap, ("event_name",)),
     Metric("gq-019", "Consecutive Event Text Similarity Distribution", "Edit distance between a user's consecutive texts.",
            "How much users rewrite their searches.",
-           ("consecutive", "similarity", "edit-distance", "text", "window", "lead", "reformulation", "distribution"),
            behaviour.consecutive_similarity, _NAMED),
     Metric("gq-020", "Reciprocal Position Distribution", "How high on the list users choose.", "Weight of top results.",
-           ("ranking", "reciprocal", "position", "inverse", "weight", "distribution"), metrics.reciprocal_position, _NAMED),
+           metrics.reciprocal_position, _NAMED),
     Metric("gq-021", "Boolean Cross-Tabulation", "Rows by two conditions.", "A 2x2 table.",
-           ("cross-tab", "2x2", "matrix", "boolean", "contingency", "grouping"), metrics.boolean_crosstab,
+           metrics.boolean_crosstab,
            ("condition_a", "condition_b", "filter_conditions")),
 )
 
@@ -90,7 +94,7 @@ _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 
 def list_metrics() -> list[dict[str, Any]]:
     return [
-        {"id": m.id, "name": m.name, "description": m.description, "use_case": m.use_case, "tags": list(m.tags)}
+        {"id": m.id, "name": m.name, "description": m.description, "use_case": m.use_case, "tags": m.tags}
         for m in LIBRARY
     ]
 
