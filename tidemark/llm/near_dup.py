@@ -38,7 +38,7 @@ HASHES, ROWS, BANDS = 128, 5, 24
 BITS = 4
 MARGIN = 0.17
 REMEMBERED = 500_000
-SMALL, BLOCK = 32, 1_000
+SMALL, BLOCK = 32, 2_000
 PIVOT_ROUNDS = 2
 _FIELDS = 0x1111_1111_1111_1111
 
@@ -270,7 +270,9 @@ def _across(members: DataFrame, sets: DataFrame, near: int) -> DataFrame:
     clusters = stored(classes(many.join(least, "bucket").select("a", F.col("node").alias("b"))), "near-clusters")
     nodes = many.select("node", "label").distinct().join(clusters.withColumnRenamed("label", "cluster"), "node").join(sets, "node")
     nodes = stored(nodes, "near-blocks")
-    pivots = nodes.groupBy("cluster").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    # The smallest set of a cluster: little of it can be lacking.
+    smallest = F.min(F.struct(F.size("shingles").alias("size"), "node")).alias("p")
+    pivots = nodes.groupBy("cluster").agg(smallest, F.count(F.lit(1)).alias("n")).select("cluster", "n", "p.node")
     pivots = pivots.join(sets, "node").select("cluster", "n", F.col("shingles").alias("pivot"))
     apart = nodes.join(pivots, "cluster").select(
         "cluster", "node", "label", F.array_except("shingles", "pivot").alias("added"), F.array_except("pivot", "shingles").alias("lacking"),
