@@ -167,6 +167,7 @@ def test_pieces_on_random_texts():
         ids = np.frombuffer(own.encode(text), "<i4").tolist()
         assert ids == theirs.encode(text), repr(text)
         assert own.decode(ids) == theirs.decode(ids), repr(text)
+        assert own.agrees(), repr(text)
 
 
 def test_other_vocabularies_are_refused():
@@ -174,6 +175,7 @@ def test_other_vocabularies_are_refused():
     own.cost = dict.fromkeys(own.cost, 0.0)  # scores that are not the library's
     texts = ["unbelievable internationalisation"]
     made = [own.encode(t) for t in texts]
+    assert not own.agrees()
     with pytest.raises(ValueError, match="differ"):
         own.check(texts, made, [own.decode(np.frombuffer(m, "<i4").tolist()) for m in made])
 
