@@ -18,6 +18,10 @@ from tidemark.llm.common import in_bucket, stored, table
 from tidemark.llm.queries import vocabulary
 
 
+#: Per cent of five-word shingles in common from which documents are near copies; 85 is the contract of op7 alone.
+NEAR = 80
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or without one that holds a fair part of their letters, go."""
     model = language.fit(docs, ~in_bucket("doc_id", 4, 2))
@@ -30,8 +34,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
-    return near_dup.drop_near_copies(docs)
+    """One document of each class of near duplicates (five words, 0.8 or more) stays."""
+    return near_dup.drop_near_copies(docs, near=NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

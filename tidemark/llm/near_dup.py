@@ -12,8 +12,8 @@
    full sets in blocks of ``BLOCK`` members, one pair of blocks at a time, and a task returns only as many links as join its classes.
 5. Classes come from min-label rounds on the links (large star, small star), with files between the rounds.
 
-Misses: a pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS, that is all but 1e-6 at 0.85. The estimate
-turns away a pair only when it is ``MARGIN`` below the threshold, over five standard errors of 128 fields.
+Misses: a pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS, that is all but 5e-8 at 0.8. The estimate
+turns away a pair only when it is ``MARGIN`` below the threshold, over five standard errors of 128 fields (5e-7 of pairs at 0.8).
 
 Defined results: null, empty and blank texts have an empty set, are linked with nothing and are a class of their own; with fewer than five words
 the whole sequence is the one shingle; repeated rows (also of one doc_id) have equal sets and share a class; the class id is the smallest
@@ -33,10 +33,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.common import id_type, only, ship, slices, stored, text_of
 
 WORDS = 5
-NEAR = 85  # per cent
-HASHES, ROWS, BANDS = 128, 5, 24
+NEAR = 85  # per cent, where the caller names no other
+HASHES, ROWS, BANDS = 128, 4, 32
 BITS = 4
-MARGIN = 0.17
+MARGIN = 0.2
 REMEMBERED = 500_000
 SMALL, BLOCK = 32, 2_000
 PIVOT_ROUNDS = 2
