@@ -1,10 +1,13 @@
 """Language of texts, with spans for mixed ones.
 
-Scripts narrow the candidates of a word: only languages that write at least ``SCRIPT_SHARE`` of their letters in the word's script compete
-for it. Each gets the word's score from its character n-grams (naive Bayes, 1 to 4 letters with word ends, in 2**16 hashed cells),
-as a loss against the best, at most ``MOST_LOST`` a word. A Viterbi pass over the words of the whole text, with a penalty for each
-switch, labels spans. A text whose best single language loses no more than one penalty in all needs no pass: no path with a switch
-can beat it. The other texts of a batch advance together, one word at a time.
+A token is cut into units: runs of letters of one script, and long runs into pieces (``PIECE`` letters in scripts written without blanks,
+``LONGEST_RUN`` in others), so that what a language can lose grows with the letters of a token; most tokens are one unit.
+Scripts narrow the candidates of a unit: only languages that write at least ``SCRIPT_SHARE`` of their letters in its script compete
+for it. Each gets the unit's score from its character n-grams (naive Bayes, 1 to 4 letters with word ends, in 2**16 hashed cells),
+as a loss against the best, at most ``MOST_LOST`` a unit. A Viterbi pass over the units of the whole text, with a penalty for each
+switch, labels them. A text whose best single language loses no more than one penalty in all needs no pass: no path with a switch
+can beat it. The other texts of a batch advance together, one unit at a time. The score counts the letters of units; spans count
+tokens, and a token has the language of most of its letters.
 
 The table is fitted on a bounded sample: at most about ``PER_LANGUAGE`` documents of each language, whole texts, drawn by a hash of
 doc_id among the rows the caller allows. Its size is languages x 2**16 numbers at any scale of the input.
@@ -22,6 +25,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +39,14 @@ CELLS = 1 << CELL_BITS
 LONGEST_GRAM = 4
 SCRIPT_SHARE = 0.01
 MOST_LOST = 5.0
+#: Letters of a unit at most, in scripts without blanks between words and in the others.
+PIECE, LONGEST_RUN = 4, 40
+UNSPACED = {"han", "kana", "thai", "lao", "tibetan", "myanmar", "khmer"}
 SWITCH = 15.0
 REMEMBERED = 400_000
 #: Distinct words that a task of the fit counts before it folds them into cells, over all languages.
 COUNTED = 200_000
-#: Words that advance together in one pass.
+#: Units that advance together in one pass.
 PASS_WORDS = 1_000_000
 UNKNOWN = "und"
 
@@ -67,6 +74,17 @@ def letters_of(token: str) -> str:
     return token.lower() if token.isalpha() else "".join(filter(str.isalpha, token)).lower()
 
 
+def units_of(word: str) -> list[tuple[str, str]]:
+    """(unit, script) of the letters of a token, in order."""
+    if len(word) <= LONGEST_RUN and word.isascii():
+        return [(word, "latin")]
+    found = []
+    for script, run in groupby(word, script_of):
+        letters, most = "".join(run), PIECE if script in UNSPACED else LONGEST_RUN
+        found += [(letters[at : at + most], script) for at in range(0, len(letters), most)]
+    return found
+
+
 def cells_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Cells of the n-grams of many words, over bytes of UTF-8, and the number of each n-gram's word."""
     raw = [f"^{word}$".encode() for word in words]
@@ -106,12 +124,15 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def fold(lang: str) -> None:
         held = cells.setdefault(lang, np.zeros(CELLS, np.int64))
         seen = scripts.setdefault(lang, Counter())
-        counted = [(word, n) for token, n in words.pop(lang).items() if (word := letters_of(token))]
-        for word, n in counted:
-            seen[script_of(word[0])] += n * len(word)
+        counted: Counter = Counter()
+        for token, n in words.pop(lang).items():
+            if word := letters_of(token):
+                for unit, script in units_of(word):
+                    seen[script] += n * len(unit)
+                    counted[unit] += n
         if counted:
-            grams, owners = cells_of([word for word, _ in counted])
-            weights = np.fromiter((n for _, n in counted), np.int64, len(counted))
+            grams, owners = cells_of(list(counted))
+            weights = np.fromiter(counted.values(), np.int64, len(counted))
             held += np.bincount(grams, weights[owners], CELLS).astype(np.int64)
 
     for batch in batches:
@@ -158,7 +179,10 @@ def fit(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> M
 
 
 class Words(dict):
-    """Token -> row of ``loss`` (per language) and ``weight`` (letters); row 0 stands for tokens without evidence."""
+    """Token -> row of ``loss`` (per language) and ``weight`` (letters) of its unit; row 0 stands for tokens without letters.
+
+    A token of several units has a negative value -n, and their rows are ``parts[n]``.
+    """
 
     def __init__(self, model: Model):
         super().__init__()
@@ -167,7 +191,7 @@ class Words(dict):
 
     def start(self) -> None:
         self.clear()
-        self.used = 1
+        self.used, self.held, self.rows, self.parts = 1, 0, {}, [np.zeros(0, np.int64)]
         self.loss, self.weight, self.lettered = np.zeros((1, self.size), np.float32), np.zeros(1, np.int32), np.zeros(1, bool)
 
     def learn(self, tokens: set[str]) -> None:
@@ -175,11 +199,22 @@ class Words(dict):
         fresh = sorted(tokens.difference(self))
         words = {token: word for token in fresh if (word := letters_of(token))}
         self.update(dict.fromkeys(fresh, 0))
-        if not words:
+        added: dict[str, str] = {}
+        for token, word in words.items():
+            units = units_of(word)
+            for unit, script in units:
+                if unit not in self.rows:
+                    self.rows[unit] = self.used + len(added)
+                    added[unit] = script
+            if len(units) == 1:
+                self[token] = self.rows[units[0][0]]
+            else:
+                self[token] = -len(self.parts)
+                self.parts.append(np.fromiter((self.rows[unit] for unit, _ in units), np.int64, len(units)))
+                self.held += len(units)
+        if not added:
             return
-        plain = list(words.values())
-        self.update(zip(words, range(self.used, self.used + len(plain)), strict=True))
-        scripts = [script_of(word[0]) for word in plain]
+        plain, scripts = list(added), list(added.values())
         masks = {s: m for s in set(scripts) if (m := self.model.scripts.get(s)) is not None and m.any()}
         known = np.array([s in masks for s in scripts])
         loss, weight = np.zeros((len(plain), self.size), np.float32), np.zeros(len(plain), np.int32)
@@ -196,7 +231,7 @@ class Words(dict):
 
 
 def viterbi(loss: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
-    """The cheapest language of every word; ``loss`` holds the words of several texts one after the other."""
+    """The cheapest language of every unit; ``loss`` holds the units of several texts one after the other."""
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
     sorted_lengths = lengths[order]
@@ -228,13 +263,18 @@ def viterbi(loss: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) -> n
 def label_texts(words: Words, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, score, spans as first word, number of words, language) of each text."""
     model = words.model
-    if words.used > REMEMBERED:
+    if words.used + words.held > REMEMBERED:
         words.start()
     tokens = [text.split() if text else [] for text in texts]
     words.learn(set().union(*tokens))
     found: list[tuple[str, float, list[tuple[int, int, str]]]] = []
     prior = max(range(words.size), key=lambda i: model.documents[i]) if words.size else 0
     rows = [np.fromiter(map(words.__getitem__, t), np.int64, len(t)) for t in tokens]
+    sizes = {}  # of texts with a token of several units: the units of each token
+    for n, row in enumerate(rows):
+        if len(row) and row.min() < 0:
+            parts = [words.parts[-r] if r < 0 else np.array([r]) for r in row.tolist()]
+            sizes[n], rows[n] = np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate(parts)
     passes, waiting = [], 0
     for n, row in enumerate(rows):
         total = words.loss[row].sum(axis=0) if len(row) else np.zeros(words.size)
@@ -242,10 +282,10 @@ def label_texts(words: Words, texts: list[str | None]) -> list[tuple[str, float,
         if not words.size or not words.lettered[row].any():
             found.append((UNKNOWN, 0.0, []))
         elif not weight:
-            found.append((model.languages[prior], 0.0, [(0, len(row), model.languages[prior])]))
+            found.append((model.languages[prior], 0.0, [(0, len(tokens[n]), model.languages[prior])]))
         elif total.min() <= SWITCH:
             lang = model.languages[int(total.argmin())]
-            found.append((lang, 1.0, [(0, len(row), lang)]))
+            found.append((lang, 1.0, [(0, len(tokens[n]), lang)]))
         else:
             found.append((UNKNOWN, 0.0, []))
             if not passes or waiting + len(row) > PASS_WORDS:
@@ -262,7 +302,12 @@ def label_texts(words: Words, texts: list[str | None]) -> list[tuple[str, float,
             own, weight = labels[end - length : end], words.weight[rows[n]]
             share = np.bincount(own, weight, words.size)
             best = int(share.argmax())
-            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), length]
+            if n in sizes:
+                owner = np.repeat(np.arange(len(sizes[n])), sizes[n])
+                letters = np.bincount(owner * words.size + own, weight, len(sizes[n]) * words.size).reshape(-1, words.size)
+                first = own[np.cumsum(sizes[n]) - sizes[n]]
+                own = np.where(letters.any(axis=1), letters.argmax(axis=1), first)
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
             spans = [(a, b - a, model.languages[own[a]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             found[n] = (model.languages[best], float(share[best] / share.sum()), spans)
     return found
