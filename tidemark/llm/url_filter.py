@@ -4,10 +4,13 @@ Hosts are joined by the links of their pages: absolute and protocol-relative ``h
 about others), and a link both ways between a host and the nearest parent domain that is a host itself. Personalised PageRank starts
 at trusted seeds and follows links; distrust starts at blocked seeds and follows links backwards, so a host that points at blocked ones is
 distrusted. A host is a blocked seed when rules block most of its pages, a trusted one when rules allow some of its pages and block none.
-Pages without a rule are blocked where the host's distrust exceeds its trust by more than ``MARGIN`` times the even share.
+Pages without a rule are blocked where the host's distrust exceeds its trust by more than ``MARGIN`` times the even share; ranks that
+differ by less than the share ``EQUAL`` are equal. Rounds go on until every host's rank is settled to the share ``SETTLED`` of itself,
+so a host is reached however many links it is away from the seeds, and however small its part is.
 
 Ranks live in DataFrames keyed by host; edges are counted per (from, to) before any exchange, so a host with a third of all pages is one
-row per neighbour, and its contributions are summed in each task before they are exchanged. Lineage is cut by files every few rounds.
+row per neighbour, and its contributions are summed in each task before they are exchanged. Both ranks take a round in one exchange, and
+lineage is cut by files every few rounds.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; the longest rule (host and path
 together) wins, equal lengths by the rule that sorts first; repeated pages count as often as they occur; pages without html give no links; without seeds of
@@ -16,6 +19,7 @@ a kind that rank is 0 everywhere; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,9 +28,16 @@ from tidemark.llm.common import fold_ascii, stored, text_of
 from tidemark.session import small_side
 
 DAMPING = 0.85
-ROUNDS = 12
-CUT_EVERY = 4
+#: Rounds go on until no host's rank grows by more than this share of itself.
+SETTLED = 1e-10
+#: Rounds that damping alone needs to settle all ranks together; single hosts far from the seeds may take more.
+ROUNDS = math.ceil(math.log(SETTLED) / math.log(DAMPING))
+CUT_EVERY = 8
+#: What a walk hands on at least, so that a far host's rank can't vanish in a double.
+LEAST = 1e-300
 MARGIN = 0.0
+#: Trust and distrust count as equal when they differ by less than this share, as ranks are settled no finer.
+EQUAL = 1e-8
 LINK = r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -74,31 +85,40 @@ def parent_edges(hosts: DataFrame) -> DataFrame:
     return up.unionByName(up.select(F.col("target").alias("source"), F.col("source").alias("target"), "n"))
 
 
-def personalised_rank(edges: DataFrame, hosts: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host and rank; ``hosts`` has host and seed (0 or 1). What hosts without links hold goes back to the seeds, as do jumps.
+def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """host, trust and distrust; ``seeds`` has host, trusted and banned (0 or 1). Jumps and what hosts without links hold go to the seeds.
 
-    Ranks are rounded to 12 places each round, so that the order of a sum can't show in a verdict.
+    Sums of damped walks from the seeds, each seed counting 1: y = seed + damping * flow(y). Personalised ranks are y over its
+    total, as what goes back to the seeds only scales y. y grows from round to round, so no host loses what has reached it.
     """
-    total = hosts.agg(F.coalesce(F.sum("seed"), F.lit(0))).first()[0]
-    if not total:
-        return hosts.select("host", F.lit(0.0).alias("rank"))
-    out = edges.groupBy("source").agg(F.sum("n").alias("out"))
-    shares = stored(edges.join(out, "source").select("source", "target", (F.col("n") / F.col("out")).alias("share")), "url-edges")
-    sinks = hosts.join(out.select(F.col("source").alias("host"), "out"), "host", "left").select("host", (F.col("seed") / total).alias("seed"), F.col("out").isNull().alias("sink"))
-    sinks = stored(sinks, "url-hosts")
-    ranks = sinks.select("host", "seed", "sink", F.col("seed").alias("rank"))
-    for n in range(1, rounds + 1):
-        flows = ranks.join(shares, F.col("host") == F.col("source")).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        held = ranks.filter("sink").agg(F.round(F.coalesce(F.sum("rank"), F.lit(0.0)), 12)).first()[0]  # one number
-        moved = sinks.join(flows.withColumnRenamed("target", "host"), "host", "left")
-        fresh = F.col("seed") * (1 - damping + damping * held) + damping * F.coalesce("flow", F.lit(0.0))
-        ranks = moved.select("host", "seed", "sink", F.round(fresh, 12).alias("rank"))
-        if n % CUT_EVERY == 0 or n == rounds:
-            ranks = stored(ranks, "url-ranks")
-    return ranks.select("host", "rank")
-
-
-def host_scores(pages: DataFrame, rules: Sequence[Rule], rounds: int = ROUNDS) -> DataFrame:
+    both = edges.select(F.lit("trust").alias("kind"), "source", "target", "n")
+    both = both.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "n"))
+    out = both.groupBy("kind", "source").agg(F.sum("n").alias("out"))
+    shares = stored(both.join(out, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", (F.col("n") / F.col("out")).alias("share")), "url-edges")
+    shares = small_side(shares)
+    kinds = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trusted").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("banned").alias("seed"))))
+    starts = seeds.select("host", kinds.alias("k")).select("k.kind", "host", F.col("k.seed").cast("double").alias("rank")).filter("rank > 0")
+    starts = stored(starts, "url-starts")
+    begun, none = starts.withColumn("was", F.lit(0.0)), F.lit(0.0)
+    walked = begun
+    while True:
+        for n in range(CUT_EVERY):
+            # The least share keeps what walks have reached above 0, however far it is.
+            flows = walked.join(shares, ["kind", "host"]).select("kind", F.col("target").alias("host"), F.greatest(F.col("rank") * F.col("share") * damping, F.lit(LEAST)).alias("rank"), none.alias("was"))
+            parts = flows.unionByName(begun)
+            if n == CUT_EVERY - 1:  # only here, as a second use of a round doubles the plan of all before it
+                parts = parts.unionByName(walked.select("kind", "host", none.alias("rank"), F.col("rank").alias("was")))
+            walked = parts.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"))
+        walked = stored(walked, "url-ranks")
+        if walked.filter(F.col("rank") - F.col("was") > F.col("rank") * SETTLED).isEmpty():
+            break
+    totals = {r["kind"]: r["total"] for r in walked.groupBy("kind").agg(F.sum("rank").alias("total")).collect()}  # two rows
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0) / totals.get(kind, 1.0)).alias(kind)
+    found = walked.groupBy("host").agg(of("trust"), of("distrust"))
+    return seeds.select("host").join(found, "host", "left").fillna(0.0, ["trust", "distrust"])
+
+
+def host_scores(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """host, trust and distrust of every host that has a page or is linked to."""
     rows = parsed(pages, rules).filter("host <> ''")
     counted = lambda verdict: F.sum(F.when(F.col("rule_verdict") == verdict, 1).otherwise(0))
@@ -112,17 +132,14 @@ def host_scores(pages: DataFrame, rules: Sequence[Rule], rounds: int = ROUNDS) -
         F.when(F.col("blocked") * 2 > F.col("pages"), 1).otherwise(0).alias("banned"),
     )
     seeds = stored(seeds, "url-seeds")
-    backwards = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "n")
-    trust = personalised_rank(edges, seeds.select("host", F.col("trusted").alias("seed")), rounds)
-    distrust = personalised_rank(backwards, seeds.select("host", F.col("banned").alias("seed")), rounds)
-    return trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host")
+    return ranks(edges, seeds)
 
 
-def verdicts(pages: DataFrame, rules: Sequence[Rule], rounds: int = ROUNDS, margin: float = MARGIN) -> DataFrame:
+def verdicts(pages: DataFrame, rules: Sequence[Rule], margin: float = MARGIN) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
-    scores = stored(host_scores(pages, rules, rounds), "url-scores")
+    scores = stored(host_scores(pages, rules), "url-scores")
     hosts = max(1, scores.count())
-    blocked = F.col("distrust") - F.col("trust") > margin / hosts
+    blocked = F.col("distrust") - F.col("trust") > F.greatest(F.lit(margin / hosts), F.col("distrust") * EQUAL)
     marked = scores.withColumn("by_method", F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))
     whole = parsed(pages, rules).join(small_side(marked), "host", "left")
     verdict = F.coalesce("rule_verdict", "by_method", F.lit("allow"))
