@@ -90,5 +90,60 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP11 = r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, list_inner_product(a.q, v.q)::BIGINT AS score
+  FROM v a, v WHERE a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents
+), p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM (SELECT lang, unnest(pieces) AS piece FROM t)
+), totals AS (
+  SELECT lang, sum(len(words))::HUGEINT AS n FROM p GROUP BY 1
+), seen AS (
+  SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS size))
+), f AS (
+  SELECT lang, size, phrase, count(*)::HUGEINT AS a FROM seen GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT lang, size, phrase, a, string_split(phrase, ' ') AS words FROM f WHERE size > 1
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(words[1:k], ' ') AS front, array_to_string(words[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)
+), scored AS (
+  SELECT x.lang, x.phrase, x.a, l.a AS l, r.a AS r, n, (1000 * x.a * n) // (l.a * r.a) AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = x.front JOIN f r ON r.lang = x.lang AND r.phrase = x.rest JOIN totals t ON t.lang = x.lang
+  QUALIFY row_number() OVER (PARTITION BY x.lang, x.phrase ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT lang, array_to_string(words[i:i + n - 1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT *, unnest(range(1, size - n + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS n FROM c)) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM scored LEFT JOIN inner_phrases USING (lang, phrase)
+WHERE around IS NULL OR around < a
+QUALIFY rank <= 2000
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op2_sharding": OP2, "op7_near_dup": OP7, "op10_decontamination": OP10}
+    return {"op1_exact_dedup": OP1, "op2_sharding": OP2, "op7_near_dup": OP7, "op10_decontamination": OP10, "op11_hard_negatives": OP11, "op13_collocations": OP13}

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, language, near_dup, pieces, sharding, token_counts, token_files, toxicity, url_filter
+from tidemark.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    near_dup,
+    negatives,
+    order_minhash,
+    phrases,
+    pieces,
+    sharding,
+    token_counts,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from tidemark.llm.common import in_bucket, table
 from tidemark.session import scratch_dir
 
@@ -80,6 +94,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    noisy = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(noisy, F.col("vec_id") % 100 == 0)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+    return found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_exact_dedup, op2_sharding, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_language_id, op7_near_dup, op8_token_files, op9_token_counts, op10_decontamination)
+    named = [op1_exact_dedup, op2_sharding, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_language_id, op7_near_dup, op8_token_files, op9_token_counts]
+    named += [op10_decontamination, op11_hard_negatives, op12_fingerprints, op13_collocations]
     return {f.__name__: f for f in named}
