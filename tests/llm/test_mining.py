@@ -116,14 +116,15 @@ def int_hash(value, seed):
 def brute_sketch(text):
     k = order_minhash.K
     runs = [text[i : i + k] for i in range(len(text) - k + 1)] if len(text) >= k else [text] if text else []
-    placed = sorted((h64(run.encode()) >> 1, i) for i, run in enumerate(runs))
+    later = 1 << order_minhash.REST_BITS - 1
+    placed = sorted(((h64(run.encode()) >> 1) & ~later if run[0] == " " else (h64(run.encode()) >> 1) | later, i) for i, run in enumerate(runs))
     made = []
     for n in range(order_minhash.SKETCHES):
         chosen = [p for p in placed if p[0] >> order_minhash.REST_BITS == n][: order_minhash.TAKEN]
         numbered = [(i, h, sum(g == h for g, _ in chosen[:m])) for m, (h, i) in enumerate(chosen)]
-        folded = 0
+        folded = 42
         for _, h, nth in sorted(numbered):
-            folded = int_hash(nth, long_hash(h, long_hash(folded, 42)))
+            folded = int_hash(nth, long_hash(h, folded))
         made.append(folded & 0xFFFFFFFF if chosen else None)
     return made
 

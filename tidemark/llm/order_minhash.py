@@ -1,13 +1,13 @@
 """Fingerprints of documents by Order MinHash, in SQL functions alone.
 
-A text's k-mers are its runs of ``K`` code points; the n-th occurrence of a k-mer is a k-mer of its own. All of them stand in one fixed order, by a hash of
-the k-mer, then by the number of the occurrence. The hash's leading bits part them into ``SKETCHES`` ranges; of each range the ``TAKEN`` minimal ones are
-selected, put back in the order they have in the text, and hashed as a tuple. Two texts agree in a sketch if the same k-mers are minimal and
-stand in the same order, so moved parts count as changes, which a set of k-mers would not notice. The likeness of two fingerprints is the share of sketches that agree
-among those that either of them has.
+A text's k-mers are its runs of ``K`` code points; the n-th occurrence of a k-mer is a k-mer of its own. All of them stand in one fixed order: first those that
+begin with a blank, then by a hash of the k-mer, then by the number of the occurrence. The hash's leading bits part them into ``SKETCHES`` ranges; of each range
+the ``TAKEN`` minimal ones are selected, put back in the order they have in the text, and hashed as a tuple. Two texts agree in a sketch if the same k-mers are
+minimal and stand in the same order, so moved parts count as changes, which a set of k-mers would not notice. The likeness of two fingerprints is the share of
+sketches that agree among those that either of them has.
 
-As the order begins with small hashes, k-mers with large ones are not looked at in long texts: only hashes below a limit that leaves about ``SAMPLE`` or more are kept.
-Where that leaves a range short, which is rare, the whole text is used, so the selection is the exact minimum for every text.
+The order lets most texts be read cheaply: k-mers that begin with a blank are looked at first, in long texts only those with hashes below a limit that leaves about
+``SAMPLE`` or more. Where that leaves a range short (few words, or no blanks at all), every k-mer of the text is used, so the selection is the exact minimum for every text.
 
 ``with_next`` gives each document the next one in descending order of doc_id: keys are cut into at most ``BUCKETS`` ranges, rows are exchanged once by
 their range, found by a binary search, and a range also gets the row that follows its last one.
@@ -27,71 +27,75 @@ from tidemark.session import small_side
 
 K = 8
 SKETCHES, TAKEN = 32, 2
-SAMPLE = 512
+SAMPLE = 384
 #: Bits of a hash below those that name its range.
 REST_BITS = 58
 BUCKETS, LEAST_ROWS = 20_000, 64
 #: Copies of one row from which only about ``COPIES_SENT`` are exchanged; the result is given to all of them.
 HOT, COPIES_SENT = 10_000, 1_000
-#: Every code point that begins a run of K; the class keeps a match from starting inside a surrogate pair.
-RUNS = rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{K - 1}}}))"
+#: Code points a blank stands for, about; only speed depends on it.
+WORD = 6
+#: What follows a blank in its k-mer; and every k-mer, where the class keeps a match from starting inside a surrogate pair.
+BEHIND_BLANK = rf"(?s) (?=(.{{{K - 1}}}))"
+EVERYWHERE = rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{K - 1}}}))"
+LATER = 1 << (REST_BITS - 1)
 
 
-def runs_of(text: Column) -> Column:
-    """The k-mers of a text in order; none of a shorter one."""
-    none = F.array().cast("array<string>")
-    return F.when(F.char_length(text) >= K, F.regexp_extract_all(text, F.lit(RUNS), F.lit(1))).otherwise(none)
+def hash_of(run: Column) -> Column:
+    """The hash of a k-mer; the bit below its range tells those that begin with no blank, which come later."""
+    plain = F.shiftrightunsigned(F.xxhash64(run), 1)
+    return F.when(run.startswith(" "), plain.bitwiseAND(F.lit(~LATER))).otherwise(plain.bitwiseOR(F.lit(LATER)))
 
 
-def hashed(runs: Column, limit: Column) -> Column:
-    """Hashes of k-mers, in order, where the part below the range is less than ``limit``."""
-    found = F.transform(runs, lambda run: F.shiftrightunsigned(F.xxhash64(run), 1))
-    return F.filter(found, lambda h: h.bitwiseAND(F.lit((1 << REST_BITS) - 1)) < limit)
+def blank_hashes(text: Column) -> Column:
+    """Hashes of the k-mers that begin with a blank, in text order; in long texts the small ones."""
+    halvings = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.char_length(text), F.lit(1)) / (WORD * SAMPLE)))).cast("int")
+    limit = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(REST_BITS - 1) - halvings)
+    found = F.transform(F.regexp_extract_all(text, F.lit(BEHIND_BLANK), F.lit(1)), lambda rest: hash_of(F.concat(F.lit(" "), rest)))
+    return let(limit, lambda once: F.filter(found, lambda h: h.bitwiseAND(F.lit(LATER - 1)) < once))
 
 
-def hashes(text: Column, limit: Column) -> Column:
-    """Those of a whole text, where a short one is one k-mer."""
-    return hashed(F.when((F.char_length(text) < K) & (text != ""), F.array(text)).otherwise(runs_of(text)), limit)
+def all_hashes(text: Column) -> Column:
+    """Hashes of all k-mers in text order; a shorter text is one."""
+    short = (F.char_length(text) < K) & (text != "")
+    return F.transform(F.when(short, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(EVERYWHERE), F.lit(1))), hash_of)
 
 
-def limit_for(chars: Column) -> Column:
-    """The limit for a text of so many code points: halved for each doubling beyond ``SAMPLE``."""
-    halvings = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(chars, F.lit(1)) / SAMPLE))).cast("int")
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(REST_BITS) - halvings)
+def selected(found: Column) -> Column:
+    """For each range: how many k-mers are selected, and the hash of the tuple of them in text order (null for none)."""
+    range_of = lambda x: F.shiftright(x["h"], REST_BITS)
 
+    def pair_hash(pair: Column) -> Column:
+        one, two = pair["one"], pair["two"]
+        again = (one["h"] == two["h"]).cast("int")  # the second is the k-mer's second occurrence
+        in_order = F.when(one["i"] < two["i"], F.xxhash64(one["h"], F.lit(0), two["h"], again)).otherwise(F.xxhash64(two["h"], again, one["h"], F.lit(0)))
+        held = F.when(one.isNull(), 0).when(two.isNull(), 1).otherwise(TAKEN)
+        made = F.when(held == TAKEN, in_order).when(held == 1, F.xxhash64(one["h"], F.lit(0)))
+        return F.struct(held.alias("held"), made.bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"))
 
-def selected(hashed: Column) -> Column:
-    """For each range: how many k-mers are selected, and the hash of their tuple in text order (null for none)."""
-    range_of = lambda h: F.shiftright(h, REST_BITS)
+    def all_ranges(placed: Column, steps: Column) -> Column:
+        def below(end: Column) -> Column:
+            """How many of the sorted hashes are below ``end``."""
+            ahead = lambda at, step: (at + step <= F.size(placed)) & (F.get(placed, at + step - 1)["h"] < end)
+            return F.aggregate(steps, F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
 
-    def tuple_hash(chosen: Column) -> Column:
-        earlier = lambda x, n: F.filter(F.slice(chosen, F.lit(1), n), lambda y: y["h"] == x["h"])
-        numbered = F.transform(chosen, lambda x, n: F.struct(x["i"].alias("i"), x["h"].alias("h"), F.size(earlier(x, n)).alias("nth")))
-        folded = F.aggregate(F.sort_array(numbered), F.lit(0).cast("long"), lambda done, x: F.xxhash64(done, x["h"], x["nth"]))
-        return F.struct(F.size(chosen).alias("held"), F.when(F.size(chosen) > 0, folded.bitwiseAND(F.lit(0xFFFFFFFF))).alias("hash"))
-
-    def all_ranges(placed: Column, ranges: Column) -> Column:
-        def one(n: Column) -> Column:
-            first = F.greatest(F.array_position(ranges, n), F.lit(1)).cast("int")
-            return let(F.filter(F.slice(placed, first, F.lit(TAKEN)), lambda x: range_of(x["h"]) == n), tuple_hash)
+        def pair(n: Column, at: Column) -> Column:
+            mine = lambda x: F.when(range_of(x) == n, x)
+            return F.struct(mine(F.get(placed, at)).alias("one"), mine(F.get(placed, at + 1)).alias("two"))
 
+        one = lambda n: let(below(F.shiftleft(n, REST_BITS)), lambda at: let(pair(n, at), pair_hash))
         return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SKETCHES - 1).cast("long")), one)
 
-    ordered = F.sort_array(F.transform(hashed, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return let(ordered, lambda placed: let(F.transform(placed, lambda x: range_of(x["h"])), lambda ranges: all_ranges(placed, ranges)))
-
-
-def whole_if_short(found: Column, text: Column, limit: Column) -> Column:
-    """The tuple hashes; from the whole text where k-mers were left out and a range is short."""
-    cut, everything = limit < F.lit(1 << REST_BITS), F.lit(1 << REST_BITS)
-    short = F.exists(found, lambda x: x["held"] < TAKEN)
-    return F.transform(F.when(cut & short, selected(hashes(text, everything))).otherwise(found), lambda x: x["hash"])
+    ordered = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    steps = lambda placed: F.filter(F.array(*[F.lit(1 << n) for n in reversed(range(31))]), lambda step: step <= F.size(placed))
+    return let(ordered, lambda placed: let(steps(placed), lambda held: all_ranges(placed, held)))
 
 
 def sketch(text: Column) -> Column:
-    """The sketches of a text."""
-    limit = limit_for(F.char_length(text))
-    return whole_if_short(selected(hashes(text, limit)), text, limit)
+    """The sketches of a text: a hash for each range, null where the text has no k-mer."""
+    few = selected(blank_hashes(text))
+    short = lambda found: F.exists(found, lambda x: x["held"] < TAKEN)
+    return F.transform(let(few, lambda found: F.when(short(found), selected(all_hashes(text))).otherwise(found)), lambda x: x["hash"])
 
 
 def printed(sketches: Column) -> Column:
@@ -156,22 +160,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     third = F.floor(chars / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), chars - third), F.substring(F.coalesce(F.col("next"), F.col("text")), F.lit(1), third))
     rows = rows.withColumns({"n_chars": fence(chars), "edited": fence(edited)}).drop("next")
-    rows = rows.withColumns({"limit": fence(limit_for(F.col("n_chars"))), "edited_limit": fence(limit_for(F.char_length("edited"))), "stays": F.col("n_chars") - F.floor(F.col("n_chars") / 3).cast("int")})
-    # K-mers that lie in the part that stays are those of both texts, so they are hashed once.
-    long = (F.col("n_chars") >= K) & (F.char_length("edited") >= K) & (F.col("stays") >= K)
-    both = F.when(long, hashed(runs_of(F.substring("text", F.lit(1), F.col("stays"))), F.greatest("limit", "edited_limit"))).otherwise(F.array().cast("array<long>"))
-
-    def rest(text: str, limit: str) -> Column:
-        after = F.substring(text, F.col("stays") - (K - 2), F.char_length(text))
-        return F.when(long, hashed(runs_of(after), F.col(limit))).otherwise(hashes(F.col(text), F.col(limit)))
-
-    def found(rest: str, limit: str) -> Column:
-        kept = F.filter("both", lambda h: h.bitwiseAND(F.lit((1 << REST_BITS) - 1)) < F.col(limit))
-        return selected(F.concat(kept, F.col(rest)))
-
-    rows = rows.withColumn("both", fence(both)).withColumns({"rest": fence(rest("text", "limit")), "edited_rest": fence(rest("edited", "edited_limit"))})
-    rows = rows.withColumns({"first": fence(found("rest", "limit")), "edited_first": fence(found("edited_rest", "edited_limit"))}).drop("both", "rest", "edited_rest")
-    rows = rows.withColumns({"sketches": fence(whole_if_short(F.col("first"), F.col("text"), F.col("limit"))), "edited_sketches": fence(whole_if_short(F.col("edited_first"), F.col("edited"), F.col("edited_limit")))})
+    rows = rows.withColumns({"sketches": fence(sketch(F.col("text"))), "edited_sketches": fence(sketch(F.col("edited")))})
     rows = rows.select("range", "own", "key", "doc_id", "n_chars", "edited", "sketches", "edited_sketches")
     rows = rows.withColumn("next", F.lag("sketches").over(order)).filter("own = 1")
     made = rows.select(
