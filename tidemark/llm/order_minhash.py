@@ -144,7 +144,7 @@ def with_next(docs: DataFrame, carried: Column, name: str) -> tuple[DataFrame, D
     here = F.struct(F.col("at").alias("range"), F.lit(1).alias("own"))
     above = F.struct(((F.col("at") + 1) % len(bounds)).alias("range"), F.lit(0).alias("own"))
     last = F.get(F.array(*[F.lit(b) for b in bounds]), F.col("at")) == F.col("key")
-    sent = at.withColumn("to", F.explode(F.when(last, F.array(here, above)).otherwise(F.array(here)))).select("doc_id", "text", "key", "to.*")
+    sent = at.withColumn("to", F.explode(F.when(last, F.array(here, above)).otherwise(F.array(here)))).select("doc_id", "text", "key", "to.*").repartition("range")
     single = sent.withColumn("copy", F.row_number().over(Window.partitionBy("range", "own", "key").orderBy("doc_id"))).filter("copy = 1").drop("copy")
     order = Window.partitionBy("range").orderBy("own", "key")
     return single.withColumn(name, F.lag(carried).over(order)), copies, order
