@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import ship, slices, stored, text_of
+from tidemark.llm.common import release, ship, slices, stored, text_of
 
 UNKNOWN = "und"
 LONGEST = 5
@@ -208,6 +208,7 @@ def count_batches(length: int, shared):
     """For ``mapInArrow``: lang and text to lang, phrase and count; in the first pass also a row per language with all its words and a null phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counter = Counter(length, None if shared is None else np.frombuffer(shared.value, np.uint8))
         for whole in batches:
             for batch in slices(whole, SLICE):
@@ -252,8 +253,11 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST) -> tup
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), text_of().alias("text"))
     shared, frames, totals = None, [], None
     for length in range(1, longest + 1):
-        runs = texts.mapInArrow(count_batches(length, shared), "lang string, phrase string, n long").withColumn("head", F.substring_index("phrase", " ", 2))
-        summed = runs.repartition("lang", "head").groupBy("lang", "head", "phrase").agg(F.sum("n").alias("a"))
+        runs = texts.mapInArrow(count_batches(length, shared), "lang string, phrase string, n long")
+        key = ["lang", "phrase"]
+        if length > 2:  # a shorter phrase is its own prefix, and is sent once
+            runs, key = runs.withColumn("head", F.substring_index("phrase", " ", 2)), ["lang", "head", "phrase"]
+        summed = runs.repartition(*key[:2]).groupBy(*key).agg(F.sum("n").alias("a"))
         kept = stored(summed.filter(F.col("phrase").isNull() | (F.col("a") >= least)).select("lang", "phrase", "a"), f"phrases-{length}")
         if totals is None:
             totals = kept.filter(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))
