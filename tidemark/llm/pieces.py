@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 A score-ordered agenda holds the adjacent pairs of symbols that form a piece; the best pair (highest score, then leftmost) is merged, and
-its new neighbours join the agenda, until nothing is left to merge. Symbols without a piece become their bytes.
+its new neighbours join the agenda, until nothing is left to merge. Symbols without a piece become their bytes. The new segments of a batch
+are merged side by side, a row of an array each.
 
 No piece has a meta space after another character, so no merge crosses from a word into the next; neither does one cross a character
 that occurs in no longer piece (such as a line break). The text is cut at these places, and what an agenda made of a segment is
-remembered, so each distinct segment is encoded once per worker while its memory (about ``REMEMBERED`` segments) lasts. Every whole text
+remembered, so each distinct segment is encoded once per worker while its memory (about ``REMEMBERED`` segments, ids and bytes) lasts. Every whole text
 is checked in its Arrow batch against the sentencepiece library, ids and decoded text; a difference means that the vocabulary is not
 of the merge type, and raises.
 
@@ -17,7 +18,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +29,26 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import id_type, only, ship, slices, text_of
 
 SPACE = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Bytes of text that a worker encodes at a time.
+SLICE = 2 << 20
+#: Symbols up to which the agenda is a plain list, searched whole; beyond, it is a heap.
+SHORT = 24
+#: Characters of a segment up to which it is merged side by side with others.
+WIDE = 32
+NEVER = float("inf")
 
 
 class Memory(dict):
-    """Segment -> its ids as little-endian 32-bit integers; ``fresh`` holds the segments that came in since the last check."""
+    """Segment -> (its ids as little-endian 32-bit integers, the bytes they stand for)."""
 
-    def __init__(self, make):
+    def __init__(self, make, shown: list[bytes]):
         super().__init__()
-        self.make, self.fresh = make, []
+        self.make, self.shown = make, shown
 
-    def __missing__(self, key: str) -> bytes:
-        value = self[key] = np.array(self.make(key), "<i4").tobytes()
-        self.fresh.append(key)
+    def __missing__(self, key: str) -> tuple[bytes, bytes]:
+        ids = self.make(key)
+        value = self[key] = (array("i", ids).tobytes(), b"".join(map(self.shown.__getitem__, ids)))
         return value
 
 
@@ -54,6 +64,8 @@ class Pieces:
         special = lambda i: library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i)
         self.ids = {n: i for i, n in enumerate(self.names) if not special(i)}
         self.cost = {n: -library.get_score(i) for n, i in self.ids.items()}
+        self.piece_cost = np.array([self.cost.get(n, NEVER) for n in self.names])
+        self.single = {n for n in self.ids if len(n) == 1}
         self.hidden = {i for i in range(len(self.names)) if library.is_control(i)}
         joined = {c for n in self.ids if len(n) > 1 for c in n}
         self.crossed = any(SPACE in n.lstrip(SPACE) for n in self.ids)
@@ -61,14 +73,103 @@ class Pieces:
         lone = re.escape(self.alone)
         self.segment = re.compile(f"{SPACE}+[^{SPACE}{lone}]*|[{lone}]|[^{SPACE}{lone}]+")
         self.quick = "\n" in self.alone and not self.crossed
-        self.memory = Memory(lambda key: self.merged(key if key[0] == "\n" else SPACE + key))
-        self.segments = Memory(self.merged)
         # What each id stands for in a decoded text.
         self.shown = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.hidden else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
+        self.memory = Memory(lambda key: self.merged(self.segment_of(key)), self.shown)
+        self.segments = Memory(self.merged, self.shown)
+        # Pairs of pieces that join to a piece, for agendas of many segments side by side.
+        pairs = sorted((self.ids[n[:at]] * len(self.names) + self.ids[n[at:]], i) for n, i in self.ids.items() for at in range(1, len(n)) if n[:at] in self.ids and n[at:] in self.ids)
+        self.pair_keys = np.array([key for key, _ in pairs] or [-1], np.int64)
+        self.pair_joined = np.array([i for _, i in pairs] or [0], np.int64)
+
+    @staticmethod
+    def segment_of(word: str) -> str:
+        return word if word[0] == "\n" else SPACE + word
+
+    def pair_costs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost and joined piece of pairs; infinite for those that join to none."""
+        keys = left * len(self.names) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        joined = self.pair_joined[at]
+        return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), self.piece_cost[joined], NEVER), joined
+
+    def merge_rows(self, symbols: np.ndarray) -> np.ndarray:
+        """Agendas of many segments side by side, a row each (ids of their characters, -1 behind the end); dead symbols become -1.
+
+        A row's agenda holds the cost of each pair at the place of its left symbol; all rows merge their best pair, the leftmost of equal ones, in each turn.
+        """
+        width = symbols.shape[1]
+        after = np.tile(np.arange(1, width + 1), (len(symbols), 1))
+        before = after - 2
+        agenda, joined = np.full(symbols.shape, NEVER), np.zeros(symbols.shape, np.int64)
+        if width > 1:
+            agenda[:, :-1], joined[:, :-1] = self.pair_costs(symbols[:, :-1], symbols[:, 1:])
+        rows = np.arange(len(symbols))
+        while len(rows):
+            at = agenda[rows].argmin(axis=1)
+            going = agenda[rows, at] != NEVER
+            rows, at = rows[going], at[going]
+            gone = after[rows, at]
+            symbols[rows, at], symbols[rows, gone], agenda[rows, gone] = joined[rows, at], -1, NEVER
+            follows = after[rows, at] = after[rows, gone]
+            inside = follows < width
+            before[rows[inside], follows[inside]] = at[inside]
+            right = np.where(inside, symbols[rows, np.minimum(follows, width - 1)], -1)
+            agenda[rows, at], joined[rows, at] = self.pair_costs(symbols[rows, at], right)
+            ahead = before[rows, at]
+            has = ahead >= 0
+            r, a = rows[has], ahead[has]
+            agenda[r, a], joined[r, a] = self.pair_costs(symbols[r, a], symbols[r, at[has]])
+        return symbols
+
+    def learn(self, memory: Memory, words: set[str]) -> None:
+        """Adds the words that ``memory`` has not met; those with a character that is no piece, and long ones, go through an agenda of their own."""
+        by_width: dict[int, list[str]] = {}
+        for word in words.difference(memory):
+            segment = self.segment_of(word) if memory is self.memory else word
+            if len(segment) <= WIDE and self.single.issuperset(segment):
+                by_width.setdefault(-(-len(segment) // 4) * 4, []).append(word)
+        for width, fresh in by_width.items():
+            segments = [self.segment_of(w) if memory is self.memory else w for w in fresh]
+            lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+            symbols = np.full((len(segments), width), -1, np.int64)
+            letters = "".join(segments)
+            symbols[np.arange(width) < lengths[:, None]] = np.fromiter(map(self.ids.__getitem__, letters), np.int64, len(letters))
+            merged = self.merge_rows(symbols)
+            ids = merged[merged >= 0].astype("<i4").tobytes()
+            ends = (4 * np.cumsum((merged >= 0).sum(axis=1))).tolist()
+            for word, segment, start, end in zip(fresh, segments, [0, *ends], ends, strict=False):
+                memory[word] = (ids[start:end], segment.replace(SPACE, " ").encode())
 
     def merged(self, segment: str) -> list[int]:
         """Ids of one segment by the agenda."""
-        symbols: list[str] = list(segment)
+        symbols = self.merge_few(list(segment)) if len(segment) <= SHORT else self.merge_many(list(segment))
+        found: list[int] = []
+        for symbol in symbols:
+            if symbol in self.ids:
+                found.append(self.ids[symbol])
+            elif self.byte_ids:
+                found += [self.byte_ids[b] for b in symbol.encode()]
+            else:
+                found.append(self.unknown)
+        return found
+
+    def merge_few(self, symbols: list[str]) -> list[str]:
+        """The agenda as a list: the cost of each adjacent pair in its place, so the first of equal ones is the leftmost."""
+        cost = self.cost.get
+        agenda = [cost(left + right, NEVER) for left, right in zip(symbols, symbols[1:], strict=False)]
+        while agenda and (best := min(agenda)) != NEVER:
+            at = agenda.index(best)
+            symbols[at] += symbols.pop(at + 1)
+            del agenda[at]
+            if at:
+                agenda[at - 1] = cost(symbols[at - 1] + symbols[at], NEVER)
+            if at < len(agenda):
+                agenda[at] = cost(symbols[at] + symbols[at + 1], NEVER)
+        return symbols
+
+    def merge_many(self, symbols: list[str]) -> list[str]:
+        """The agenda as a heap."""
         count, cost = len(symbols), self.cost
         after, before = list(range(1, count + 1)), list(range(-1, count - 1))
         agenda = []
@@ -92,66 +193,56 @@ class Pieces:
                 wider = symbols[before[left]] + pair
                 if wider in cost:
                     heapq.heappush(agenda, (cost[wider], before[left], left, wider))
-        found: list[int] = []
-        for symbol in filter(None, symbols):
-            if symbol in self.ids:
-                found.append(self.ids[symbol])
-            elif self.byte_ids:
-                found += [self.byte_ids[b] for b in symbol.encode()]
-            else:
-                found.append(self.unknown)
-        return found
+        return list(filter(None, symbols))
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text, as little-endian 32-bit integers."""
+    def split(self, text: str) -> tuple[Memory, list[str]]:
+        """The text's segments and the memory that knows them."""
         plain = self.library.normalize(text)
-        if not plain:
-            return b""
-        if self.quick and plain[0] == SPACE:
+        if self.quick and plain[:1] == SPACE:
             words = plain[1:].replace("\n", f"{SPACE}\n").split(SPACE)  # a word that starts with a line break has no space before it
             if "" not in words:
-                return b"".join(map(self.memory.__getitem__, words))
+                return self.memory, words
         if self.crossed:
-            return np.array(self.merged(plain), "<i4").tobytes()
-        return b"".join(map(self.segments.__getitem__, self.segment.findall(plain)))
+            return self.segments, [plain] if plain else []
+        return self.segments, self.segment.findall(plain)
+
+    def both(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids (little-endian 32-bit integers) and decoded texts of whole texts."""
+        parts = [self.split(text) for text in texts]
+        for memory in (self.memory, self.segments):
+            self.learn(memory, set().union(*(words for held, words in parts if held is memory)))
+        made = [list(map(memory.__getitem__, words)) for memory, words in parts]
+        return [b"".join([ids for ids, _ in m]) for m in made], [self.read(b"".join([shown for _, shown in m])) for m in made]
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, as little-endian 32-bit integers."""
+        memory, words = self.split(text)
+        return b"".join([memory[word][0] for word in words])
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: pieces joined, runs of bytes read as UTF-8, without the space put before the first word."""
-        text = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace")
+        return self.read(b"".join(map(self.shown.__getitem__, ids)))
+
+    @staticmethod
+    def read(shown: bytes) -> str:
+        text = shown.decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
     def forget(self) -> None:
         for memory in (self.memory, self.segments):
-            memory.fresh = []
-            if len(memory) > REMEMBERED:
+            if len(memory) > REMEMBERED or self.crossed:
                 memory.clear()
 
-    def agrees(self) -> bool:
-        """Whether the library gives the same ids and texts for all segments met since the last call.
-
-        A segment is shown to it behind a character that stands alone, as the library begins each text with a space.
-        """
-        met = [(key if key[0] == "\n" else SPACE + key, self.memory[key]) for key in self.memory.fresh]
-        met += [(key, self.segments[key]) for key in self.segments.fresh]
-        self.memory.fresh, self.segments.fresh = [], []
-        if self.crossed or not self.alone:
-            return False
-        lead = "\n" if "\n" in self.alone else self.alone[0]
-        skip = len(self.library.encode(lead))
-        theirs = self.library.encode([lead + segment.replace(SPACE, " ") for segment, _ in met], num_threads=1) if met else []
-        own = [np.frombuffer(ids, "<i4").tolist() for _, ids in met]
-        if any(a != b[skip:] for a, b in zip(own, theirs, strict=True)):
-            return False
-        shown = self.library.decode(own, num_threads=1) if own else []
-        return all(self.decode(ids) == text for ids, text in zip(own, shown, strict=True))
-
     def check(self, texts: list[str], ids: list[bytes], decoded: list[str]) -> None:
         """Compares whole texts of a batch with the library's ids and decoded texts."""
-        for text, own, own_text, theirs in zip(texts, ids, decoded, self.library.encode(texts, num_threads=1), strict=True):
-            if own != np.array(theirs, "<i4").tobytes():
-                raise ValueError(f"the agenda and the sentencepiece library differ; is the vocabulary of the merge type? Text: {text[:200]!r}")
-            if own_text != self.library.decode(theirs):
-                raise ValueError(f"own decoding and the sentencepiece library's differ. Text: {text[:200]!r}")
+        theirs = self.library.encode(texts, num_threads=1) if texts else []
+        if list(map(len, ids)) != [4 * len(t) for t in theirs] or b"".join(ids) != array("i", chain.from_iterable(theirs)).tobytes():
+            text = next(t for t, own, other in zip(texts, ids, theirs, strict=True) if own != array("i", other).tobytes())
+            raise ValueError(f"the agenda and the sentencepiece library differ; is the vocabulary of the merge type? Text: {text[:200]!r}")
+        shown = self.library.decode(theirs, num_threads=1) if texts else []
+        if decoded != shown:
+            text = next(t for t, own, other in zip(texts, decoded, shown, strict=True) if own != other)
+            raise ValueError(f"own decoding and the sentencepiece library's differ. Text: {text[:200]!r}")
 
 
 def load(path: str) -> Pieces:
@@ -165,10 +256,9 @@ def encode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, SLICE):
                 texts = batch.column(1).to_pylist()
-                made = [pieces.encode(text) for text in texts]
-                decoded = [pieces.decode(np.frombuffer(ids, "<i4").tolist()) for ids in made]
+                made, decoded = pieces.both(texts)
                 pieces.check(texts, made, decoded)
                 pieces.forget()
                 offsets = np.cumsum([0, *(len(ids) // 4 for ids in made)]).astype(np.int32)
