@@ -74,6 +74,20 @@ def only(key: tuple, make: Callable[[], Any]) -> Any:
     return _memory[key]
 
 
+def release() -> None:
+    """Drops what another operator has left; every task that remembers nothing itself begins with this."""
+    _memory.clear()
+
+
+def place_in(bounds: list, key: Column) -> Column:
+    """How many of the sorted ``bounds`` are below ``key``, by binary search over one array literal."""
+    held, steps = F.array(*[F.lit(b) for b in bounds]), [1 << n for n in reversed(range(len(bounds).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    below = lambda at: F.get(held, at - 1) < key
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & below(at + step), at + step).otherwise(at))
+
+
 _shipped: set[str] = set()
 
 

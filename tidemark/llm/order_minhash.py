@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.documents import fence, let
-from tidemark.llm.common import text_of
+from tidemark.llm.common import place_in, text_of
 from tidemark.session import small_side
 
 K = 8
@@ -109,13 +109,6 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(F.size(known) == 0, 1.0).otherwise(equal / F.size(known))
 
 
-def place_in(bounds: list, key: Column) -> Column:
-    """How many of the sorted ``bounds`` are below ``key``, by binary search over one array literal."""
-    held, steps = F.array(*[F.lit(b) for b in bounds]), [1 << n for n in reversed(range(len(bounds).bit_length()))]
-    below = lambda at: F.get(held, at - 1) < key
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & below(at + step), at + step).otherwise(at))
-
-
 def _ordered_key(docs: DataFrame) -> Column:
     """A text that sorts as (doc_id, hash of the text); null doc_ids sort first."""
     name = F.col("doc_id")

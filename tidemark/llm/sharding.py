@@ -1,35 +1,33 @@
 """Shards of near-equal bytes by histogram sort.
 
-Rows are ordered by (md5 of the text, md5 of the doc_id), so equal texts stand together. Splitters come from rounds of probing: each round
+Rows are ordered by (md5 of the text, md5 of the doc_id, place in the input), so equal texts stand together and equal rows can be parted. Splitters come from rounds of probing: each round
 counts, in all partitions, the exact bytes below candidate boundaries (one more run of hex digits under every interval that
 still holds a splitter) and narrows each interval, until every splitter lies between two adjacent keys. Then rows are
 exchanged once. A round returns at most 256 counts per splitter, whatever the table's size. A run of equal leading digits, as under a
-text that is a third of the table, is skipped in one step, and such a group is split by doc_id.
+text that is a third of the table, is skipped in one step, and such a group is split by doc_id, and rows equal in both by their place.
 
 Law ``bytes``: row r goes to shard floor(n * bytes before r / all bytes). A group of equal texts stays whole when it holds at most a
 fiftieth of a shard, or no more than the largest row; it then goes where its first row goes. Sizes therefore differ from the mean by
 no more than that.
 
 Defined results: a null text counts as no bytes, so its size is the 16 of its frame, as for an empty text; null doc_ids sort by the
-empty name; equal rows are interchangeable and take neighbouring slots; an empty table gives no rows; one row goes to shard 0.
+empty name; equal rows are interchangeable and are parted like others; an empty table gives no rows; one row goes to shard 0.
 Columns of other names are carried by ``shard_documents`` unless they are called shard or slot, which it replaces.
 """
 
 from __future__ import annotations
 
 import os
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import stored, text_of
+from tidemark.llm.common import place_in, stored, text_of
+from tidemark.session import small_side
 
 FRAME = 16
 WHOLE = 50
 KEY_DIGITS = 32
 FIRST_DIGITS, NEXT_DIGITS = 3, 2
-#: Rows that one task numbers; a shard with more is numbered in several ranges.
-RANGE_ROWS = 500_000
 #: Sorts after every hex digit.
 AFTER = "~"
 
@@ -39,7 +37,9 @@ def sized() -> Column:
 
 
 def sort_key() -> Column:
-    return F.concat(F.md5(text_of()), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    """Text, doc_id, and the row's place in its input, which parts equal rows; to be written to files before it is compared."""
+    place = F.lpad(F.lower(F.hex(F.monotonically_increasing_id())), 16, "0")
+    return F.concat(F.md5(text_of()), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), place)
 
 
 def _probe(rows: DataFrame, intervals: set[str]) -> dict[str, list]:
@@ -91,25 +91,24 @@ def splitters(rows: DataFrame, shards: int, total: int, largest: int, grain: int
 
 
 def assign(rows: DataFrame, shards: int) -> DataFrame:
-    """``rows`` (key, size and more) with shard and slot."""
-    sums = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0)), F.count(F.lit(1))).first()
-    total, largest, count = sums
-    ranges = max(1, -(-count // (shards * RANGE_ROWS)))
-    bounds = splitters(rows, shards * ranges, total, largest, shards * WHOLE)
-    at = reduce(lambda a, b: a + b, [(F.col("key") >= bound).cast("int") for bound in bounds], F.lit(0))
-    ranged = rows.withColumn("range", at)
-    if ranges == 1:
-        based = ranged.withColumns({"shard": F.col("range"), "base": F.lit(0).cast("long")})
-    else:
-        held = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}  # one row per RANGE_ROWS rows
-        bases, seen = [], 0
-        for n in range(shards * ranges):
-            seen = 0 if n % ranges == 0 else seen
-            bases.append((n, n // ranges, seen))
-            seen += held.get(n, 0)
-        starts = F.broadcast(rows.sparkSession.createDataFrame(bases, "range int, shard int, base long"))
-        based = ranged.join(starts, "range")
-    number = F.expr("row_number() over (partition by range order by key)")
+    """``rows`` (key, size and more, the same at every read) with shard and slot.
+
+    Slots are numbered where the rows stand after an exchange by ranges of (shard, key), and begin at the number of rows that the shard
+    has in the ranges before; those are one number for each range and shard in it.
+    """
+    sums = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    total, largest = sums
+    bounds = splitters(rows, shards, total, largest, shards * WHOLE)
+    placed = rows.withColumn("shard", place_in(bounds, F.col("key")))
+    ranged = stored(placed.repartitionByRange("shard", "key").withColumn("range", F.spark_partition_id()), "shard-ranges")
+    held = ranged.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("rows")).collect()
+    bases, seen = [], dict.fromkeys(range(shards), 0)
+    for row in sorted(held, key=lambda r: r["range"]):
+        bases.append((row["shard"], row["range"], seen[row["shard"]]))
+        seen[row["shard"]] += row["rows"]
+    starts = small_side(rows.sparkSession.createDataFrame(bases, "shard int, range int, base long"))
+    number = F.expr("row_number() over (partition by shard, range order by key)")
+    based = ranged.join(starts, ["shard", "range"])
     return based.withColumn("slot", F.col("base") + number.cast("long") - 1).drop("range", "base")
 
 
@@ -121,5 +120,5 @@ def keyed(docs: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     """Whole documents with their shard and slot, for writing with ``partitionBy("shard")``."""
     rest = docs.drop("shard", "slot")
-    rows = rest.select(F.struct("*").alias("whole"), sized().alias("size"), sort_key().alias("key"))
+    rows = stored(rest.select(F.struct("*").alias("whole"), sized().alias("size"), sort_key().alias("key")), "shard-rows")
     return assign(rows, shards).select("whole.*", "shard", "slot")
