@@ -1,6 +1,6 @@
 """Token ids in ORC files, in ascending doc_id order.
 
-Rows are dealt to tasks by ranges of doc_id (then of the text's hash, so repeated ids don't meet in one task) and written in that order:
+Rows are dealt to tasks by ranges of doc_id (then of the text's hash and of the row's place in its input, so neither repeated ids nor repeated rows meet in one task) and written in that order:
 file after file, each holding its range. Ids are integers in ORC's run-length encoding; stripes can be read in parallel;
 a row index every ``STRIDE`` rows and a Bloom filter on doc_id let a reader skip stripes and row groups by metadata alone. Each row also
 holds its number of ids and that of the ids before it in its file, so the place of a document in the whole stream is that number and one sum per file.
@@ -23,7 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import id_type, only, ship, slices, text_of
+from tidemark.llm.common import id_type, only, release, ship, slices, text_of
+from tidemark.session import small_side
 
 STRIDE = 1_000
 STRIPE = 64 << 20
@@ -132,7 +133,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     """Writes the ids of all documents below ``path``; a repeated call needs another folder."""
     ship(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("h", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    placed = rows.withColumn("at", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange("doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at").drop("h", "at")
     encoded = ordered.mapInArrow(encode_batches(vocabulary, end_id), f"{id_type(docs)}, before long, size int, ids array<int>")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE)}
     encoded.write.options(**options).option("compression", codec).orc(path)
@@ -144,13 +146,15 @@ def stored_schema(id_kind: str = "bigint") -> str:
 
 def read_token_files(spark: SparkSession, path: str, id_kind: str = "bigint") -> DataFrame:
     """doc_id, ids and start (ids of all documents before it) of every row."""
-    rows = spark.read.schema(stored_schema(id_kind)).orc(path).withColumn("file", F.col("_metadata.file_name"))
+    # Spark pads task numbers to five digits, so files are ordered by the number and not by the name.
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    rows = spark.read.schema(stored_schema(id_kind)).orc(path).withColumn("file", number)
     ends = rows.groupBy("file").agg(F.max(F.col("before") + F.col("size")).alias("held")).collect()  # one number per file
     bases, seen = [], 0
     for row in sorted(ends, key=lambda r: r["file"]):
         bases.append((row["file"], seen))
         seen += row["held"]
-    based = rows.join(F.broadcast(spark.createDataFrame(bases, "file string, base long")), "file")
+    based = rows.join(small_side(spark.createDataFrame(bases, "file long, base long")), "file")
     return based.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "ids")
 
 
@@ -161,6 +165,7 @@ def look_up(spark: SparkSession, path: str, doc_ids: list[int], id_kind: str = "
 
 def checksum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For ``mapInArrow``: doc_id, start and ids to doc_id, start, n_tokens and the crc32 of the ids' bytes."""
+    release()
     for batch in batches:
         ids = batch.column(2)
         flat = np.asarray(ids.values).astype("<u4", copy=False).view(np.uint8)
