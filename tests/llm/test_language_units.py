@@ -46,3 +46,13 @@ def test_units():
     assert language.units_of("über") == [("über", "latin")]
     assert language.units_of("ab中文中文中の") == [("ab", "latin"), ("中文中文", "han"), ("中", "han"), ("の", "kana")]
     assert [len(u) for u, _ in language.units_of("x" * 90)] == [40, 40, 10]
+
+
+def test_memory_is_bounded_by_bytes(words):
+    held = language.Words(words.model)
+    for n in range(50):
+        texts = [" ".join(f"{100_000 * n + i}" for i in range(50_000)), " ".join(f"house{100_000 * n + i}" for i in range(50_000))]
+        language.label_texts(held, texts)
+        tokens = sum(len(t) for t in held) + 100 * len(held)
+        assert tokens <= held.held <= language.REMEMBERED + 100_000 * 200
+    assert len(held) < 1_000_000  # of five million

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import id_type, only, ship, slices
+from tidemark.llm.common import id_type, only, release, ship, slices
 
 PER_LANGUAGE = 4_000
 CELL_BITS = 16
@@ -43,7 +43,11 @@ MOST_LOST = 5.0
 PIECE, LONGEST_RUN = 4, 40
 UNSPACED = {"han", "kana", "thai", "lao", "tibetan", "myanmar", "khmer"}
 SWITCH = 15.0
-REMEMBERED = 400_000
+#: Bytes of tokens and units that a worker remembers, about; and of text that it reads at a time, which bounds what can come on top.
+REMEMBERED = 64 << 20
+SLICE = 2 << 20
+#: Bytes that a dictionary entry takes besides its text, about.
+ENTRY = 160
 #: Distinct words that a task of the fit counts before it folds them into cells, over all languages.
 COUNTED = 200_000
 #: Units that advance together in one pass.
@@ -117,6 +121,7 @@ class Model:
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For ``mapInArrow``: lang and text to (lang, cell, count) and (lang, script, letters), summed over the task."""
+    release()
     words: dict[str, Counter] = {}
     cells: dict[str, np.ndarray] = {}
     scripts: dict[str, Counter] = {}
@@ -191,7 +196,7 @@ class Words(dict):
 
     def start(self) -> None:
         self.clear()
-        self.used, self.held, self.rows, self.parts = 1, 0, {}, [np.zeros(0, np.int64)]
+        self.used, self.held, self.rows, self.parts = 1, 0, {}, [np.zeros(0, np.int64)]  # held: bytes, about
         self.loss, self.weight, self.lettered = np.zeros((1, self.size), np.float32), np.zeros(1, np.int32), np.zeros(1, bool)
 
     def learn(self, tokens: set[str]) -> None:
@@ -199,6 +204,7 @@ class Words(dict):
         fresh = sorted(tokens.difference(self))
         words = {token: word for token in fresh if (word := letters_of(token))}
         self.update(dict.fromkeys(fresh, 0))
+        self.held += sum(map(len, fresh)) + ENTRY * len(fresh)
         added: dict[str, str] = {}
         for token, word in words.items():
             units = units_of(word)
@@ -211,7 +217,7 @@ class Words(dict):
             else:
                 self[token] = -len(self.parts)
                 self.parts.append(np.fromiter((self.rows[unit] for unit, _ in units), np.int64, len(units)))
-                self.held += len(units)
+                self.held += 8 * len(units) + ENTRY
         if not added:
             return
         plain, scripts = list(added), list(added.values())
@@ -226,6 +232,7 @@ class Words(dict):
             loss[:] = np.where(mask, np.minimum(best[:, None] - score, MOST_LOST), MOST_LOST) * known[:, None]
             weight[:] = np.fromiter(map(len, plain), np.int64, len(plain)) * known
         self.used += len(plain)
+        self.held += sum(map(len, plain)) + (ENTRY + 4 * self.size + 5) * len(plain)
         self.loss, self.weight = np.concatenate([self.loss, loss]), np.concatenate([self.weight, weight])
         self.lettered = np.concatenate([self.lettered, np.ones(len(plain), bool)])
 
@@ -263,7 +270,7 @@ def viterbi(loss: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) -> n
 def label_texts(words: Words, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, score, spans as first word, number of words, language) of each text."""
     model = words.model
-    if words.used + words.held > REMEMBERED:
+    if words.held > REMEMBERED:
         words.start()
     tokens = [text.split() if text else [] for text in texts]
     words.learn(set().union(*tokens))
@@ -320,7 +327,7 @@ def label_batches(shared, passed: int):
         words = only(("language", shared.value.key), lambda: Words(shared.value))
         spans_type = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
         for whole in batches:
-            for batch in slices(whole, column=passed):
+            for batch in slices(whole, SLICE, passed):
                 found = label_texts(words, batch.column(passed).to_pylist())
                 spans = pa.array([[{"first": a, "words": n, "lang": lang} for a, n, lang in s] for _, _, s in found], spans_type)
                 made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans]

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import ship, stored
+from tidemark.llm.common import release, ship, stored
 
 SCALE = 256
 CHUNK = 2_048
@@ -293,6 +293,7 @@ def search_batches(shared, start: Callable[[Block], Positives | Negatives], name
     """For ``mapInArrow``: vec_id, label and embedding to what the search of a task over a block found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         block = shared.value
         search, width = start(block), block.points.shape[1]
         for batch in batches:

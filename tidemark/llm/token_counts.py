@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import id_type, ship, slices, stored, text_of
+from tidemark.llm.common import id_type, release, ship, slices, stored, text_of
 
 CHUNK = 32_768
 OVERLAP = 256
@@ -79,6 +79,7 @@ def count_batches(path: str):
     """For ``mapInArrow``: doc_id, n_bytes and text to doc_id, n_bytes and n_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         vocabulary = load(path)
         for whole in batches:
             for batch in slices(whole, column=2):
@@ -117,6 +118,7 @@ def window_batches(path: str, chunk: int):
     """For ``mapInArrow``: windows to their splices (in characters of the document; -1: none found) and the tokens between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         vocabulary = load(path)
         for batch in batches:
             rows = []

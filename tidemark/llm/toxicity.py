@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import id_type, only, ship, slices, stored
+from tidemark.llm.common import id_type, only, release, ship, slices, stored
 
 SAMPLE = 10_000
 STEM = (4, 5, 6)
@@ -161,6 +161,7 @@ def evidence(tokens: Tokens, text: str) -> tuple[float, list[tuple[int, int, flo
 
 def stem_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For ``mapInArrow``: toxic and text to (stem, toxic documents, other documents), summed over runs of the task."""
+    release()
     held: tuple[Counter, Counter] = (Counter(), Counter())
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -184,6 +185,7 @@ def context_batches(shared):
     """For ``mapInArrow``: texts to the distinct (stem, word before it) of the candidate stems."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         stems, seen = shared.value, set()
         for batch in batches:
             for text in batch.column(0).to_pylist():
