@@ -1,7 +1,9 @@
 """Streams: exactly once per event id in effect, late events kept, interrupted runs resumed."""
 
+import hashlib
 import random
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from data import log_of, payload
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.model import Scope
 from tidemark.operators import ingest
 from tidemark.sources import events as sources
-from tidemark.streaming import jobs, sinks
+from tidemark.streaming import archive, batches, jobs, sinks
 
 START = datetime(2026, 9, 1, tzinfo=timezone.utc)
 
@@ -136,7 +138,7 @@ def test_orgs_that_share_ids_keep_their_rows(spark, folder):
 
 def test_payloads_with_line_breaks_come_back_whole(spark, folder):
     values = [payload(n).replace(", ", ",\n") for n in range(30)]
-    sinks.write_archive(ingest.classify_archive(log_of(spark, values)), folder, 0)
+    archive.write_archive(ingest.classify_archive(log_of(spark, values)), folder)
     assert sorted(r["value"] for r in sources.read_archive(spark, folder).collect()) == sorted(values)
 
 
@@ -167,10 +169,62 @@ def test_archive_keeps_bytes_and_order(spark, folder):
     assert [(r["reason"], r["value"]) for r in quarantined] == [("InvalidJson", "{broken")]
 
 
+def published(folder):
+    return sorted(str(p.relative_to(folder)) for p in Path(folder).rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+
+
+def test_archive_objects_are_named_by_content_and_written_once(spark, folder):
+    rows = ingest.classify_archive(log_of(spark, [payload(n, note="x\ny") for n in range(25)] + ["{broken"]))
+    archive.write_archive(rows, folder, max_rows=10, source="test", created_at="2026-09-02T00:00:00Z")
+    first = published(folder)
+    archive.write_archive(rows.repartition(7), folder, max_rows=10, source="again", created_at="2027-01-01T00:00:00Z")
+    assert published(folder) == first and len(first) == 6  # three objects, three manifests, nothing staged
+    listed = archive.read_manifests(spark, folder).orderBy("ranges").collect()
+    assert [(r["event_count"], r["ranges"], r["source"]) for r in listed] == [(10, "events:0:0:9", "test"), (10, "events:0:10:19", "test"), (5, "events:0:20:24", "test")]
+    body = "".join(f"{payload(n, note='x' + chr(10) + 'y')}\n" for n in range(10))
+    assert listed[0]["content_hash"] == hashlib.sha256(body.encode()).hexdigest()[:16]
+    assert archive.folder_manifests(archive.read_manifests(spark, folder)).first()["ranges"] == "events:0:0:24"
+
+
+def test_an_aborted_archive_batch_leaves_nothing_visible(spark, folder):
+    rows = ingest.classify_archive(log_of(spark, [payload(n) for n in range(30)]))
+    failing = rows.withColumn("value", F.when(F.col("offset") == 25, F.raise_error(F.lit("lost"))).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="lost"):
+        archive.write_archive(failing, folder, max_rows=10)
+    assert published(folder) == [] and sources.read_archive(spark, folder, once=False).count() == 0
+    archive.write_archive(rows, folder, max_rows=10)
+    assert sources.read_archive(spark, folder, once=False).count() == 30
+
+
+def test_a_batch_published_in_part_is_finished(spark, folder):
+    rows = ingest.classify_archive(log_of(spark, [payload(n) for n in range(30)]))
+    archive.write_archive(rows, folder, max_rows=10)
+    whole = published(folder)
+    gone = next(Path(folder) / name for name in whole if name.endswith(".gz"))
+    gone.unlink()
+    archive.write_archive(rows, folder, max_rows=10)
+    assert published(folder) == whole and sources.read_archive(spark, folder, once=False).count() == 30
+
+
+def test_linger_batches_against_a_plain_loop(spark):
+    rng = random.Random(3)
+    rows = [("t" if n % 3 else "u", n % 2, n, rng.choice([10, 200, 900, 5000])) for n in range(3_000)]
+    found = batches.linger_batches(spark.createDataFrame(rows, "topic string, partition int, offset long, size int").repartition(5), 7, 2_000)
+    expected, state = [], {}
+    for topic, partition, offset, size in rows:
+        batch, docs, held = state.get((topic, partition), (0, 0, 0))
+        if docs and (docs >= 7 or held + size > 2_000):
+            batch, docs, held = batch + 1, 0, 0
+        state[topic, partition] = (batch, docs + 1, held + size)
+        expected.append((topic, partition, offset, size, batch))
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    assert batches.linger_batches(spark.createDataFrame([], "topic string, partition int, offset long, size int")).count() == 0
+
+
 def test_archive_folders_expire(spark, folder):
     for day in ("2026-08-01", "2026-08-30"):
         rows = ingest.classify_archive(log_of(spark, [payload(occured_at=f"{day}T00:00:00Z")]))
-        sinks.write_archive(rows, folder, int(day[-2:]))
+        archive.write_archive(rows, folder)
     dropped = sinks.expire_folders(spark, folder, "2026-09-01")
     assert len(dropped) == 1 and dropped[0].endswith("dt=2026-08-01")
     assert [r["dt"] for r in sources.read_archive(spark, folder).collect()] == ["2026-08-30"]

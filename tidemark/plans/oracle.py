@@ -565,6 +565,16 @@ _SQL |= {
         SELECT 'backup/' || org || '/' || workspace || '/dt=' || dt || '/hour=' || lpad(cast(hour AS varchar), 2, '0') || '/' || hash
             || '.jsonl' AS object_key, event_count, first_offset, last_offset FROM objects"""
     ),
+    "linger_batch": _log(
+        """, r AS (SELECT topic, partition, "offset", strlen(value) AS size, row_number() OVER w AS rn, sum(strlen(value)) OVER w AS total
+            FROM log WINDOW w AS (PARTITION BY partition ORDER BY "offset")),
+        reach AS (SELECT a.partition, a.rn AS start, max(b.rn) AS stop FROM r a JOIN r b ON a.partition = b.partition AND b.rn >= a.rn AND b.rn < a.rn + 50
+            AND (b.rn = a.rn OR b.total - a.total + a.size <= 32768) GROUP BY 1, 2),
+        chain AS (SELECT partition, start, stop, 0::BIGINT AS batch FROM reach WHERE start = 1
+            UNION ALL SELECT n.partition, n.start, n.stop, batch + 1 FROM chain c JOIN reach n ON n.partition = c.partition AND n.start = c.stop + 1)
+        SELECT topic, r.partition, batch, count(*) AS docs, cast(sum(size) AS bigint) AS bytes, min("offset") AS first_offset, max("offset") AS last_offset
+        FROM r JOIN chain c ON r.partition = c.partition AND rn BETWEEN start AND stop GROUP BY 1, 2, 3"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "sink_quarantine": _log(
         """SELECT DISTINCT substr(sha256(value || chr(10)), 1, 16) AS content_hash, CASE defect WHEN 'not_json' THEN 'InvalidJson'
         WHEN 'no_org' THEN 'MissingOrgId' ELSE 'MissingTimestamp' END AS reason, value FROM log

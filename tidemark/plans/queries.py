@@ -17,7 +17,7 @@ from tidemark.plans import library, saved
 from tidemark.session import scratch_dir, use_utc
 from tidemark.sources import events as sources
 from tidemark.sources.sample import ORG, sample_events, sample_facts, sample_payloads, table
-from tidemark.streaming import jobs, sinks
+from tidemark.streaming import archive, batches, jobs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -662,7 +662,7 @@ def src_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archived day range of one workspace, one payload per event id."""
     root = scratch_dir(spark, "archive")
     classified = ingest.classify_archive(sample_payloads(spark, sf_dir))
-    sinks.write_archive(classified, root, 0)
+    archive.write_archive(classified, root)
     days = ("2024-01-03", "2024-01-20")
     parts = [sources.read_archive(spark, root, Scope(ORG, f"workspace-{n}"), days) for n in range(3)]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -678,13 +678,28 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sink_archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.archive_manifest(_classified(spark, sf_dir), "sample", "2024-03-01")
+    """The manifests that an archiving stream stored beside its objects, summed up by folder."""
+    root, stream = _stored_log(spark, sf_dir, "archive-manifest")
+    jobs.start_archive(stream, f"{root}/archive", f"{root}/checkpoint", seconds=None, source="sample", created_at="2024-03-01T00:00:00Z").awaitTermination()
+    return archive.folder_manifests(archive.read_manifests(spark, f"{root}/archive"))
 
 
 @query
 def sink_archive_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objects = sinks.archive_objects(_classified(spark, sf_dir), block=1_000)
-    return objects.select(sinks.archive_key("backup").alias("object_key"), "event_count", "first_offset", "last_offset")
+    """The objects that are there after two streams have archived the same log to the same place."""
+    root, stream = _stored_log(spark, sf_dir, "archive-twice")
+    for run in range(2):
+        jobs.start_archive(stream, f"{root}/archive", f"{root}/checkpoint-{run}", n=1_000, seconds=None).awaitTermination()
+    objects = archive.read_manifests(spark, f"{root}/archive").withColumn("range", F.split("ranges", ":"))
+    offsets = [F.element_at("range", at).cast("long").alias(c) for at, c in ((-2, "first_offset"), (-1, "last_offset"))]
+    return objects.select(sinks.archive_key("backup").alias("object_key"), "event_count", *offsets)
+
+
+@query
+def linger_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as bulk requests of at most 50 documents or 32 KiB."""
+    records = sample_payloads(spark, sf_dir).withColumn("size", F.octet_length("value"))
+    return batches.batch_sizes(batches.linger_batches(records, 50, 32 * 1024))
 
 
 @query

@@ -151,7 +151,10 @@ def read_archive(spark: SparkSession, root: str, scope: Scope | None = None, day
 
     The archive may hold an event twice; ``once`` keeps one payload per event id.
     """
-    schema = "value string, batch_id long, org string, workspace string, dt string, hour int"
+    schema = "value string, org string, workspace string, dt string, hour int"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/org=*")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):  # nothing published yet
+        return spark.createDataFrame([], schema).select("org", "workspace", "dt", "hour", "value")
     rows = spark.read.schema(schema).text(root, lineSep=RECORD_END)
     if scope is not None:
         rows = rows.where((F.col("org") == scope.org_id) & (F.col("workspace") == scope.workspace_id))

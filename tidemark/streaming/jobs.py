@@ -22,7 +22,7 @@ from tidemark.operators.ingest import (
 )
 from tidemark.session import keep
 from tidemark.sources.events import folder_exists
-from tidemark.streaming import sinks
+from tidemark.streaming import archive, sinks
 
 CYCLE_S, CYCLE_ROWS = 60, 10_000
 DEFAULT_TEMPLATE = "events-{org_id}-{workspace_id}"
@@ -114,7 +114,7 @@ def start_ingest(
             prepared.unpersist()
         classified = keep(classify_archive(batch))
         try:
-            sinks.write_archive(classified, f"{root}/archive", batch_id)
+            archive.write_archive(classified, f"{root}/archive")
             sinks.write_quarantine(classified, root, batch_id)
         finally:
             classified.unpersist()
@@ -147,9 +147,10 @@ def start_archive(
     checkpoint: str,
     n: int = CYCLE_ROWS,
     seconds: float | None = CYCLE_S,
-    codec: str = "gzip",
+    source: str | None = None,
+    created_at: str | None = None,
 ) -> StreamingQuery:
-    """The archive cycle: every ``seconds`` what has arrived, in files of at most ``n`` records.
+    """The archive cycle: every ``seconds`` what has arrived, in objects of at most ``n`` records with their manifests.
 
     Reading no more than ``n`` records per cycle is the source's rate option; firing early at exactly
     ``n`` records is not reproduced.
@@ -158,7 +159,7 @@ def start_archive(
     def write(batch: DataFrame, batch_id: int) -> None:
         classified = keep(classify_archive(batch))
         try:
-            sinks.write_archive(classified, root, batch_id, codec, n)
+            archive.write_archive(classified, root, n, source, created_at)
             sinks.write_quarantine(classified, root, batch_id)
         finally:
             classified.unpersist()

@@ -11,7 +11,7 @@ from tidemark.functions import times
 from tidemark.operators.catalog import new_catalog_rows, schema_catalog
 from tidemark.operators.ingest import ID_KEY, dedup
 from tidemark.session import scratch_dir, small_side
-from tidemark.sources.events import PART, RECORD_END, batch_ids, folder_exists, fresh_rows, merged_folder, merged_rows
+from tidemark.sources.events import PART, batch_ids, folder_exists, fresh_rows, merged_folder, merged_rows
 
 ARCHIVE_BLOCK = 10_000
 CATALOG_SCHEMA = "org_id string, workspace_id string, event_name string, property string, type string"
@@ -74,19 +74,6 @@ def read_catalog(spark: SparkSession, root: str) -> DataFrame:
 _GROUP = ("org", "workspace", "dt", "hour")
 
 
-def write_archive(classified: DataFrame, root: str, batch_id: int, codec: str = "gzip", max_rows: int = ARCHIVE_BLOCK) -> None:
-    """Payloads verbatim, in (topic, partition, offset) order, below org/workspace/dt/hour.
-
-    Records end with ``RECORD_END``, so a payload with line breaks reads back as one record.
-    """
-    routed = classified.where("reason is null")
-    # An hour goes to one task per block of offsets, so a busy hour is split.
-    block = F.floor(F.col("offset") / max_rows)
-    laid_out = routed.repartition(*_GROUP, block).sortWithinPartitions(*_GROUP, "topic", "partition", "offset")
-    writer = laid_out.select(*_GROUP, "value").write.mode("overwrite").partitionBy(*_GROUP)
-    writer.option("compression", codec).option("maxRecordsPerFile", max_rows).option("lineSep", RECORD_END).text(batch_folder(root, batch_id))
-
-
 def archive_objects(classified: DataFrame, block: int = ARCHIVE_BLOCK) -> DataFrame:
     """One row per archive object: folder key, content hash, event count and offset range.
 
@@ -219,7 +206,7 @@ def expire_folders(spark: SparkSession, root: str, now: str | datetime, days: in
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = jvm_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     dropped = []
-    for status in fs.globStatus(jvm_path(f"{root}/*/*/*/dt=*")) or []:
+    for status in fs.globStatus(jvm_path(f"{root}/*/*/dt=*")) or []:
         folder = status.getPath()
         if folder.getName().removeprefix("dt=") < oldest:
             fs.delete(folder, True)
