@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.model import Scope
 from tidemark.operators import ingest
 from tidemark.sources import events as sources
-from tidemark.streaming import archive, batches, jobs, sinks
+from tidemark.streaming import archive, batches, cycles, jobs, sinks
 
 START = datetime(2026, 9, 1, tzinfo=timezone.utc)
 
@@ -206,6 +206,24 @@ def test_a_batch_published_in_part_is_finished(spark, folder):
     assert published(folder) == whole and sources.read_archive(spark, folder, once=False).count() == 30
 
 
+def test_cycles_carry_their_surplus(spark, folder):
+    add = lambda numbers: log_of(spark, [f"v{n}" for n in numbers]).withColumn("offset", F.col("offset") + min(numbers)).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    add(range(250))
+    query = cycles.start_cycles(sources.read_event_stream(spark, f"{folder}/log"), 100, 20, f"{folder}/out", f"{folder}/cp", 0.5)
+    try:
+        cycles.await_records(query, f"{folder}/out", 200, 120)
+        add(range(250, 320))  # with the 50 that wait: one cycle, and 20 that wait on
+        cycles.await_records(query, f"{folder}/out", 300, 120)
+        sizes = lambda: sorted((r["cycle"], r["by"], r["count"]) for r in cycles.read_cycles(spark, f"{folder}/out").groupBy("cycle", "by").count().collect())
+        assert sizes() == [(0, "number", 100), (1, "number", 100), (2, "number", 100)]
+        cycles.await_records(query, f"{folder}/out", 320, 120)
+        assert sizes()[3:] == [(3, "time", 20)]  # and windows without records fire nothing
+    finally:
+        query.stop()
+    rows = cycles.read_cycles(spark, f"{folder}/out").orderBy("offset").collect()
+    assert [(r["offset"], r["cycle"]) for r in rows] == [(n, n // 100) for n in range(320)]
+
+
 def test_linger_batches_against_a_plain_loop(spark):
     rng = random.Random(3)
     rows = [("t" if n % 3 else "u", n % 2, n, rng.choice([10, 200, 900, 5000])) for n in range(3_000)]

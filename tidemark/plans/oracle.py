@@ -565,6 +565,11 @@ _SQL |= {
         SELECT 'backup/' || org || '/' || workspace || '/dt=' || dt || '/hour=' || lpad(cast(hour AS varchar), 2, '0') || '/' || hash
             || '.jsonl' AS object_key, event_count, first_offset, last_offset FROM objects"""
     ),
+    "trigger_n_or_time": _log(
+        """, r AS (SELECT topic, partition, "offset", (row_number() OVER (PARTITION BY partition ORDER BY "offset") - 1) // 100 AS cycle FROM log)
+        SELECT topic, partition, cycle, CASE WHEN count(*) = 100 THEN 'number' ELSE 'time' END AS by, count(*) AS records,
+            min("offset") AS first_offset, max("offset") AS last_offset FROM r GROUP BY topic, partition, cycle"""
+    ),
     "linger_batch": _log(
         """, r AS (SELECT topic, partition, "offset", strlen(value) AS size, row_number() OVER w AS rn, sum(strlen(value)) OVER w AS total
             FROM log WINDOW w AS (PARTITION BY partition ORDER BY "offset")),

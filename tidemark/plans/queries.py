@@ -17,7 +17,7 @@ from tidemark.plans import library, saved
 from tidemark.session import scratch_dir, use_utc
 from tidemark.sources import events as sources
 from tidemark.sources.sample import ORG, sample_events, sample_facts, sample_payloads, table
-from tidemark.streaming import archive, batches, jobs, sinks
+from tidemark.streaming import archive, batches, cycles, jobs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -695,6 +695,19 @@ def sink_archive_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.select(sinks.archive_key("backup").alias("object_key"), "event_count", *offsets)
 
 
+@query
+def trigger_n_or_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in cycles of exactly 100 records per partition; what is left fires by time."""
+    root, stream = _stored_log(spark, sf_dir, "cycles")
+    running = cycles.start_cycles(stream, 100, 1, f"{root}/out", f"{root}/checkpoint")
+    try:
+        cycles.await_records(running, f"{root}/out", spark.read.parquet(f"{root}/log").count(), 1_800)
+    finally:
+        running.stop()
+    fired = cycles.read_cycles(spark, f"{root}/out").groupBy("topic", "partition", "cycle", "by")
+    return fired.agg(F.count(F.lit(1)).alias("records"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
+
+
 @query
 def linger_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as bulk requests of at most 50 documents or 32 KiB."""
