@@ -126,6 +126,20 @@ def test_stream_dedup_keeps_first_arrivals_of_any_age(spark, folder):
     assert {r["org_id"]: r["count"] for r in rows.groupBy("org_id").count().collect()} == {"org-one": 30, "org-two": 10}
 
 
+def test_a_copy_with_another_event_month_is_dropped(spark, folder):
+    for part, month in enumerate([3, 1, 9, 2]):  # out of order; each file is a batch and brings ten new ids and all earlier ones again
+        values = [payload(n, occured_at=f"2026-{month:02d}-{1 + part:02d}T00:00:00Z") for n in range(10 * part + 10)]
+        log_of(spark, values, partition=part).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    stream = sources.read_event_stream(spark, f"{folder}/log", files_per_trigger=1)
+    events = ingest.conform(ingest.decode(stream).where("error_class is null")).select(*ingest.ID_KEY, "event_timestamp", "arrived_at")
+    for run in range(2):  # a later start goes on with the state of the first
+        query = jobs.start_deduped(events, f"{folder}/out", f"{folder}/cp")
+        query.awaitTermination()
+        rows = spark.read.parquet(f"{folder}/out")
+        assert rows.count() == rows.select("event_id").distinct().count() == 40 + run
+        log_of(spark, [payload(n) for n in range(41)], partition=9).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+
+
 def test_orgs_that_share_ids_keep_their_rows(spark, folder):
     rows = ingest.conform(ingest.decode(log_of(spark, [payload(n, org_id=org) for org in ("org-one", "org-two") for n in range(50)])))
     sinks.write_facts(rows, f"{folder}/facts", 0)

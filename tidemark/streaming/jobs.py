@@ -18,11 +18,10 @@ from tidemark.operators.ingest import (
     own_workspace,
     reject_large,
     resolve_setting,
-    upsert_by_id,
 )
 from tidemark.session import keep
-from tidemark.sources.events import folder_exists
 from tidemark.streaming import archive, sinks
+from tidemark.streaming.cycles import STATE_STORE
 
 CYCLE_S, CYCLE_ROWS = 60, 10_000
 DEFAULT_TEMPLATE = "events-{org_id}-{workspace_id}"
@@ -168,27 +167,22 @@ def start_archive(
 
 
 def start_deduped(events: DataFrame, root: str, checkpoint: str, every_s: float | None = None) -> StreamingQuery:
-    """Each event once, by (org, workspace, id), however late it or a copy of it comes: no watermark.
+    """Each event once, by (org, workspace, id), however late it or a copy of it comes and whatever event time the copy carries: no watermark.
 
-    A batch keeps the ids that no other batch has written. Ids are stored by the event's month, and only the months a
-    batch touches are looked at; a copy carries the event time of its first sending, so it meets it there.
+    The ids of all time are keyed state. The store looks a batch's ids up by key, behind Bloom filters of its files, so a batch costs what it
+    holds and not what came before; state is spread over the shuffle partitions of the first start. Of copies in one batch any one stays.
     """
+    conf, name = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = keep(batch.withColumn("month", F.date_format("event_timestamp", "yyyyMM")))
-        try:
-            earlier = None
-            if folder_exists(spark, root):
-                months = [r["month"] for r in rows.select("month").distinct().collect()]  # a handful per batch
-                stored = spark.read.schema(f"{', '.join(f'{c} string' for c in ID_KEY)}, batch_id long, month string").parquet(root)
-                earlier = stored.where((F.col("batch_id") != batch_id) & F.col("month").isin(months))
-            fresh = upsert_by_id(rows, earlier)
-            fresh.write.mode("overwrite").partitionBy("month").parquet(sinks.batch_folder(root, batch_id))
-        finally:
-            rows.unpersist()
+        batch.write.mode("overwrite").parquet(sinks.batch_folder(root, batch_id))
 
-    return foreach_batch_once(events, write, checkpoint, every_s)
+    conf.set(name, STATE_STORE)  # keeps its state on disk; a query takes it when it starts
+    try:
+        return foreach_batch_once(events.dropDuplicates(list(ID_KEY)), write, checkpoint, every_s)
+    finally:
+        conf.set(name, before)
 
 
 # -- live views ------------------------------------------------------------
