@@ -539,6 +539,7 @@ _SQL |= {
     "sink_facts": _log(
         f"SELECT uuid AS event_id, event_name, {_at('ts')} AS event_timestamp, workspace_id, actor_id, country FROM once WHERE {_GOOD}"
     ),
+    "facts_over_batches": _log(f"SELECT workspace_id, event_name, count(*) AS event_count FROM once WHERE {_GOOD} GROUP BY 1, 2"),
     "sink_catalog": _log(
         ", kept AS (SELECT * REPLACE (CASE defect WHEN 'bad_org' THEN 'Bad Org' WHEN 'no_org' THEN '' ELSE org_id END AS org_id) FROM once WHERE " + _GOOD + "), "
         + _CATALOG.replace("FROM f)", "FROM kept)")

@@ -641,6 +641,16 @@ def sink_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "event_name", "event_timestamp", "workspace_id", "actor_id", "country")
 
 
+@query
+def facts_over_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload log as many batches, resends in other batches; the ingest merges as it goes, the rest is read fresh."""
+    root = scratch_dir(spark, "facts-batches")
+    sample_payloads(spark, sf_dir).repartition(2 * sinks.FANOUT + 3).write.parquet(f"{root}/log")
+    stream = sources.read_event_stream(spark, f"{root}/log", files_per_trigger=1)
+    jobs.start_fact_sink(stream, f"{root}/facts", f"{root}/checkpoint").awaitTermination()
+    return sources.facts(spark, f"{root}/facts").groupBy("workspace_id", "event_name").agg(F.count(F.lit(1)).alias("event_count"))
+
+
 @query
 def sink_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, stream = _stored_log(spark, sf_dir, "stream-catalog")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -10,6 +10,7 @@ from tidemark.functions import documents, props, times
 from tidemark.model import ENVELOP_VERSION, FACT_COLUMNS, FACT_SCHEMA, RAW_SCHEMA, Scope
 from tidemark.operators.ingest import drop_deleted
 from tidemark.session import small_side
+from tidemark.sources.versions import Batch, Run, Versions
 
 
 def read_event_stream(spark: SparkSession, source: str | Mapping[str, str], files_per_trigger: int | None = None) -> DataFrame:
@@ -83,42 +84,42 @@ _STORED = T.StructType([T.StructField("month", T.StringType())] + list(FACT_SCHE
 PART = ("org_id", "workspace_id", "month")
 
 
-def merged_folder(root: str) -> str:
-    """Where `sinks.merge_facts` keeps resolved rows; the leading underscore hides it from readers of the batches."""
-    return f"{root}/_merged"
+def batch_ids(spark: SparkSession, root: str) -> list[int]:
+    """Ids of the batches that no merge has taken in yet."""
+    versions = Versions(spark, root)
+    return [b.batch_id for b in versions.fresh(versions.current())]
 
 
-def batch_ids(spark: SparkSession, root: str) -> list[int]:
-    """Ids of the batches that no merge has consumed yet."""
-    if not folder_exists(spark, root):
-        return []
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    found = jvm_path(root).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path(f"{root}/batch_id=*")) or []
-    return sorted(int(status.getPath().getName().removeprefix("batch_id=")) for status in found)
+def _read(spark: SparkSession, base: str, part: str, names: list[str]) -> DataFrame:
+    """Stored rows of the named folders below ``base``, whose last level is the partition ``part``."""
+    if not names:
+        return spark.createDataFrame([], _STORED).select(*FACT_COLUMNS, "month")
+    schema = T.StructType([T.StructField(part, T.StringType()), *_STORED.fields])
+    rows = spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{n}" for n in names])
+    return rows.select(*FACT_COLUMNS, "month")
 
 
-def fresh_rows(spark: SparkSession, root: str, ids: list[int]) -> DataFrame:
+def fresh_rows(spark: SparkSession, root: str, batches: Sequence[Batch]) -> DataFrame:
     """All versions in the given batches."""
-    schema = T.StructType([T.StructField("batch_id", T.LongType()), *_STORED.fields])
-    rows = spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/batch_id={n}" for n in ids])
-    return rows.select(*FACT_COLUMNS, "month")
+    return _read(spark, root, "batch_id", [b.name for b in batches])
 
 
-def merged_rows(spark: SparkSession, root: str) -> DataFrame:
-    """One version per key, deletions among them."""
-    if not folder_exists(spark, merged_folder(root)):
-        return spark.createDataFrame([], _STORED).select(*FACT_COLUMNS, "month")
-    return spark.read.schema(_STORED).parquet(merged_folder(root)).select(*FACT_COLUMNS, "month")
+def run_rows(spark: SparkSession, root: str, runs: Sequence[Run]) -> DataFrame:
+    """The rows of the given runs, deletions among them; each run holds one version per key."""
+    return _read(spark, f"{root}/_runs", "run", [r.name.removeprefix("_runs/") for r in runs])
 
 
 def facts(spark: SparkSession, root: str, scope: Scope | None = None, rng=None, raw: bool = False) -> DataFrame:
     """The fact table of one scope: partitions pruned by org, workspace and month, latest versions only.
 
-    Merged rows hold one version per key, so they are read as they are, without a shuffle. Versions are resolved only
-    in partitions that a batch after the last merge has touched. A folder that does not exist yet is an empty table.
-    ``raw`` gives every stored version.
+    Reads the newest published version of the table and the batches it has not taken in, so a merge that runs meanwhile shows
+    whole or not at all. A run holds one version per key: rows of the largest run are read as they are, without a shuffle,
+    but for partitions that a smaller run or a batch has touched, where versions are resolved. A folder that does not exist yet is an
+    empty table. ``raw`` gives every stored version.
     """
-    ids = batch_ids(spark, root)
+    versions = Versions(spark, root)
+    manifest = versions.current()
+    batches = versions.fresh(manifest)
 
     def wanted(rows: DataFrame) -> DataFrame:
         if scope is not None:
@@ -130,15 +131,16 @@ def facts(spark: SparkSession, root: str, scope: Scope | None = None, rng=None,
             )
         return rows
 
-    merged = wanted(merged_rows(spark, root))
-    if not ids:
-        return (merged if raw else merged.where("is_deleted = 0")).select(*FACT_COLUMNS)
-    fresh = wanted(fresh_rows(spark, root, ids))
+    runs = sorted(manifest.runs, key=lambda run: -run.size)
+    largest = wanted(run_rows(spark, root, runs[:1]))
+    if not batches and len(runs) < 2:
+        return (largest if raw else largest.where("is_deleted = 0")).select(*FACT_COLUMNS)
+    newer = wanted(run_rows(spark, root, runs[1:]).unionByName(fresh_rows(spark, root, batches)))
     if raw:
-        return merged.unionByName(fresh).select(*FACT_COLUMNS)
-    touched = small_side(fresh.select(*PART).distinct())
-    open_rows = merged.join(touched, list(PART), "left_semi").unionByName(fresh)
-    settled = merged.where("is_deleted = 0").join(touched, list(PART), "left_anti")
+        return largest.unionByName(newer).select(*FACT_COLUMNS)
+    touched = small_side(newer.select(*PART).distinct())
+    open_rows = largest.join(touched, list(PART), "left_semi").unionByName(newer)
+    settled = largest.where("is_deleted = 0").join(touched, list(PART), "left_anti")
     return settled.select(*FACT_COLUMNS).unionByName(drop_deleted(open_rows.select(*FACT_COLUMNS)))
 
 

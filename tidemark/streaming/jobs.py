@@ -107,6 +107,7 @@ def start_ingest(
         try:
             rows = conform(prepared.where("error_class is null"))
             sinks.write_facts(rows, f"{root}/facts", batch_id)
+            sinks.keep_merged(batch.sparkSession, f"{root}/facts")
             sinks.write_catalog(rows, f"{root}/catalog", batch_id)
             sinks.write_dead_letters(prepared, f"{root}/dead_letters", batch_id)
         finally:
@@ -124,11 +125,12 @@ def start_ingest(
 def start_fact_sink(
     stream: DataFrame, root: str, checkpoint: str, workspace_id: str | None = None, every_s: float | None = None
 ) -> StreamingQuery:
-    """Sound events into the fact table, of one workspace or of all. Late events are kept: no watermark."""
+    """Sound events into the fact table, of one workspace or of all, merged as batches come together. Late events are kept: no watermark."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = conform(decode(batch).where("error_class is null"))
         sinks.write_facts(rows if workspace_id is None else own_workspace(rows, workspace_id), root, batch_id)
+        sinks.keep_merged(batch.sparkSession, root)
 
     return foreach_batch_once(stream, write, checkpoint, every_s)
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.functions import times
 from tidemark.operators.catalog import new_catalog_rows, schema_catalog
 from tidemark.operators.ingest import ID_KEY, dedup
-from tidemark.session import scratch_dir, small_side
-from tidemark.sources.events import PART, batch_ids, folder_exists, fresh_rows, merged_folder, merged_rows
+from tidemark.sources.events import PART, batch_ids, folder_exists, fresh_rows, run_rows
+from tidemark.sources.versions import Manifest, Retired, Run, Versions
 
 ARCHIVE_BLOCK = 10_000
 CATALOG_SCHEMA = "org_id string, workspace_id string, event_name string, property string, type string"
@@ -28,30 +28,67 @@ def write_facts(facts: DataFrame, root: str, batch_id: int) -> None:
     rows.write.mode("overwrite").partitionBy("org_id", "workspace_id", "month").parquet(batch_folder(root, batch_id))
 
 
-def merge_facts(spark: SparkSession, root: str) -> int:
-    """Resolves the batches written since the last merge into the merged rows and drops them; returns how many there were.
+#: Runs of one size class that wait side by side, and batches that wait for a scheduled merge.
+FANOUT = 8
+#: Bytes up to which runs are of the lowest class; each further class is FANOUT times as large.
+SMALLEST = 64 << 20
+#: Further versions during which what a merge has replaced stays readable.
+KEEP = 2
 
-    Only partitions (org, workspace, month) that a batch touches are rewritten, clustered by name, time and id for range reads. Deletions
-    stay, so an older version that comes late cannot undo them. A run that ends between its steps leaves a table that
-    reads the same, as resolving is idempotent: the next run finishes the work. Not to be run twice at a time.
+
+def _size_class(size: int) -> int:
+    level, limit = 0, SMALLEST
+    while size > limit:
+        level, limit = level + 1, limit * FANOUT
+    return level
+
+
+def _joining(runs: Sequence[Run], size: int) -> list[Run]:
+    """The runs that a merge of ``size`` bytes takes along: whole size classes, from the lowest, that the new run would overfill."""
+    taken, level = [], 0
+    while any(_size_class(run.size) >= level for run in runs):
+        peers = [run for run in runs if _size_class(run.size) == level]
+        if level >= _size_class(size) and len(peers) + 1 < FANOUT:
+            break
+        if len(peers) + 1 >= FANOUT:
+            taken += peers
+            size += sum(run.size for run in peers)
+        level += 1
+    return taken
+
+
+def merge_facts(spark: SparkSession, root: str, keep: int = KEEP) -> int:
+    """Resolves the batches written since the last merge into a run and publishes it; returns how many batches there were.
+
+    Merging is by size: runs stay as they are until FANOUT of one size class have come together, so a row is rewritten about once per
+    class and the number of folders grows with the logarithm of the table. Rows lie by partition (org, workspace, month) and in it by name, time
+    and id for range reads. Deletions stay, so an older version that comes late cannot undo them. The new version is published in one step;
+    a merge that ends before it has changed nothing, and its folder goes at the next merge. Of two merges at a time one is published; the other fails or returns 0.
     """
-    ids = batch_ids(spark, root)
-    if not ids:
+    versions = Versions(spark, root)
+    manifest = versions.clear(versions.current(), keep)
+    batches = versions.fresh(manifest)
+    if not batches:
         return 0
-    fresh = fresh_rows(spark, root, ids)
-    touched = small_side(fresh.select(*PART).distinct())
-    rows = dedup(merged_rows(spark, root).join(touched, list(PART), "left_semi").unionByName(fresh))
+    joining = _joining(manifest.runs, sum(versions.size(b.name) for b in batches))
+    rows = dedup(run_rows(spark, root, joining).unionByName(fresh_rows(spark, root, batches)))
     order = [*PART, "event_name", "event_timestamp", "event_id"]
-    resolved = scratch_dir(spark, "merge")  # apart from the folder it replaces
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(resolved)
-    ready = spark.read.schema(rows.schema).parquet(resolved)
-    # The range order holds in the stored files; writing them on needs no further shuffle.
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PART).parquet(merged_folder(root))
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jvm_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for batch_id in ids:
-        fs.delete(jvm_path(batch_folder(root, batch_id)), True)
-    return len(ids)
+    name, number = versions.new_run(manifest), manifest.version + 1
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(*PART).parquet(f"{root}/{name}")
+    after = Manifest(
+        number,
+        (*(run for run in manifest.runs if run not in joining), Run(name, versions.size(name))),
+        (*manifest.retired, *(Retired(run.name, number) for run in joining), *(Retired(b.name, number, b.written) for b in batches)),
+    )
+    if not versions.publish(after):
+        return 0
+    versions.clear(after, keep)
+    return len(batches)
+
+
+def keep_merged(spark: SparkSession, root: str, waiting: int = FANOUT) -> int:
+    """The upkeep that ingest jobs run after each batch: merges once ``waiting`` batches have come together."""
+    return merge_facts(spark, root) if len(batch_ids(spark, root)) >= waiting else 0
 
 
 def write_catalog(facts: DataFrame, root: str, batch_id: int) -> None:
