@@ -4,14 +4,13 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 from data import facts_of
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark.model import Scope
 from tidemark.operators import catalog, explore, metrics, shape
 from tidemark.plans import library, saved
 from tidemark.plans.library import MetricError
-from tidemark.plans.saved import Variable
+from tidemark.plans.saved import Condition, Key, Measure, Param, SavedMetric, Variable
 
 A = Scope("org-one", "workspace-a")
 NOW = datetime(2026, 9, 1, 12, tzinfo=timezone.utc)
@@ -21,80 +20,95 @@ def load(spark):
     return facts_of(spark, [{"event_name": n, "workspace_id": w} for n, w in [("a", "workspace-a"), ("a", "workspace-a"), ("b", "workspace-a"), ("z", "workspace-b")]])
 
 
-def run(spark, sql, scope=A, **args):
-    return [tuple(r) for r in saved.metric_sql(spark, scope, sql, load, args).collect()]
+KEY, COUNT = Key("event_name", "event_name"), Measure("n", "count")
 
 
-def test_sql_sees_one_workspace(spark):
-    assert run(spark, "SELECT event_name, count(*) FROM events_v2 GROUP BY 1 ORDER BY 1;") == [("a", 2), ("b", 1)]
-    assert run(spark, "SELECT DISTINCT event_name FROM user_events_v2", Scope("org-one", "workspace-b")) == [("z",)]
-    assert run(spark, "WITH t AS (SELECT * FROM events_v2) SELECT count(*) FROM t WHERE event_name = :n", n="a") == [(2,)]
-    assert run(spark, "SELECT property FROM event_schema_catalog") == []
+def run(spark, metric, scope=A, **args):
+    return [tuple(r) for r in saved.run_metric(load(spark), scope, metric, args).collect()]
 
 
-@pytest.mark.parametrize("text", ["", "  ; ", "SELECT * FROM other_db.events_v2", "SELECT * FROM secrets", "SELECT * FROM parquet.`/tmp/x`",
-                                  "SELECT (SELECT count(*) FROM secrets) FROM events_v2"])
-def test_other_tables_are_refused(spark, text):
-    with pytest.raises(MetricError):
-        saved.metric_sql(spark, A, text, load)
+def test_a_metric_sees_one_workspace(spark):
+    assert run(spark, SavedMetric((KEY,), (COUNT,), order=(("event_name", "ASC"),))) == [("a", 2), ("b", 1)]
+    assert run(spark, SavedMetric((KEY,)), Scope("org-one", "workspace-b")) == [("z",)]
+    assert run(spark, SavedMetric((KEY,)), Scope("org-two", "workspace-a")) == []
+    widened = (Condition("workspace_id", "in", ["workspace-a", "workspace-b"]),)
+    assert run(spark, SavedMetric((), (COUNT,), widened)) == [(3,)]  # a condition cannot widen the scope
+    assert run(spark, SavedMetric((), (COUNT,), (Condition("event_name", "=", Param("n")),)), n="a") == [(2,)]
+    assert run(spark, SavedMetric((Key("property", "property"),), source="catalog")) == []
 
 
-@pytest.mark.parametrize("text", [
-    "SELECT java_method('java.lang.System', 'getProperty', 'user.dir')", "SELECT reflect('java.lang.System', 'getenv', 'PATH') FROM events_v2",
-    "SELECT max(try_reflect('java.lang.System', 'getenv', 'PATH')) OVER () FROM events_v2", "SELECT current_database(), current_user()",
-    "SELECT s.v FROM secret_t s CROSS JOIN (WITH secret_t AS (SELECT 1 AS z) SELECT z FROM secret_t) q",
-    "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a", "SELECT * FROM events_v2 WHERE event_name IN (SELECT v FROM secret_t)",
-    "SELECT * FROM events_v2 WHERE EXISTS (SELECT 1 FROM secret_t)", "SELECT * FROM read_files('/etc')", "SELECT input_file_name() FROM events_v2",
-    "SELECT * FROM events_v2, LATERAL (SELECT * FROM secret_t)", "SELECT transform(array(1), x -> reflect('java.lang.System', 'getenv', 'PATH'))",
-    "SELECT * FROM default.events_v2", "SELECT * FROM events_v2 ORDER BY (SELECT max(v) FROM secret_t)", "SELECT system.builtin.reflect('a', 'b')",
-    "SELECT * FROM events_v2 LATERAL VIEW java_method('a', 'b') t", "SELECT count(*) FILTER (WHERE reflect('a', 'b') = 'x') FROM events_v2",
+@pytest.mark.parametrize("metric", [
+    SavedMetric(), SavedMetric((KEY,), source="secrets"), SavedMetric((KEY,), source="global_temp.secret_t"), SavedMetric((Key("x", "nothing"),)),
+    SavedMetric((Key("x", "reflect('java.lang.System', 'getenv', 'PATH')"),)), SavedMetric((Key("x` AS y, `z", "event_name"),)),
+    SavedMetric((KEY, Key("Event_Name", "source"),)), SavedMetric((), (Measure("n", "java_method", "event_name"),)),
+    SavedMetric((), (Measure("n", "sum"),)), SavedMetric((), (Measure("n", "sum", "event_timestamp"),)), SavedMetric((Key("x", "properties"),)),
+    SavedMetric((Key("x", "event_name", "day"),)), SavedMetric((Key("x", "event_timestamp", "length"),)), SavedMetric((Key("x", "event_name", "reflect"),)),
+    SavedMetric((KEY,), where=(Condition("event_name", "~", "a"),)), SavedMetric((KEY,), where=(Condition("event_name", "=", Param("n")),)),
+    SavedMetric((KEY,), where=(Condition("event_name", "in", "a"),)), SavedMetric((KEY,), where=(Condition("event_timestamp", ">", "soon"),)),
+    SavedMetric((KEY,), where=(Condition("event_name", "=", None),)), SavedMetric((KEY,), sets=(("event_name",),)),
+    SavedMetric((KEY,), (COUNT,), sets=(("source",),)), SavedMetric((KEY,), (COUNT,), order=(("source", "ASC"),)),
+    SavedMetric((KEY,), (COUNT,), order=(("n", "DESC, x"),)), SavedMetric((KEY,), limit=0), SavedMetric((KEY,), (COUNT,), having=(Condition("n", ">", "x"),)),
 ])
-def test_ways_out_are_refused(spark, text):
+def test_what_is_no_metric_is_refused(spark, metric):
     spark.sql("SELECT 1 AS v").createOrReplaceGlobalTempView("secret_t")
-    with pytest.raises(MetricError):
-        saved.metric_sql(spark, A, text, load)
-
-
-@pytest.mark.parametrize("text, rows", [
-    ("WITH a AS (SELECT event_name AS n FROM events_v2), b AS (SELECT n, count(*) AS c FROM a GROUP BY n) SELECT c FROM b WHERE n = 'a'", [(2,)]),
-    ("SELECT x FROM events_v2 LATERAL VIEW explode(array(1, 2)) t AS x WHERE event_name = 'b'", [(1,), (2,)]),
-    ("SELECT upper(event_name) FROM (SELECT *, row_number() OVER (PARTITION BY event_name ORDER BY event_id) AS n FROM events_v2) WHERE n = 2", [("A",)]),
-    ("SELECT CASE WHEN max(event_name) LIKE 'b%' THEN 1 ELSE 0 END + size(collect_set(event_name)) FROM events_v2", [(3,)]),
-    ("SELECT id FROM range(2)", [(0,), (1,)]),
-])
-def test_plain_queries_still_run(spark, text, rows):
-    assert run(spark, text) == rows
-
-
-@pytest.mark.parametrize("text", ["DROP TABLE events_v2", "SELECT nothing FROM events_v2", "SELEC 1"])
-def test_only_queries_run(spark, text):
-    with pytest.raises(AnalysisException) as caught:
-        saved.metric_sql(spark, A, text, load)
-    message = saved.public_error(caught.value)
-    assert "\n" not in message and message != "Query failed"
+    with pytest.raises(MetricError) as caught:
+        run(spark, metric)
+    assert saved.public_error(caught.value) == str(caught.value) != ""
     assert saved.public_error(RuntimeError("host db-1 is down")) == "Query failed"
 
 
-def test_bind_never_pastes_values():
+def test_conditions(spark):
+    ev = facts_of(spark, [
+        {"event_name": "x' OR 1=1 --", "properties": '{"n": 5, "t": "50%"}', "authenticated": True}, {"event_name": "b_c", "properties": '{"n": "x"}'},
+        {"event_name": "bxc", "event_timestamp": "2026-09-03T10:00:00Z", "properties": '{"n": 40}', "country": "DE"},
+    ])
+    found = lambda *tests: sorted(r[0][0] + r[0][1] for r in saved.run_metric(ev, A, SavedMetric((KEY,), where=tests)).collect())
+    assert found(Condition("event_name", "=", "x' OR 1=1 --")) == ["x'"]
+    assert found(Condition("event_name", "contains", "b_")) == ["b_"] and found(Condition("event_name", "starts_with", "b")) == ["b_", "bx"]
+    assert found(Condition("properties.n", ">", 4)) == ["bx", "x'"] and found(Condition("properties.n", ">", 39.5)) == ["bx"]
+    assert found(Condition("properties.t", "contains", "0%")) == ["x'"] and found(Condition("properties.n", "in", ["x", "5"])) == ["b_", "x'"]
+    assert found(Condition("country", "is_set")) == ["bx"] and found(Condition("country", "not_set"), Condition("properties.n", "!=", "x")) == ["x'"]
+    assert found(Condition("event_timestamp", ">=", "2026-09-02")) == ["bx"] and found(Condition("event_timestamp", "=", "2026-09-03", "day")) == ["bx"]
+    assert found(Condition("event_name", "<=", 3, "length")) == ["b_", "bx"] and found(Condition("authenticated", "=", True)) == ["x'"]
+    assert found(Condition("event_name", "in", [])) == []
+
+
+def test_measures_sets_and_nesting(spark):
+    ev = facts_of(spark, [{"event_name": n, "source": s, "properties": p} for n, s, p in
+                          [("a", "web", '{"v": 1}'), ("a", "ios", '{"v": 2.5}'), ("b", "web", '{"v": "x"}'), ("b", "", "{}")]])
+    web = (Condition("source", "=", "web"),)
+    measures = (COUNT, Measure("web", "count", where=web), Measure("kinds", "distinct", "source"), Measure("v", "sum", "properties.v"),
+                Measure("mean_v", "mean", "properties.v"), Measure("top", "max", "source"))
+    got = saved.run_metric(ev, A, SavedMetric((KEY,), measures, order=(("event_name", "DESC"),)))
+    assert [tuple(r) for r in got.collect()] == [("b", 2, 1, 2, None, None, "web"), ("a", 2, 1, 2, 3.5, 1.75, "web")]
+    both = (KEY, Key("src", "source"))
+    sets = SavedMetric(both, (COUNT, Measure("names", "distinct", "event_name")), sets=(("event_name", "src"), ("src",), ()), order=(("n", "DESC"),), limit=2)
+    assert [tuple(r) for r in saved.run_metric(ev, A, sets).collect()] == [(None, None, 4, 2), (None, "web", 2, 2)]
+    per_name = SavedMetric((KEY,), (COUNT,))
+    over = SavedMetric((), (Measure("names", "count"), Measure("mean_n", "mean", "n")), source=per_name)
+    assert [tuple(r) for r in saved.run_metric(ev, A, over).collect()] == [(2, 2.0)]
+    none = saved.run_metric(ev.where("false"), A, SavedMetric((), (COUNT,)))
+    assert [tuple(r) for r in none.collect()] == [(0,)]
+
+
+def test_values_follow_their_kinds():
     variables = {"d": Variable("date", "2026-09-01"), "t": Variable("string", "x"), "n": Variable("number", "5"), "way": Variable("direction", "DESC")}
-    text, args = saved.bind("a >= '{d}' AND b LIKE '%{t}%' AND c = {t} AND k > {n} AND e = '{other}' ORDER BY 1 {way}", variables, {"t": "' OR 1=1 --"})
-    assert text == "a >= CAST(:d AS STRING) AND b LIKE concat('%', CAST(:t AS STRING), '%') AND c = :t AND k > :n AND e = '{other}' ORDER BY 1 DESC"
-    assert args == {"d": "2026-09-01", "t": "' OR 1=1 --", "n": 5}
+    assert saved.bind(variables, {"t": "' OR 1=1 --"}) == {"d": "2026-09-01", "t": "' OR 1=1 --", "n": 5, "way": "DESC"}
+    assert saved.bind(variables, {"n": "2.5", "way": "asc"})["n"] == 2.5
     for bad in ({"n": "5; DROP"}, {"way": "DESC, x"}):
         with pytest.raises(MetricError):
-            saved.bind("{n} {way}", variables, bad)
-
-
-def test_saved_query_and_dropdown(spark):
-    variables = {
-        "name": Variable("searchable_dropdown", "a", "SELECT DISTINCT event_name FROM events_v2 WHERE event_name LIKE '%{name}%'"),
-        "least": Variable("number", "1"),
-    }
-    template = "SELECT event_name, count(*) AS n FROM events_v2 WHERE event_name = {name} GROUP BY 1 HAVING count(*) >= {least}"
-    assert [tuple(r) for r in saved.run_saved(spark, A, template, load, variables, {"name": "b"}).collect()] == [("b", 1)]
-    options = lambda term: [r[0] for r in saved.dropdown(spark, A, "name", load, variables, {}, term).collect()]
-    assert options("b") == ["b"] and options("'") == []
-    assert saved.dropdown(spark, A, "least", load, variables, {}).count() == 0
+            saved.bind(variables, bad)
+
+
+def test_saved_metric_and_dropdown(spark):
+    options = SavedMetric((KEY,), where=(Condition("event_name", "contains", Param("name")),))
+    variables = {"name": Variable("searchable_dropdown", "a", options), "least": Variable("number", "1")}
+    metric = SavedMetric((KEY,), (COUNT,), (Condition("event_name", "=", Param("name")),), having=(Condition("n", ">=", Param("least")),))
+    assert [tuple(r) for r in saved.run_saved(load(spark), A, metric, variables, {"name": "b"}).collect()] == [("b", 1)]
+    assert saved.run_saved(load(spark), A, metric, variables, {"name": "b", "least": "2"}).count() == 0
+    offered = lambda term: [r[0] for r in saved.dropdown(load(spark), A, "name", variables, {}, term).collect()]
+    assert offered("b") == ["b"] and offered("'") == [] and offered("%") == [] and offered(None) == ["a"]
+    assert saved.dropdown(load(spark), A, "least", variables, {}).count() == 0
 
 
 def test_library(spark):

@@ -598,8 +598,13 @@ _SQL |= {
         """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS occured_at, id, event_name AS name,
         '{"coupon":"C' || (k % 5) || '","items":[' || k || ',1]}' AS cart, query FROM f"""
     ),
-    "sink_export_json": _facts("SELECT id AS event_id, event_name, country, authenticated FROM f"),
-    "sink_metric_snapshot": _SQL["event_distribution"],
+    "sink_export_json": _facts(
+        f"""SELECT workspace_id, id AS event_id, event_name, {_at('ts')} AS event_timestamp, {_at('arrived_at')} AS arrived_at,
+        session_id, anon_id, actor_id, source, '' AS correlation_id, '' AS trace_id, authenticated, country,
+        'Europe/Berlin' AS timezone, cast(NULL AS varchar) AS ip_address, {_at('ts')} AS inserted_at, {_at('ts')} AS updated_at,
+        cast(0 AS bigint) AS is_deleted, 'C' || (k % 5) AS coupon, k || ',1' AS items, query FROM f"""
+    ),
+    "sink_metric_snapshot": f"SELECT *, true AS kept, true AS failed, cast(3600 AS bigint) AS age_s FROM ({_SQL['event_distribution']})",
     "ingest_counters": _log(
         f""", judged AS (SELECT event_id, {_ERROR} AS class FROM log)
         SELECT 'consumed' AS counter, 'events' AS label, count(*) AS count FROM judged
@@ -643,6 +648,12 @@ _SQL |= {
         """SELECT event_name, count(*) AS events FROM f WHERE workspace_id = 'workspace-0' AND ts >= TIMESTAMP '2024-01-10'
         AND event_name LIKE '%i%' AND length(event_name) >= 5 GROUP BY 1"""
     ),
+    "metric_dropdown": _facts("SELECT DISTINCT event_name AS option FROM f WHERE workspace_id = 'workspace-0' AND event_name LIKE '%e%'"),
+    "metric_of_metric": _facts(
+        """, d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_name, count(*) AS events, count(DISTINCT actor_id) FILTER (actor_id <> '') AS users
+        FROM f WHERE workspace_id = 'workspace-1' GROUP BY 1, 2)
+        SELECT event_name, count(*) AS days, max(events) AS busiest, cast(sum(users) AS bigint) AS users FROM d GROUP BY 1"""
+    ),
     "pivot_matrix": _facts(
         "SELECT event_name, "
         + ", ".join(f"coalesce(sum(cast(rank AS double)) FILTER (source = '{s}'), 0) AS {s}" for s in ("web", "ios", "android"))

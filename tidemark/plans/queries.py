@@ -6,7 +6,7 @@ Dates and times are presented as ISO text so that engines agree on how they look
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -792,9 +792,16 @@ def sink_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sink_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole public events, times and nested properties among them, written as JSON lines and read back."""
     path = f"{scratch_dir(spark, 'export')}/json"
-    shape.export_json(explore.public_event(sample_facts(spark, sf_dir)).select("event_id", "event_name", "country", "authenticated"), path)
-    return spark.read.schema("event_id string, event_name string, country string, authenticated boolean").json(path)
+    public = explore.public_event(sample_facts(spark, sf_dir))
+    shape.export_json(public, path)
+    kinds = {f.name: f.dataType.simpleString() for f in public.schema.fields}
+    kinds["properties"] = "struct<cart: struct<coupon: string, items: array<bigint>>, query: string>"
+    rows = spark.read.schema(", ".join(f"{name} {kind}" for name, kind in kinds.items())).json(path)
+    items = F.concat_ws(",", F.col("properties.cart.items").cast("array<string>"))
+    found = {"coupon": F.col("properties.cart.coupon"), "items": items, "query": F.col("properties.query")}
+    return rows.withColumns(found).drop("properties")
 
 
 @query
@@ -803,8 +810,11 @@ def sink_metric_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, ev = scratch_dir(spark, "snapshots"), sample_facts(spark, sf_dir)
     run = lambda: metrics.event_distribution(ev, RANGE)
     saved.refresh_metric(spark, "volume", run, root, NOW)
-    rows, _, _ = saved.refresh_metric(spark, "volume", lambda: run().limit(1), root, NOW)
-    return rows
+    _, kept_at, _ = saved.refresh_metric(spark, "volume", lambda: run().limit(1), root, NOW + timedelta(seconds=30))
+    later = NOW + timedelta(hours=1)
+    rows, ran_at, error = saved.refresh_metric(spark, "volume", lambda: run().select("nothing"), root, later)
+    aged = F.lit(int((later - ran_at).total_seconds())).cast("long")
+    return rows.withColumns({"kept": F.lit(kept_at == ran_at), "failed": F.lit(error is not None), "age_s": aged})
 
 
 @query
@@ -882,31 +892,71 @@ def auto_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- shaping ---------------------------------------------------------------
 
 
-def _loader(sf_dir: str) -> Callable[[SparkSession], DataFrame]:
-    return lambda session: sample_facts(session, sf_dir)
-
-
 @query
 def metric_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = """
-        WITH days AS (SELECT date_format(event_timestamp, 'yyyy-MM-dd') AS day, event_name FROM events_v2)
-        SELECT day, event_name, count(*) AS events FROM days GROUP BY day, event_name
-        GROUPING SETS ((day, event_name), (day)) HAVING count(*) > 0 ORDER BY day, event_name"""
-    return saved.metric_sql(spark, Scope(ORG, "workspace-1"), text, _loader(sf_dir))
+    """A workspace's own metric: events by day and name, with each day's total."""
+    metric = saved.SavedMetric(
+        keys=(saved.Key("day", "event_timestamp", "day"), saved.Key("event_name", "event_name")),
+        measures=(saved.Measure("events", "count"),),
+        sets=(("day", "event_name"), ("day",)),
+        having=(saved.Condition("events", ">", 0),),
+        order=(("day", "ASC"), ("event_name", "ASC")),
+    )
+    return saved.run_metric(sample_facts(spark, sf_dir), Scope(ORG, "workspace-1"), metric)
+
+
+_VARIABLES = {
+    "start": saved.Variable("date", "2024-01-10"),
+    "term": saved.Variable(
+        "searchable_dropdown", "i",
+        saved.SavedMetric(
+            keys=(saved.Key("event_name", "event_name"),),
+            where=(saved.Condition("event_name", "contains", saved.Param("term")),),
+        ),
+    ),
+    "size": saved.Variable("number", "1"),
+    "way": saved.Variable("direction", "DESC"),
+}
 
 
 @query
 def metric_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    template = """SELECT event_name, count(*) AS events FROM events_v2
-        WHERE event_timestamp >= '{start}' AND event_name LIKE '%{term}%' AND length(event_name) >= {size}
-        GROUP BY event_name ORDER BY events {way}"""
-    variables = {
-        "start": saved.Variable("date", "2024-01-10"),
-        "term": saved.Variable("string", "i"),
-        "size": saved.Variable("number", "1"),
-        "way": saved.Variable("direction", "DESC"),
-    }
-    return saved.run_saved(spark, Scope(ORG, "workspace-0"), template, _loader(sf_dir), variables, {"size": "5"})
+    """A saved metric whose values come from variables, one of them given."""
+    metric = saved.SavedMetric(
+        keys=(saved.Key("event_name", "event_name"),),
+        measures=(saved.Measure("events", "count"),),
+        where=(
+            saved.Condition("event_timestamp", ">=", saved.Param("start")),
+            saved.Condition("event_name", "contains", saved.Param("term")),
+            saved.Condition("event_name", ">=", saved.Param("size"), "length"),
+        ),
+        order=(("events", saved.Param("way")),),
+    )
+    return saved.run_saved(sample_facts(spark, sf_dir), Scope(ORG, "workspace-0"), metric, _VARIABLES, {"size": "5"})
+
+
+@query
+def metric_dropdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a searchable variable offers for a typed term."""
+    return saved.dropdown(sample_facts(spark, sf_dir), Scope(ORG, "workspace-0"), "term", _VARIABLES, {}, "e")
+
+
+@query
+def metric_of_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric over another one's rows: per name, days, busiest day and mean of a day's known users."""
+    daily = saved.SavedMetric(
+        keys=(saved.Key("day", "event_timestamp", "day"), saved.Key("event_name", "event_name")),
+        measures=(
+            saved.Measure("events", "count"),
+            saved.Measure("users", "distinct", "actor_id", (saved.Condition("actor_id", "is_set"),)),
+        ),
+    )
+    metric = saved.SavedMetric(
+        source=daily,
+        keys=(saved.Key("event_name", "event_name"),),
+        measures=(saved.Measure("days", "count"), saved.Measure("busiest", "max", "events"), saved.Measure("users", "sum", "users")),
+    )
+    return saved.run_metric(sample_facts(spark, sf_dir), Scope(ORG, "workspace-1"), metric)
 
 
 on_facts(

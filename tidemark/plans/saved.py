@@ -1,213 +1,300 @@
-"""A workspace's own SQL: scoped, parameterised and kept as snapshots."""
+"""A workspace's own metrics: scoped, parameterised plans over its rows, kept as snapshots.
+
+A saved metric says what to filter, group, measure and sort, as values of the classes below. It becomes a DataFrame plan column
+by column; none of its texts is read as SQL, so there is no function to call and no table to name beyond the scope's rows.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import date, datetime
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.errors import AnalysisException, ArithmeticException, ParseException, PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions import times
+from tidemark.functions import props, times
 from tidemark.model import Scope
 from tidemark.operators.catalog import schema_catalog
 from tidemark.operators.filters import scope_filter
 from tidemark.plans.library import MetricError
-from tidemark.session import use_utc
 from tidemark.sources.events import folder_exists
 
-TABLES = ("events_v2", "user_events_v2", "event_schema_catalog")
-Load = Callable[[SparkSession], DataFrame]
+# -- what a metric is made of ----------------------------------------------
 
 
-def metric_sql(
-    spark: SparkSession, scope: Scope, sql: str, load: Load, args: Mapping[str, Any] | None = None
-) -> DataFrame:
-    """Runs one SELECT over a workspace's tables and nothing else.
+@dataclass(frozen=True)
+class Param:
+    """Stands for the value of a variable."""
 
-    The tables are views of the scope's rows in a session of their own. Any other table, file or database the text
-    names is refused, and so are functions that are not in ``FUNCTIONS`` and anything but a query.
-    """
-    text = sql.strip().rstrip(";").strip()
-    if not text:
-        raise MetricError("the query is empty")
-    session = use_utc(spark.newSession())
-    session.conf.set("spark.sql.runSQLOnFiles", "false")
-    query = f"SELECT * FROM (\n{text}\n)"
-    _refuse_other_tables(session, query)
-    ev = load(session).where(scope_filter(scope))
-    ev.createOrReplaceTempView("events_v2")
-    ev.createOrReplaceTempView("user_events_v2")
-    schema_catalog(ev).createOrReplaceTempView("event_schema_catalog")
-    return session.sql(query, dict(args or {}))
-
-
-#: Functions a workspace may call. Anything else is refused, so nothing reaches the host, files or the catalog.
-FUNCTIONS = frozenset(
+    name: str
+
+
+@dataclass(frozen=True)
+class Condition:
+    """``field`` (or a part of it) passes ``test`` against ``value``. Null passes only ``not_set``."""
+
+    field: str
+    test: str
+    value: Any = None
+    part: str | None = None
+
+
+@dataclass(frozen=True)
+class Key:
+    """A grouping column: a field, or a part of it, under a name."""
+
+    name: str
+    field: str
+    part: str | None = None
+
+
+@dataclass(frozen=True)
+class Measure:
+    """``kind`` of a field's values over a group, of the rows that meet ``where``; ``count`` needs no field."""
+
+    name: str
+    kind: str
+    field: str | None = None
+    where: tuple[Condition, ...] = ()
+    part: str | None = None
+
+
+@dataclass(frozen=True)
+class SavedMetric:
+    """Rows of ``source`` that meet all of ``where``, grouped by ``keys`` (or by each of ``sets``), measured, then cut and sorted.
+
+    ``source`` is ``events``, ``catalog`` (event_name, property, type) or another metric, whose columns are then the fields.
+    Without measures the distinct keys are the result. ``having`` and ``order`` speak of the result's columns; rows that
+    ``order`` leaves tied are sorted by the keys.
     """
-    count count_if sum avg mean min max min_by max_by first last any_value every some bool_and bool_or stddev stddev_pop stddev_samp variance
-    var_pop var_samp median mode percentile percentile_approx approx_percentile approx_count_distinct corr covar_pop covar_samp skewness kurtosis
-    collect_list collect_set array_agg listagg string_agg grouping grouping_id histogram_numeric
-    row_number rank dense_rank percent_rank ntile cume_dist lag lead first_value last_value nth_value
-    coalesce nvl nvl2 ifnull nullif if nullifzero zeroifnull isnull isnotnull isnan nanvl greatest least
-    abs ceil ceiling floor round bround sign signum sqrt cbrt exp ln log log2 log10 power pow mod pmod sin cos tan pi width_bucket
-    concat concat_ws lower upper lcase ucase trim ltrim rtrim btrim length char_length character_length len substring substr left right
-    position locate instr replace translate split split_part regexp_extract regexp_extract_all regexp_like regexp_replace regexp_count rlike like
-    startswith endswith contains lpad rpad repeat reverse initcap format_number format_string levenshtein md5 sha1 sha2 xxhash64 crc32 hex
-    current_date current_timestamp now date to_date to_timestamp timestamp date_add date_sub dateadd datediff date_diff date_format date_trunc trunc
-    timestampadd timestampdiff timestamp_seconds timestamp_millis unix_timestamp unix_millis unix_seconds from_unixtime
-    from_utc_timestamp to_utc_timestamp convert_timezone year quarter month week weekofyear weekday day dayofmonth dayofweek dayofyear dayname
-    hour minute second extract date_part make_date make_timestamp make_interval last_day next_day add_months months_between
-    cast string int bigint double float boolean decimal try_cast try_divide try_add try_subtract try_multiply try_to_number to_char to_number
-    array map struct named_struct size cardinality explode explode_outer posexplode inline element_at try_element_at array_contains array_distinct
-    array_join array_max array_min array_position array_remove array_size array_sort sort_array slice flatten sequence transform filter exists
-    forall aggregate zip_with map_keys map_values map_entries map_from_arrays get
-    get_json_object from_json to_json json_array_length parse_json try_parse_json variant_get try_variant_get is_variant_null schema_of_variant range
-    """.split()
-)
-
-
-def _refuse_other_tables(session: SparkSession, query: str) -> None:
-    """Walks the parsed query: tables are the workspace's own or names of a WITH in whose scope they stand, functions are listed ones."""
-    seq = lambda scala: [scala.apply(n) for n in range(scala.size())]
-    kind = lambda node: node.getClass().getSimpleName()
-
-    def function(parts: list[str]) -> None:
-        if len(parts) != 1 or parts[0].lower() not in FUNCTIONS:
-            raise MetricError(f"not available in this workspace: {'.'.join(parts)}()")
-
-    def expression(node, known: frozenset[str]) -> None:
-        name = kind(node)
-        if name == "UnresolvedFunction":
-            function(seq(node.nameParts()))
-        elif name == "UnresolvedGenerator":
-            function([node.name().funcName()])
-        if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
-            plan(node.plan(), known)
-        elif name == "InSubquery":
-            plan(node.query().plan(), known)
-        elif name in ("FunctionTableSubqueryArgumentExpression", "UnresolvedTableArgPlanId"):
-            raise MetricError("not available in this workspace: table arguments")
-        for child in seq(node.children()):
-            expression(child, known)
-
-    def plan(node, known: frozenset[str]) -> None:
-        name = kind(node)
-        if name == "UnresolvedWith":
-            for pair in seq(node.cteRelations()):
-                plan(pair._2(), known)
-                known = known | {pair._1().lower()}
-            plan(node.child(), known)
-            return
-        if name == "UnresolvedRelation":
-            parts = seq(node.multipartIdentifier())
-            if len(parts) != 1 or parts[0].lower() not in known.union(TABLES):
-                raise MetricError(f"not available in this workspace: {'.'.join(parts)}")
-        elif name == "UnresolvedTableValuedFunction":
-            function(seq(node.name()))
-        elif "Command" in name or name.startswith(("UnresolvedIdentifier", "PlanWithUnresolvedIdentifier", "RelationTimeTravel", "ScriptTransformation")):
-            raise MetricError("only plain queries are available in this workspace")
-        for child in seq(node.expressions()):
-            expression(child, known)
-        for child in seq(node.children()):
-            plan(child, known)
-
-    plan(session._jsparkSession.sessionState().sqlParser().parsePlan(query), frozenset())
-
-
-# -- templates -------------------------------------------------------------
+
+    keys: tuple[Key, ...] = ()
+    measures: tuple[Measure, ...] = ()
+    where: tuple[Condition, ...] = ()
+    sets: tuple[tuple[str, ...], ...] = ()
+    having: tuple[Condition, ...] = ()
+    order: tuple[tuple[str, str | Param], ...] = ()
+    limit: int | Param | None = None
+    source: str | SavedMetric = "events"
+
+
+_PARTS: dict[str, Callable[[Column], Column]] = {
+    "day": lambda c: F.date_format(c, "yyyy-MM-dd"),
+    "week": lambda c: F.date_format(times.week_start(F.to_date(c)), "yyyy-MM-dd"),
+    "month": lambda c: F.date_format(c, "yyyy-MM"),
+    "hour": lambda c: F.hour(c).cast("long"),
+    "length": lambda c: F.char_length(c).cast("long"),
+    "lower": F.lower,
+}
+_TIMED = ("day", "week", "month", "hour")
+_TESTS: dict[str, Callable[[Column, Any], Column]] = {
+    "=": lambda c, v: c == v,
+    "!=": lambda c, v: c != v,
+    "<": lambda c, v: c < v,
+    "<=": lambda c, v: c <= v,
+    ">": lambda c, v: c > v,
+    ">=": lambda c, v: c >= v,
+    "contains": lambda c, v: c.cast("string").contains(v),
+    "starts_with": lambda c, v: c.cast("string").startswith(v),
+}
+_KINDS: dict[str, Callable[[Column], Column]] = {
+    "count": F.count, "distinct": F.count_distinct, "sum": F.sum, "mean": F.mean, "min": F.min, "max": F.max,
+}
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+
+
+def _known(table: Mapping[str, Any], name: str, what: str) -> Any:
+    if name not in table:
+        raise MetricError(f"`{name}` is not a {what}; known: {', '.join(sorted(table))}")
+    return table[name]
+
+
+def _field(rows: DataFrame, name: str, part: str | None) -> tuple[Column, T.DataType]:
+    """The column of a field, and its type."""
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    if name in types and not isinstance(types[name], T.VariantType):
+        column, kind = F.col(f"`{name}`"), types[name]
+    elif name.startswith("properties.") and isinstance(types.get("properties"), T.VariantType):
+        column, kind = props.text_at(F.col("properties"), name.removeprefix("properties.")), T.StringType()
+    else:
+        raise MetricError(f"`{name}` is not a field")
+    if part is None:
+        return column, kind
+    made = _known(_PARTS, part, "part of a field")
+    if (part in _TIMED) != isinstance(kind, (T.TimestampType, T.DateType)):
+        raise MetricError(f"`{name}` has no {part}")
+    return made(column), T.LongType() if part in ("hour", "length") else T.StringType()
+
+
+def _condition(rows: DataFrame, test: Condition, args: Mapping[str, Any]) -> Column:
+    column, kind = _field(rows, test.field, test.part)
+    text = isinstance(kind, T.StringType)
+    if test.test in ("is_set", "not_set"):
+        there = column.isNotNull() & (column != "") if text else column.isNotNull()
+        there = F.coalesce(there, F.lit(False))
+        return there if test.test == "is_set" else ~there
+    value = _value(test.value, args)
+    if test.test == "in":
+        if isinstance(value, str) or not isinstance(value, Sequence):
+            raise MetricError("`in` takes a list of values")
+        each = [_condition(rows, Condition(test.field, "=", v, test.part), args) for v in value]
+        return reduce(lambda a, b: a | b, each, F.lit(False))
+    made = _known(_TESTS, test.test, "test")
+    if value is None or isinstance(value, (list, tuple, dict)):
+        raise MetricError(f"`{test.test}` takes one value")
+    if test.test in ("contains", "starts_with"):
+        value = str(value)
+    elif isinstance(kind, T.TimestampType):
+        try:
+            value = times.time_lit(value)
+        except (ValueError, TypeError):
+            raise MetricError(f"`{value}` is not a time") from None
+    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+        column = column.try_cast("double") if text else column  # a text that is no number passes no test
+    elif text:
+        value = str(value).lower() if isinstance(value, bool) else str(value)
+    elif isinstance(kind, T.NumericType):
+        value = _number(value)
+    return F.coalesce(made(column, value), F.lit(False))
+
+
+def _all(rows: DataFrame, tests: Sequence[Condition], args: Mapping[str, Any]) -> Column:
+    return reduce(and_, [_condition(rows, t, args) for t in tests], F.lit(True))
+
+
+def _measure(rows: DataFrame, m: Measure, args: Mapping[str, Any]) -> Column:
+    """What a row adds to a measure."""
+    _known(_KINDS, m.kind, "measure")
+    if m.field is None:
+        if m.kind != "count":
+            raise MetricError(f"`{m.kind}` needs a field")
+        column: Column = F.lit(1)
+    else:
+        column, kind = _field(rows, m.field, m.part)
+        if m.kind in ("sum", "mean") and not isinstance(kind, T.NumericType):
+            if not isinstance(kind, T.StringType):
+                raise MetricError(f"`{m.field}` is not a number")
+            column = column.try_cast("double")
+    return F.when(_all(rows, m.where, args), column) if m.where else column
+
+
+def _rows(ev: DataFrame, scope: Scope, metric: SavedMetric, args: Mapping[str, Any]) -> DataFrame:
+    if isinstance(metric.source, SavedMetric):
+        return run_metric(ev, scope, metric.source, args)
+    own = ev.where(scope_filter(scope))
+    return _known({"events": lambda: own, "catalog": lambda: schema_catalog(own)}, metric.source, "source")()
+
+
+def run_metric(ev: DataFrame, scope: Scope, metric: SavedMetric, args: Mapping[str, Any] | None = None) -> DataFrame:
+    """The metric's plan over one workspace's rows; ``args`` are the values of its parameters (see ``bind``)."""
+    args = dict(args or {})
+    names = [k.name for k in metric.keys] + [m.name for m in metric.measures]
+    if not names:
+        raise MetricError("the metric is empty")
+    for name in names:
+        if not _NAME.fullmatch(name) or [n.lower() for n in names].count(name.lower()) > 1:
+            raise MetricError(f"`{name}` is no name of its own for a column")
+    rows = _rows(ev, scope, metric, args)
+    rows = rows.where(_all(rows, metric.where, args))
+    inputs = [_measure(rows, m, args).alias(f"_in{n}") for n, m in enumerate(metric.measures)]
+    rows = rows.select(*[_field(rows, k.field, k.part)[0].alias(k.name) for k in metric.keys], *inputs)
+    keys = [k.name for k in metric.keys]
+    measured = [_KINDS[m.kind](F.col(f"_in{n}")).alias(m.name) for n, m in enumerate(metric.measures)]
+    if metric.sets:
+        if not measured or any(name not in keys for s in metric.sets for name in s):
+            raise MetricError("grouping sets are sets of keys, with a measure")
+        found = rows.groupingSets([[F.col(n) for n in s] for s in metric.sets], *[F.col(k) for k in keys]).agg(*measured)
+    else:
+        found = rows.groupBy(*keys).agg(*measured) if measured else rows.distinct()
+    found = found.select(*names)
+    found = found.where(_all(found, metric.having, args))
+    if metric.order or metric.limit is not None:
+        asked = [(name, str(_value(way, args)).upper()) for name, way in metric.order]
+        for name, way in asked:
+            if name not in names or way not in ("ASC", "DESC"):
+                raise MetricError(f"cannot sort by `{name}` `{way}`")
+        asked += [(key, "ASC") for key in keys if key not in dict(asked)]
+        if asked:
+            found = found.orderBy(*[F.col(name).asc() if way == "ASC" else F.col(name).desc() for name, way in asked])
+    if metric.limit is not None:
+        limit = _value(metric.limit, args)
+        if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
+            raise MetricError("a limit is a whole number from 1")
+        found = found.limit(limit)
+    return found
+
+
+# -- variables -------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Variable:
-    """One placeholder of a saved query. Kinds: number, string, date, datetime, direction, searchable_dropdown."""
+    """One parameter of a saved metric. Kinds: number, string, date, datetime, direction, searchable_dropdown."""
 
     kind: str
     default: str = ""
-    dropdown: str | None = None
+    dropdown: SavedMetric | None = None
 
 
-_PLACEHOLDER = re.compile(r"\{(\w+)\}")
+def _value(value: Any, args: Mapping[str, Any]) -> Any:
+    if not isinstance(value, Param):
+        return value
+    if value.name not in args:
+        raise MetricError(f"`{value.name}` has no value")
+    return args[value.name]
 
 
-def bind(template: str, variables: Mapping[str, Variable], values: Mapping[str, str]) -> tuple[str, dict[str, Any]]:
-    """A template and its values as SQL with named parameters.
+def _number(value: Any) -> int | float:
+    try:
+        return float(value) if re.search(r"[.eE]", str(value)) else int(value)
+    except (ValueError, TypeError):
+        raise MetricError(f"`{value}` is not a number") from None
 
-    Placeholders become parameters even inside quotes, so no value is ever read as SQL. Only sort
-    directions, checked against their two spellings, are pasted.
-    """
-    chosen = {name: str(values.get(name, v.default)) for name, v in variables.items()}
-    args: dict[str, Any] = {}
 
-    def parameter(match: re.Match[str]) -> str:
-        name = match[1]
-        if name not in variables:
-            return match[0]
-        kind, value = variables[name].kind, chosen[name]
-        if kind == "direction":
-            if value.upper() not in ("ASC", "DESC"):
+def bind(variables: Mapping[str, Variable], values: Mapping[str, Any]) -> dict[str, Any]:
+    """The variables' values by their kinds; one that is not given has its default."""
+    args: dict[str, Any] = {}
+    for name, variable in variables.items():
+        value = values.get(name, variable.default)
+        if variable.kind == "number":
+            args[name] = _number(value)
+        elif variable.kind == "direction":
+            if str(value).upper() not in ("ASC", "DESC"):
                 raise MetricError(f"`{value}` is not a sort direction")
-            return value.upper()
-        if kind == "number":
-            try:
-                args[name] = float(value) if re.search(r"[.eE]", value) else int(value)
-            except ValueError:
-                raise MetricError(f"`{value}` is not a number") from None
+            args[name] = str(value).upper()
+        elif variable.kind in ("date", "datetime") and isinstance(value, (date, datetime)):
+            args[name] = value.isoformat()
         else:
-            args[name] = value
-        return f":{name}"
-
-    def literal(match: re.Match[str]) -> str:
-        inner = match[1]
-        if not any(name in variables for name in _PLACEHOLDER.findall(inner)):
-            return match[0]
-        pieces = re.split(r"(\{\w+\})", inner)
-        parts = [_PLACEHOLDER.sub(parameter, p) if p.startswith("{") else f"'{p}'" for p in pieces if p]
-        parts = [f"CAST({p} AS STRING)" if p.startswith(":") else p for p in parts]
-        return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
-
-    out, at = [], 0
-    for quoted in re.finditer(r"'((?:[^'\\]|''|\\.)*)'", template):
-        out.append(_PLACEHOLDER.sub(parameter, template[at : quoted.start()]))
-        out.append(literal(quoted))
-        at = quoted.end()
-    out.append(_PLACEHOLDER.sub(parameter, template[at:]))
-    return "".join(out), args
+            args[name] = str(value)
+    return args
 
 
 def run_saved(
-    spark: SparkSession,
-    scope: Scope,
-    template: str,
-    load: Load,
-    variables: Mapping[str, Variable],
-    values: Mapping[str, str],
+    ev: DataFrame, scope: Scope, metric: SavedMetric, variables: Mapping[str, Variable], values: Mapping[str, Any]
 ) -> DataFrame:
-    text, args = bind(template, variables, values)
-    return metric_sql(spark, scope, text, load, args)
+    return run_metric(ev, scope, metric, bind(variables, values))
 
 
 def dropdown(
-    spark: SparkSession,
+    ev: DataFrame,
     scope: Scope,
     name: str,
-    load: Load,
     variables: Mapping[str, Variable],
-    values: Mapping[str, str],
+    values: Mapping[str, Any],
     term: str | None = None,
 ) -> DataFrame:
-    """The options of a variable: one column, without blanks. A searchable one takes the typed term."""
-    query = variables[name].dropdown
-    if query is None:
-        return spark.createDataFrame([], "option string")
-    chosen = dict(values) if term is None else {**values, name: term}
-    as_text = {key: Variable("direction" if v.kind == "direction" else "string", v.default) for key, v in variables.items()}
-    text, args = bind(query, as_text, chosen)
-    rows = metric_sql(spark, scope, text, load, args)
-    option = F.col(f"`{rows.columns[0]}`").cast("string").alias("option")
+    """The options of a variable: the first column of its metric, without blanks. A searchable one takes the typed term."""
+    asked = variables[name].dropdown
+    if asked is None:
+        return ev.sparkSession.createDataFrame([], "option string")
+    typed = {**variables, name: Variable("string", variables[name].default)}
+    rows = run_metric(ev, scope, asked, bind(typed, values if term is None else {**values, name: term}))
+    option = F.col(rows.columns[0]).cast("string").alias("option")
     return rows.select(option).where("option != '' and option != 'null'")
 
 
