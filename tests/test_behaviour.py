@@ -170,6 +170,14 @@ def test_cycles_equal_one_at_a_time(spark, seed):
     assert got == brute_break(edges)
 
 
+def test_the_number_of_removed_edges_is_reported(spark):
+    edges = lambda *rows: spark.createDataFrame(list(rows), "source string, target string, value long")
+    got = lambda df: sorted(map(tuple, shape.acyclic_flow(shape.break_cycles(df)).collect()), key=str)
+    assert got(edges(("a", "b", 5), ("b", "a", 2), ("b", "c", 1), ("c", "c", 9))) == [("a", "b", 5, 2), ("b", "c", 1, 2)]
+    assert got(edges(("a", "a", 3))) == [(None, None, None, 1)] and got(edges(("a", "b", 3))) == [("a", "b", 3, 0)]
+    assert got(edges()) == [(None, None, None, 0)]
+
+
 def test_full_slices_are_cut(spark, monkeypatch):
     """One session that holds all rows of an hour: many slices, the same neighbours."""
     rows = skewed(41, 400, spread_s=3_000)

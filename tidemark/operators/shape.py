@@ -102,6 +102,18 @@ def break_cycles(edges: DataFrame) -> DataFrame:
     return links.join(back, ["source", "target"], "left").select("source", "target", "value", closed.alias("removed"))
 
 
+def acyclic_flow(flagged: DataFrame) -> DataFrame:
+    """The edges that `break_cycles` leaves, each with the number of edges it removed from the whole flow.
+
+    A flow without any edge left gives one row with the number and no edge.
+    """
+    total = flagged.agg(F.count_if("removed").alias("removed_edges"), F.count_if(~F.col("removed")).alias("_left"))
+    left = flagged.where("not removed").select("source", "target", "value", total.select("removed_edges").scalar().alias("removed_edges"))
+    types = {f.name: f.dataType for f in flagged.schema.fields}
+    nothing = [F.lit(None).cast(types[c]).alias(c) for c in ("source", "target", "value")]
+    return left.unionByName(total.where("_left = 0").select(*nothing, "removed_edges"))
+
+
 # -- documents -------------------------------------------------------------
 
 # Fields that open a document's summary, and fields it leaves out.

@@ -236,6 +236,8 @@ _SQL |= {
         SELECT source, target, value, EXISTS (SELECT 1 FROM walk w WHERE w.edge = r.r AND w.node = r.source) AS removed
         FROM ranked r""",
 }
+_SQL["flow_acyclic"] = f"""WITH flagged AS ({_SQL["flow_break_cycles"]}), left_over AS (SELECT * FROM flagged WHERE NOT removed)
+    SELECT source, target, value, removed_edges FROM (SELECT count(*) FILTER (removed) AS removed_edges FROM flagged) LEFT JOIN left_over ON true"""
 
 # -- predicates ------------------------------------------------------------
 

@@ -132,6 +132,7 @@ on_facts(
 )
 on_facts("flow_edges", behaviour.flow_edges)
 on_facts("flow_break_cycles", lambda ev: shape.break_cycles(behaviour.flow_edges(ev)))
+on_facts("flow_acyclic", lambda ev: shape.acyclic_flow(shape.break_cycles(behaviour.flow_edges(ev))))
 
 
 def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
