@@ -84,6 +84,24 @@ def test_colliding_keys_are_chained(spark, monkeypatch):
     assert {(r["doc_id"], r["keep_id"], r["chained"]) for r in found} == {(1, 3, 2), (2, 2, 2), (3, 3, 2)}
 
 
+def test_owners_settle_copies_of_all_readers(spark):
+    """Half of the rows are one text, read by many tasks; copies are combined before the exchange to owners, which is the last."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 6_000, 1, 24).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("hot text")).otherwise(F.concat(F.lit("t"), (F.col("id") % 501))).alias("text")
+    )
+    found = {r["sha"]: r for r in exact_dedup.decisions(docs, capacity=64).where("kept").collect()}
+    assert len(found) == len({i % 501 for i in range(1, 6_000, 2)}) + 1
+    hot = found[hashlib.sha256(b"hottext").hexdigest()]
+    assert (hot["keep_id"], hot["group_size"], hot["chained"]) == (0, 3_000, 1)
+    rows = exact_dedup.keyed(docs).withColumn("row", F.monotonically_increasing_id())
+    directory = F.broadcast(spark.createDataFrame([(0, 0)], "slot long, bucket int"))
+    plan = exact_dedup.owned(rows, directory, 0)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line.strip(" +-:") for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and "hashpartitioning(bucket" in shuffles[0] and "reader" in shuffles[1]
+
+
 # shards
 
 

@@ -2,10 +2,11 @@
 
 Texts are equal when they agree after all characters of ``[\\x20\\x09-\\x0D]`` are deleted. The pseudo-key of a text is the 64-bit hash
 of what remains. A directory over the leading bits of the key starts with one bucket; a bucket with more bytes of distinct text than
-the capacity is split on its next bit, and the directory doubles when that bucket already uses all its bits. Entries (one per distinct
-text, found by grouping on the bytes themselves) are dealt to owner tasks by ranges of buckets; an owner chains the entries whose
-keys collide and writes its range. Copies collapse in the task that reads them, so a text that is a third of the table costs each
-reader one entry.
+the capacity is split on its next bit, and the directory doubles when that bucket already uses all its bits. Readers combine their copies
+and send what is left, bytes included, to the owner of its bucket: a task with a range of keys. The owner chains the texts whose
+keys collide, compares their bytes, and settles for each text which row stays and how many rows there are; its range of the index is
+written to the shared folder, and every row takes its group from there. A text that is a third of the table reaches its owner in at most
+READERS entries.
 
 Defined results: a null text counts as empty, and empty texts are equal to each other; of equal texts the longest original (in code
 points) stays, then the smallest doc_id (null last), then the row read first, so exactly one row of each group has ``kept``; an empty
@@ -24,17 +25,18 @@ from tidemark.session import scratch_dir
 SPACES = "\t\n\x0b\x0c\r "
 #: Distinct text of one bucket, in bytes.
 CAPACITY = 1 << 20
-#: The directory has at most 2 ** MAX_DEPTH slots, which bounds its broadcast; capacity grows once the table outgrows that.
-MAX_DEPTH = 14
-#: Files of an index; each holds a range of buckets.
-OWNERS = 64
+#: The directory has at most 2 ** MAX_DEPTH slots, which bounds its broadcast (4 MB); beyond 64 GB of distinct text buckets grow with the
+#: table, to 1.6 GB of text at 100 TB.
+MAX_DEPTH = 18
+#: Groups of readers that combine their copies before these go to the owners.
+READERS = 16
 
 
 @dataclass
 class Index:
     path: str
     entries: DataFrame  # bucket, k, chain of (sha, n_bytes, keep_row, keep_id, group_size)
-    rows: DataFrame  # row, doc_id, n_points, k, sha
+    rows: DataFrame  # row, doc_id, n_points, k, sha, n_bytes
 
 
 def normalised(column: str = "text") -> Column:
@@ -85,31 +87,35 @@ def double_directory(load: dict[int, int], capacity: int) -> tuple[int, list[int
     return depth, [numbers.setdefault(b, len(numbers)) for b in slots]
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY) -> Index:
-    spark = docs.sparkSession
-    narrow = keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_points", "k", "sha", "n_bytes")
-    rows = stored(narrow, "dedup-rows")
+def owned(rows: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
+    """bucket, k and the chain of its texts, settled by the owners of the buckets."""
     order = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    groups = rows.groupBy("k", "sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"), F.max("n_bytes").alias("n_bytes"))
-    groups = stored(groups, "dedup-groups")
+    placed = rows.withColumn("slot", slot(F.col("k"), depth)).join(directory, "slot")
+    sent = placed.withColumn("reader", F.spark_partition_id() % READERS).groupBy("bucket", "k", "norm", "reader")
+    sent = sent.agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).repartition("bucket")
+    # From here on each owner works alone on its buckets: no further exchange follows.
+    texts = sent.groupBy("bucket", "k", "norm").agg(F.min("first").alias("first"), F.sum("copies").alias("group_size"))
+    entry = F.struct(
+        F.sha2("norm", 256).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes"), F.col("first.row").alias("keep_row"),
+        F.col("first.doc_id").alias("keep_id"), "group_size",
+    )
+    return texts.select("bucket", "k", entry.alias("entry")).groupBy("bucket", "k").agg(F.sort_array(F.collect_list("entry")).alias("chain"))
+
 
-    held = groups.groupBy(slot(F.col("k"), MAX_DEPTH).alias("prefix")).agg(F.sum("n_bytes").alias("bytes"))
+def build_index(docs: DataFrame, capacity: int = CAPACITY) -> Index:
+    spark = docs.sparkSession
+    rows = stored(keyed(docs).withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
+    sizes = rows.groupBy("k", "sha").agg(F.max("n_bytes").alias("n_bytes"))
+    held = sizes.groupBy(slot(F.col("k"), MAX_DEPTH).alias("prefix")).agg(F.sum("n_bytes").alias("bytes"))
     load = {r["prefix"]: r["bytes"] for r in held.collect()}  # at most 2 ** MAX_DEPTH rows
     capacity = max(capacity, sum(load.values()) >> (MAX_DEPTH - 2))
     depth, slots = double_directory(load, capacity)
     directory = F.broadcast(spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int"))
 
-    compared = keyed(docs).groupBy("k", "norm").agg(F.count(F.lit(1)).alias("copies"))  # equal bytes meet, copies collapse first
-    texts = stored(compared.select("k", F.sha2("norm", 256).alias("sha")), "dedup-texts")
-    entry = F.struct("sha", "n_bytes", F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("keep_id"), "group_size")
-    entries = stored(
-        texts.join(groups, ["k", "sha"]).withColumn("slot", slot(F.col("k"), depth)).join(directory, "slot").select("bucket", "k", entry.alias("entry")),
-        "dedup-entries",
-    )
-    chains = entries.repartitionByRange(OWNERS, "bucket").groupBy("bucket", "k").agg(F.sort_array(F.collect_list("entry")).alias("chain"))
+    chains = owned(rows, directory, depth)
     path = scratch_dir(spark, "dedup-index")
     chains.sortWithinPartitions("bucket", "k").write.parquet(path)
-    return Index(path, spark.read.schema(chains.schema).parquet(path), rows)
+    return Index(path, spark.read.schema(chains.schema).parquet(path), rows.drop("norm"))
 
 
 def decisions(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
