@@ -95,9 +95,8 @@ def test_owners_settle_copies_of_all_readers(spark):
     assert len(found) == len({i % 501 for i in range(1, 6_000, 2)}) + 1
     hot = found[hashlib.sha256(b"hottext").hexdigest()]
     assert (hot["keep_id"], hot["group_size"], hot["chained"]) == (0, 3_000, 1)
-    rows = exact_dedup.keyed(docs).withColumn("row", F.monotonically_increasing_id())
     directory = F.broadcast(spark.createDataFrame([(0, 0)], "slot long, bucket int"))
-    plan = exact_dedup.owned(rows, directory, 0)._jdf.queryExecution().executedPlan().toString()
+    plan = exact_dedup.owned(exact_dedup.keyed(docs), directory, 0)._jdf.queryExecution().executedPlan().toString()
     shuffles = [line.strip(" +-:") for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(shuffles) == 2 and "hashpartitioning(bucket" in shuffles[0] and "reader" in shuffles[1]
 

@@ -35,7 +35,7 @@ READERS = 16
 @dataclass
 class Index:
     path: str
-    entries: DataFrame  # bucket, k, chain of (sha, n_bytes, keep_row, keep_id, group_size)
+    entries: DataFrame  # bucket, k, chain of (sha, n_bytes, keep_points, keep_id, group_size)
     rows: DataFrame  # row, doc_id, n_points, k, sha, n_bytes
 
 
@@ -89,14 +89,14 @@ def double_directory(load: dict[int, int], capacity: int) -> tuple[int, list[int
 
 def owned(rows: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
     """bucket, k and the chain of its texts, settled by the owners of the buckets."""
-    order = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    order = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("unnamed"), "doc_id")
     placed = rows.withColumn("slot", slot(F.col("k"), depth)).join(directory, "slot")
     sent = placed.withColumn("reader", F.spark_partition_id() % READERS).groupBy("bucket", "k", "norm", "reader")
     sent = sent.agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).repartition("bucket")
     # From here on each owner works alone on its buckets: no further exchange follows.
     texts = sent.groupBy("bucket", "k", "norm").agg(F.min("first").alias("first"), F.sum("copies").alias("group_size"))
     entry = F.struct(
-        F.sha2("norm", 256).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes"), F.col("first.row").alias("keep_row"),
+        F.sha2("norm", 256).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes"), (-F.col("first.n")).alias("keep_points"),
         F.col("first.doc_id").alias("keep_id"), "group_size",
     )
     return texts.select("bucket", "k", entry.alias("entry")).groupBy("bucket", "k").agg(F.sort_array(F.collect_list("entry")).alias("chain"))
@@ -104,7 +104,8 @@ def owned(rows: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
 
 def build_index(docs: DataFrame, capacity: int = CAPACITY) -> Index:
     spark = docs.sparkSession
-    rows = stored(keyed(docs).withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
+    narrow = keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_points", "k", "sha", "n_bytes")
+    rows = stored(narrow, "dedup-rows")  # without the text, which the owners' pass reads again
     sizes = rows.groupBy("k", "sha").agg(F.max("n_bytes").alias("n_bytes"))
     held = sizes.groupBy(slot(F.col("k"), MAX_DEPTH).alias("prefix")).agg(F.sum("n_bytes").alias("bytes"))
     load = {r["prefix"]: r["bytes"] for r in held.collect()}  # at most 2 ** MAX_DEPTH rows
@@ -112,10 +113,10 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> Index:
     depth, slots = double_directory(load, capacity)
     directory = F.broadcast(spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int"))
 
-    chains = owned(rows, directory, depth)
+    chains = owned(keyed(docs), directory, depth)
     path = scratch_dir(spark, "dedup-index")
     chains.sortWithinPartitions("bucket", "k").write.parquet(path)
-    return Index(path, spark.read.schema(chains.schema).parquet(path), rows.drop("norm"))
+    return Index(path, spark.read.schema(chains.schema).parquet(path), rows)
 
 
 def decisions(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -123,9 +124,12 @@ def decisions(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     index = build_index(docs, capacity)
     found = F.filter("chain", lambda e: e["sha"] == F.col("sha"))[0]
     probed = index.rows.join(index.entries, "k").withColumn("entry", found)
-    return probed.select(
+    longest = (F.col("n_points") == F.col("entry.keep_points")) & F.col("doc_id").eqNullSafe(F.col("entry.keep_id"))
+    # Rows equal in doc_id and length are told apart by the order they were read in.
+    stays = probed.where(longest).groupBy("k", "sha").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("stays"))
+    return probed.join(stays, "row", "left").select(
         "doc_id", "n_points", "k", "sha", F.col("entry.keep_id").alias("keep_id"), F.col("entry.group_size").alias("group_size"),
-        (F.col("row") == F.col("entry.keep_row")).alias("kept"), "bucket", F.size("chain").alias("chained"),
+        F.coalesce("stays", F.lit(False)).alias("kept"), "bucket", F.size("chain").alias("chained"),
     )
 
 
