@@ -122,14 +122,14 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> Index:
 def decisions(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per document: doc_id, n_points, k, sha, keep_id, group_size, kept, bucket, chained."""
     index = build_index(docs, capacity)
-    found = F.filter("chain", lambda e: e["sha"] == F.col("sha"))[0]
-    probed = index.rows.join(index.entries, "k").withColumn("entry", found)
+    # Rows equal in text, length and doc_id are told apart by the order they were read in: the first of them may stay.
+    alike = index.rows.groupBy("k", "sha", "n_points", "doc_id").agg(F.min("row").alias("row"))
+    rows = index.rows.join(alike.select("row", F.lit(True).alias("first")), "row", "left")
+    probed = rows.join(index.entries, "k").withColumn("entry", F.filter("chain", lambda e: e["sha"] == F.col("sha"))[0])
     longest = (F.col("n_points") == F.col("entry.keep_points")) & F.col("doc_id").eqNullSafe(F.col("entry.keep_id"))
-    # Rows equal in doc_id and length are told apart by the order they were read in.
-    stays = probed.where(longest).groupBy("k", "sha").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("stays"))
-    return probed.join(stays, "row", "left").select(
+    return probed.select(
         "doc_id", "n_points", "k", "sha", F.col("entry.keep_id").alias("keep_id"), F.col("entry.group_size").alias("group_size"),
-        F.coalesce("stays", F.lit(False)).alias("kept"), "bucket", F.size("chain").alias("chained"),
+        (longest & F.coalesce("first", F.lit(False))).alias("kept"), "bucket", F.size("chain").alias("chained"),
     )
 
 
