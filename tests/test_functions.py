@@ -112,13 +112,29 @@ def test_shapes_and_leaves(spark):
         "a": "Int64", "b.c": "String", "b.d": "Object<>", "e": "Array(Nullable(Int64))", "f": "Float64", "n": "Void",
         "odd `k: ,>.x.y": "Float64", "odd `k: ,>.z": "Array(JSON)", "m": "Array(Dynamic)",
     }
-    assert props.property_depth(df, "v") == 2
-    flat = df.select(F.explode(props.flat_entries(F.col("v"), 2)).alias("e")).select("e.path", F.to_json("e.value").alias("j")).collect()
+    assert "Python" not in leaves._jdf.queryExecution().toString()
+    flat = df.select(F.explode(props.flat_entries(F.col("v"))).alias("e")).select("e.path", F.to_json("e.value").alias("j")).collect()
     assert {r["path"]: r["j"] for r in flat} == {
         "a": "1", "b.c": '"x"', "b.d": "{}", "e": "[1,2]", "f": "12.5", "n": "null", "odd `k: ,>.x.y": "3", "odd `k: ,>.z": '[{"q":1}]', "m": '[1,"x"]',
     }
 
 
+def test_leaves_of_odd_shapes(spark):
+    texts = ['{"a":[[1],[2]],"b":[[{"x":1}]],"c":[],"d":[null],"e":[true],"f":[[]]}', '{"a":{"b":{"c":{"d":{"e":[1.5]}}}},"g":{"h":{}}}',
+             '{"x\\"y":{"p\\nq":1},"OBJECT<":{"`":"t"},"9":{"":true}}', "{}", "[1]", "5", "null", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", F.parse_json("t").alias("v"))
+    leaves = props.leaf_rows(df.select("n", props.shape_of(F.col("v")).alias("shape")))
+    found = {(r["n"], r["path"]): r["name"] for r in leaves.select("n", "path", props.catalog_type(F.col("stored")).alias("name")).collect()}
+    assert found == {
+        (0, "a"): "Array(Array(Nullable(Int64)))", (0, "b"): "Array(Array(JSON))", (0, "c"): "Array(Nullable(String))",
+        (0, "d"): "Array(Nullable(String))", (0, "e"): "Array(Nullable(Bool))", (0, "f"): "Array(Array(Nullable(String)))",
+        (1, "a.b.c.d.e"): "Array(Nullable(Float64))", (1, "g.h"): "Object<>",
+        (2, 'x"y.p\nq'): "Int64", (2, "OBJECT<.`"): "String", (2, "9."): "Bool",
+    }
+    flat = df.select("n", F.explode(props.flat_entries(F.col("v"))).alias("e")).select("n", "e.path").collect()
+    assert sorted((r["n"], r["path"]) for r in flat) == sorted(found)
+
+
 def test_stored_type_is_not_a_cast(spark):
     df = spark.createDataFrame([('{"a":"DE","b":5}',)], "t string").select(F.parse_json("t").alias("v"))
     row = df.select(props.stored_as(F.col("v"), "a"), props.stored_as(F.col("v"), "b"), props.text_at(F.col("v"), "b")).first()

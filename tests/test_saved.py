@@ -168,7 +168,7 @@ def test_fields_and_summary(spark):
     assert extra == [("properties.b", "number"), ("properties.cart.items", "object"), ("properties.cart.none", "object"), ("properties.plan", "string")]
     first = shape.doc_summary(ev.where("source = 'web'")).first()["summary"]
     assert [e["path"] for e in first] == ["name", "anon_id", "source", "properties.b", "properties.plan", "system_properties.geo.country", "id"]
-    flat = shape.export_rows(ev, depth=2)
+    flat = shape.export_rows(ev)
     assert "properties.cart.items" in flat.columns and flat.columns[0] == "name"
     row = shape.export_rows(ev.where("source = ''"), ["name", "properties.cart.items"]).orderBy("occured_at").first()
     assert row["properties.cart.items"] == "[1,2]" and row["occured_at"] == "2026-09-01T11:00:00.000Z"

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from tidemark.functions import props, times
+from tidemark.functions.props import fence, let
 
 
 def whole_json(text: Column) -> Column:
@@ -26,20 +25,6 @@ def whole_json(text: Column) -> Column:
     )
 
 
-def fence(column: Column) -> Column:
-    """The same value, marked so that no filter above it is pushed down through it.
-
-    A filter on a parsed field would otherwise be rewritten in terms of the raw text, and every row
-    would be parsed again for it.
-    """
-    return F.when(F.spark_partition_id() >= 0, column)
-
-
-def let(column: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, inside one expression."""
-    return F.get(F.transform(F.array(column), use), F.lit(0))
-
-
 def text(document: Column, path: str) -> Column:
     return F.try_variant_get(document, props.json_path(path), "string")
 

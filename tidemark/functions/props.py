@@ -7,16 +7,10 @@ are answered from the few distinct shapes, which partial aggregation collapses b
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-# The two small helpers below run in Python workers, which may not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Stored type -> name shown in the schema catalog.
 _SCALAR_TYPES = {
     "BIGINT": "Int64",
@@ -30,6 +24,23 @@ _SCALAR_TYPES = {
 }
 
 
+# -- evaluation ------------------------------------------------------------
+
+
+def fence(column: Column) -> Column:
+    """The same value, marked so that no filter above it is pushed down through it.
+
+    A filter on a parsed field would otherwise be rewritten in terms of the raw text, and every row
+    would be parsed again for it.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
+def let(column: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, inside one expression."""
+    return F.get(F.transform(F.array(column), use), F.lit(0))
+
+
 # -- single paths ----------------------------------------------------------
 
 
@@ -83,120 +94,120 @@ def shape_of(properties: Column) -> Column:
     return F.regexp_replace(F.schema_of_variant(properties), r"DECIMAL\(\d+,\d+\)", "DOUBLE")
 
 
-def _type_name(text: str) -> str:
-    if text.startswith("ARRAY<"):
-        inner = text[6:-1]
-        if inner == "VOID":
-            return "Array(Nullable(String))"
-        if inner.startswith("OBJECT<"):
-            return "Array(JSON)"
-        if inner.startswith("ARRAY<"):
-            return f"Array({_type_name(inner)})"
-        return f"Array(Nullable({_SCALAR_TYPES[inner]}))" if inner in _SCALAR_TYPES else "Array(Dynamic)"
-    return _SCALAR_TYPES.get(text, text.title())
-
-
-def _fields(text: str) -> Iterator[tuple[str, str]]:
-    """`a: BIGINT, b: OBJECT<...>` -> its (key, type) pairs; odd keys stand in backticks."""
-    at, size = 0, len(text)
-    while at < size:
-        if text[at] == "`":
-            end, key = at + 1, ""
-            while text[end] != "`" or text[end : end + 2] == "``":
-                step = 2 if text[end] == "`" else 1
-                key, end = key + text[end], end + step
-            at = end + 3
-        else:
-            end = text.index(": ", at)
-            key, at = text[at:end], end + 2
-        start, depth, quoted = at, 0, False
-        while at < size and (quoted or depth or text[at] != ","):
-            if text[at] == "`":
-                quoted = not quoted
-            elif not quoted:
-                depth += (text[at] == "<") + (text[at] == "(") - (text[at] == ">") - (text[at] == ")")
-            at += 1
-        yield key, text[start:at]
-        at += 2
-
-
-def leaves_of_shape(shape: str | None, prefix: str = "") -> list[tuple[str, str]]:
-    """(path, stored type) of every leaf in a shape; nulls are not stored, `{}` is `OBJECT<>`."""
-    if not shape or not shape.startswith("OBJECT<"):
-        return []
-    found: list[tuple[str, str]] = []
-    for key, kind in _fields(shape[7:-1]):
-        path = f"{prefix}{key}"
-        if kind.startswith("OBJECT<") and kind != "OBJECT<>":
-            found += leaves_of_shape(kind, path + ".")
-        else:
-            found.append((path, kind))
-    return found
+# What a shape is made of: a key in backticks or plain, an opening, a type, a closing; the commas between are left out.
+_TOKENS = r"`[^`]*(?:``[^`]*)*`: |[A-Za-z_][A-Za-z0-9_]*: |OBJECT<|ARRAY<|[A-Z_]+|>"
 
 
-def leaf_rows(shapes: DataFrame, shape: str = "shape") -> DataFrame:
-    """One row per leaf of each distinct shape: the other columns, `path`, `stored`."""
+def _shape_tree(shape: Column) -> Column:
+    """A shape as nested lists: `["{", ["key"], type, ...]` for an object, `["[", type]` for an array, a text for any other type."""
 
-    @F.pandas_udf("array<struct<path:string,stored:string>>")
-    def leaves(column: pd.Series) -> pd.Series:
-        return column.map(lambda text: [{"path": p, "stored": k} for p, k in leaves_of_shape(text)])
+    def bare(key: Column) -> Column:
+        return F.when(key.startswith("`"), F.replace(key.substr(F.lit(2), F.length(key) - 2), F.lit("``"), F.lit("`"))).otherwise(key)
 
-    return shapes.withColumn("leaf", F.explode(leaves(F.col(shape)))).select(
-        *[c for c in shapes.columns if c != shape], "leaf.path", "leaf.stored"
-    )
+    def written(token: Column) -> Column:
+        return (
+            F.when(token == "OBJECT<", F.lit(',["{"'))
+            .when(token == "ARRAY<", F.lit(',["["'))
+            .when(token == ">", F.lit("]"))
+            .when(token.endswith(": "), F.concat(F.lit(","), F.to_json(F.array(let(F.regexp_replace(token, ": $", ""), bare)))))
+            .otherwise(F.concat(F.lit(',"'), token, F.lit('"')))
+        )
 
+    text = F.array_join(F.transform(F.regexp_extract_all(shape, F.lit(_TOKENS), F.lit(0)), written), "")
+    return F.try_parse_json(F.regexp_replace(text, "^,", ""))
+
+
+def _levels(shape: Column) -> Column:
+    """At least the depth of objects in a shape (the number of objects in it)."""
+    return F.size(F.split(shape, "OBJECT<")) - 1
 
-def catalog_type(stored: Column) -> Column:
-    """Catalog name of a stored type, as a pandas UDF over the few distinct leaves."""
 
-    @F.pandas_udf("string")
-    def named(column: pd.Series) -> pd.Series:
-        return column.map(_type_name)
+def _opened(entries: Column, levels: Column, below: Callable[[Column], Column]) -> Column:
+    """Entries (path, value) with each object replaced, where it stands, by its own, level by level, inside one row.
 
-    return named(stored)
+    ``below`` gives the entries of a value, null where it has none. An entry that is no object is looked at once.
+    """
+    marked = lambda path, value, open_: F.struct(path.alias("path"), value.alias("value"), open_.alias("open"))
+    first = F.transform(entries, lambda e: marked(e["path"], e["value"], F.lit(True)))
+
+    def grow(e: Column) -> Column:
+        nested = lambda found: F.when(
+            F.size(found) > 0,
+            F.transform(found, lambda c: marked(F.concat(e["path"], F.lit("."), c["path"]), c["value"], F.lit(True))),
+        )
+        return F.when(e["open"], F.coalesce(let(below(e["value"]), nested), F.array(marked(e["path"], e["value"], F.lit(False))))).otherwise(F.array(e))
+
+    none = F.array().cast("array<int>")
+    steps = let(levels, lambda n: F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(none))
+    return F.aggregate(steps, first, lambda found, _: F.flatten(F.transform(found, grow)))
+
+
+def leaf_rows(shapes: DataFrame, shape: str = "shape") -> DataFrame:
+    """One row per leaf of each distinct shape: the other columns, `path`, `stored`.
+
+    Nulls are stored as `VOID`, `{}` as `OBJECT<>`; an array is a leaf, told as the catalog's name of it. A shape that is
+    no object has no leaf. Runs as built-ins over the distinct shapes.
+    """
+    items = lambda node: F.try_variant_get(node, "$", "array<variant>")
+
+    def members(node: Column) -> Column:
+        def pairs(found: Column) -> Column:
+            places = F.sequence(F.lit(1), F.size(found) - 1, F.lit(2))
+            is_object = (F.size(found) > 1) & (F.try_variant_get(F.get(found, F.lit(0)), "$", "string") == "{")
+            pair = lambda n: F.struct(
+                F.try_variant_get(F.get(found, n), "$[0]", "string").alias("path"), F.get(found, n + 1).alias("value")
+            )
+            return F.when(is_object, F.transform(places, pair))
 
+        return let(items(node), pairs)
 
-def property_depth(df: DataFrame, properties: str = "properties") -> int:
-    """Deepest nesting of objects in a column (one aggregate over its distinct shapes)."""
+    opened = shapes.withColumn("_tree", _shape_tree(F.col(shape)))
+    leaves = _opened(members(F.col("_tree")), _levels(F.col(shape)), members)
+    kept = [c for c in shapes.columns if c != shape]
+    # Fenced, as the filter that an explode brings along would walk the shape again below it.
+    walked = opened.withColumn("_leaves", fence(leaves)).select(*kept, F.explode("_leaves").alias("_leaf"))
+    exploded = walked.withColumn("stored", fence(let(F.to_json("_leaf.value"), _stored)))
+    return exploded.select(*kept, F.col("_leaf.path").alias("path"), "stored")
 
-    @F.pandas_udf("int")
-    def depth(column: pd.Series) -> pd.Series:
-        return column.map(_depth)
 
-    shapes = df.select(shape_of(F.col(properties)).alias("shape")).distinct()
-    return shapes.agg(F.max(depth("shape"))).first()[0] or 0
+def _stored(text: Column) -> Column:
+    """Type of a leaf, by the JSON text of its tree: a scalar's own, `OBJECT<>`, or `Array(...)`."""
+    arrays = r'^((?:\["\[",)*)'
+    scalar = F.regexp_extract(text, arrays + '"([A-Z_]+)"', 2)
+    element = F.when(scalar == "VOID", F.lit("Nullable(String)")).otherwise(
+        F.coalesce(F.concat(F.lit("Nullable("), _scalar_name(scalar), F.lit(")")), F.lit("Dynamic"))
+    )
+    inner = F.when(text.rlike(arrays + r'\["\{"'), F.lit("JSON")).otherwise(element)
+    depth = (F.length(F.regexp_extract(text, arrays, 1)) / 5).cast("int")
+    array = lambda n: F.concat(F.repeat(F.lit("Array("), n), inner, F.repeat(F.lit(")"), n))
+    return F.when(text.startswith('["[",'), let(depth, array)).when(text == '["{"]', F.lit("OBJECT<>")).otherwise(scalar)
 
 
-def _depth(shape: str | None) -> int:
-    if not shape or not shape.startswith("OBJECT<") or shape == "OBJECT<>":
-        return 0
-    return 1 + max((_depth(kind) for _, kind in _fields(shape[7:-1])), default=0)
+def _scalar_name(stored: Column) -> Column:
+    """Catalog name of a scalar type; null for a type without one."""
+    names = F.create_map(*[F.lit(text) for pair in _SCALAR_TYPES.items() for text in pair])
+    return F.try_element_at(names, stored)
+
+
+def catalog_type(stored: Column) -> Column:
+    """Catalog name of a stored type as `leaf_rows` gives it."""
+    return F.when(stored.startswith("Array("), stored).otherwise(F.coalesce(_scalar_name(stored), F.initcap(stored)))
 
 
 # -- whole documents -------------------------------------------------------
 
 
-def flat_entries(properties: Column, depth: int) -> Column:
+def flat_entries(properties: Column) -> Column:
     """`array<struct<path,value>>` with dotted names; arrays and empty objects stay values.
 
-    Row-local: no explode and no shuffle. ``depth`` is the deepest nesting (`property_depth`).
+    Row-local, to the depth of each row: no explode, no shuffle and no look at the table beforehand.
     """
-    entry = lambda path, value: F.struct(path.alias("path"), value.alias("value"))
-    entries = F.transform(F.map_entries(children(properties)), lambda e: entry(e["key"], e["value"]))
-
-    def one_level(found: Column) -> Column:
-        def grow(e: Column) -> Column:
-            below = children(e["value"])
-            nested = F.transform(
-                F.map_entries(below), lambda c: entry(F.concat(e["path"], F.lit("."), c["key"]), c["value"])
-            )
-            return F.when(F.coalesce(F.size(below) > 0, F.lit(False)), nested).otherwise(F.array(e))
 
-        return F.flatten(F.transform(found, grow))
+    def entries(value: Column) -> Column:
+        return F.transform(F.map_entries(children(value)), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
 
-    for _ in range(max(depth - 1, 0)):
-        entries = one_level(entries)
-    return entries
+    opened = _opened(entries(properties), _levels(F.schema_of_variant(properties)), entries)
+    return F.transform(opened, lambda e: F.struct(e["path"].alias("path"), e["value"].alias("value")))
 
 
 def value_label(value: Column) -> Column:

@@ -140,20 +140,19 @@ def flow_edges(ev: DataFrame, key: str = "session_id", name: str = "event_name")
 
 
 def session_timeline(
-    ev: DataFrame, session_id: str | None = None, idle_s: int = IDLE_S, depth: int | None = None, shown: int = 4
+    ev: DataFrame, session_id: str | None = None, idle_s: int = IDLE_S, shown: int = 4
 ) -> DataFrame:
     """Events with offset from the session start, gap to the previous event, idle flag and first properties.
 
-    ``session_id`` None means every session. Gaps are milliseconds and null on a first event.
+    ``session_id`` None means every session. Gaps are milliseconds and null on a first event. The labels are cut before the
+    rows are shuffled, so whole properties stay where they are read.
     """
     rows = ev.where(F.col("session_id") != "") if session_id is None else ev.where(F.col("session_id") == session_id)
-    depth = props.property_depth(rows) if depth is None else depth
-    timed = with_neighbours(rows, "session_id", "event_timestamp", "event_id")
+    entries = F.slice(props.flat_entries(F.col("properties")), 1, shown)
+    labels = F.transform(entries, lambda e: F.concat_ws("=", e["path"], props.value_label(e["value"])))
+    narrow = rows.select("session_id", "event_id", "event_timestamp", "event_name", F.concat_ws(", ", labels).alias("properties_shown"))
+    timed = with_neighbours(narrow, "session_id", "event_timestamp", "event_id")
     since = lambda start: F.unix_millis("event_timestamp") - F.unix_millis(start)
-    entries = F.slice(props.flat_entries(F.col("properties"), depth), 1, shown)
-    labels = F.transform(
-        entries, lambda e: F.concat_ws("=", e["path"], props.value_label(e["value"]))
-    )
     return timed.select(
         "session_id",
         "event_id",
@@ -163,7 +162,7 @@ def session_timeline(
         since("previous_ts").alias("gap_ms"),
         F.coalesce(since("previous_ts") >= idle_s * 1000, F.lit(False)).alias("idle"),
         times.offset_text(since("first_ts")).alias("offset_text"),
-        F.concat_ws(", ", labels).alias("properties_shown"),
+        "properties_shown",
     )
 
 

@@ -136,14 +136,13 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def doc_summary(ev: DataFrame, depth: int | None = None) -> DataFrame:
+def doc_summary(ev: DataFrame) -> DataFrame:
     """(event_id, summary): the leading fields, then properties, system properties and the rest by name.
 
     Each row is summarised where it is; nothing is shuffled.
     """
-    depth = props.property_depth(ev) if depth is None else depth
     entries = F.transform(
-        props.flat_entries(F.col("properties"), depth),
+        props.flat_entries(F.col("properties")),
         lambda e: F.struct(F.concat(F.lit("properties."), e["path"]).alias("path"), props.value_label(e["value"]).alias("text")),
     )
     none = F.array().cast("array<struct<path:string,text:string>>")
@@ -159,7 +158,7 @@ def doc_summary(ev: DataFrame, depth: int | None = None) -> DataFrame:
 # -- export ----------------------------------------------------------------
 
 
-def export_rows(df: DataFrame, columns: Sequence[str] | None = None, depth: int | None = None) -> DataFrame:
+def export_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Flat text rows with the same columns on every row: the chosen ones after the event time, else all seen.
 
     Lists and objects become JSON text.
