@@ -63,10 +63,18 @@ class Encoder(dict):
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         split = self.library.pre_tokenizer.pre_tokenize_str
         # The character that stands for each byte, as the library itself shows it.
+        self.split, self.tokenize = split, self.library.model.tokenize  # asked for once: each look-up in the library makes a new object
         self.alphabet = {byte: split(chr(byte))[0][0] for byte in range(128)} | {ord(c): sign for c, sign in _high_bytes(split).items()}
+        self.blank = self.alphabet[32]
+        letters = [chr(byte) for byte in range(128) if chr(byte).isalpha()]
+        # Letters behind a blank are one pre-token, written as themselves, and hold no special string.
+        self.plain = all(self.alphabet[ord(c)] == c for c in letters) and not any(s.strip(" ").isalpha() or not s.strip(" ") for s in self.special)
         self.marks = {mark: self._ids(mark) for mark in ".,;:!?"}
 
     def __missing__(self, segment: str) -> bytes:
+        if self.plain and segment.isascii() and segment.isalpha():
+            value = self[segment] = array("I", [token.id for token in self.tokenize(self.blank + segment)]).tobytes()
+            return value
         body = segment[1:] if segment[:1] == "\n" else segment
         if not body or body[0].isspace() or body[-1].isspace():
             raise _Whole
@@ -83,8 +91,8 @@ class Encoder(dict):
         if text[0] == " " and text[1:].isalpha():  # letters behind a blank are one pre-token: its bytes in the vocabulary's alphabet
             parts = [text.encode().decode("latin-1").translate(self.alphabet)]
         else:
-            parts = [part for part, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        tokenize = self.library.model.tokenize
+            parts = [part for part, _ in self.split(text)]
+        tokenize = self.tokenize
         return array("I", [token.id for part in parts for token in tokenize(part)]).tobytes()
 
     def whole(self, text: str) -> bytes:
