@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -27,6 +31,49 @@ FIRED = T.StructType(
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Bytes of payloads that a task sorts in memory, and rows of a sorted run that it looks at together.
+RUN_BYTES, RUN_ROWS = 32 << 20, 500
+#: Rows that leave a task together, in whole cycles.
+OUT_ROWS = 5_000
+
+_PLAIN = pa.schema([("offset", pa.int64()), ("value", pa.large_string())])
+
+
+def _order(row: tuple) -> tuple:
+    return row[0], row[1] is None, row[1] or ""
+
+
+def _run(file: Any) -> Iterator[tuple]:
+    file.seek(0)
+    for batch in pa.ipc.open_stream(file):
+        yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+
+
+def in_order(parts: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    """(offset, value) of a key's rows by offset. Rows beyond ``RUN_BYTES`` wait as sorted runs in the task's scratch files, so that a long
+    partition of the log takes no more memory than a short one."""
+    with tempfile.TemporaryDirectory() as folder:
+        runs: list[Iterator[tuple]] = []
+        held, size = [], 0
+
+        def stored(rows: list) -> Iterator[tuple]:
+            file = open(f"{folder}/{len(runs)}", "w+b")  # noqa: SIM115
+            with pa.ipc.new_stream(file, _PLAIN) as out:
+                for start in range(0, len(rows), RUN_ROWS):
+                    columns = zip(*rows[start : start + RUN_ROWS], strict=True)
+                    out.write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _PLAIN, strict=True)], schema=_PLAIN))
+            return _run(file)
+
+        for part in parts:
+            for offset, value in zip(part["offset"], part["value"], strict=True):
+                held.append((int(offset), value))
+                size += 100 + len(value or "")
+            if size > RUN_BYTES:
+                runs.append(stored(sorted(held, key=_order)))
+                held, size = [], 0
+        yield from heapq.merge(*runs, sorted(held, key=_order), key=_order)
+
+
 class Cycles(StatefulProcessor):
     """Keeps the records of one partition of the log that wait for their cycle, in order of offset.
 
@@ -43,24 +90,35 @@ class Cycles(StatefulProcessor):
         self.counted = handle.getValueState("counted", T.StructType([T.StructField("cycles", T.LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        fresh = sorted((int(offset), value) for part in rows for offset, value in zip(part["offset"], part["value"], strict=True))
-        held = [*self.waiting.get(), *fresh] if self.waiting.exists() else fresh
-        fired, whole = 0, len(held) - len(held) % self.n
-        for start in range(0, whole, self.n):
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        held, done = (row for some in (waiting, in_order(rows)) for row in some), self._done()
+        fired, cycle, out = done, [], []
+        while len(cycle := list(islice(held, self.n))) == self.n:
+            out += [(*row[:2], fired) for row in cycle]
             fired += 1
-            yield self._fire(key, held[start : start + self.n], "number")
-        self._keep(held[whole:], timerValues, fired > 0)
+            if len(out) >= OUT_ROWS:
+                yield self._fired(key, out, "number")
+                out = []
+        if out:
+            yield self._fired(key, out, "number")
+        if fired > done:
+            self.counted.update((fired,))
+        self._keep([tuple(row[:2]) for row in cycle], timerValues, fired > done)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         held = list(self.waiting.get()) if self.waiting.exists() else []
         if held:
-            yield self._fire(key, held, "time")
+            done = self._done()
+            self.counted.update((done + 1,))
+            yield self._fired(key, [(*row[:2], done) for row in held], "time")
         self._keep([], timerValues, True)
 
-    def _fire(self, key: Any, rows: list, by: str) -> pd.DataFrame:
-        cycle = self.counted.get()[0] if self.counted.exists() else 0
-        self.counted.update((cycle + 1,))
-        return pd.DataFrame({"topic": key[0], "partition": key[1], "offset": [r[0] for r in rows], "value": [r[1] for r in rows], "cycle": cycle, "by": by})
+    def _done(self) -> int:
+        return self.counted.get()[0] if self.counted.exists() else 0
+
+    def _fired(self, key: Any, rows: list, by: str) -> pd.DataFrame:
+        offsets, values, cycles = zip(*rows, strict=True)
+        return pd.DataFrame({"topic": key[0], "partition": key[1], "offset": offsets, "value": values, "cycle": cycles, "by": by})
 
     def _keep(self, rows: list, timerValues: Any, restart: bool) -> None:
         timers = [timer[0] if isinstance(timer, tuple) else timer for timer in self.handle.listTimers()]
