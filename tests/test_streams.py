@@ -5,10 +5,12 @@ import random
 from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from data import log_of, payload
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemark.model import Scope
 from tidemark.operators import ingest
 from tidemark.sources import events as sources
@@ -269,3 +271,41 @@ def test_topic_options():
 
 def test_missing_table_is_empty(spark, folder):
     assert sources.facts(spark, f"{folder}/none").count() == 0
+
+
+def test_counters_read_the_log_once(spark, log):
+    prepared = jobs.prepare(spark.read.parquet(log))
+    counted = sinks.ingest_counters(prepared)
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("] parquet") == 1
+    found = {(r["counter"], r["label"]): r["count"] for r in counted.collect()}
+    rejected = prepared.where("error_class is not null").count()
+    ids = prepared.where("error_class is null").select(*ingest.ID_KEY).distinct().count()
+    wanted = {("consumed", "events"): 2000, ("written", "created"): ids, ("written", "already_written"): 2000 - rejected - ids, ("rejected", "invalid_org"): rejected}
+    assert found == wanted
+    none = sinks.ingest_counters(prepared.where("false")).collect()
+    assert sorted((r["counter"], r["label"], r["count"]) for r in none) == [("written", "already_written", None), ("written", "created", None)]
+
+
+def test_counters_know_the_ids_that_are_there(spark):
+    prepared = jobs.prepare(log_of(spark, [payload(1), payload(1), payload(2), payload(3), "oops"]))
+    there = prepared.where("offset = 2").select(*ingest.ID_KEY)
+    found = {(r["counter"], r["label"]): r["count"] for r in sinks.ingest_counters(prepared, there.union(there)).collect()}
+    assert found == {("consumed", "events"): 5, ("written", "created"): 2, ("written", "already_written"): 2, ("rejected", "decode"): 1}
+
+
+def test_audit_parses_the_log_once(spark):
+    """The query looks at what became of the records five times; the log is parsed for none of them."""
+    plan = entry.queries()["dedup_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "props" not in plan and "value" not in plan
+
+
+def test_a_long_partition_is_sorted_in_runs(monkeypatch):
+    """Only as many rows as fit a run are held; the order is that of one sort, copies and nulls among them."""
+    monkeypatch.setattr(cycles, "RUN_BYTES", 2_000)
+    monkeypatch.setattr(cycles, "RUN_ROWS", 3)
+    rng = random.Random(5)
+    rows = [(rng.randrange(300), rng.choice([None, "", "ü", "v" * rng.randrange(60)])) for _ in range(1_000)]
+    parts = (pd.DataFrame(rows[start : start + 10], columns=["offset", "value"]) for start in range(0, 1_000, 10))
+    found = list(cycles.in_order(parts))
+    assert found == sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or ""))
+    assert list(cycles.in_order(iter([]))) == []

@@ -56,7 +56,9 @@ def canonical_uuid(value: Column) -> Column:
     shape = r"\A(?:urn:uuid:)?{h}{8}-{h}{4}-{h}{4}-{h}{4}-{h}{12}\z|\A\{{h}{8}-{h}{4}-{h}{4}-{h}{4}-{h}{12}\}\z|\A{h}{32}\z"
     digits = F.regexp_replace(lower, r"\Aurn:uuid:|[{}-]", "")
     hyphenated = F.regexp_replace(digits, r"\A(.{8})(.{4})(.{4})(.{4})(.{12})\z", "$1-$2-$3-$4-$5")
-    return F.when(lower.rlike(shape.replace("{h}", "[0-9a-f]")), hyphenated)
+    usual = r"\A{h}{8}-{h}{4}-{h}{4}-{h}{4}-{h}{12}\z"  # as nearly all are: nothing to rewrite
+    match = lambda pattern: lower.rlike(pattern.replace("{h}", "[0-9a-f]"))
+    return F.when(match(usual), lower).when(match(shape), hyphenated)
 
 
 def _required(fields: Column, name: str) -> Column:

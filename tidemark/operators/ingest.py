@@ -15,22 +15,29 @@ from tidemark.session import fits_broadcast
 # -- decode and conform ----------------------------------------------------
 
 
-def decode(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Adds `document` (VARIANT), `error_class` and `error_reason`; sound rows have no error."""
+def opened(raw: DataFrame, value: str = "value") -> DataFrame:
+    """`decode` with the document's `_fields`: a caller that reads on needs no second look into the document."""
     parsed = raw.withColumn("document", documents.fence(documents.whole_json(F.col(value))))
     parsed = parsed.withColumn("_fields", documents.fence(documents.fields_of(F.col("document"))))
     problem = documents.canonical_problem(F.col("_fields"), ENVELOP_VERSION)
     reason = F.when(F.coalesce(F.length(value), F.lit(0)) == 0, F.lit("empty payload")).otherwise(
         F.concat(F.lit("not a canonical event: "), problem)
     )
+    sound = F.col("error_reason").isNull()
     return parsed.withColumn("error_reason", documents.fence(reason)).select(
         *raw.columns,
-        F.when(F.col("error_reason").isNull(), F.col("document")).alias("document"),
-        F.when(F.col("error_reason").isNotNull(), "decode").alias("error_class"),
+        F.when(sound, F.col("document")).alias("document"),
+        F.when(~sound, "decode").alias("error_class"),
         "error_reason",
+        F.when(sound, F.col("_fields")).alias("_fields"),
     )
 
 
+def decode(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Adds `document` (VARIANT), `error_class` and `error_reason`; sound rows have no error."""
+    return opened(raw, value).drop("_fields")
+
+
 def norm_country(country: Column) -> Column:
     """A country is kept only when it has exactly two characters."""
     return F.when(F.length(country) == 2, country)
@@ -267,13 +274,15 @@ def check_destination(df: DataFrame, template: str = "template") -> DataFrame:
     fixed = names.render(pattern, F.lit(""), F.lit(""))
     template_ok = ~fixed.rlike("[{}]") & names.is_index_name(names.render(pattern, F.lit("org"), F.lit("workspace")))
     has_org, has_workspace = pattern.contains("{org_id}"), pattern.contains("{workspace_id}")
-    with_org = F.replace(pattern, F.lit("{org_id}"), org)
-    full = F.replace(with_org, F.lit("{workspace_id}"), workspace)
+    # Names that are looked at more than once are made once, behind a fence.
+    made = df.withColumn("_with_org", documents.fence(F.replace(pattern, F.lit("{org_id}"), org)))
+    made = made.withColumn("_full", documents.fence(F.replace("_with_org", F.lit("{workspace_id}"), workspace)))
+    with_org, full = F.col("_with_org"), F.col("_full")
     # The half-filled name still holds the other placeholder, which is legal in a name.
     bad_org = has_org & ((org == "") | ~names.is_index_name(with_org))
     bad_workspace = has_workspace & ((workspace == "") | ~names.is_index_name(full))
     wrong = F.when(~template_ok, "invalid_index").when(bad_org, "invalid_org").when(bad_workspace, "invalid_workspace")
-    checked = df.withColumn("error_class", documents.fence(wrong))
+    checked = made.withColumn("error_class", documents.fence(wrong))
     reason = (
         F.when(F.col("error_class") == "invalid_index", F.lit("the configured template is not a valid name"))
         .when(F.col("error_class") == "invalid_org", F.concat(F.lit("org_id "), org, F.lit(" gives no valid name")))
@@ -282,9 +291,8 @@ def check_destination(df: DataFrame, template: str = "template") -> DataFrame:
             F.concat(F.lit("workspace_id "), workspace, F.lit(" gives no valid name")),
         )
     )
-    return checked.withColumn("error_reason", reason).withColumn(
-        "destination", F.when(F.col("error_class").isNull(), full)
-    )
+    named = checked.withColumn("error_reason", reason).withColumn("destination", F.when(F.col("error_class").isNull(), full))
+    return named.drop("_with_org", "_full")
 
 
 def check_topic(df: DataFrame, template: str) -> DataFrame:

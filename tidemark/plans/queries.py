@@ -826,7 +826,9 @@ def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dedup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole replay check on the payload log: what was sent against what a create-once sink holds."""
-    prepared = _prepared(spark, sf_dir)
+    path = f"{scratch_dir(spark, 'audit')}/prepared"
+    jobs.write_outcomes(_prepared(spark, sf_dir), path)
+    prepared = spark.read.parquet(path)
     sound = F.when(F.col("error_class").isNull(), F.col("event_id")).alias("event_id")
     sent = prepared.select("topic", "partition", "offset", "org_id", "workspace_id", sound)
     written = sent.where("event_id is not null").select(*ingest.ID_KEY).distinct()

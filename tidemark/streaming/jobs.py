@@ -15,6 +15,7 @@ from tidemark.operators.ingest import (
     classify_archive,
     conform,
     decode,
+    opened,
     own_workspace,
     reject_large,
     resolve_setting,
@@ -60,12 +61,11 @@ def prepare(
 ) -> DataFrame:
     """Decoded records with `event_id` and `destination`, or the class and reason of their rejection."""
     fields = F.col("_fields")
-    opened = decode(raw).withColumn("_fields", documents.fence(documents.fields_of(F.col("document"))))
-    decoded = opened.withColumns(
+    decoded = opened(raw).withColumns(
         {
-            "event_id": documents.canonical_uuid(documents.field_text(fields, "id")),
-            "org_id": documents.field_text(fields, "org_id"),
-            "workspace_id": documents.field_text(fields, "workspace_id"),
+            "event_id": documents.fence(documents.canonical_uuid(documents.field_text(fields, "id"))),
+            "org_id": documents.fence(documents.field_text(fields, "org_id")),
+            "workspace_id": documents.fence(documents.field_text(fields, "workspace_id")),
             "_class": F.col("error_class"),
             "_reason": F.col("error_reason"),
         }
@@ -88,6 +88,13 @@ def prepare(
     ).drop("_class", "_reason", "_fields", "too_large", "template")
 
 
+def write_outcomes(prepared: DataFrame, path: str) -> None:
+    """What became of each record, for readers that ask more than once: coordinates, ids and error, with key and value of the rejected ones."""
+    bad = F.col("error_class").isNotNull()
+    kept = [F.when(bad, F.col(c)).alias(c) for c in ("key", "value")]
+    prepared.select("topic", "partition", "offset", "org_id", "workspace_id", "event_id", "error_class", "error_reason", *kept).write.parquet(path)
+
+
 def start_ingest(
     stream: DataFrame,
     root: str,

@@ -258,26 +258,28 @@ def ingest_counters(prepared: DataFrame, existing_ids: DataFrame | None = None)
     """(counter, label, count): consumed by topic, written by outcome, rejected by class.
 
     The first copy of an id is `created`; later copies, and ids already there, are `already_written`.
+    The records are read once: each is noted under `consumed` and under its outcome, and notes are summed up before they are exchanged.
     """
-    consumed = prepared.groupBy(F.col("topic").alias("label")).agg(F.count(F.lit(1)).alias("count"))
-    rejected = (
-        prepared.where("error_class is not null")
-        .groupBy(F.col("error_class").alias("label"))
-        .agg(F.count(F.lit(1)).alias("count"))
+    bad, no_id = F.col("error_class").isNotNull(), F.lit(None).cast("string")
+    noted = lambda counter, label, ids: F.struct(F.lit(counter).alias("counter"), label.alias("label"), *[i.alias(c) for c, i in ids.items()])
+    outcome = F.when(bad, noted("rejected", F.col("error_class"), dict.fromkeys(ID_KEY, no_id))).otherwise(
+        noted("written", no_id, {c: F.col(c) for c in ID_KEY})
     )
-    per_id = prepared.where("error_class is null").groupBy(*ID_KEY).agg(F.count(F.lit(1)).alias("n"))
+    notes = prepared.select(F.inline(F.array(noted("consumed", F.col("topic"), dict.fromkeys(ID_KEY, no_id)), outcome)))
+    sums = notes.groupBy("counter", "label", *ID_KEY).agg(F.count(F.lit(1)).alias("n"))
     if existing_ids is None:
-        per_id = per_id.withColumn("known", F.lit(False))
+        sums = sums.withColumn("known", F.lit(False))
     else:
         known = existing_ids.select(*ID_KEY).distinct().withColumn("known", F.lit(True))
-        per_id = per_id.join(known, list(ID_KEY), "left").fillna(False, ["known"])
-    created = F.when(F.col("known"), 0).otherwise(1)
-    written = per_id.agg(F.sum(created).alias("created"), F.sum(F.col("n") - created).alias("already_written")).unpivot(
-        [], ["created", "already_written"], "label", "count"
-    )
-    parts: Sequence[tuple[str, DataFrame]] = (("consumed", consumed), ("written", written), ("rejected", rejected))
-    rows = [part.select(F.lit(name).alias("counter"), "label", F.col("count").cast("long")) for name, part in parts]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+        sums = sums.join(known, list(ID_KEY), "left").fillna(False, ["known"])
+    created = F.when(F.col("known"), 0).otherwise(1).cast("long")
+    count = lambda label, n: F.struct(label.alias("label"), n.alias("count"))
+    split = F.array(count(F.lit("created"), created), count(F.lit("already_written"), F.col("n") - created))
+    counts = sums.select("counter", F.inline(F.when(F.col("counter") == "written", split).otherwise(F.array(count(F.col("label"), F.col("n"))))))
+    # Both outcomes are listed, whatever there was.
+    none = prepared.sparkSession.sql("SELECT 'written' AS counter, label, cast(NULL AS bigint) AS count FROM VALUES ('created'), ('already_written') AS t(label)")
+    counts = counts.unionByName(none)
+    return counts.groupBy("counter", "label").agg(F.sum("count").alias("count"))
 
 
 def dedup_audit(sent: DataFrame, written: DataFrame, letters: DataFrame) -> DataFrame:
