@@ -1,7 +1,8 @@
 """The archive's writer: content-named objects that appear only when their whole batch has been written.
 
-Tasks write each object to a staging folder of the batch and hash its body on the way. When all tasks are done, the driver publishes: manifests first, then
-objects, each moved to the name that its content gives it. A name that is taken holds the same content, so a repeated batch, or one that failed while it was
+Tasks write each object to a staging folder of the batch, hash its body on the way and list what they have staged. When all tasks are done, the lists are
+committed and a second job publishes what they name, spread over tasks: an object's manifest first, then the object, each moved to the name that its content
+gives it. A name that is taken holds the same content, so a repeated batch, or one that failed while it was
 published, changes nothing that is there already. A batch that fails leaves only its staging folder, which readers skip and the next step removes.
 
     {root}/org=…/workspace=…/dt=…/hour=…/{hash}.jsonl.gz     payloads, each ended by ``RECORD_END``
@@ -16,7 +17,7 @@ import gzip
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import groupby
@@ -31,7 +32,7 @@ from tidemark.sources.events import RECORD_END, folder_exists
 
 FOLDER = ("org", "workspace", "dt", "hour")
 BLOCK = 10_000
-MOVERS = 16
+MOVERS = 4
 
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
@@ -41,17 +42,19 @@ def _open(root: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Staged(WriterCommitMessage):
-    """What a task has written: (staged object, staged manifest, folder, hash)."""
+    """The list of what a task has staged."""
 
-    objects: list[tuple[str, str, str, str]]
+    listing: str
+
+
+LISTED = "body string, manifest string, folder string, digest string"
 
 
 class ArchiveWriter(DataSourceArrowWriter):
     """Takes rows in order of FOLDER, topic, partition, block and offset; each block is an object."""
 
     def __init__(self, options):
-        self.root = options["path"]
-        self.stage = f"_staging/{uuid.uuid4().hex}"
+        self.root, self.stage = options["path"], options["stage"]
         self.source, self.created_at = options.get("source"), options.get("createdAt")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
@@ -60,9 +63,13 @@ class ArchiveWriter(DataSourceArrowWriter):
         store.create_dir(stage, recursive=True)
         rows = (row for batch in iterator for row in batch.to_pylist())
         key = lambda row: (*(row[c] for c in FOLDER), row["topic"], row["partition"], row["block"])
-        return Staged([self._object(store, stage, key, held) for key, held in groupby(rows, key)])
+        listing = f"{stage}/{uuid.uuid4().hex}.list"
+        with store.open_output_stream(listing) as out:
+            for place, held in groupby(rows, key):
+                out.write(json.dumps(self._object(store, stage, place, held)).encode() + b"\n")
+        return Staged(listing)
 
-    def _object(self, store: fs.FileSystem, stage: str, key: tuple, rows: Iterator[dict]) -> tuple[str, str, str, str]:
+    def _object(self, store: fs.FileSystem, stage: str, key: tuple, rows: Iterator[dict]) -> dict[str, str]:
         """One object, written payload by payload; a task holds no more than the payload at hand."""
         name, digest, count, first, last = f"{stage}/{uuid.uuid4().hex}", hashlib.sha256(), 0, None, None
         with store.open_output_stream(name, compression=None) as raw, gzip.GzipFile(fileobj=raw, mode="wb", mtime=0) as body:
@@ -74,32 +81,65 @@ class ArchiveWriter(DataSourceArrowWriter):
         manifest = {"event_count": count, "ranges": f"{key[4]}:{key[5]}:{first}:{last}", "created_at": self.created_at}
         if self.source is not None:
             manifest["source"] = self.source
-        with store.open_output_stream(f"{name}.json") as out:
-            out.write(json.dumps(manifest).encode())
         folder = "/".join(f"{c}={quote(str(v), safe=' ')}" for c, v in zip(FOLDER, key, strict=False))
-        return name, f"{name}.json", folder, digest.hexdigest()[:16]
+        return {"body": name, "manifest": json.dumps(manifest), "folder": folder, "digest": digest.hexdigest()[:16]}
 
     def commit(self, messages: list[Staged | None]) -> None:
+        """Only the lists of tasks that count are published; what a lost attempt has staged goes with the folder."""
         store, root = _open(self.root)
+        lists = f"{root}/{self.stage}/lists"
+        store.create_dir(lists, recursive=True)
+        for message in filter(None, messages):
+            store.move(message.listing, f"{lists}/{message.listing.rpartition('/')[2]}")
+
+    def abort(self, messages: list[Staged | None]) -> None:
+        _drop(self.root, self.stage)
+
+
+def _drop(path: str, stage: str) -> None:
+    store, root = _open(path)
+    if store.get_file_info(f"{root}/{stage}").type != fs.FileType.NotFound:
+        store.delete_dir(f"{root}/{stage}")
 
-        def publish(staged: tuple[str, str, str, str]) -> None:
-            body, manifest, folder, digest = staged
-            target = f"{root}/{folder}/{digest}.jsonl.gz"
-            if store.get_file_info(target).type != fs.FileType.NotFound:
-                return  # the same content is there
-            for source, place in ((manifest, f"{root}/_manifests/{folder}/{digest}.json"), (body, target)):
-                store.create_dir(place.rpartition("/")[0], recursive=True)
+
+def _publisher(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` over listed objects: moves each to its place unless the same content is there, and counts those moved.
+
+    A task that is run again, or beside itself, finds done what the other has moved.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _open(path)
+        there = lambda place: store.get_file_info(place).type != fs.FileType.NotFound
+        made: set[str] = set()
+
+        def move(source: str, place: str) -> None:
+            folder = place.rpartition("/")[0]
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
+            try:
                 store.move(source, place)
+            except OSError:
+                if not there(place):
+                    raise
+
+        def publish(listed: dict[str, str]) -> int:
+            target = f"{root}/{listed['folder']}/{listed['digest']}.jsonl.gz"
+            if there(target):
+                return 0  # the same content is there
+            manifest = f"{listed['body']}.{uuid.uuid4().hex}.json"
+            with store.open_output_stream(manifest) as out:
+                out.write(listed["manifest"].encode())
+            move(manifest, f"{root}/_manifests/{listed['folder']}/{listed['digest']}.json")
+            move(listed["body"], target)
+            return 1
 
-        unique = {(s[2], s[3]): s for message in messages if message for s in message.objects}
         with ThreadPoolExecutor(MOVERS) as pool:
-            list(pool.map(publish, unique.values()))
-        self.abort(messages)  # only what was not needed is left there
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"moved": pa.array([sum(pool.map(publish, batch.to_pylist()))], pa.int64())})
 
-    def abort(self, messages: list[Staged | None]) -> None:
-        store, root = _open(self.root)
-        if store.get_file_info(f"{root}/{self.stage}").type != fs.FileType.NotFound:
-            store.delete_dir(f"{root}/{self.stage}")
+    return run
 
 
 class ArchiveSource(DataSource):
@@ -122,8 +162,17 @@ def write_archive(classified: DataFrame, root: str, max_rows: int = BLOCK, sourc
     place = (*FOLDER, "topic", "partition", "block")
     laid_out = routed.repartition(*place).sortWithinPartitions(*place, "offset").select(*place, "offset", "value")
     created = created_at or spark.sql("SELECT date_format(now(), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")").first()[0]
-    writer = laid_out.write.format(ArchiveSource.name()).mode("append").option("createdAt", created)
+    stage = f"_staging/{uuid.uuid4().hex}"
+    writer = laid_out.write.format(ArchiveSource.name()).mode("append").option("createdAt", created).option("stage", stage)
     (writer if source is None else writer.option("source", source)).save(root)
+    try:
+        if folder_exists(spark, f"{root}/{stage}/lists"):
+            listed = spark.read.schema(LISTED).json(f"{root}/{stage}/lists").dropDuplicates(["folder", "digest"])
+            # A given number of parts: the lists are small, the work on what they name is not.
+            spread = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder", "digest")
+            spread.mapInArrow(_publisher(root), "moved long").agg(F.sum("moved")).collect()
+    finally:
+        _drop(root, stage)
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
