@@ -1,11 +1,13 @@
 """Streams: exactly once per event id in effect, late events kept, interrupted runs resumed."""
 
 import hashlib
+import json
 import random
 from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from data import log_of, payload
 from pyspark.sql import functions as F
@@ -309,3 +311,15 @@ def test_a_long_partition_is_sorted_in_runs(monkeypatch):
     found = list(cycles.in_order(parts))
     assert found == sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or ""))
     assert list(cycles.in_order(iter([]))) == []
+
+
+def test_the_archive_commit_only_lists_and_publishing_twice_moves_once(folder):
+    row = {"org": "o", "workspace": "w", "dt": "2026-09-01", "hour": 1, "topic": "t", "partition": 0, "block": 0, "offset": 5, "value": "{}"}
+    writer = archive.ArchiveWriter({"path": f"file://{folder}", "stage": "_staging/s"})
+    writer.commit([writer.write(iter([pa.RecordBatch.from_pylist([row])]))])
+    assert all(name.startswith("_staging/") for name in published(folder))  # the driver has moved no object
+    listed = [json.loads(line) for file in Path(folder).glob("_staging/s/lists/*") for line in file.read_text().splitlines()]
+    run = archive._publisher(f"file://{folder}")
+    moved = [next(run(iter([pa.RecordBatch.from_pylist(listed)]))).column(0).to_pylist() for _ in range(2)]
+    assert moved == [[1], [0]]
+    assert len([n for n in published(folder) if n.startswith(("org=", "_manifests/"))]) == 2
