@@ -349,7 +349,9 @@ def drop_near_copies(docs: DataFrame, near: int = NEAR) -> DataFrame:
     marks = texts.join(chosen.withColumn("chosen", F.lit(True)), ["name", "sha", "class"], "left").filter("chosen is null or n > 1")
     marks = stored(marks.select("name", "sha", F.col("chosen").isNotNull().alias("repeated")), "near-marks")
     whole = docs.select(F.struct("*").alias("whole"), name.alias("name"), F.sha2(text_of(), 256).alias("sha"))
-    marked = whole.join(marks, ["name", "sha"], "left")
-    once = marked.filter("repeated is null").select("whole")
-    first = marked.filter("repeated").dropDuplicates(["name", "sha"]).select("whole")
-    return once.unionByName(first).select("whole.*")
+    # The texts are exchanged once: the rows to keep come from one join, and only repeated rows, where there are any, are settled behind it.
+    kept = whole.join(marks, ["name", "sha"], "left").filter("repeated is null or repeated")
+    if not marks.filter("repeated").isEmpty():
+        own = F.when(F.col("repeated"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+        kept = kept.withColumn("own", own).dropDuplicates(["name", "sha", "own"])
+    return kept.select("whole.*")
