@@ -16,11 +16,13 @@ alike, row by row; an empty table gives no rows; columns other than doc_id and t
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from contextlib import contextmanager
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,10 @@ SHORT = 24
 #: Characters of a segment up to which it is merged side by side with others.
 WIDE = 32
 NEVER = float("inf")
+#: The two parts of what a memory holds.
+IDS, SHOWN = itemgetter(0), itemgetter(1)
+#: The rank of a pair that joins to no piece.
+NO_PAIR = np.int32(2**31 - 1)
 
 
 class Memory(dict):
@@ -64,8 +70,11 @@ class Pieces:
         special = lambda i: library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i)
         self.ids = {n: i for i, n in enumerate(self.names) if not special(i)}
         self.cost = {n: -library.get_score(i) for n, i in self.ids.items()}
-        self.piece_cost = np.array([self.cost.get(n, NEVER) for n in self.names])
-        self.single = {n for n in self.ids if len(n) == 1}
+        # The piece of each code point that is one.
+        self.point_ids = np.full(0x110000, -1, np.int32)
+        for name, i in self.ids.items():
+            if len(name) == 1:
+                self.point_ids[ord(name)] = i
         self.hidden = {i for i in range(len(self.names)) if library.is_control(i)}
         joined = {c for n in self.ids if len(n) > 1 for c in n}
         self.crossed = any(SPACE in n.lstrip(SPACE) for n in self.ids)
@@ -81,36 +90,58 @@ class Pieces:
         pairs = sorted((self.ids[n[:at]] * len(self.names) + self.ids[n[at:]], i) for n, i in self.ids.items() for at in range(1, len(n)) if n[:at] in self.ids and n[at:] in self.ids)
         self.pair_keys = np.array([key for key, _ in pairs] or [-1], np.int64)
         self.pair_joined = np.array([i for _, i in pairs] or [0], np.int64)
+        costs = np.array([self.cost[self.names[i]] for _, i in pairs] or [NEVER])
+        self.pair_ranks = np.unique(costs, return_inverse=True)[1].astype(np.int32)
+        self.place_pairs()
 
     @staticmethod
     def segment_of(word: str) -> str:
         return word if word[0] == "\n" else SPACE + word
 
+    def pair_slots(self, keys: np.ndarray, step: int) -> np.ndarray:
+        """Where the pairs are in a table of places; keys are spread by a multiplier."""
+        return ((keys.view(np.uint64) * self.multipliers[step]) >> self.shift).view(np.int64)
+
+    def place_pairs(self) -> None:
+        """Two tables of places in ``pair_keys``: pairs that meet another one in the first are alone in the second."""
+        bits = max(4, (16 * len(self.pair_keys)).bit_length())
+        self.shift, rng = np.uint64(64 - bits), np.random.default_rng(3)
+        while True:
+            self.multipliers = rng.integers(1 << 62, 1 << 63, 2, np.uint64) | np.uint64(1)
+            self.places, left = [], np.arange(len(self.pair_keys))
+            for step in range(2):
+                table, at = np.zeros(1 << bits, np.int32), self.pair_slots(self.pair_keys[left], step)
+                table[at] = left
+                self.places.append(table)
+                left = left[table[at] != left]
+            if not len(left):
+                return
+
     def pair_costs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cost and joined piece of pairs; infinite for those that join to none."""
+        """Rank of the cost and joined piece of pairs; NO_PAIR for those that join to none."""
         keys = left * len(self.names) + right
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        joined = self.pair_joined[at]
-        return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), self.piece_cost[joined], NEVER), joined
+        at = self.places[0][self.pair_slots(keys, 0)]
+        at = np.where(self.pair_keys[at] == keys, at, self.places[1][self.pair_slots(keys, 1)])
+        return np.where((self.pair_keys[at] == keys) & (right >= 0), self.pair_ranks[at], NO_PAIR), self.pair_joined[at]
 
     def merge_rows(self, symbols: np.ndarray) -> np.ndarray:
         """Agendas of many segments side by side, a row each (ids of their characters, -1 behind the end); dead symbols become -1.
 
-        A row's agenda holds the cost of each pair at the place of its left symbol; all rows merge their best pair, the leftmost of equal ones, in each turn.
+        A row's agenda holds the rank of each pair's cost at the place of its left symbol; all rows merge their best pair, the leftmost of equal ones, in each turn.
         """
         width = symbols.shape[1]
         after = np.tile(np.arange(1, width + 1), (len(symbols), 1))
         before = after - 2
-        agenda, joined = np.full(symbols.shape, NEVER), np.zeros(symbols.shape, np.int64)
+        agenda, joined = np.full(symbols.shape, NO_PAIR), np.zeros(symbols.shape, np.int64)
         if width > 1:
             agenda[:, :-1], joined[:, :-1] = self.pair_costs(symbols[:, :-1], symbols[:, 1:])
         rows = np.arange(len(symbols))
         while len(rows):
             at = agenda[rows].argmin(axis=1)
-            going = agenda[rows, at] != NEVER
+            going = agenda[rows, at] != NO_PAIR
             rows, at = rows[going], at[going]
             gone = after[rows, at]
-            symbols[rows, at], symbols[rows, gone], agenda[rows, gone] = joined[rows, at], -1, NEVER
+            symbols[rows, at], symbols[rows, gone], agenda[rows, gone] = joined[rows, at], -1, NO_PAIR
             follows = after[rows, at] = after[rows, gone]
             inside = follows < width
             before[rows[inside], follows[inside]] = at[inside]
@@ -124,22 +155,36 @@ class Pieces:
 
     def learn(self, memory: Memory, words: set[str]) -> None:
         """Adds the words that ``memory`` has not met; those with a character that is no piece, and long ones, go through an agenda of their own."""
-        by_width: dict[int, list[str]] = {}
-        for word in words.difference(memory):
-            segment = self.segment_of(word) if memory is self.memory else word
-            if len(segment) <= WIDE and self.single.issuperset(segment):
-                by_width.setdefault(-(-len(segment) // 4) * 4, []).append(word)
-        for width, fresh in by_width.items():
-            segments = [self.segment_of(w) if memory is self.memory else w for w in fresh]
-            lengths = np.fromiter(map(len, segments), np.int64, len(segments))
-            symbols = np.full((len(segments), width), -1, np.int64)
-            letters = "".join(segments)
-            symbols[np.arange(width) < lengths[:, None]] = np.fromiter(map(self.ids.__getitem__, letters), np.int64, len(letters))
-            merged = self.merge_rows(symbols)
+        fresh = list(words.difference(memory))
+        segments = [w if w[0] == "\n" else SPACE + w for w in fresh] if memory is self.memory else fresh
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        narrow = np.flatnonzero((lengths > 0) & (lengths <= WIDE))
+        if len(narrow) < len(fresh):
+            fresh, segments, lengths = [fresh[i] for i in narrow.tolist()], [segments[i] for i in narrow.tolist()], lengths[narrow]
+        if not fresh:
+            return
+        letters = "".join(segments)
+        points = np.frombuffer(letters.encode("utf-32-le"), "<u4")
+        symbols, starts = self.point_ids[points], np.cumsum(lengths) - lengths
+        known = np.minimum.reduceat(symbols, starts) >= 0
+        # The bytes that the segments stand for, cut from those of all.
+        shown = letters.replace(SPACE, " ").encode()
+        sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        sizes[points == ord(SPACE)] = 1
+        sizes = np.add.reduceat(sizes, starts)
+        shown_ends = np.cumsum(sizes)
+        widths = -(-lengths // 4) * 4
+        for width in np.unique(widths[known]).tolist():
+            rows = np.flatnonzero(known & (widths == width))
+            inside = np.arange(width) < lengths[rows, None]
+            table = np.full((len(rows), width), -1, np.int64)
+            table[inside] = symbols[(starts[rows, None] + np.arange(width))[inside]]
+            merged = self.merge_rows(table)
             ids = merged[merged >= 0].astype("<i4").tobytes()
-            ends = (4 * np.cumsum((merged >= 0).sum(axis=1))).tolist()
-            for word, segment, start, end in zip(fresh, segments, [0, *ends], ends, strict=False):
-                memory[word] = (ids[start:end], segment.replace(SPACE, " ").encode())
+            ends = 4 * np.cumsum((merged >= 0).sum(axis=1))
+            found = [ids[start:end] for start, end in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+            bodies = [shown[start:end] for start, end in zip((shown_ends - sizes)[rows].tolist(), shown_ends[rows].tolist(), strict=True)]
+            memory.update(zip([fresh[i] for i in rows.tolist()], zip(found, bodies, strict=True), strict=True))
 
     def merged(self, segment: str) -> list[int]:
         """Ids of one segment by the agenda."""
@@ -210,9 +255,9 @@ class Pieces:
         """Ids (little-endian 32-bit integers) and decoded texts of whole texts."""
         parts = [self.split(text) for text in texts]
         for memory in (self.memory, self.segments):
-            self.learn(memory, set().union(*(words for held, words in parts if held is memory)))
+            self.learn(memory, {word for held, words in parts if held is memory for word in words if word not in memory})
         made = [list(map(memory.__getitem__, words)) for memory, words in parts]
-        return [b"".join([ids for ids, _ in m]) for m in made], [self.read(b"".join([shown for _, shown in m])) for m in made]
+        return [b"".join(map(IDS, m)) for m in made], [self.read(b"".join(map(SHOWN, m))) for m in made]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian 32-bit integers."""
@@ -235,9 +280,9 @@ class Pieces:
 
     def check(self, texts: list[str], ids: list[bytes], decoded: list[str]) -> None:
         """Compares whole texts of a batch with the library's ids and decoded texts."""
-        theirs = self.library.encode(texts, num_threads=1) if texts else []
-        if list(map(len, ids)) != [4 * len(t) for t in theirs] or b"".join(ids) != array("i", chain.from_iterable(theirs)).tobytes():
-            text = next(t for t, own, other in zip(texts, ids, theirs, strict=True) if own != array("i", other).tobytes())
+        theirs = self.library.encode(texts, num_threads=1, return_type="numpy") if texts else []
+        if list(map(len, ids)) != [4 * len(t) for t in theirs] or b"".join(ids) != b"".join([t.astype("<i4", copy=False).tobytes() for t in theirs]):
+            text = next(t for t, own, other in zip(texts, ids, theirs, strict=True) if own != other.astype("<i4").tobytes())
             raise ValueError(f"the agenda and the sentencepiece library differ; is the vocabulary of the merge type? Text: {text[:200]!r}")
         shown = self.library.decode(theirs, num_threads=1) if texts else []
         if decoded != shown:
@@ -245,6 +290,18 @@ class Pieces:
             raise ValueError(f"own decoding and the sentencepiece library's differ. Text: {text[:200]!r}")
 
 
+@contextmanager
+def uncollected():
+    """Without searches for cycles: what a batch adds to a memory holds none, and each search would walk all of it."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def load(path: str) -> Pieces:
     """One vocabulary per worker process, with its memory."""
     return only(("pieces", path), lambda: Pieces(path))
@@ -258,8 +315,9 @@ def encode_batches(path: str):
         for whole in batches:
             for batch in slices(whole, SLICE):
                 texts = batch.column(1).to_pylist()
-                made, decoded = pieces.both(texts)
-                pieces.check(texts, made, decoded)
+                with uncollected():
+                    made, decoded = pieces.both(texts)
+                    pieces.check(texts, made, decoded)
                 pieces.forget()
                 offsets = np.cumsum([0, *(len(ids) // 4 for ids in made)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))
