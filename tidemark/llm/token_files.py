@@ -15,6 +15,7 @@ together, null ids first; an empty table gives no rows; columns other than doc_i
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,7 +30,11 @@ from tidemark.session import small_side
 STRIDE = 1_000
 STRIPE = 64 << 20
 REMEMBERED = 500_000
+#: Runs of signs remembered beside the segments.
+RUNS = 10_000
 END_ID = 0
+#: An optional line break, letters (and such numbers as ``isalpha`` sorts out), ASCII signs up to the end.
+_SHAPE = re.compile(r"(\n?)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
 
 class _Whole(Exception):
@@ -69,22 +74,43 @@ class Encoder(dict):
         letters = [chr(byte) for byte in range(128) if chr(byte).isalpha()]
         # Letters behind a blank are one pre-token, written as themselves, and hold no special string.
         self.plain = all(self.alphabet[ord(c)] == c for c in letters) and not any(s.strip(" ").isalpha() or not s.strip(" ") for s in self.special)
+        parts = lambda text: [part for part, _ in split(text)]
+        # A line break before letters and a run of signs behind them are pre-tokens of their own.
+        self.parted = self.plain and parts("\na!?") == [self.alphabet[10], "a", "!?"] and parts(" a'_") == [self.blank + "a", "'_"]
         self.marks = {mark: self._ids(mark) for mark in ".,;:!?"}
+        self.line, self.runs = self._ids("\n"), {}
 
     def __missing__(self, segment: str) -> bytes:
-        if self.plain and segment.isascii() and segment.isalpha():
-            value = self[segment] = array("I", [token.id for token in self.tokenize(self.blank + segment)]).tobytes()
+        if self.plain and segment.isalpha():
+            value = self[segment] = self._letters(self.blank, segment)
+            return value
+        mark = self.marks.get(segment[-1:])
+        if mark is not None and segment[:-1].isalpha():
+            value = self[segment] = self[segment[:-1]] + mark  # the pre-tokenizer parts letters from marks
+            return value
+        shape = _SHAPE.fullmatch(segment) if self.parted else None
+        if shape and shape[2].isalpha() and not any(s in segment for s in self.special):
+            value = self.line + self._letters("", shape[2]) if shape[1] else self[shape[2]]
+            value = self[segment] = value + self._run(shape[3])
             return value
         body = segment[1:] if segment[:1] == "\n" else segment
         if not body or body[0].isspace() or body[-1].isspace():
             raise _Whole
-        if segment is body and body[-1] in ".,;:!?" and body[:-1].isalpha():
-            value = self[body[:-1]] + self.marks[body[-1]]  # the pre-tokenizer parts letters from marks
-        else:
-            value = self._ids(segment if segment[0] == "\n" else " " + segment)
-        self[segment] = value
+        value = self[segment] = self._ids(segment if segment[0] == "\n" else " " + segment)
         return value
 
+    def _letters(self, blank: str, letters: str) -> bytes:
+        """Letters are one pre-token: its bytes in the vocabulary's alphabet."""
+        signs = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [token.id for token in self.tokenize(blank + signs)]).tobytes()
+
+    def _run(self, signs: str) -> bytes:
+        if signs not in self.runs:
+            if len(self.runs) >= RUNS:
+                self.runs.clear()
+            self.runs[signs] = self._ids(signs) if signs else b""
+        return self.runs[signs]
+
     def _ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
