@@ -5,7 +5,8 @@ its new neighbours join the agenda, until nothing is left to merge. Symbols with
 are merged side by side, a row of an array each.
 
 No piece has a meta space after another character, so no merge crosses from a word into the next; neither does one cross a character
-that occurs in no longer piece (such as a line break). The text is cut at these places, and what an agenda made of a segment is
+that occurs in no longer piece (such as a line break). The texts of a batch are cut at these places together, in columns: each distinct
+segment is looked up once, and ids and the pieces they stand for are gathered as arrays. What an agenda made of a segment is
 remembered, so each distinct segment is encoded once per worker while its memory (about ``REMEMBERED`` segments, ids and bytes) lasts. Every whole text
 is checked in its Arrow batch against the sentencepiece library, ids and decoded text; a difference means that the vocabulary is not
 of the merge type, and raises.
@@ -18,11 +19,10 @@ from __future__ import annotations
 
 import gc
 import heapq
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from operator import itemgetter
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +33,17 @@ from tidemark.llm.common import id_type, only, ship, slices, text_of
 SPACE = "▁"
 REMEMBERED = 250_000
 #: Bytes of text that a worker encodes at a time.
-SLICE = 2 << 20
+SLICE = 6 << 20
 #: Symbols up to which the agenda is a plain list, searched whole; beyond, it is a heap.
 SHORT = 24
 #: Characters of a segment up to which it is merged side by side with others.
 WIDE = 32
 NEVER = float("inf")
-#: The two parts of what a memory holds.
-IDS, SHOWN = itemgetter(0), itemgetter(1)
+SPACE_BYTES = SPACE.encode()
+#: What no word starts with.
+NO_WORD = ("", "\n")
+#: More than the lines of segments side by side.
+LINES = np.int32(2 * WIDE)
 #: The rank of a pair that joins to no piece.
 NO_PAIR = np.int32(2**31 - 1)
 
@@ -79,11 +82,10 @@ class Pieces:
         joined = {c for n in self.ids if len(n) > 1 for c in n}
         self.crossed = any(SPACE in n.lstrip(SPACE) for n in self.ids)
         self.alone = "".join(c for c in map(chr, range(128)) if c not in joined)
-        lone = re.escape(self.alone)
-        self.segment = re.compile(f"{SPACE}+[^{SPACE}{lone}]*|[{lone}]|[^{SPACE}{lone}]+")
-        self.quick = "\n" in self.alone and not self.crossed
+        self.lone = np.isin(np.arange(256), np.frombuffer(self.alone.encode(), np.uint8))
         # What each id stands for in a decoded text.
         self.shown = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.hidden else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
+        self.shown_array = pa.array(self.shown, pa.large_binary())
         self.memory = Memory(lambda key: self.merged(self.segment_of(key)), self.shown)
         self.segments = Memory(self.merged, self.shown)
         # Pairs of pieces that join to a piece, for agendas of many segments side by side.
@@ -103,14 +105,14 @@ class Pieces:
         return ((keys.view(np.uint64) * self.multipliers[step]) >> self.shift).view(np.int64)
 
     def place_pairs(self) -> None:
-        """Two tables of places in ``pair_keys``: pairs that meet another one in the first are alone in the second."""
+        """Two tables of places in ``pair_keys`` (-1: empty): pairs that meet another one in the first are alone in the second."""
         bits = max(4, (16 * len(self.pair_keys)).bit_length())
         self.shift, rng = np.uint64(64 - bits), np.random.default_rng(3)
         while True:
             self.multipliers = rng.integers(1 << 62, 1 << 63, 2, np.uint64) | np.uint64(1)
             self.places, left = [], np.arange(len(self.pair_keys))
             for step in range(2):
-                table, at = np.zeros(1 << bits, np.int32), self.pair_slots(self.pair_keys[left], step)
+                table, at = np.full(1 << bits, -1, np.int32), self.pair_slots(self.pair_keys[left], step)
                 table[at] = left
                 self.places.append(table)
                 left = left[table[at] != left]
@@ -121,37 +123,41 @@ class Pieces:
         """Rank of the cost and joined piece of pairs; NO_PAIR for those that join to none."""
         keys = left * len(self.names) + right
         at = self.places[0][self.pair_slots(keys, 0)]
-        at = np.where(self.pair_keys[at] == keys, at, self.places[1][self.pair_slots(keys, 1)])
+        met = np.nonzero((at >= 0) & (self.pair_keys[at] != keys))
+        at[met] = self.places[1][self.pair_slots(keys[met], 1)]
         return np.where((self.pair_keys[at] == keys) & (right >= 0), self.pair_ranks[at], NO_PAIR), self.pair_joined[at]
 
-    def merge_rows(self, symbols: np.ndarray) -> np.ndarray:
+    def merge_rows(self, rows: np.ndarray) -> np.ndarray:
         """Agendas of many segments side by side, a row each (ids of their characters, -1 behind the end); dead symbols become -1.
 
-        A row's agenda holds the rank of each pair's cost at the place of its left symbol; all rows merge their best pair, the leftmost of equal ones, in each turn.
+        The segments stand in columns here, between two lines of -1. The agenda holds each pair's rank and, behind it, the line of its left symbol,
+        so a column's least entry is its best pair, the leftmost of equal ones; each turn merges that of all columns. Places count through all lines.
         """
-        width = symbols.shape[1]
-        after = np.tile(np.arange(1, width + 1), (len(symbols), 1))
-        before = after - 2
+        count, width = rows.shape
+        symbols = np.full((width + 2, count), -1, np.int64)
+        symbols[1:-1] = rows.T
         agenda, joined = np.full(symbols.shape, NO_PAIR), np.zeros(symbols.shape, np.int64)
-        if width > 1:
-            agenda[:, :-1], joined[:, :-1] = self.pair_costs(symbols[:, :-1], symbols[:, 1:])
-        rows = np.arange(len(symbols))
-        while len(rows):
-            at = agenda[rows].argmin(axis=1)
-            going = agenda[rows, at] != NO_PAIR
-            rows, at = rows[going], at[going]
-            gone = after[rows, at]
-            symbols[rows, at], symbols[rows, gone], agenda[rows, gone] = joined[rows, at], -1, NO_PAIR
-            follows = after[rows, at] = after[rows, gone]
-            inside = follows < width
-            before[rows[inside], follows[inside]] = at[inside]
-            right = np.where(inside, symbols[rows, np.minimum(follows, width - 1)], -1)
-            agenda[rows, at], joined[rows, at] = self.pair_costs(symbols[rows, at], right)
-            ahead = before[rows, at]
-            has = ahead >= 0
-            r, a = rows[has], ahead[has]
-            agenda[r, a], joined[r, a] = self.pair_costs(symbols[r, a], symbols[r, at[has]])
-        return symbols
+        lines = np.arange(width + 2, dtype=np.int32)[:, None]
+        ranks, joined[1:-1] = self.pair_costs(symbols[1:-1], symbols[2:])
+        agenda[1:-1] = np.where(ranks == NO_PAIR, NO_PAIR, ranks * LINES + lines[1:-1])
+        after = np.arange(count, symbols.size + count)
+        before = after - 2 * count
+        symbol, entry, piece = symbols.reshape(-1), agenda.reshape(-1), joined.reshape(-1)
+        while True:
+            best = agenda.min(axis=0)
+            going = np.flatnonzero(best != NO_PAIR)
+            if not len(going):
+                return symbols[1:-1].T
+            at = (best[going] % LINES).astype(np.int64) * count + going
+            gone = after[at]
+            merged = symbol[at] = piece[at]
+            symbol[gone], entry[gone] = -1, NO_PAIR
+            follows = after[at] = after[gone]
+            before[follows] = at
+            ahead = before[at]
+            for left, pair in ((at, (merged, symbol[follows])), (ahead, (symbol[ahead], merged))):
+                ranks, piece[left] = self.pair_costs(*pair)
+                entry[left] = np.where(ranks == NO_PAIR, NO_PAIR, ranks * LINES + (left // count).astype(np.int32))
 
     def learn(self, memory: Memory, words: set[str]) -> None:
         """Adds the words that ``memory`` has not met; those with a character that is no piece, and long ones, go through an agenda of their own."""
@@ -240,29 +246,52 @@ class Pieces:
                     heapq.heappush(agenda, (cost[wider], before[left], left, wider))
         return list(filter(None, symbols))
 
-    def split(self, text: str) -> tuple[Memory, list[str]]:
-        """The text's segments and the memory that knows them."""
-        plain = self.library.normalize(text)
-        if self.quick and plain[:1] == SPACE:
-            words = plain[1:].replace("\n", f"{SPACE}\n").split(SPACE)  # a word that starts with a line break has no space before it
-            if "" not in words:
-                return self.memory, words
-        if self.crossed:
-            return self.segments, [plain] if plain else []
-        return self.segments, self.segment.findall(plain)
+    def cut(self, texts: list[str]) -> tuple[list[str], pa.Array, np.ndarray]:
+        """The distinct segments of whole texts, which one each segment of theirs is, and where each text's segments end among these."""
+        plain = pa.array(self.library.normalize(texts) if texts else [], pa.large_string())
+        _, edges, letters = plain.buffers()
+        edges = np.frombuffer(edges, np.int64, len(texts) + 1)
+        points = np.frombuffer(letters or b"", np.uint8, int(edges[-1]))
+        starting = np.zeros(len(points) + 1, bool)
+        if not self.crossed:
+            lone = self.lone[points]
+            starting[:-1] |= lone
+            starting[1:] |= lone
+            spaces = np.flatnonzero(points == SPACE_BYTES[0])
+            for n, value in enumerate(SPACE_BYTES):
+                spaces = spaces[points[spaces + n] == value]
+            first = np.diff(spaces, prepend=-2 * len(SPACE_BYTES)) != len(SPACE_BYTES)  # of those in a row
+            starting[spaces[first]] = True
+        starting[edges] = True
+        starts = np.flatnonzero(starting)
+        segments = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64, copy=False)), letters])
+        found = segments.dictionary_encode()
+        return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices, np.searchsorted(starts, edges)
+
+    def memory_of(self, segment: str) -> tuple[Memory, str]:
+        """The memory that knows a segment, and its name there."""
+        return (self.memory, segment[1:]) if segment[0] == SPACE and segment[1:2] not in NO_WORD else (self.segments, segment)
 
     def both(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids (little-endian 32-bit integers) and decoded texts of whole texts."""
-        parts = [self.split(text) for text in texts]
+        segments, places, edges = self.cut(texts)
+        held = list(map(self.memory_of, segments))
         for memory in (self.memory, self.segments):
-            self.learn(memory, {word for held, words in parts if held is memory for word in words if word not in memory})
-        made = [list(map(memory.__getitem__, words)) for memory, words in parts]
-        return [b"".join(map(IDS, m)) for m in made], [self.read(b"".join(map(SHOWN, m))) for m in made]
+            self.learn(memory, {name for at, name in held if at is memory})
+        known = pa.array([memory[name][0] for memory, name in held], pa.large_binary()).take(places)
+        _, ends, ids = known.buffers()
+        ends, ids = np.frombuffer(ends, np.int64, len(known) + 1)[edges], np.frombuffer(ids or b"", np.uint8)
+        whole = ids[: ends[-1]].view("<i4")
+        _, places, shown = (said := self.shown_array.take(pa.array(whole))).buffers()
+        places, shown = np.frombuffer(places, np.int64, len(said) + 1)[ends // 4].tolist(), memoryview(shown or b"")
+        ends = ends.tolist()
+        return [ids[start:end].tobytes() for start, end in pairwise(ends)], [self.read(bytes(shown[start:end])) for start, end in pairwise(places)]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian 32-bit integers."""
-        memory, words = self.split(text)
-        return b"".join([memory[word][0] for word in words])
+        segments, places, _ = self.cut([text])
+        known = [memory[name][0] for memory, name in map(self.memory_of, segments)]
+        return b"".join([known[at] for at in places.to_pylist()])
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: pieces joined, runs of bytes read as UTF-8, without the space put before the first word."""
