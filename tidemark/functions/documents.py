@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, functions as F
 
 from tidemark.functions import props, times
@@ -16,12 +18,10 @@ def whole_json(text: Column) -> Column:
     """
     proof = F.xxhash64(text)
     framed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), proof, F.lit("]")))
+    own_proof = lambda items: F.try_variant_get(F.get(items, F.lit(1)), "$", "long")
     return let(
-        framed,
-        lambda items: F.when(
-            (F.try_variant_get(items, "$[1]", "long") == proof) & F.try_variant_get(items, "$[2]", "variant").isNull(),
-            F.try_variant_get(items, "$[0]", "variant"),
-        ),
+        F.try_variant_get(framed, "$", "array<variant>"),
+        lambda items: F.when((F.size(items) == 2) & (own_proof(items) == proof), F.get(items, F.lit(0))),
     )
 
 
@@ -30,7 +30,8 @@ def text(document: Column, path: str) -> Column:
 
 
 # A document of many fields is opened once, as a map; looking a field up there costs far less than a
-# path into the whole document. The map is null for anything but an object.
+# path into the whole document, above all where a path would find nothing and leave by an exception. The map is null for
+# anything but an object.
 
 
 def fields_of(document: Column) -> Column:
@@ -67,43 +68,74 @@ def _required(fields: Column, name: str) -> Column:
 
 def is_kind(value: Column, stored: str) -> Column:
     """Absent, null or stored as the given kind."""
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID")).rlike(rf"\A(VOID|{stored})")
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    return kind.startswith("VOID") | kind.startswith(stored)
 
 
-def _time(fields: Column, name: str) -> Column:
-    return times.rfc3339(field_text(fields, name)).isNotNull()
+_TEXTS = ("session_id", "actor_id", "source", "correlation_id", "trace_id")
+#: Fields of an event that are read as text.
+TEXT_FIELDS = ("envelop_version", "id", "name", "occured_at", "arrived_at", "org_id", "workspace_id", "anon_id", *_TEXTS)
 
 
-def canonical_problem(fields: Column, version: str) -> Column:
-    """Name of the first field that keeps a document from being a canonical event; null when sound."""
+def kind_checks(fields: Column) -> dict[str, Column]:
+    """Whether the fields of an event are stored as the kinds they should be, by name."""
+    checks = {name: _required(fields, name) for name in ("envelop_version", "id", "name", "occured_at", "org_id", "workspace_id", "anon_id")}
+    checks["arrived_at"] = is_kind(field(fields, "arrived_at"), "VOID")  # or a time
+    checks |= {name: is_kind(field(fields, name), "STRING") for name in _TEXTS}
+    checks["authenticated"] = is_kind(field(fields, "authenticated"), "BOOLEAN")
+    checks["system_properties"] = is_kind(field(fields, "system_properties"), "OBJECT")
+    return checks
+
+
+def event_problem(fields: Column, kinds: Mapping[str, Column], found: Mapping[str, Column], version: str) -> Column:
+    """Name of the first of an event's own fields that is wrong; null when sound.
+
+    ``kinds`` are the `kind_checks`, ``found`` the texts of the fields, with `id` as `canonical_uuid` and the times as `rfc3339` gives them.
+    """
     checks = {
-        "envelop_version": _required(fields, "envelop_version") & (field_text(fields, "envelop_version") == version),
-        "id": _required(fields, "id") & canonical_uuid(field_text(fields, "id")).isNotNull(),
-        "name": _required(fields, "name"),
-        "occured_at": _required(fields, "occured_at") & _time(fields, "occured_at"),
-        "arrived_at": is_kind(field(fields, "arrived_at"), "VOID") | _time(fields, "arrived_at"),
+        "object": fields,
+        "envelop_version": kinds["envelop_version"] & (found["envelop_version"] == version),
+        "id": kinds["id"] & found["id"].isNotNull(),
+        "name": kinds["name"],
+        "occured_at": kinds["occured_at"] & found["occured_at"].isNotNull(),
+        "arrived_at": kinds["arrived_at"] | found["arrived_at"].isNotNull(),
     }
-    checks |= {name: _required(fields, name) for name in ("org_id", "workspace_id", "anon_id")}
-    for name in ("session_id", "actor_id", "source", "correlation_id", "trace_id"):
-        checks[name] = is_kind(field(fields, name), "STRING")
-    checks["authenticated"] = is_kind(field(fields, "authenticated"), "BOOLEAN")
-    found = F.when(fields.isNull(), F.lit("object"))
-    for name, sound in checks.items():
-        found = found.when(~F.coalesce(sound, F.lit(False)), F.lit(name))
-    system = field(fields, "system_properties")
-    found = found.when(~is_kind(system, "OBJECT"), F.lit("system_properties"))
-    return found.otherwise(F.when(system.isNotNull(), let(fields_of(system), _system_problem)))
-
-
-def _system_problem(system: Column) -> Column:
-    geo = field(system, "geo")
-    country = F.try_variant_get(geo, "$.country", "variant")
-    return (
-        F.when(~is_kind(geo, "OBJECT"), F.lit("system_properties.geo"))
-        .when(~is_kind(country, "STRING"), F.lit("system_properties.geo.country"))
-        .when(~is_kind(field(system, "timezone"), "STRING"), F.lit("system_properties.timezone"))
-        .when(~is_kind(field(system, "ip_address"), "STRING"), F.lit("system_properties.ip_address"))
+    checks |= {name: kinds[name] for name in ("org_id", "workspace_id", "anon_id", *_TEXTS, "authenticated", "system_properties")}
+    return _first_failed(checks)
+
+
+def system_problem(system: Column, geo: Column) -> Column:
+    """`event_problem` of the system properties, by their fields and those of their `geo`; without any all is well."""
+    return _first_failed(
+        {
+            "system_properties.geo": is_kind(field(system, "geo"), "OBJECT"),
+            "system_properties.geo.country": is_kind(field(geo, "country"), "STRING"),
+            "system_properties.timezone": is_kind(field(system, "timezone"), "STRING"),
+            "system_properties.ip_address": is_kind(field(system, "ip_address"), "STRING"),
+        }
+    )
+
+
+def _first_failed(checks: Mapping[str, Column]) -> Column:
+    return F.coalesce(*[F.when(~F.coalesce(sound, F.lit(False)), F.lit(name)) for name, sound in checks.items()])
+
+
+def read_text(name: str, text: Column) -> Column:
+    """A field's text as the event model reads it."""
+    if name == "id":
+        return canonical_uuid(text)
+    return times.rfc3339(text) if name in ("occured_at", "arrived_at") else text
+
+
+def canonical_problem(fields: Column, version: str) -> Column:
+    """Name of the first field that keeps a document from being a canonical event; null when sound."""
+    found = {name: read_text(name, field_text(fields, name)) for name in TEXT_FIELDS}
+    own = event_problem(fields.isNotNull(), kind_checks(fields), found, version)
+    system = let(
+        fields_of(field(fields, "system_properties")),
+        lambda system: let(fields_of(field(system, "geo")), lambda geo: system_problem(system, geo)),
     )
+    return F.coalesce(own, system)
 
 
 def one_line(value: Column) -> Column:

@@ -75,6 +75,11 @@ def stored_as(document: Column, path: str, kind: str = "STRING") -> Column:
     )
 
 
+def text_stored(value: Column) -> Column:
+    """Text of a value that is stored as text; null for every other kind."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 def children(value: Column) -> Column:
     """An object's entries as a map; null for every other kind of value."""
     return F.try_variant_get(value, "$", "map<string,variant>")

@@ -15,16 +15,44 @@ from tidemark.session import fits_broadcast
 # -- decode and conform ----------------------------------------------------
 
 
-def opened(raw: DataFrame, value: str = "value") -> DataFrame:
-    """`decode` with the document's `_fields`: a caller that reads on needs no second look into the document."""
+def _read(raw: DataFrame, value: str) -> DataFrame:
+    """The raw rows with `document`, `_fields`, what the event model reads of them (`_<field>`), and `error_reason`.
+
+    A field is looked up once. The lambdas around `_system` and `_geo` keep these projections out of whole-stage code, whose one
+    method would be too long for the JVM to compile.
+    """
+    fields, system, geo = F.col("_fields"), F.col("_system"), F.col("_geo")
+    inside = lambda of, name: documents.fence(props.let(documents.fields_of(documents.field(of, name)), lambda own: own))
     parsed = raw.withColumn("document", documents.fence(documents.whole_json(F.col(value))))
     parsed = parsed.withColumn("_fields", documents.fence(documents.fields_of(F.col("document"))))
-    problem = documents.canonical_problem(F.col("_fields"), ENVELOP_VERSION)
+    kinds = documents.kind_checks(fields)
+    taken = parsed.withColumns(
+        {
+            "_system": inside(fields, "system_properties"),
+            **{f"_is_{name}": sound for name, sound in kinds.items()},
+            **{f"_{name}": documents.field_text(fields, name) for name in documents.TEXT_FIELDS},
+            **{f"_{name}": documents.field(fields, name) for name in ("authenticated", "properties")},
+        }
+    )
+    own = taken.withColumns(
+        {
+            "_geo": inside(system, "geo"),
+            **{f"_{name}": documents.fence(documents.read_text(name, F.col(f"_{name}"))) for name in ("id", "occured_at", "arrived_at")},
+        }
+    )
+    found = {name: F.col(f"_{name}") for name in documents.TEXT_FIELDS}
+    problem = documents.event_problem(fields.isNotNull(), {name: F.col(f"_is_{name}") for name in kinds}, found, ENVELOP_VERSION)
+    problem = F.coalesce(problem, documents.system_problem(system, geo))
     reason = F.when(F.coalesce(F.length(value), F.lit(0)) == 0, F.lit("empty payload")).otherwise(
         F.concat(F.lit("not a canonical event: "), problem)
     )
+    return own.withColumn("error_reason", documents.fence(reason))
+
+
+def opened(raw: DataFrame, value: str = "value") -> DataFrame:
+    """`decode` with the document's `_fields`: a caller that reads on needs no second look into the document."""
     sound = F.col("error_reason").isNull()
-    return parsed.withColumn("error_reason", documents.fence(reason)).select(
+    return _read(raw, value).select(
         *raw.columns,
         F.when(sound, F.col("document")).alias("document"),
         F.when(~sound, "decode").alias("error_class"),
@@ -45,31 +73,47 @@ def norm_country(country: Column) -> Column:
 
 def conform(decoded: DataFrame, now: Column | None = None, document: str = "document") -> DataFrame:
     """Canonical documents as fact rows: renamed, system properties lifted, absent text as `''`."""
-    now = F.current_timestamp() if now is None else now
     opened = decoded.withColumn("_fields", documents.fence(documents.fields_of(F.col(document))))
     fields = F.col("_fields")
     system_properties = documents.field(fields, "system_properties")
-    sent = lambda name: F.coalesce(documents.field_text(fields, name), F.lit(""))
-    system = lambda path: props.stored_as(system_properties, path)
-    at = lambda name: times.millis(times.rfc3339(documents.field_text(fields, name)))
+    found = {name: documents.read_text(name, documents.field_text(fields, name)) for name in documents.TEXT_FIELDS}
+    found |= {name: documents.field(fields, name) for name in ("authenticated", "properties")}
+    lifted = {path: props.stored_as(system_properties, path) for path in ("geo.country", "timezone", "ip_address")}
+    return _as_facts(opened, found, lifted, now)
+
+
+def conform_sound(raw: DataFrame, now: Column | None = None, value: str = "value") -> DataFrame:
+    """`conform` of the rows that `decode` finds sound, by one look into each document."""
+    system, geo = F.col("_system"), F.col("_geo")
+    found = {name: F.col(f"_{name}") for name in (*documents.TEXT_FIELDS, "authenticated", "properties")}
+    country = F.coalesce(documents.field(geo, "country"), documents.field(system, "geo.country"))
+    lifted = {"geo.country": country, **{name: documents.field(system, name) for name in ("timezone", "ip_address")}}
+    sound = _read(raw, value).where("error_reason is null")
+    return _as_facts(sound, found, {path: props.text_stored(given) for path, given in lifted.items()}, now)
+
+
+def _as_facts(rows: DataFrame, found: Mapping[str, Column], lifted: Mapping[str, Column], now: Column | None) -> DataFrame:
+    """Fact rows of an event's own fields and of its system properties, by path."""
+    now = F.current_timestamp() if now is None else now
+    sent = lambda name: F.coalesce(found[name], F.lit(""))
     facts = {
         "workspace_id": sent("workspace_id"),
         "org_id": sent("org_id"),
-        "event_id": documents.canonical_uuid(documents.field_text(fields, "id")),
+        "event_id": found["id"],
         "event_name": sent("name"),
-        "event_timestamp": at("occured_at"),
-        "arrived_at": at("arrived_at"),
+        "event_timestamp": times.millis(found["occured_at"]),
+        "arrived_at": times.millis(found["arrived_at"]),
         **{c: sent(c) for c in ("session_id", "anon_id", "actor_id", "source", "correlation_id", "trace_id")},
-        "authenticated": F.try_variant_get(documents.field(fields, "authenticated"), "$", "boolean"),
-        "properties": documents.field(fields, "properties"),
-        "country": norm_country(system("geo.country")),
-        "timezone": system("timezone"),
-        "ip_address": system("ip_address"),
+        "authenticated": F.try_variant_get(found["authenticated"], "$", "boolean"),
+        "properties": found["properties"],
+        "country": props.let(lifted["geo.country"], norm_country),  # a lambda, as in `_read`
+        "timezone": lifted["timezone"],
+        "ip_address": lifted["ip_address"],
         "inserted_at": now,
         "updated_at": now,
         "is_deleted": F.lit(0).cast("byte"),
     }
-    return opened.select(*[facts[c].alias(c) for c in FACT_COLUMNS])
+    return rows.select(*[facts[c].alias(c) for c in FACT_COLUMNS])
 
 
 def own_workspace(df: DataFrame, workspace_id: str) -> DataFrame:

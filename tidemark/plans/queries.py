@@ -603,6 +603,10 @@ def src_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.split_concatenated(bodies).select("event_id", "pos", documents.text(F.col("document"), "id").alias("id"))
 
 
+#: Bytes of a row group of a log whose batches are single files.
+LOG_GROUP = 1 << 20
+
+
 def _stored_log(spark: SparkSession, sf_dir: str, label: str) -> tuple[str, DataFrame]:
     """The payload log written once as files, and a stream over them."""
     root = scratch_dir(spark, label)
@@ -646,7 +650,9 @@ def sink_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facts_over_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payload log as many batches, resends in other batches; the ingest merges as it goes, the rest is read fresh."""
     root = scratch_dir(spark, "facts-batches")
-    sample_payloads(spark, sf_dir).repartition(2 * sinks.FANOUT + 3).write.parquet(f"{root}/log")
+    # A task reads whole row groups, so a batch of one file is spread by small ones.
+    log = sample_payloads(spark, sf_dir).repartition(2 * sinks.FANOUT + 3)
+    log.write.option("parquet.block.size", LOG_GROUP).parquet(f"{root}/log")
     stream = sources.read_event_stream(spark, f"{root}/log", files_per_trigger=1)
     jobs.start_fact_sink(stream, f"{root}/facts", f"{root}/checkpoint").awaitTermination()
     return sources.facts(spark, f"{root}/facts").groupBy("workspace_id", "event_name").agg(F.count(F.lit(1)).alias("event_count"))

@@ -14,6 +14,7 @@ from tidemark.operators.ingest import (
     check_destination,
     classify_archive,
     conform,
+    conform_sound,
     decode,
     opened,
     own_workspace,
@@ -135,7 +136,7 @@ def start_fact_sink(
     """Sound events into the fact table, of one workspace or of all, merged as batches come together. Late events are kept: no watermark."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = conform(decode(batch).where("error_class is null"))
+        rows = conform_sound(batch)
         sinks.write_facts(rows if workspace_id is None else own_workspace(rows, workspace_id), root, batch_id)
         sinks.keep_merged(batch.sparkSession, root)
 
