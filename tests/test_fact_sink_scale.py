@@ -37,7 +37,7 @@ def test_one_look_reads_what_two_looks_read(spark):
 
 
 def test_paths_that_find_nothing_are_not_looked_for(spark):
-    """A path into a document that finds nothing leaves by an exception, dearer than all other work on a row: the maps are asked instead."""
+    """Fields that may be absent are looked up in the opened maps."""
     rows = ingest.conform_sound(log_of(spark, odd_payloads()))
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "$[" not in plan and "$." not in plan
